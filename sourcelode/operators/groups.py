@@ -1,0 +1,38 @@
+"""Keeping single groups small, however uneven the data is."""
+
+from pyspark.sql import DataFrame, functions as F
+
+# A list, document or text section holds at most about this many findings.
+MAX_PER_PART = 10_000
+SALTS = 64
+
+
+def salted_left_join(big: DataFrame, small: DataFrame, keys, spread_by: str, salts: int = SALTS):
+    """``big`` left join ``small`` where one key may own a large share of ``big``.
+
+    Rows of a key are dealt to ``salts`` tasks by ``spread_by``; ``small`` (one row per key) is
+    repeated for each of them.
+    """
+    dealt = big.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
+    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return dealt.join(copies, [*keys, "_salt"], "left").drop("_salt")
+
+
+def part_counts(rows: DataFrame, keys, max_per_part: int = MAX_PER_PART) -> DataFrame:
+    """Rows and needed parts per group."""
+    return (
+        rows.groupBy(*keys)
+        .agg(F.count(F.lit(1)).alias("_rows"))
+        .withColumn("_parts", F.ceil(F.col("_rows") / max_per_part).cast("int"))
+    )
+
+
+def with_part(rows: DataFrame, keys, row_id: str, max_per_part: int = MAX_PER_PART) -> DataFrame:
+    """Number the parts a group has to be split into: 0 for ordinary groups, a hash of the row id
+    for groups over ``max_per_part``. Only the oversized groups enter the join."""
+    oversized = part_counts(rows, keys, max_per_part).where("_parts > 1").drop("_rows")
+    joined = salted_left_join(rows, oversized, keys, row_id)
+    return joined.withColumn(
+        "part",
+        F.coalesce(F.pmod(F.xxhash64(row_id), F.col("_parts")), F.lit(0)).cast("long"),
+    ).drop("_parts")

@@ -158,3 +158,18 @@ def sanitize_path(path) -> Column:
         | (part.startswith(".") & ~part.isin(".git", ".github")),
     )
     return F.when(~bad, slashed)
+
+
+def supported_languages() -> list:
+    """Every language a path can be recognised as, sorted (aliases not resolved)."""
+    return sorted({*LANGUAGE_EXTENSIONS, *LANGUAGE_FILENAMES})
+
+
+def extensions_for(language: str) -> list:
+    """Extensions analysed as ``language`` or its alias target."""
+    wanted = LANGUAGE_ALIASES.get(language, language)
+    return [ext for ext, found in by_key(LANGUAGE_EXTENSIONS).items() if found == wanted]
+
+
+def is_supported_language(language: str) -> bool:
+    return language in supported_languages()

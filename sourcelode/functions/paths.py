@@ -21,9 +21,19 @@ def as_column(value) -> Column:
 
 
 def lookup(key: Column, mapping: dict) -> Column:
-    """Value of a fixed literal map, NULL for an unknown key; the key is evaluated once."""
-    entries = [F.lit(part) for pair in mapping.items() for part in pair]
-    return F.try_element_at(F.create_map(*entries), key)
+    """Value of a fixed literal map, NULL for an unknown key; the key is evaluated once.
+
+    Keys and text values are plain words: they need no escaping.
+    """
+    # One parsed text instead of a Column object per entry.
+    entries = ", ".join(f"{_literal(k)}, {_literal(v)}" for k, v in mapping.items())
+    return F.try_element_at(F.expr(f"map({entries})"), key)
+
+
+def _literal(value) -> str:
+    if isinstance(value, str):
+        return f"'{value}'"
+    return f"{value!r}D" if isinstance(value, float) else repr(value)
 
 
 def by_key(groups: dict, aliases: dict = LANGUAGE_ALIASES) -> dict:
@@ -111,11 +121,12 @@ def resolve_alias(language) -> Column:
 def shebang_language(content) -> Column:
     """Language named by a ``#!`` first line; the first known interpreter in the list wins."""
     first = strip(F.substring_index(as_column(content), "\n", 1))
+    known = ", ".join(f"'{text}'" for text, _ in SHEBANG_INTERPRETERS)
     named = F.filter(
-        F.array(*[F.struct(F.lit(t).alias("t"), F.lit(l).alias("l")) for t, l in SHEBANG_INTERPRETERS]),
-        lambda known: first.startswith("#!") & F.contains(first, known["t"]),
+        F.expr(f"array({known})"),
+        lambda text: first.startswith("#!") & F.contains(first, text),
     )
-    return F.get(named, 0)["l"]
+    return lookup(F.get(named, 0), dict(SHEBANG_INTERPRETERS))
 
 
 def path_language(path) -> Column:

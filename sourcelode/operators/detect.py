@@ -21,34 +21,45 @@ def with_language(files: DataFrame, options: ScanOptions = ScanOptions()) -> Dat
     )
 
 
-def _any(tests) -> Column:
-    result = F.lit(False)
-    for test in tests:
-        result = result | test
-    return result
+# The tests below are SQL text: a catalogue of rules makes hundreds of small expressions, and one
+# parsed text is far quicker to build than as many Column objects.
 
 
-def _may_match(rule: Rule, lowered: Column) -> Column:
-    test = F.lit(True)
-    for group in rule.needles:
-        test = test & _any(lowered.contains(word) for word in group)
-    return test
+def _text(value: str) -> str:
+    escaped = value.replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{escaped}'"
 
 
-def _folds(text: Column) -> Column:
-    return _any(text.contains(letter) for letter in FOLDING_LETTERS)
+def _one_of(tests) -> str:
+    return "(" + " OR ".join(tests) + ")"
 
 
-def _worth_matching(rules, language: Column, text: Column, lowered: Column) -> Column:
+def _speaks(language: str, langs) -> str:
+    return f"{language} IN ({', '.join(_text(lang) for lang in langs)})"
+
+
+def _may_match(rule: Rule, lowered: str) -> str:
+    """False only if the rule cannot match a text with this lower-case form."""
+    groups = [
+        _one_of(f"contains({lowered}, {_text(word)})" for word in group) for group in rule.needles
+    ]
+    return "(" + " AND ".join(groups or ["true"]) + ")"
+
+
+def _folds(text: str) -> str:
+    return _one_of(f"contains({text}, {_text(letter)})" for letter in FOLDING_LETTERS)
+
+
+def _worth_matching(rules, language: str, text: str, lowered: str) -> str:
     """False only if no active rule can match anything in ``text``."""
     by_langs: dict = {}
     for rule, langs in rules:
         by_langs.setdefault(langs, {}).setdefault(rule.needles, rule)
-    per_language = _any(
-        language.isin(*langs) & _any(_may_match(rule, lowered) for rule in group.values())
+    tests = [
+        f"({_speaks(language, langs)} AND {_one_of(_may_match(r, lowered) for r in group.values())})"
         for langs, group in by_langs.items()
-    )
-    return per_language | _folds(text)
+    ]
+    return _one_of([*tests, _folds(text)])
 
 
 def candidate_lines(files: DataFrame, rules, keys, radius: int) -> DataFrame:
@@ -56,28 +67,19 @@ def candidate_lines(files: DataFrame, rules, keys, radius: int) -> DataFrame:
 
     Context is cut while the lines are still an array, so no row ever carries the whole file.
     """
-    language = F.col("language")
     split = files.select(*keys, "language", txt.lines("content").alias("_lines"))
-    numbered = F.transform(
-        "_lines",
-        lambda line, i: F.struct((i + 1).alias("n"), line.alias("text"), F.lower(line).alias("low")),
-    )
-    kept = F.filter(
-        numbered, lambda row: _worth_matching(rules, language, row["text"], row["low"])
-    )
-    with_context = F.transform(
-        kept,
-        lambda row: F.struct(
-            row["n"].alias("n"),
-            row["text"].alias("text"),
-            row["low"].alias("low"),
-            txt.context_window("_lines", row["n"], radius).alias("window"),
-        ),
-    )
+    worth = _worth_matching(rules, "language", "r.text", "r.low")
+    first = f"greatest(r.n - {radius}, 1)"
     # explode_outer: Spark would otherwise add (and evaluate twice) a "size > 0" filter below.
+    kept = f"""explode_outer(transform(
+        filter(
+            transform(_lines, (line, i) -> struct(i + 1 AS n, line AS text, lower(line) AS low)),
+            r -> {worth}),
+        r -> struct(r.n, r.text, r.low,
+            slice(_lines, {first}, r.n + {radius} - {first} + 1) AS window)))"""
     return (
-        split.select(*keys, "language", F.explode_outer(with_context).alias("_c"))
-        .where(F.col("_c").isNotNull())
+        split.select(*keys, "language", F.expr(kept).alias("_c"))
+        .where("_c IS NOT NULL")
         .select(
             *keys, "language", F.col("_c.n").alias("line_number"),
             F.col("_c.text").alias("_text"), F.col("_c.low").alias("_low"),
@@ -88,71 +90,50 @@ def candidate_lines(files: DataFrame, rules, keys, radius: int) -> DataFrame:
 
 def _native_matches(files: DataFrame, rules, keys, radius: int) -> DataFrame:
     lines = candidate_lines(files, rules, keys, radius)
-    language, text, lowered = F.col("language"), F.col("_text"), F.col("_low")
-    found = F.array(
-        *[
-            F.struct(
-                F.lit(rule.rule_id).alias("rule_id"),
-                F.when(
-                    language.isin(*langs) & (_may_match(rule, lowered) | _folds(text)),
-                    F.regexp_extract_all(text, F.lit(rule.java_pattern), F.lit(0)),
-                ).alias("found"),
-            )
-            for rule, langs in rules
-        ]
+    found = ",\n".join(
+        f"""struct({_text(rule.rule_id)} AS rule_id, CASE
+            WHEN {_speaks("language", langs)} AND ({_may_match(rule, "_low")} OR {_folds("_text")})
+            THEN regexp_extract_all(_text, {_text(rule.java_pattern)}, 0) END AS found)"""
+        for rule, langs in rules
     )
+    place = [*keys, "language", "line_number", "_window"]
     hits = (
-        lines.withColumn("_h", F.explode_outer(F.filter(found, lambda h: F.size(h["found"]) > 0)))
-        .where(F.col("_h").isNotNull())
-        .select(
-            *keys, "language", "line_number", "_text", "_window",
-            F.col("_h.rule_id").alias("rule_id"), F.col("_h.found").alias("_found"),
+        lines.select(
+            *place, "_text",
+            F.expr(f"explode_outer(filter(array({found}), h -> size(h.found) > 0))").alias("_h"),
         )
+        .where("_h IS NOT NULL")
+        .select(*place, "_text", F.col("_h.rule_id").alias("rule_id"), F.col("_h.found").alias("_found"))
     )
-    # Text between matches: same literal pattern per rule, so each is compiled once per task.
-    gaps = None
-    for rule, _ in rules:
-        test, pieces = F.col("rule_id") == rule.rule_id, F.split(text, rule.java_pattern, -1)
-        gaps = F.when(test, pieces) if gaps is None else gaps.when(test, pieces)
-    steps = hits.select(
-        *keys, "language", "line_number", "_window", "rule_id",
-        F.zip_with(
-            F.slice(gaps, 1, F.size("_found")),
-            "_found",
-            lambda gap, match: F.struct(F.length(gap).alias("gap"), match.alias("match")),
-        ).alias("_steps"),
-    )
-    blocks = F.transform(
-        F.sequence(F.lit(0), F.floor((F.size("_steps") - 1) / BLOCK).cast("int")),
-        lambda b: F.struct(
-            _advance(F.slice("_steps", 1, b * BLOCK)).alias("base"),
-            F.slice("_steps", b * BLOCK + 1, BLOCK).alias("part"),
-        ),
+    # Text between matches: a literal pattern per rule, so each is compiled once per task.
+    arms = "\n".join(
+        f"WHEN {_text(rule.rule_id)} THEN split(_text, {_text(rule.java_pattern)}, -1)"
+        for rule, _ in rules
     )
-    per_block = steps.select(
-        *keys, "language", "line_number", "_window", "rule_id", F.explode_outer(blocks).alias("_b")
-    )
-    placed = F.transform(
-        "_b.part",
-        lambda step, i: F.struct(
-            (F.col("_b.base") + _advance(F.slice("_b.part", 1, i)) + step["gap"] + 1).alias("at"),
-            step["match"].alias("match"),
-        ),
-    )
-    return per_block.select(
-        *keys, "language", "line_number", "_window", "rule_id", F.explode_outer(placed).alias("_m")
-    ).select(
-        *keys, "language", F.col("line_number").cast("long").alias("line_number"), "_window",
-        "rule_id",
-        F.col("_m.at").cast("long").alias("column_number"),
-        (F.col("_m.at") + F.length("_m.match")).cast("long").alias("end_column_number"),
-        F.col("_m.match").alias("regex_match"),
+    steps = hits.select(
+        *place, "rule_id",
+        F.expr(f"""zip_with(slice(CASE rule_id {arms} END, 1, size(_found)), _found,
+            (gap, hit) -> struct(length(gap) AS gap, hit AS hit))""").alias("_steps"),
     )
-
-
-def _advance(steps: Column) -> Column:
-    return F.aggregate(
-        steps, F.lit(0), lambda total, step: total + step["gap"] + F.length(step["match"])
+    # Offsets add up what lies before a match: whole blocks first, then within the block.
+    advance = "aggregate({}, 0, (sum, s) -> sum + s.gap + length(s.hit))"
+    before = advance.format(f"slice(_steps, 1, b * {BLOCK})")
+    blocks = f"""explode_outer(transform(
+        sequence(0, CAST(floor((size(_steps) - 1) / {BLOCK}) AS int)),
+        b -> struct({before} AS base, slice(_steps, b * {BLOCK} + 1, {BLOCK}) AS part)))"""
+    inside = advance.format("slice(_b.part, 1, i)")
+    placed = f"""explode_outer(transform(_b.part,
+        (s, i) -> struct(_b.base + {inside} + s.gap + 1 AS at, s.hit AS hit)))"""
+    return (
+        steps.select(*place, "rule_id", F.expr(blocks).alias("_b"))
+        .select(*place, "rule_id", F.expr(placed).alias("_m"))
+        .select(
+            *keys, "language", F.col("line_number").cast("long").alias("line_number"), "_window",
+            "rule_id",
+            F.col("_m.at").cast("long").alias("column_number"),
+            (F.col("_m.at") + F.length("_m.hit")).cast("long").alias("end_column_number"),
+            F.col("_m.hit").alias("regex_match"),
+        )
     )
 
 

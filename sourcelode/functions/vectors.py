@@ -9,6 +9,11 @@ def _vector(value) -> Column:
     return as_column(value).cast("array<double>")
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once per row, also where lambdas use it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def _sum(array: Column) -> Column:
     return F.aggregate(array, F.lit(0.0), lambda total, x: total + x)
 
@@ -47,14 +52,14 @@ def _variance(vector) -> Column:
 def entropy(vector) -> Column:
     """Entropy of the magnitudes as shares, relative to its maximum; 0 for a zero vector."""
     sizes = _magnitudes(vector)
-    total = _sum(sizes)
+    shares = _let(_sum(sizes), lambda total: F.transform(sizes, lambda x: x / total))
     bits = F.aggregate(
-        sizes,
-        F.lit(0.0),
-        lambda acc, x: acc - x / total * F.log2(x / total + F.lit(1e-10)),
+        shares, F.lit(0.0), lambda acc, x: acc - x * F.log2(x + F.lit(1e-10))
     )
     most = F.log2(F.size(_vector(vector)).cast("double"))
-    return F.when((total == 0) | (most <= 0), 0.0).otherwise(bits / most)
+    return F.when((F.coalesce(F.array_max(sizes), F.lit(0.0)) == 0) | (most <= 0), 0.0).otherwise(
+        bits / most
+    )
 
 
 def semantic_complexity(vector) -> Column:
@@ -68,27 +73,32 @@ def semantic_complexity(vector) -> Column:
 def pattern_diversity(vector) -> Column:
     """One minus the mean cosine between all pairs of chunks (an eighth of the vector each).
 
-    Fewer than two chunks give .5; a shorter last chunk counts as unlike every other.
+    Fewer than two chunks give .5; a shorter last chunk and zero chunks count as unlike every
+    other. The pairwise cosines of unit chunks u add up to (|sum u|^2 - sum |u|^2) / 2.
     """
     values = _vector(vector)
     width = F.greatest(F.lit(1), F.floor(F.size(values) / 8).cast("int"))
-    chunks = F.transform(
-        F.sequence(F.lit(0), F.ceil(F.size(values) / width).cast("int") - 1),
-        lambda i: F.slice(values, i * width + 1, width),
-    )
-    count = F.size(chunks)
-    total = F.aggregate(
-        F.sequence(F.lit(1), count),
-        F.lit(0.0),
-        lambda acc, i: acc
-        + F.aggregate(
-            F.slice(chunks, i + 1, count),
-            F.lit(0.0),
-            lambda inner, other: inner + cosine(F.element_at(chunks, i), other),
-        ),
+    count = F.ceil(F.size(values) / width).cast("int")
+    full = F.floor(F.size(values) / width).cast("int")
+
+    def unit(chunk: Column) -> Column:
+        length = _sum(F.transform(chunk, lambda x: x * x))
+        return _let(
+            F.sqrt(length),
+            lambda size: F.transform(chunk, lambda x: F.when(size > 0, x / size).otherwise(0.0)),
+        )
+
+    def total(units: Column) -> Column:
+        zero = F.transform(F.get(units, 0), lambda _: F.lit(0.0))
+        added = F.aggregate(units, zero, lambda acc, u: F.zip_with(acc, u, lambda x, y: x + y))
+        own = F.size(F.filter(units, lambda u: F.exists(u, lambda x: x != 0)))
+        return (_sum(F.transform(added, lambda x: x * x)) - own) / 2
+
+    units = F.transform(
+        F.sequence(F.lit(0), full - 1), lambda i: unit(F.slice(values, i * width + 1, width))
     )
     pairs = count * (count - 1) / 2
-    return F.when(count < 2, 0.5).otherwise(_clamp(1 - total / pairs))
+    return F.when(count < 2, 0.5).otherwise(_clamp(1 - _let(units, total) / pairs))
 
 
 def security_signal(vector) -> Column:

@@ -2,6 +2,8 @@
 
 import math
 
+from pyspark.ml.feature import HashingTF, Normalizer
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from sourcelode.functions import text as txt
@@ -24,7 +26,8 @@ def find_similar(
     ``target`` is a one-row, one-column frame; it enters the plan as a scalar subquery, so the
     scan of ``vectors`` needs neither join nor shuffle, and the limit keeps ``top`` rows per task.
     """
-    scored = vectors.select(row_id, cosine(vec, target.scalar()).alias("similarity"))
+    aimed = vectors.select(row_id, vec, target.scalar().alias("_target"))
+    scored = aimed.select(row_id, cosine(vec, "_target").alias("similarity"))
     return (
         scored.where(F.col("similarity") >= threshold)
         .orderBy(F.desc("similarity"), row_id)
@@ -41,9 +44,10 @@ def similar_findings(
     Equal snippets are one result, shown as the finding with the smallest id.
     """
     target = findings.where(F.col(row_id) == target_id).select(vec)
-    others = findings.where(F.col(row_id) != target_id)
-    scored = others.select(row_id, txt.code_hash(code).alias("code_hash"),
-                           cosine(vec, target.scalar()).alias("similarity_score"))
+    others = findings.where(F.col(row_id) != target_id).select(
+        row_id, txt.code_hash(code).alias("code_hash"), vec, target.scalar().alias("_target")
+    )
+    scored = others.select(row_id, "code_hash", cosine(vec, "_target").alias("similarity_score"))
     return (
         scored.where(F.col("similarity_score") >= threshold)
         .groupBy("code_hash")
@@ -137,22 +141,14 @@ def similar_all(
     )
 
 
-def hashed_embedding(code="code", dimensions: int = 64):
-    """Built-in embedding: word counts hashed into ``dimensions`` signed buckets, unit length."""
-    words = F.filter(
-        F.split(F.lower(txt.as_column(code)), r"[^\p{L}\p{N}_]+"), lambda word: word != ""
-    )
-    hashes = F.transform(words, lambda word: F.xxhash64(word))
-    sums = F.transform(
-        F.sequence(F.lit(0), F.lit(dimensions - 1)),
-        lambda slot: F.aggregate(
-            F.filter(hashes, lambda h: F.pmod(h, F.lit(dimensions)) == slot),
-            F.lit(0.0),
-            lambda total, h: total + F.when(F.pmod(F.shiftright(h, 32), F.lit(2)) == 0, 1.0).otherwise(-1.0),
-        ),
+def hashed_embedding(texts: DataFrame, code: str = "code", dimensions: int = 64) -> DataFrame:
+    """Add ``embedding``: word counts hashed into ``dimensions`` buckets, scaled to length 1."""
+    words = F.filter(F.split(F.lower(code), r"[^\p{L}\p{N}_]+"), lambda word: word != "")
+    counted = HashingTF(numFeatures=dimensions, inputCol="_words", outputCol="_counts").transform(
+        texts.withColumn("_words", words)
     )
-    length = F.sqrt(F.aggregate(sums, F.lit(0.0), lambda total, x: total + x * x))
-    return F.transform(sums, lambda x: F.when(length > 0, x / length).otherwise(0.0))
+    scaled = Normalizer(p=2.0, inputCol="_counts", outputCol="_unit").transform(counted)
+    return scaled.withColumn("embedding", vector_to_array("_unit")).drop("_words", "_counts", "_unit")
 
 
 def embed_corpus(
@@ -173,7 +169,7 @@ def embed_corpus(
     )
     facts = [F.lit(model_name).alias("model_name"), F.lit(model_version).alias("model_version")]
     if model is None:
-        return kept.select("code_hash", hashed_embedding("code", dimensions).alias("embedding"), *facts)
+        return hashed_embedding(kept, "code", dimensions).select("code_hash", "embedding", *facts)
     size = batch_rows
 
     def embed(batches):

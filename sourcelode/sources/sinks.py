@@ -40,13 +40,25 @@ def _shaped(df: DataFrame, schema) -> DataFrame:
 
 
 class HistoryStore:
-    """``scan_records`` and ``vulnerability_records`` below one folder, partitioned by scan date."""
+    """``scan_records`` and ``vulnerability_records`` below one folder, partitioned by period.
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    ``period`` is ``month`` or ``day``; a load of many old scans should not use ``day``.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, period: str = "month"):
+        self.spark, self.path, self.period = spark, path.rstrip("/"), period
+
+    def _append(self, table: DataFrame, name: str, stamp: str, sort=()):
+        """Adaptive execution evens out the files: a busy period is split, quiet ones share tasks."""
+        dated = table.withColumn(
+            "scan_period", F.date_trunc(self.period, stamp).cast("date")
+        ).hint("rebalance", "scan_period")
+        dated.sortWithinPartitions("scan_period", *sort).write.mode("append").partitionBy(
+            "scan_period"
+        ).parquet(f"{self.path}/{name}")
 
     def _read(self, name: str, schema) -> DataFrame:
-        return self.spark.read.schema(schema.add("scan_date", "date")).parquet(f"{self.path}/{name}")
+        return self.spark.read.schema(schema.add("scan_period", "date")).parquet(f"{self.path}/{name}")
 
     def scans(self) -> DataFrame:
         return self._read("scan_records", type(SCAN_RECORDS)(list(SCAN_RECORDS)))
@@ -77,8 +89,7 @@ class HistoryStore:
             complete = complete.withColumn("id", F.sha2(F.col("scan_id").cast("string"), 256))
         if "target_type" not in complete.columns:
             complete = complete.withColumn("target_type", F.lit("directory"))
-        dated = _shaped(complete, SCAN_RECORDS).withColumn("scan_date", F.to_date("scan_timestamp"))
-        dated.write.mode("append").partitionBy("scan_date").parquet(f"{self.path}/scan_records")
+        self._append(_shaped(complete, SCAN_RECORDS), "scan_records", "scan_timestamp")
         if persist_vulnerabilities:
             rows = findings.join(
                 scans.select("scan_id", F.col("scan_timestamp").alias("_at")), "scan_id"
@@ -93,10 +104,7 @@ class HistoryStore:
             ):
                 if name not in rows.columns:
                     rows = rows.withColumn(name, value)
-            dated = _shaped(rows, VULNERABILITY_RECORDS).withColumn(
-                "scan_date", F.to_date("created_at")
+            self._append(
+                _shaped(rows, VULNERABILITY_RECORDS), "vulnerability_records", "created_at",
+                ("severity",),
             )
-            dated.sortWithinPartitions("scan_date", "severity").write.mode("append").partitionBy(
-                "scan_date"
-            ).parquet(f"{self.path}/vulnerability_records")
-

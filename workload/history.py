@@ -100,7 +100,7 @@ def _(t):
     BOTH,
 )
 def _(t):
-    store = HistoryStore(t.spark, scratch_path(t.spark, "history"))
+    store = HistoryStore(t.spark, scratch_path(t.spark, "history"), "year")
     findings = t(VULNS).withColumnRenamed("finding_id", "id").withColumn("ai_explanation", F.lit(None).cast("string"))
     store.save(t(SCANS), findings.withColumn("false_positive_likelihood", F.lit(None).cast("double")))
     stored = store.findings().groupBy("scan_id").agg(F.count(F.lit(1)).alias("stored_findings"))
@@ -356,24 +356,24 @@ def _(t):
 # --- rows ------------------------------------------------------------------------------------
 
 
-@query("lookup", "SELECT finding_id, scan_id, severity FROM vulnerability_records WHERE finding_id = 11", [VULNS])
+@query("lookup", "SELECT finding_id, scan_id, severity FROM vulnerability_records WHERE finding_id = 43791", [VULNS])
 def _(t):
-    return his.lookup_rows(t(VULNS), "finding_id", 11).select("finding_id", "scan_id", "severity")
+    return his.lookup_rows(t(VULNS), "finding_id", 43791).select("finding_id", "scan_id", "severity")
 
 
 @query(
     "filter_findings",
-    "SELECT finding_id, file_path FROM vulnerability_records WHERE scan_id = 7 AND severity = 'HIGH' AND status = 'open'",
+    "SELECT finding_id, file_path FROM vulnerability_records WHERE scan_id = 4379 AND severity = 'HIGH' AND status = 'open'",
     [VULNS],
 )
 def _(t):
-    return his.filter_findings(t(VULNS), 7, "HIGH", "open").select("finding_id", "file_path")
+    return his.filter_findings(t(VULNS), 4379, "HIGH", "open").select("finding_id", "file_path")
 
 
 # Two updates for a third of the findings, one for another third; some commits are missing.
 _UPDATES = """updates AS (SELECT l_orderkey * 10 + l_linenumber AS finding_id, CASE l_partkey % 4 WHEN 0 THEN 'fixed' WHEN 1 THEN 'ignored' WHEN 2 THEN 'open' ELSE 'false_positive' END AS status,
- l_shipdate + INTERVAL 1 DAY AS updated_at, 1 AS seq, CASE WHEN l_partkey % 3 = 0 THEN concat('c', CAST(l_partkey AS varchar)) END AS fixed_in_commit FROM lineitem WHERE l_suppkey % 3 < 2
- UNION ALL SELECT l_orderkey * 10 + l_linenumber, CASE WHEN l_partkey % 2 = 0 THEN 'fixed' ELSE 'open' END, l_shipdate + INTERVAL 1 DAY, 2, NULL FROM lineitem WHERE l_suppkey % 3 = 0)"""
+ l_shipdate + INTERVAL 1 DAY AS updated_at, l_partkey * 2 AS seq, CASE WHEN l_partkey % 3 = 0 THEN concat('c', CAST(l_partkey AS varchar)) END AS fixed_in_commit FROM lineitem WHERE l_suppkey % 3 < 2
+ UNION ALL SELECT l_orderkey * 10 + l_linenumber, CASE WHEN l_partkey % 2 = 0 THEN 'fixed' ELSE 'open' END, l_shipdate + INTERVAL 1 DAY, l_partkey * 2 + 1, NULL FROM lineitem WHERE l_suppkey % 3 = 0)"""
 
 
 def status_updates(t):
@@ -391,7 +391,7 @@ def tracked_findings(t):
 
 
 STATUS_SQL = """SELECT v.finding_id, coalesce(u.status, v.status) AS status, strftime(u.fixed_at, '%Y-%m-%d') AS fixed_at, u.fixed_in_commit FROM vulnerability_records v LEFT JOIN
- (SELECT finding_id, arg_max(status, seq) AS status, max(updated_at) FILTER (WHERE status = 'fixed') AS fixed_at, arg_max(fixed_in_commit, seq) FILTER (WHERE fixed_in_commit IS NOT NULL) AS fixed_in_commit
+ (SELECT finding_id, arg_max(status, epoch(updated_at) * 1000000 + seq) AS status, max(updated_at) FILTER (WHERE status = 'fixed') AS fixed_at, arg_max(fixed_in_commit, epoch(updated_at) * 1000000 + seq) FILTER (WHERE fixed_in_commit IS NOT NULL) AS fixed_in_commit
   FROM updates GROUP BY finding_id) u ON v.finding_id = u.finding_id"""
 UPDATES_CTE = _UPDATES
 

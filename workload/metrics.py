@@ -247,8 +247,8 @@ def target(t):
     ctes=VECS,
 )
 def _(t):
-    score = v.cosine("embedding", target(t).scalar())
-    return t("embeddings").select("vec_id", F.round(score, 6).alias("similarity"))
+    aimed = t("embeddings").withColumn("target", target(t).scalar())
+    return aimed.select("vec_id", F.round(v.cosine("embedding", "target"), 6).alias("similarity"))
 
 
 @query(

@@ -106,14 +106,14 @@ _METRICS = """metrics AS (SELECT scan_id, provider, model, count(*) AS total_req
 
 @query(
     "save_usage",
-    """SELECT * EXCLUDE (estimated_cost), round(estimated_cost, 6) AS estimated_cost FROM metrics
+    """SELECT * EXCLUDE (estimated_cost), round(estimated_cost, 10) AS estimated_cost FROM metrics
  WHERE scan_id IN (SELECT scan_id FROM scan_records)""",
     ["llm_usage", "scan_records"],
     f"{PRICED},\n{_METRICS}",
 )
 def _(t):
     return use.save_usage(t("llm_usage"), t("scan_records")).withColumn(
-        "estimated_cost", F.round("estimated_cost", 6)
+        "estimated_cost", F.round("estimated_cost", 10)
     )
 
 
@@ -131,7 +131,7 @@ def _(t):
 
 @query(
     "usage_metrics_rollup",
-    """SELECT m.scan_id, round(c, 6) AS estimated_cost, r AS total_requests, coalesce(n, 0) AS vulnerabilities, round(CASE WHEN n > 0 THEN c / n END, 6) AS cost_per_vulnerability FROM
+    """SELECT m.scan_id, round(c, 13) AS estimated_cost, r AS total_requests, coalesce(n, 0) AS vulnerabilities, round(CASE WHEN n > 0 THEN c / n END, 13) AS cost_per_vulnerability FROM
  (SELECT scan_id, sum(estimated_cost) AS c, CAST(sum(total_requests) AS BIGINT) AS r FROM metrics GROUP BY scan_id) m
  LEFT JOIN (SELECT scan_id, count(*) AS n FROM vulnerability_records GROUP BY scan_id) v ON m.scan_id = v.scan_id""",
     ["llm_usage", "vulnerability_records"],
@@ -140,7 +140,7 @@ def _(t):
 def _(t):
     rolled = use.cost_per_finding(use.usage_metrics(t("llm_usage")), t("vulnerability_records"))
     return rolled.withColumns(
-        {c: F.round(c, 6) for c in ("estimated_cost", "cost_per_vulnerability")}
+        {c: F.round(c, 13) for c in ("estimated_cost", "cost_per_vulnerability")}
     )
 
 

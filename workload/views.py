@@ -84,6 +84,7 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         return _src_files(spark, sf_dir)
     sql, inputs = VIEWS[name]
     frames = {source: load(spark, sf_dir, source) for source in inputs}
+    sql = sql.replace("{", "{{").replace("}", "}}") if inputs else sql
     for source in inputs:
         sql = sql.replace(f"FROM {source}", f"FROM {{{source}}}")
     return spark.sql(sql, **frames) if frames else spark.sql(sql)

@@ -71,6 +71,11 @@ def _src_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, cores = load(spark, sf_dir, "documents"), spark.sparkContext.defaultParallelism
     if len(documents.inputFiles()) < cores:
         documents = documents.repartition(cores, "doc_id")
+    return src_files_of(spark, sf_dir, documents)
+
+
+def src_files_of(spark: SparkSession, sf_dir: str, documents: DataFrame) -> DataFrame:
+    """The source file view over given documents, a table or a stream."""
     sql = SRC_FILES.replace("FROM documents", "FROM {documents}")
     sql = sql.replace("JOIN snippets", "JOIN {snippets}")
     return spark.sql(sql, documents=documents, snippets=load(spark, sf_dir, "snippets"))

@@ -7,6 +7,8 @@ from sourcelode.functions.lookups import REDACTION_MARK, REDACTION_PATTERNS
 # White space as Python's str.strip sees it: the Unicode property plus four control characters.
 SPACE = r"\s\x1c-\x1f"
 NONBLANK = rf"(?U)[^{SPACE}]"
+# Letters that fold to plain s, k or i when case is ignored; lower() does not fold them all.
+FOLDING_LETTERS = ("ſ", "K", "İ", "ı")
 
 
 def as_column(value) -> Column:
@@ -53,14 +55,37 @@ def truncate(text, limit: int) -> Column:
     ).otherwise(column)
 
 
-def redact(text) -> Column:
-    """Mask e-mail addresses, IP addresses and key-like strings, one pattern after another."""
-    result = as_column(text)
-    for pattern in REDACTION_PATTERNS:
-        result = F.regexp_replace(result, "(?iu)" + pattern, REDACTION_MARK)
+def folds(text) -> Column:
+    """Whether the text holds a letter that turns into a plain s, k or i when case is ignored."""
+    column = as_column(text)
+    result = F.lit(False)
+    for letter in FOLDING_LETTERS:
+        result = result | column.contains(letter)
     return result
 
 
+def redact(text) -> Column:
+    """Mask e-mail addresses, IP addresses and key-like strings, one pattern after another.
+
+    The patterns spell out both cases of every letter class; folding case on top changes a result
+    only for texts with a folding letter, and only those pay for it.
+    """
+    column = as_column(text)
+    mail, *rest = REDACTION_PATTERNS
+
+    def masked(flags: str) -> Column:
+        # An address needs an @, which most texts do not have.
+        result = F.when(
+            column.contains("@"), F.regexp_replace(column, flags + mail, REDACTION_MARK)
+        ).otherwise(column)
+        for pattern in rest:
+            plain = flags if "sk-" not in pattern and "ghp_" not in pattern else "(?iuU)"
+            result = F.regexp_replace(result, plain + pattern, REDACTION_MARK)
+        return result
+
+    return F.when(folds(column), masked("(?iuU)")).otherwise(masked("(?U)"))
+
+
 def context_window(all_lines, line_number, radius: int) -> Column:
     """The lines within ``radius`` of a 1-based line number."""
     first = F.greatest(line_number - radius, F.lit(1))

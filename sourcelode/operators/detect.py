@@ -8,8 +8,6 @@ from sourcelode.functions.rules import BUILTIN_FAMILIES, Rule, active_rules, rul
 from sourcelode.options import ScanOptions
 
 SNIPPET_RADIUS = 3
-# Letters that fold to plain s, k or i when case is ignored; lower() does not fold them all.
-FOLDING_LETTERS = ("ſ", "K", "İ", "ı")
 # Offsets of many matches on one line are summed block by block.
 BLOCK = 1024
 
@@ -47,7 +45,7 @@ def _may_match(rule: Rule, lowered: str) -> str:
 
 
 def _folds(text: str) -> str:
-    return _one_of(f"contains({text}, {_text(letter)})" for letter in FOLDING_LETTERS)
+    return _one_of(f"contains({text}, {_text(letter)})" for letter in txt.FOLDING_LETTERS)
 
 
 def _worth_matching(rules, language: str, text: str, lowered: str) -> str:

@@ -5,6 +5,8 @@ from pyspark.sql import DataFrame, functions as F
 # A list, document or text section holds at most about this many findings.
 MAX_PER_PART = 10_000
 SALTS = 64
+# So many group keys (with their part counts) may be sent to every executor.
+MAX_BROADCAST_KEYS = 10_000
 
 
 def salted_left_join(big: DataFrame, small: DataFrame, keys, spread_by: str, salts: int = SALTS):
@@ -29,9 +31,19 @@ def part_counts(rows: DataFrame, keys, max_per_part: int = MAX_PER_PART) -> Data
 
 def with_part(rows: DataFrame, keys, row_id: str, max_per_part: int = MAX_PER_PART) -> DataFrame:
     """Number the parts a group has to be split into: 0 for ordinary groups, a hash of the row id
-    for groups over ``max_per_part``. Only the oversized groups enter the join."""
+    for groups over ``max_per_part``.
+
+    One aggregation over the keys tells how many oversized groups there are. None: nothing is
+    joined. Few (the usual case of hot keys): their keys are broadcast. Many: a salted join.
+    """
     oversized = part_counts(rows, keys, max_per_part).where("_parts > 1").drop("_rows")
-    joined = salted_left_join(rows, oversized, keys, row_id)
+    found = oversized.limit(MAX_BROADCAST_KEYS + 1).count()
+    if found == 0:
+        return rows.withColumn("part", F.lit(0).cast("long"))
+    if found <= MAX_BROADCAST_KEYS:
+        joined = rows.join(F.broadcast(oversized), list(keys), "left")
+    else:
+        joined = salted_left_join(rows, oversized, keys, row_id)
     return joined.withColumn(
         "part",
         F.coalesce(F.pmod(F.xxhash64(row_id), F.col("_parts")), F.lit(0)).cast("long"),

@@ -1,5 +1,7 @@
 """Report shapes: SARIF, scan JSON, check texts, severity table."""
 
+import json
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sourcelode import __version__
@@ -32,51 +34,58 @@ def line_fingerprint(path="file_path", line="line_number", kind="vulnerability_t
     return F.substring(F.md5(F.concat_ws(":", *parts).cast("binary")), 1, 8)
 
 
-def _or_start(end: str, start: str) -> Column:
+def _or_start(end: Column, start: Column) -> Column:
     """An absent (or zero) end falls back to the start."""
-    return F.when(F.coalesce(end, F.lit(0)) != 0, F.col(end)).otherwise(F.col(start))
+    return F.when(F.coalesce(end, F.lit(0)) != 0, end).otherwise(start)
 
 
-def _given(text: str) -> Column:
+def _given(text) -> Column:
     """NULL for an empty text, so the JSON writer leaves the field out."""
-    return F.when(F.col(text) != "", F.col(text))
+    column = as_column(text)
+    return F.when(column != "", column)
+
 
+def sarif_result(row=None, related=None) -> Column:
+    """A finding as SARIF result struct; NULL fields vanish in ``to_json``.
 
-def sarif_result(related=None) -> Column:
-    """A finding as SARIF result struct; NULL fields vanish in ``to_json``."""
+    The finding is the current row, or the struct ``row``.
+    """
+    get = F.col if row is None else row.getField
     region = F.struct(
-        F.col("line_number").alias("startLine"),
-        F.col("column_number").alias("startColumn"),
-        _or_start("end_line_number", "line_number").alias("endLine"),
-        _or_start("end_column_number", "column_number").alias("endColumn"),
-        F.struct(txt.clean_snippet("code_snippet").alias("text")).alias("snippet"),
+        get("line_number").alias("startLine"),
+        get("column_number").alias("startColumn"),
+        _or_start(get("end_line_number"), get("line_number")).alias("endLine"),
+        _or_start(get("end_column_number"), get("column_number")).alias("endColumn"),
+        F.struct(txt.clean_snippet(get("code_snippet")).alias("text")).alias("snippet"),
     )
     location = F.struct(
         F.struct(
             F.struct(
-                F.col("file_path").alias("uri"), F.lit("%SRCROOT%").alias("uriBaseId")
+                get("file_path").alias("uri"), F.lit("%SRCROOT%").alias("uriBaseId")
             ).alias("artifactLocation"),
             region.alias("region"),
         ).alias("physicalLocation")
     )
     fixes = F.when(
-        _given("remediation").isNotNull(),
-        F.array(F.struct(F.struct(F.col("remediation").alias("text")).alias("description"))),
+        _given(get("remediation")).isNotNull(),
+        F.array(F.struct(F.struct(get("remediation").alias("text")).alias("description"))),
     )
+    kind = get("vulnerability_type")
+    fingerprint = line_fingerprint(get("file_path"), get("line_number"), kind)
     fields = [
-        F.col("vulnerability_type").alias("ruleId"),
-        rule_index().alias("ruleIndex"),
-        F.struct(F.col("description").alias("text")).alias("message"),
-        level().alias("level"),
+        kind.alias("ruleId"),
+        rule_index(kind).alias("ruleIndex"),
+        F.struct(get("description").alias("text")).alias("message"),
+        level(get("severity")).alias("level"),
         F.array(location).alias("locations"),
-        F.struct(line_fingerprint().alias("primaryLocationLineHash")).alias("partialFingerprints"),
+        F.struct(fingerprint.alias("primaryLocationLineHash")).alias("partialFingerprints"),
         F.struct(
-            F.col("confidence"),
-            F.col("id").alias("scanner_id"),
-            _given("cwe_id").alias("cwe"),
-            _given("owasp_category").alias("owasp_category"),
-            txt.redact(_given("ai_explanation")).alias("ai_analysis"),
-            F.col("false_positive_likelihood"),
+            get("confidence").alias("confidence"),
+            get("id").alias("scanner_id"),
+            _given(get("cwe_id")).alias("cwe"),
+            _given(get("owasp_category")).alias("owasp_category"),
+            txt.redact(_given(get("ai_explanation"))).alias("ai_analysis"),
+            get("false_positive_likelihood").alias("false_positive_likelihood"),
         ).alias("properties"),
         fixes.alias("fixes"),
     ]
@@ -107,7 +116,7 @@ def related_locations(similar) -> Column:
 
 def sarif_results(findings: DataFrame, keys=("scan_id",), related=None) -> DataFrame:
     """One JSON result per finding: the form to write for scans of any size."""
-    return findings.select(*keys, "id", F.to_json(sarif_result(related)).alias("result"))
+    return findings.select(*keys, "id", F.to_json(sarif_result(related=related)).alias("result"))
 
 
 def utc_text(stamp) -> Column:
@@ -132,28 +141,23 @@ def invocation() -> Column:
     )
 
 
-def tool() -> Column:
-    def rule(entry) -> Column:
-        return F.struct(
-            F.lit(entry["id"]).alias("id"),
-            F.lit(entry["name"]).alias("name"),
-            F.struct(F.lit(entry["short"]).alias("text")).alias("shortDescription"),
-            F.struct(F.lit(entry["full"]).alias("text")).alias("fullDescription"),
-            F.struct(F.lit(entry["level"]).alias("level")).alias("defaultConfiguration"),
-            F.struct(
-                F.array(*[F.lit(tag) for tag in entry["tags"]]).alias("tags"),
-                F.lit(entry["precision"]).alias("precision"),
-            ).alias("properties"),
-        )
-
-    return F.struct(
-        F.struct(
-            F.lit(TOOL_NAME).alias("name"),
-            F.lit(__version__).alias("version"),
-            F.lit(__version__).alias("semanticVersion"),
-            F.array(*[rule(entry) for entry in REPORT_RULES]).alias("rules"),
-        ).alias("driver")
-    )
+def tool_json() -> str:
+    """The tool object with its rules: the same text in every document."""
+    rules = [
+        {
+            "id": entry["id"],
+            "name": entry["name"],
+            "shortDescription": {"text": entry["short"]},
+            "fullDescription": {"text": entry["full"]},
+            "defaultConfiguration": {"level": entry["level"]},
+            "properties": {"tags": entry["tags"], "precision": entry["precision"]},
+        }
+        for entry in REPORT_RULES
+    ]
+    driver = {
+        "name": TOOL_NAME, "version": __version__, "semanticVersion": __version__, "rules": rules,
+    }
+    return json.dumps({"driver": driver}, separators=(",", ":"))
 
 
 def provenance() -> Column:
@@ -174,17 +178,33 @@ def provenance() -> Column:
 _ORDER = ("file_path", "line_number", "column_number", "vulnerability_type", "id")
 
 
-def _grouped_json(findings: DataFrame, body: Column, max_per_part: int) -> DataFrame:
-    """Finding JSON texts of each scan part in finding order, with the part's files."""
+_REST = (
+    "title", "description", "severity", "confidence", "end_line_number", "end_column_number",
+    "code_snippet", "cwe_id", "owasp_category", "remediation", "references", "ai_explanation",
+    "false_positive_likelihood",
+)
+
+
+def _grouped(findings: DataFrame, max_per_part: int) -> DataFrame:
+    """Findings of each scan part in finding order, with the part's files.
+
+    Plain fields travel through the shuffle; the much longer JSON is made after it.
+    """
     parted = with_part(findings, ["scan_id"], "id", max_per_part)
-    item = F.struct(*[F.col(name).alias(f"o{at}") for at, name in enumerate(_ORDER)],
-                    F.to_json(body).alias("json"))
+    # Maps have no order; as a list of entries the metadata can be in a sorted struct.
+    item = F.struct(*_ORDER, *_REST, F.map_entries("metadata").alias("metadata"))
     return parted.groupBy("scan_id", "part").agg(
-        F.transform(F.sort_array(F.collect_list(item)), lambda x: x["json"]).alias("_items"),
+        F.sort_array(F.collect_list(item)).alias("_items"),
         F.sort_array(F.collect_set("file_path")).alias("_files"),
     )
 
 
+def _json_list(build) -> Column:
+    """The collected findings as comma-separated JSON texts."""
+    texts = F.transform("_items", lambda row: F.to_json(build(row)))
+    return F.array_join(F.coalesce(texts, F.array().cast("array<string>")), ",")
+
+
 def _scan_parts(scans: DataFrame, findings: DataFrame, max_per_part: int) -> DataFrame:
     """Each scan once per part; scans without findings have one."""
     counts = part_counts(findings, ["scan_id"], max_per_part)
@@ -200,7 +220,7 @@ def sarif_documents(scans: DataFrame, findings: DataFrame, max_per_part: int = M
 
     Every finding is in exactly one document, and no document needs more than a part in memory.
     """
-    grouped = _grouped_json(findings, sarif_result(), max_per_part)
+    grouped = _grouped(findings, max_per_part)
     parts = _scan_parts(scans, findings, max_per_part).join(grouped, ["scan_id", "part"], "left")
     files = F.coalesce("_files", F.array().cast("array<string>"))
     artifacts = F.transform(
@@ -213,16 +233,15 @@ def sarif_documents(scans: DataFrame, findings: DataFrame, max_per_part: int = M
     )
     head = F.to_json(
         F.struct(
-            tool().alias("tool"),
             F.array(invocation()).alias("invocations"),
             artifacts.alias("artifacts"),
             F.lit("unicodeCodePoints").alias("columnKind"),
             provenance().alias("versionControlProvenance"),
         )
     )
-    items = F.array_join(F.coalesce("_items", F.array().cast("array<string>")), ",")
     run = F.concat(
-        F.substring(head, F.lit(1), F.length(head) - 1), F.lit(',"results":['), items, F.lit("]}")
+        F.lit(f'{{"tool":{tool_json()},'), F.substring(head, F.lit(2), F.length(head) - 2),
+        F.lit(',"results":['), _json_list(sarif_result), F.lit("]}"),
     )
     return parts.select(
         "scan_id", "part",
@@ -233,28 +252,27 @@ def sarif_documents(scans: DataFrame, findings: DataFrame, max_per_part: int = M
     )
 
 
-def finding_json() -> Column:
+def finding_json(row) -> Column:
+    """A collected finding as nested JSON fields."""
+    place = ("file_path", "line_number", "column_number", "end_line_number", "end_column_number")
+    plain = [row[name].alias(name) for name in ("id", "vulnerability_type", *_REST) if name not in place]
     return F.struct(
-        "id", "vulnerability_type", "title", "description", "severity", "confidence",
-        F.struct(
-            "file_path", "line_number", "column_number", "end_line_number", "end_column_number"
-        ).alias("location"),
-        "code_snippet", "cwe_id", "owasp_category", "remediation", "references", "metadata",
-        "ai_explanation", "false_positive_likelihood",
+        *plain,
+        F.struct(*[row[name].alias(name) for name in place]).alias("location"),
+        F.map_from_entries(row["metadata"]).alias("metadata"),
     )
 
 
 def scan_documents(scans: DataFrame, findings: DataFrame, max_per_part: int = MAX_PER_PART):
     """Scan results as JSON documents, split like :func:`sarif_documents`."""
-    grouped = _grouped_json(findings, finding_json(), max_per_part)
+    grouped = _grouped(findings, max_per_part)
     parts = _scan_parts(scans, findings, max_per_part).join(grouped, ["scan_id", "part"], "left")
     head = F.to_json(F.struct(*scans.columns), {"ignoreNullFields": "false"})
-    items = F.array_join(F.coalesce("_items", F.array().cast("array<string>")), ",")
     return parts.select(
         "scan_id", "part",
         F.concat(
-            F.substring(head, F.lit(1), F.length(head) - 1), F.lit(',"vulnerabilities":['), items,
-            F.lit("]}"),
+            F.substring(head, F.lit(1), F.length(head) - 1), F.lit(',"vulnerabilities":['),
+            _json_list(finding_json), F.lit("]}"),
         ).alias("document"),
     )
 

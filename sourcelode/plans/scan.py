@@ -60,31 +60,32 @@ def profile_code(files: DataFrame, embedding: str = "embedding", model: str = "h
 
     Files without an embedding keep their text metrics and get an ``error``.
     """
-    lined = m.with_lines(files)
-    measured = (
-        lined.withColumn("complexity_score", m.complexity())
-        .withColumn("security_risk_score", m.risk_score())
-        .withColumn("maintainability_score", m.maintainability())
-        .withColumn("code_quality_score", m.code_quality())
-        .withColumn("embedding_magnitude", v.norm(embedding))
-        .withColumn("embedding_entropy", v.entropy(embedding))
-        .withColumn("semantic_complexity", v.semantic_complexity(embedding))
-        .withColumn("pattern_diversity", v.pattern_diversity(embedding))
-        .withColumn("embedding_security_score", v.security_signal(embedding))
-        .withColumn("detected_patterns", m.detected_indicators())
-    )
-    for name, column in m.line_stats().items():
-        measured = measured.withColumn(name, column)
-    measured = (
-        measured.withColumn("indentation_levels", m.indentation_histogram())
-        .withColumn("function_count", m.function_count())
-        .withColumn("class_count", m.class_count())
-        .withColumn("import_count", m.import_count())
-        .withColumn("control_structures", m.control_counts())
-        .withColumn("pattern_count", F.size("detected_patterns").cast("long"))
-        .withColumn("risk_score", m.indicator_risk("detected_patterns"))
-        .withColumn("high_risk_patterns", m.high_risk("detected_patterns"))
-        .withColumn("medium_risk_patterns", m.medium_risk("detected_patterns"))
+    measured = m.with_lines(files).withColumns(
+        {
+            "complexity_score": m.complexity(),
+            "security_risk_score": m.risk_score(),
+            "maintainability_score": m.maintainability(),
+            "code_quality_score": m.code_quality(),
+            "embedding_magnitude": v.norm(embedding),
+            "embedding_entropy": v.entropy(embedding),
+            "semantic_complexity": v.semantic_complexity(embedding),
+            "pattern_diversity": v.pattern_diversity(embedding),
+            "embedding_security_score": v.security_signal(embedding),
+            "detected_patterns": m.detected_indicators(),
+            **m.line_stats(),
+            "indentation_levels": m.indentation_histogram(),
+            "function_count": m.function_count(),
+            "class_count": m.class_count(),
+            "import_count": m.import_count(),
+            "control_structures": m.control_counts(),
+        }
+    ).withColumns(
+        {
+            "pattern_count": F.size("detected_patterns").cast("long"),
+            "risk_score": m.indicator_risk("detected_patterns"),
+            "high_risk_patterns": m.high_risk("detected_patterns"),
+            "medium_risk_patterns": m.medium_risk("detected_patterns"),
+        }
     )
     overall = m.overall_risk(
         "complexity_score", "maintainability_score", "code_quality_score", "semantic_complexity",

@@ -238,7 +238,7 @@ def _redact_sql(column: str) -> str:
 
 @query("redact", f"SELECT doc_id, {_redact_sql('text')} AS redacted FROM documents")
 def _(t):
-    return t("documents").select("doc_id", txt.redact("text").alias("redacted"))
+    return t.wide("documents", "doc_id").select("doc_id", txt.redact("text").alias("redacted"))
 
 
 @query("redact_conversations", f"SELECT conv_id, turn, {_redact_sql('text')} AS redacted FROM conversations")

@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from workload.views import load, with_views
+from workload.views import load, spread, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -19,6 +19,10 @@ class Tables:
     def __call__(self, name: str) -> DataFrame:
         return load(self.spark, self.sf_dir, name)
 
+    def wide(self, name: str, key: str) -> DataFrame:
+        """A test table for work that outweighs reading: at least one task per core."""
+        return spread(self.spark, self(name), key)
+
 
 def query(name: str, sql: str | None = None, views=(), ctes: str = ""):
     """Register a function of :class:`Tables`. ``sql`` may use ``views`` and the extra ``ctes``."""

@@ -68,10 +68,12 @@ VIEWS = {
 def _src_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regex work costs far more than reading, so a table in fewer files than cores is spread
     before it; a table in many files is left where it is."""
-    documents, cores = load(spark, sf_dir, "documents"), spark.sparkContext.defaultParallelism
-    if len(documents.inputFiles()) < cores:
-        documents = documents.repartition(cores, "doc_id")
-    return src_files_of(spark, sf_dir, documents)
+    return src_files_of(spark, sf_dir, spread(spark, load(spark, sf_dir, "documents"), "doc_id"))
+
+
+def spread(spark: SparkSession, table: DataFrame, key: str) -> DataFrame:
+    cores = spark.sparkContext.defaultParallelism
+    return table.repartition(cores, key) if len(table.inputFiles()) < cores else table
 
 
 def src_files_of(spark: SparkSession, sf_dir: str, documents: DataFrame) -> DataFrame:

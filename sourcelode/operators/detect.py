@@ -6,6 +6,7 @@ from sourcelode.functions import text as txt
 from sourcelode.functions.paths import detect_language
 from sourcelode.functions.rules import BUILTIN_FAMILIES, Rule, active_rules, rule_catalog
 from sourcelode.options import ScanOptions
+from sourcelode.schemas import FINDINGS
 
 SNIPPET_RADIUS = 3
 # Offsets of many matches on one line are summed block by block.
@@ -283,10 +284,10 @@ def detect_custom(files: DataFrame, check, keys=("file_path",), languages=()) ->
     ``check(code, file_path, language)`` returns dicts with finding fields. An error in one file
     drops that file's custom findings only. The result unions with :func:`detect` by name.
     """
-    shape = build_findings(
-        _python_matches(files.where(F.lit(False)), [_NOTHING], list(keys), SNIPPET_RADIUS),
-        keys=keys,
-    ).schema
+    extra = [T.StructField(k, files.schema[k].dataType) for k in keys if k != "file_path"]
+    shape = T.StructType(
+        [*extra, *FINDINGS.fields, T.StructField("language", T.StringType())]
+    )
     names, key_names = shape.names, list(keys)
 
     def run(batches):

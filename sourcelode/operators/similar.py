@@ -37,25 +37,16 @@ def find_similar(
 
 def similar_findings(
     findings: DataFrame, target_id, threshold: float = THRESHOLD, top: int = TOP,
-    vec: str = "embedding", row_id: str = "id", code: str = "code_snippet",
+    vec: str = "embedding", row_id: str = "id",
 ) -> DataFrame:
     """Findings whose code resembles the target finding's, each with its ``similarity_score``.
 
-    Equal snippets are one result, shown as the finding with the smallest id.
+    Results are matched by finding id, so findings with equal code all keep their own row.
     """
     target = findings.where(F.col(row_id) == target_id).select(vec)
-    others = findings.where(F.col(row_id) != target_id).select(
-        row_id, txt.code_hash(code).alias("code_hash"), vec, target.scalar().alias("_target")
-    )
-    scored = others.select(row_id, "code_hash", cosine(vec, "_target").alias("similarity_score"))
-    return (
-        scored.where(F.col("similarity_score") >= threshold)
-        .groupBy("code_hash")
-        .agg(F.min(row_id).alias(row_id), F.max("similarity_score").alias("similarity_score"))
-        .orderBy(F.desc("similarity_score"), row_id)
-        .limit(top)
-        .drop("code_hash")
-    )
+    others = findings.where(F.col(row_id) != target_id)
+    near = find_similar(others, target, threshold, top, vec, row_id)
+    return near.withColumnRenamed("similarity", "similarity_score")
 
 
 def similar_all(
@@ -106,18 +97,22 @@ def similar_all(
             return rows[row_id].to_numpy(), unit
 
         def top_of(ids, unit, other_ids, other_unit, out):
-            for start in range(0, len(ids), 1024):
-                scores = unit[start : start + 1024] @ other_unit.T
-                row, column = np.nonzero(scores >= least)
-                value = scores[row, column]
-                same = ids[start + row] == other_ids[column]
-                row, column, value = row[~same], column[~same], value[~same]
-                # Stable order: row, best score first, then id (ids are sorted).
-                order = np.lexsort((column, -value, row))
-                row, column, value = row[order], column[order], value[order]
-                first = np.searchsorted(row, row, side="left")
-                keep = np.arange(len(row)) - first < limit
-                out.append((ids[start + row[keep]], other_ids[column[keep]], value[keep]))
+            for start in range(0, len(ids), 512):
+                mine = ids[start : start + 512]
+                # Rounded, so that equal vectors tie wherever they sit in a block.
+                scores = np.round(unit[start : start + 512] @ other_unit.T, 12)
+                scores[mine[:, None] == other_ids[None, :]] = -2.0
+                scores[scores < least] = -2.0
+                if limit < len(other_ids):
+                    # Everything above the limit-th best, then ties in id order.
+                    edge = -np.partition(-scores, limit - 1, axis=1)[:, limit - 1 : limit]
+                    above, tied = scores > edge, scores == edge
+                    room = limit - above.sum(axis=1, keepdims=True)
+                    chosen = above | (tied & (np.cumsum(tied, axis=1) <= room))
+                else:
+                    chosen = np.ones(scores.shape, dtype=bool)
+                row, column = np.nonzero(chosen & (scores > -2.0))
+                out.append((mine[row], other_ids[column], scores[row, column]))
 
         left_ids, left = side(i)
         right_ids, right = (left_ids, left) if i == j else side(j)
@@ -162,11 +157,13 @@ def embed_corpus(
     zero vectors. Without a model the built-in hashed word vector is used.
     """
     unique = dedupe_code(files, row_id)
-    # Semi-join on the unique row id: evenly spread, and copies never reach the model.
-    kept = files.join(unique.select(row_id), row_id, "left_semi").select(
-        txt.code_hash("content").alias("code_hash"),
+    # Semi-join on the unique row id: evenly spread, and copies never reach the model. Only the
+    # cleaned code goes through it.
+    cleaned = files.select(
+        row_id, txt.code_hash("content").alias("code_hash"),
         txt.preprocess_code("content", "language").alias("code"),
     )
+    kept = cleaned.join(unique.select(row_id), row_id, "left_semi").drop(row_id)
     facts = [F.lit(model_name).alias("model_name"), F.lit(model_version).alias("model_version")]
     if model is None:
         return hashed_embedding(kept, "code", dimensions).select("code_hash", "embedding", *facts)

@@ -24,7 +24,9 @@ def repo_metadata(scans: DataFrame, repos: DataFrame) -> DataFrame:
 
 def decode_blobs(blobs: DataFrame, max_bytes: int = MAX_BLOB_BYTES) -> DataFrame:
     """Base64 blobs -> text rows with safe paths; big, binary and unsafe entries are dropped."""
-    raw = blobs.withColumn("_bytes", F.unbase64("blob"))
+    # Hosts wrap base64 in lines; what is not base64 becomes NULL and is dropped.
+    packed = F.regexp_replace("blob", r"\s", "")
+    raw = blobs.withColumn("_bytes", F.try_to_binary(packed, F.lit("base64")))
     return (
         raw.where((F.length("_bytes") <= max_bytes) & F.is_valid_utf8(F.col("_bytes").cast("string")))
         .withColumn("file_path", sanitize_path("file_path"))

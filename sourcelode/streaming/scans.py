@@ -1,6 +1,6 @@
 """Detection on arriving files."""
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from sourcelode.functions import text as txt
 from sourcelode.functions.rules import BUILTIN_FAMILIES
@@ -19,7 +19,8 @@ def stream_scan(
 def stream_dedupe(files: DataFrame, time: str, delay: str, code: str = "content") -> DataFrame:
     """First occurrence of each code within ``delay``; state older than that is dropped.
 
-    Hashes are the only state, and equal code meets in one task only as hash and row.
+    The code itself is replaced by its hash first: copies of one code meet in one task, as small
+    rows, and the state holds hashes only.
     """
-    hashed = files.withColumn("code_hash", txt.code_hash(code))
+    hashed = files.withColumn("code_hash", txt.code_hash(code)).drop(code)
     return hashed.withWatermark(time, delay).dropDuplicatesWithinWatermark(["code_hash"])

@@ -265,16 +265,16 @@ def _(t):
 
 @query(
     "similar_findings",
-    f"""SELECT min(a.vec_id) AS vec_id, round(max({_COS}), 6) AS similarity_score FROM vecs a JOIN vecs b ON b.vec_id = {TARGET}
- JOIN documents d ON d.doc_id = a.vec_id WHERE a.vec_id <> {TARGET} AND {_COS} >= 0.1 GROUP BY d.text
- ORDER BY max({_COS}) DESC, 1 LIMIT 20""",
+    f"""SELECT a.vec_id, d.doc_id IS NOT NULL AS has_code, round({_COS}, 6) AS similarity_score FROM vecs a JOIN vecs b ON b.vec_id = {TARGET}
+ LEFT JOIN documents d ON d.doc_id = a.vec_id WHERE a.vec_id <> {TARGET} AND {_COS} >= 0.1 ORDER BY {_COS} DESC, a.vec_id LIMIT 20""",
     ctes=VECS,
 )
 def _(t):
-    code = t("documents").select(F.col("doc_id").alias("vec_id"), F.col("text").alias("code_snippet"))
-    rows = t("embeddings").join(code, "vec_id")
-    return sim.similar_findings(rows, TARGET, 0.1, row_id="vec_id").withColumn(
-        "similarity_score", F.round("similarity_score", 6)
+    near = sim.similar_findings(t("embeddings"), TARGET, 0.1, row_id="vec_id")
+    code = t("documents").select(F.col("doc_id").alias("vec_id"), F.lit(True).alias("has_code"))
+    return near.join(code, "vec_id", "left").select(
+        "vec_id", F.coalesce("has_code", F.lit(False)).alias("has_code"),
+        F.round("similarity_score", 6).alias("similarity_score"),
     )
 
 

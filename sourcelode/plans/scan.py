@@ -92,7 +92,7 @@ def profile_code(files: DataFrame, embedding: str = "embedding", model: str = "h
         "embedding_entropy", "risk_score", "embedding_security_score",
     )
     return (
-        measured.withColumn("overall_risk_score", overall)
+        measured.withColumn("overall_risk_score", F.when(F.col(embedding).isNotNull(), overall))
         .withColumn(
             "analysis_metadata",
             F.struct(

@@ -39,7 +39,7 @@ class Rule:
 
     @property
     def java_pattern(self) -> str:
-        return JAVA_FLAGS + self.pattern
+        return JAVA_FLAGS + _wide_space(self.pattern)
 
     @property
     def native(self) -> bool:
@@ -53,6 +53,22 @@ class Rule:
         return not self.languages or language in self.languages
 
 
+def _wide_space(pattern: str) -> str:
+    r"""``\s`` outside brackets also has to match U+001C to U+001F, as it does in Python."""
+    out, in_brackets, at = [], False, 0
+    while at < len(pattern):
+        token = pattern[at : at + 2] if pattern[at] == "\\" else pattern[at]
+        at += len(token)
+        if token == r"\s" and not in_brackets:
+            token = r"[\s\x1c-\x1f]"
+        elif token == "[":
+            in_brackets = True
+        elif token == "]" and in_brackets:
+            in_brackets = False
+        out.append(token)
+    return "".join(out)
+
+
 @dataclass(frozen=True)
 class Family:
     """Rules about one kind of weakness and the languages they are meant for."""

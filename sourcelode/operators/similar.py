@@ -28,11 +28,9 @@ def find_similar(
     """
     aimed = vectors.select(row_id, vec, target.scalar().alias("_target"))
     scored = aimed.select(row_id, cosine(vec, "_target").alias("similarity"))
-    return (
-        scored.where(F.col("similarity") >= threshold)
-        .orderBy(F.desc("similarity"), row_id)
-        .limit(top)
-    )
+    # Limit first: a filter below it would make Spark compute every similarity twice.
+    best = scored.orderBy(F.desc("similarity"), row_id).limit(top)
+    return best.where(F.col("similarity") >= threshold)
 
 
 def similar_findings(

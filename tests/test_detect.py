@@ -90,7 +90,7 @@ def test_same_as_python_on_random_lines(spark):
         "SELECT ", "drop table ", "%s\" % (a,)", "f\"", "f'", "{x}", "}", " + name", "`", "${id}",
         ".innerHTML =", "eval (", "eval(x)", ")", "render_template(", "| safe", "hashlib.md5 (",
         "SHA1(", "ſha1(", "Math.Random( )", "pwd='", "passwd: \"longenough1\"", "'", "apikey=\"",
-        "a" * 24, "redis://u:p@h/", "pickle.load(", "é", "😀", " ", "\t", "x", " ", "İ",
+        "a" * 24, "redis://u:p@h/", "pickle.load(", "é", "😀", " ", "\t", "x", " ", "İ", "\x1c", "\x1f", "\u2028", "\u00a0", "select\x1d",
         "Key", "api-Key = '" + "b" * 20 + "'", "password = '12345678'",
     ]
     rng = random.Random(7)

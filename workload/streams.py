@@ -43,7 +43,7 @@ def _(t):
 @query("stream_dedupe", "SELECT DISTINCT sha256(text) AS code_hash FROM documents")
 def _(t):
     """Documents arrive one per second; the delay spans all of them."""
-    arrivals = stream(t, "documents").select("text", F.timestamp_seconds("doc_id").alias("ts"))
+    arrivals = stream(t, "documents").select("text", F.timestamp_seconds(F.col("doc_id") + 1_700_000_000).alias("ts"))
     unique = sts.stream_dedupe(arrivals, "ts", "3650 days", "text").select("code_hash", "ts")
     return written(t, unique, "stream-dedupe").select("code_hash")
 

@@ -44,29 +44,41 @@ class Rule:
     @property
     def native(self) -> bool:
         """Whether Spark's own regex functions give the same matches as a Python scan."""
-        python_only = ("(?P", r"\Z", "(?(", r"\N{")
-        if any(mark in self.pattern for mark in python_only):
+        foreign = ("(?P", r"\Z", "(?(", r"\N{", "(?=", "(?!", "(?<")
+        if any(mark in self.pattern for mark in foreign):
             return False
-        return re.compile(self.pattern, re.IGNORECASE).search("") is None
+        if (r"\b", True) in _tokens(self.pattern):
+            return False
+        # Empty matches are cut differently. Without its assertions a pattern matches "" if and
+        # only if it can match an empty piece of some line.
+        bare = "".join(
+            token for token, inside in _tokens(self.pattern)
+            if inside or token not in ("^", "$", r"\b", r"\B")
+        )
+        return re.compile(bare, re.IGNORECASE).search("") is None
 
     def applies_to(self, language: str) -> bool:
         return not self.languages or language in self.languages
 
 
+def _tokens(pattern: str):
+    """Characters and escapes of a pattern, each with whether it stands in brackets."""
+    inside = False
+    for token in re.findall(r"\\.|.", pattern, re.DOTALL):
+        if token == "[" and not inside:
+            yield token, False
+            inside = True
+        else:
+            inside = inside and token != "]"
+            yield token, inside
+
+
 def _wide_space(pattern: str) -> str:
     r"""``\s`` outside brackets also has to match U+001C to U+001F, as it does in Python."""
-    out, in_brackets, at = [], False, 0
-    while at < len(pattern):
-        token = pattern[at : at + 2] if pattern[at] == "\\" else pattern[at]
-        at += len(token)
-        if token == r"\s" and not in_brackets:
-            token = r"[\s\x1c-\x1f]"
-        elif token == "[":
-            in_brackets = True
-        elif token == "]" and in_brackets:
-            in_brackets = False
-        out.append(token)
-    return "".join(out)
+    return "".join(
+        r"[\s\x1c-\x1f]" if token == r"\s" and not inside else token
+        for token, inside in _tokens(pattern)
+    )
 
 
 @dataclass(frozen=True)

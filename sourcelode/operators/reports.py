@@ -330,6 +330,8 @@ def _finding_lines() -> Column:
 def check_details(scans: DataFrame, findings: DataFrame, max_per_part: int = MAX_PER_PART):
     """Markdown sections: one header per scan (NULL file), then one section per file part.
 
+    The line formats are fixed values.
+
     Sections in the order scan, file (NULL first), part, joined by line breaks, are the report.
     """
     parted = with_part(findings, ["scan_id", "file_path"], "id", max_per_part)

@@ -185,3 +185,20 @@ def test_no_rule_can_fire(spark):
     source = det.with_language(files(spark, a_py="x = 1\n"))
     assert det.detect(source).count() == 0
     assert det.detect(source).where(F.lit(True)).columns[0] == "id"
+
+
+@pytest.mark.parametrize(
+    "pattern,native",
+    [
+        (r"\btodo\b", True), (r"^import\s+os$", True), (r"\b", False), (r"^\s*", False),
+        (r"x*", False), (r"[^)]+$", True), (r"a(?=b)", False), (r"(?P<n>a)", False), (r"[\b]x?", False),
+    ],
+)
+def test_which_rules_run_natively(spark, pattern, native):
+    rule = Rule("r", "t", pattern, "LOW", "HIGH")
+    assert rule.native is native
+    text = "import os\n todo, TODOs a)b) ab xx\n  import os"
+    source = spark.createDataFrame([("a.py", "python", text)], "file_path string, language string, content string")
+    family = Family("F", "", "LOW", None, (), (rule,))
+    found = places(det.match_rules(source, families=(family,)))
+    assert found == by_python({"a.py": ("python", text)}, families=(family,))

@@ -87,6 +87,34 @@ def candidate_lines(files: DataFrame, rules, keys, radius: int) -> DataFrame:
     )
 
 
+def match_count(rules) -> Column:
+    """Number of matches in ``_lines`` of a file in ``language``, without making rows of them."""
+    worth = _worth_matching(rules, "language", "r.text", "r.low")
+    per_rule = " + ".join(
+        f"""CASE WHEN {_speaks("language", langs)} AND ({_may_match(rule, "r.low")} OR {_folds("r.text")})
+            THEN size(regexp_extract_all(r.text, {_text(rule.java_pattern)}, 0)) ELSE 0 END"""
+        for rule, langs in rules
+    )
+    return F.expr(f"""aggregate(
+        filter(transform(_lines, line -> struct(line AS text, lower(line) AS low)), r -> {worth}),
+        0L, (n, r) -> n + {per_rule})""")
+
+
+def file_counts(
+    files: DataFrame, options: ScanOptions = ScanOptions(), families: tuple = BUILTIN_FAMILIES,
+    keys=("file_path",),
+) -> DataFrame:
+    """Lines and findings of every file, in one pass over the text."""
+    rules = active_rules(families, options.languages, options.confidence_threshold)
+    if not all(rule.native for rule, _ in rules):
+        raise ValueError("some rule needs a Python scan: count the rows of detect() instead")
+    split = files.select(*keys, "language", txt.lines("content").alias("_lines"))
+    found = match_count(rules) if rules else F.lit(0).cast("long")
+    return split.select(
+        *keys, "language", F.size("_lines").cast("long").alias("lines"), found.alias("findings")
+    )
+
+
 def _native_matches(files: DataFrame, rules, keys, radius: int) -> DataFrame:
     lines = candidate_lines(files, rules, keys, radius)
     found = ",\n".join(

@@ -12,6 +12,8 @@ from sourcelode.functions.rules import (
 )
 from sourcelode.operators import detect as det, summary as agg
 from sourcelode.options import ScanOptions
+from sourcelode.plans.scan import scan_tree
+from sourcelode.session import scratch_path
 from sourcelode.sources import files as src, repos
 from workload import sqlparts as sp
 from workload.registry import literal, query, sql_case
@@ -455,15 +457,19 @@ def _(t):
     ).agg(F.count(F.lit(1)).alias("findings"))
 
 
-@query(
-    "scan_summary",
-    """SELECT f.repo, f.files_scanned, f.lines_scanned, coalesce(v.n, 0) AS vulnerabilities_found FROM
+_TOTALS = """SELECT f.repo, f.files_scanned, f.lines_scanned, coalesce(v.n, 0) AS vulnerabilities_found FROM
  (SELECT repo, count(*) AS files_scanned, CAST(sum(len(string_split(content, chr(10)))) AS BIGINT) AS lines_scanned FROM files GROUP BY repo) f
- LEFT JOIN (SELECT repo, count(*) AS n FROM finds GROUP BY repo) v ON f.repo = v.repo""",
-    ["src_files"],
-    FINDS,
-)
+ LEFT JOIN (SELECT repo, count(*) AS n FROM finds GROUP BY repo) v ON f.repo = v.repo"""
+
+
+@query("scan_summary", _TOTALS, ["src_files"], FINDS)
 def _(t):
+    return agg.scan_totals(det.file_counts(scanned(t), keys=("repo",)))
+
+
+@query("scan_summary_of_findings", _TOTALS, ["src_files"], FINDS)
+def _(t):
+    """The same totals where findings are already a table of their own."""
     return agg.scan_summary(scanned(t), findings(t))
 
 
@@ -509,3 +515,67 @@ def _(t):
     return agg.dedupe_rate(agg.dedupe_code(t("documents"), "doc_id", "text")).withColumn(
         "hit_rate", F.round("hit_rate", 6)
     )
+
+
+# --- trees on disk ---------------------------------------------------------------------------
+
+
+def export_tree(t):
+    """Write every source file below a fresh shared folder, from the tasks that hold them."""
+    base = scratch_path(t.spark, "tree")
+
+    def write(batches):
+        import os
+
+        import pandas as pd
+
+        for batch in batches:
+            for path, content in zip(batch["file_path"], batch["content"]):
+                full = base + path
+                os.makedirs(os.path.dirname(full), exist_ok=True)
+                with open(full, "w", encoding="utf-8", newline="") as out:
+                    out.write(content)
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    files = t("src_files").select("file_path", "content")
+    files.mapInPandas(write, "n long").agg(F.sum("n")).write.format("noop").mode("overwrite").save()
+    roots = t("src_files").select(F.concat(F.lit(base + "/corpus/"), "repo").alias("root")).distinct()
+    return base, roots
+
+
+def _below(base: str):
+    return F.substring("file_path", len(base) + 1, 1000).alias("file_path")
+
+
+@query(
+    "list_files",
+    f"SELECT file_path, CAST(strlen(content) AS BIGINT) AS length FROM src_files WHERE NOT ({HIDDEN}) AND NOT ({DIR_EXCLUDED})",
+    ["src_files"],
+)
+def _(t):
+    base, roots = export_tree(t)
+    return src.list_files(t.spark, roots).select(_below(base), "length")
+
+
+@query(
+    "read_source",
+    f"SELECT file_path, sha256(regexp_replace(content, '\\r\\n?', chr(10), 'g')) AS code_hash FROM src_files WHERE NOT ({HIDDEN}) AND NOT ({DIR_EXCLUDED})",
+    ["src_files"],
+)
+def _(t):
+    base, roots = export_tree(t)
+    files = src.read_source(src.list_files(t.spark, roots))
+    return files.select(_below(base), txt.code_hash("content").alias("code_hash"))
+
+
+@query(
+    "scan_tree",
+    f"""SELECT file_path, vulnerability_type, line_number, column_number FROM finds
+ WHERE NOT ({EXCLUDED}) AND NOT ({HIDDEN}) AND NOT ({DIR_EXCLUDED}) AND ({INCLUDED})""",
+    ["src_files"],
+    FINDS,
+)
+def _(t):
+    base, roots = export_tree(t)
+    _, found = scan_tree(t.spark, roots)
+    return found.select(_below(base), "vulnerability_type", "line_number", "column_number")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from sourcelode.operators import history as his, summary as agg
 from sourcelode.session import scratch_path
 from sourcelode.sources.repos import repo_metadata
-from sourcelode.sources.sinks import HistoryStore
+from sourcelode.sources.sinks import HistoryStore, export_csv
 from workload.registry import query, sql_case
 from sourcelode.functions.lookups import FINDING_LANGUAGES, SEVERITY_RANK
 
@@ -432,3 +432,18 @@ def _(t):
             )
         )
     return parts[0].unionByName(parts[1])
+
+
+@query(
+    "export_csv",
+    f"""SELECT scan_id, target_path, {duck_stamp('scan_timestamp')}, scan_duration, files_scanned FROM scan_records""",
+    [SCANS],
+)
+def _(t):
+    """Written as CSV with a header, read back."""
+    path = scratch_path(t.spark, "csv")
+    table = t(SCANS).select(
+        "scan_id", "target_path", stamp("scan_timestamp"), "scan_duration", "files_scanned"
+    )
+    export_csv(table, path)
+    return t.spark.read.schema(table.schema).option("header", True).csv(path)

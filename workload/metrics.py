@@ -302,7 +302,16 @@ def _(t):
     return sim.similar_all(t("embeddings"), NEAR, top=3).select("target_id", "similar_id", "rank")
 
 
-@query("embed_corpus")
+@query(
+    "embed_corpus",
+    "SELECT DISTINCT sha256(content) AS code_hash, CAST(64 AS BIGINT) AS dimensions, 1.0::DOUBLE AS length FROM files",
+    ["src_files"],
+    sp.FILES,
+)
 def _(t):
+    """One unit vector per distinct code."""
     found = sim.embed_corpus(scanned(t).select("file_id", "content", "language"), "file_id")
-    return found.withColumn("embedding", F.array_join(F.transform("embedding", lambda x: F.round(x, 6)), ","))
+    return found.select(
+        "code_hash", F.size("embedding").cast("long").alias("dimensions"),
+        F.round(v.norm("embedding"), 6).alias("length"),
+    )

@@ -6,7 +6,7 @@ from sourcelode.functions import text as txt
 from sourcelode.functions.lookups import FAILED_VERDICT, REPORT_LEVELS, REPORT_RULE_TYPES
 from sourcelode.operators import reports as rep, summary as agg, verdicts as ver
 from workload import sqlparts as sp
-from workload.detection import FINDS, findings, scanned
+from workload.detection import _ID, FINDS, findings, scanned
 from workload.history import BOTH, SCANS, VULNS
 from workload.registry import literal, query, sql_case
 
@@ -131,7 +131,15 @@ def _(t):
     return agg.ai_coverage(merged(t), ("language",))
 
 
-@query("batch_infer")
+_BARE_PROMPT = _PROMPT.replace("'- repo: ' || repo", "'No additional context provided'")
+
+
+@query(
+    "batch_infer",
+    f"SELECT {_ID} AS id, CAST(length({_BARE_PROMPT}) AS varchar) AS analysis FROM finds",
+    ["src_files"],
+    FINDS,
+)
 def _(t):
     """A stand-in judge that answers from the prompt alone."""
 

@@ -3,7 +3,9 @@
 import re
 from dataclasses import dataclass, field, replace
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from sourcelode.functions.lookups import CONFIDENCE_SCORE, DEFAULT_CONFIDENCE_SCORE
 from sourcelode.schemas import RULES
@@ -326,4 +328,6 @@ def rule_catalog(spark: SparkSession, families: tuple = BUILTIN_FAMILIES) -> Dat
         for family in families
         for rule in family.rules
     ]
-    return spark.createDataFrame(rows, RULES)
+    # As an Arrow table the rows become a local relation of known size.
+    columns = dict(zip(RULES.names, map(list, zip(*rows)))) if rows else {n: [] for n in RULES.names}
+    return spark.createDataFrame(pa.table(columns, schema=to_arrow_schema(RULES)), RULES)

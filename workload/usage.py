@@ -119,19 +119,19 @@ def _(t):
 
 @query(
     "usage_by_model",
-    """SELECT provider, model, CAST(sum(total_requests) AS BIGINT) AS total_requests, round(sum(estimated_cost), 4) AS total_cost FROM metrics GROUP BY ALL""",
+    """SELECT provider, model, CAST(sum(total_requests) AS BIGINT) AS total_requests, round(sum(estimated_cost), 9) AS total_cost FROM metrics GROUP BY ALL""",
     USAGE,
     f"{PRICED},\n{_METRICS}",
 )
 def _(t):
     return use.usage_by_model(use.usage_metrics(t("llm_usage"))).withColumn(
-        "total_cost", F.round("total_cost", 4)
+        "total_cost", F.round("total_cost", 9)
     )
 
 
 @query(
     "usage_metrics_rollup",
-    """SELECT m.scan_id, round(c, 13) AS estimated_cost, r AS total_requests, coalesce(n, 0) AS vulnerabilities, round(CASE WHEN n > 0 THEN c / n END, 13) AS cost_per_vulnerability FROM
+    """SELECT m.scan_id, round(c, 11) AS estimated_cost, r AS total_requests, coalesce(n, 0) AS vulnerabilities, round(CASE WHEN n > 0 THEN c / n END, 11) AS cost_per_vulnerability FROM
  (SELECT scan_id, sum(estimated_cost) AS c, CAST(sum(total_requests) AS BIGINT) AS r FROM metrics GROUP BY scan_id) m
  LEFT JOIN (SELECT scan_id, count(*) AS n FROM vulnerability_records GROUP BY scan_id) v ON m.scan_id = v.scan_id""",
     ["llm_usage", "vulnerability_records"],
@@ -140,7 +140,7 @@ def _(t):
 def _(t):
     rolled = use.cost_per_finding(use.usage_metrics(t("llm_usage")), t("vulnerability_records"))
     return rolled.withColumns(
-        {c: F.round(c, 13) for c in ("estimated_cost", "cost_per_vulnerability")}
+        {c: F.round(c, 11) for c in ("estimated_cost", "cost_per_vulnerability")}
     )
 
 
@@ -158,12 +158,12 @@ def _(t):
 
 @query(
     "budget_alert",
-    """SELECT strftime(ts, '%Y-%m-%d') AS day, round(sum(total_cost), 4) AS cost_usd,
+    """SELECT strftime(ts, '%Y-%m-%d') AS day, round(sum(total_cost), 9) AS cost_usd,
  CASE WHEN sum(total_cost) >= 10 THEN 'exceeded' WHEN sum(total_cost) >= 8 THEN 'warning' ELSE 'ok' END AS state FROM costs GROUP BY 1""",
     USAGE,
     PRICED,
 )
 def _(t):
     return use.budget_alert(t("llm_usage")).select(
-        F.date_format("day", "yyyy-MM-dd").alias("day"), F.round("cost_usd", 4).alias("cost_usd"), "state"
+        F.date_format("day", "yyyy-MM-dd").alias("day"), F.round("cost_usd", 9).alias("cost_usd"), "state"
     )

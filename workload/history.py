@@ -209,8 +209,6 @@ def _(t):
 
 # --- listings --------------------------------------------------------------------------------
 
-_MORE = "greatest(total_vulnerabilities - 20, 0) AS more"
-
 
 @query(
     "show_scan",

@@ -45,7 +45,8 @@ _WORDS = " + ".join(f"CAST(contains(lower(l), {literal(w)}) AS INTEGER)" for w i
 COMPLEXITY = f"CASE WHEN len(nb) = 0 THEN 0.0::DOUBLE ELSE least(list_sum(list_transform(nb, lambda l: {_WORDS})) / len(nb), 1.0::DOUBLE) END"
 RISK = "least((" + " + ".join(f"CAST(contains(lower(content), {literal(w)}) AS INTEGER)" for w in RISK_WORDS) + ") / 10.0::DOUBLE, 1.0::DOUBLE)"
 MAINTAIN = f"CASE WHEN len(nb) = 0 THEN 1.0::DOUBLE ELSE {_ratio('nb', _any('l', MAINTAINABLE_WORDS))} END"
-_DOC = f"""contains(l, '\"\"\"') OR contains(l, '''''''''') OR starts_with({sp.strip('l')}, '#')""".replace("''''''''''", "''''''''")
+_TRIPLE = (literal('"""'), literal("'''"))
+_DOC = f"contains(l, {_TRIPLE[0]}) OR contains(l, {_TRIPLE[1]}) OR starts_with({sp.strip('l')}, '#')"
 QUALITY = f"""CASE WHEN len(nb) = 0 THEN 1.0::DOUBLE ELSE greatest(0.0::DOUBLE, least(1.0::DOUBLE, least({_ratio('lines', _DOC)} * 2, 0.3::DOUBLE)
  + least({_ratio('nb', _any('lower(l)', NAMING_WORDS))} * 3, 0.2::DOUBLE) + least({_ratio('nb', _any('lower(l)', ERROR_WORDS))} * 5, 0.2::DOUBLE)
  - {_ratio('nb', 'length(l) > 120')} * 0.2::DOUBLE + 0.3::DOUBLE)) END"""
@@ -167,7 +168,6 @@ _TOTAL = "list_sum(a)"
 ENTROPY = f"(-list_sum(list_transform(a, lambda x: x / {_TOTAL} * log2(x / {_TOTAL} + 1e-10))) / log2(n))"
 SEMANTIC = f"greatest(0, least(1, ({_VAR} * 0.4 + (list_max(e) - list_min(e)) * 0.4 + (1 - len(list_filter(a, lambda x: x < 0.01)) / n) * 0.2) / 2))"
 SIGNAL = f"least(1, (list_max(a) * 0.3 + list_sum(a) / n * 0.3 + {_VAR} * 0.4) / 3)"
-_CHUNK = "e[c * 8 + 1 : c * 8 + 8]"
 DIVERSITY = """greatest(0, least(1, 1 - list_sum(list_transform(range(0, 8), lambda i: coalesce(list_sum(list_transform(range(i + 1, 8),
  lambda j: list_cosine_similarity(e[i * 8 + 1 : i * 8 + 8], e[j * 8 + 1 : j * 8 + 8]))), 0))) / 28))"""
 

@@ -62,8 +62,8 @@ def _share(nodes: DataFrame, parents: list[str], name: str) -> DataFrame:
     return nodes.withColumn("budget", budget.cast("bigint")).drop("left", "weights", "full", "rest", "part", "odd", "nth")
 
 
-def leaf_budgets(leaves: DataFrame, target: DataFrame, max_epochs: int, weights: Mapping[str, Column]) -> DataFrame:
-    """Token budgets of all leaves: ``target`` (one row, ``budget``) goes to the domains, theirs to
+def leaf_budgets(leaves: DataFrame, share: int, max_epochs: int, weights: Mapping[str, Column]) -> DataFrame:
+    """Token budgets of all leaves: ``share`` thousandths of all tokens go to the domains, theirs to
     their languages, theirs to the sources. A node can take ``max_epochs`` times the tokens below it,
     so a shortage moves to siblings first and reaches the next level up only when they are full."""
     leaves = leaves.withColumn("capacity", F.col("tokens") * max_epochs).where(F.col("capacity") > 0)
@@ -73,8 +73,10 @@ def leaf_budgets(leaves: DataFrame, target: DataFrame, max_epochs: int, weights:
         nodes = leaves.groupBy(*path).agg(F.sum("capacity").alias("capacity")) if depth < len(LEVELS) - 1 else leaves
         nodes = nodes.withColumn("weight", weights[name])
         if budgets is None:
-            # One row of target meets every domain; a scalar subquery in effect.
-            nodes = nodes.withColumn("k", F.lit(0)).join(target.withColumn("k", F.lit(0)), "k").drop("k")
+            everything = F.sum("capacity").over(Window.partitionBy(F.lit(0)))
+            nodes = nodes.withColumn("all_capacity", everything).withColumn(
+                "budget", F.expr(f"least(CAST(all_capacity div {max_epochs} AS DECIMAL(20,0)) * {share} div 1000, all_capacity)")
+            ).drop("all_capacity")
         else:
             nodes = nodes.join(budgets, parents)
         budgets = _share(nodes, parents, name)
@@ -116,9 +118,8 @@ def mix(
     light = marked.select(*(F.col(p).alias(x) for p, x in zip(path, LEVELS, strict=True)), "doc_id", F.col("mix_tokens").alias("n"))
     leaves = light.groupBy(*LEVELS).agg(F.sum("n").alias("tokens"))
     share = round(keep_share * 1000)
-    target = leaves.agg(F.expr(f"least(sum(tokens) * {share} div 1000, sum(tokens) * {max_epochs})").alias("budget")).where("budget IS NOT NULL")
     level_weights = {x: weight_of(F.col(x), weights.get(x, {}), defaults[x]) for x in LEVELS}
-    plan = leaf_budgets(leaves, target, max_epochs, level_weights).select(
+    plan = leaf_budgets(leaves, share, max_epochs, level_weights).select(
         *LEVELS, F.expr("budget div tokens").alias("epochs"), (F.col("budget") % F.col("tokens")).alias("rest")
     )
     keyed = light.join(plan.where("rest > 0"), list(LEVELS)).withColumn("key", key(F.col("epochs")))

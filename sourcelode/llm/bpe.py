@@ -12,15 +12,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType
 
+from sourcelode.llm.words import slices
+
 #: Split of a text before merging, as byte-level tokenizers define it (fixed value).
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters beyond these ranges may be classed otherwise by another release of Unicode; the
 #: tokenizers library splits texts that hold one.
 RARE = re.compile("[^\\x00-\u0557\u2010-\u205e\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]")
 #: Pieces a task remembers with their ids; a full memory is emptied.
-REMEMBERED = 300_000
-#: Characters of text that are encoded together.
-CHUNK = 4 << 20
+REMEMBERED = 200_000
+#: Bytes of text that are encoded together.
+CHUNK = 1 << 20
 NEVER = np.iinfo(np.int64).max
 
 
@@ -180,16 +182,7 @@ class Bpe:
 
     def encode(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row and their number per text."""
-        flats, counts, start, held = [], [], 0, 0
-        for at in range(len(texts) + 1):
-            if at == len(texts) or held > CHUNK:
-                flat, count = self.pieces.ids([self.split(t or "") for t in texts[start:at]])
-                flats.append(flat)
-                counts.append(count)
-                start, held = at, 0
-            if at < len(texts):
-                held += len(texts[at] or "")
-        return np.concatenate(flats), np.concatenate(counts)
+        return self.pieces.ids([self.split(t or "") for t in texts])
 
     def decode(self, ids: np.ndarray) -> str:
         """Text of ids; bytes that are not UTF-8 become U+FFFD, ids outside the vocabulary nothing."""
@@ -217,10 +210,12 @@ def encode(docs: DataFrame, path: str, column: str = "text", ids: str = "ids") -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = vocabulary(path)
         for batch in batches:
-            flat, counts = known.encode(batch.column(len(rest)).to_pylist())
-            ends = np.concatenate(([0], np.cumsum(counts)))
-            tokens = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], tokens], [*rest, ids])
+            for start, stop in slices(batch.column(len(rest)), CHUNK):
+                part = batch.slice(start, stop - start)
+                flat, counts = known.encode(part.column(len(rest)).to_pylist())
+                ends = np.concatenate(([0], np.cumsum(counts)))
+                tokens = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(rest)], tokens], [*rest, ids])
 
     schema = docs.select(*rest).schema.add(ids, ArrayType(IntegerType()))
     return docs.select(*rest, docs[column].alias("text_")).mapInArrow(run, schema)

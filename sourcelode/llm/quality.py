@@ -64,7 +64,7 @@ def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 class Leader:
     """Per-coordinate follow-the-proximally-regularised-leader state of a logistic regression."""
 
-    def __init__(self, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.05, l2: float = 0.1):
+    def __init__(self, alpha: float = 8.0, beta: float = 1.0, l1: float = 0.01, l2: float = 0.0):
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
         # The last coordinate is the intercept.
         self.z, self.n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
@@ -89,12 +89,15 @@ def _train_shard(epochs: int):
         leader, labels = Leader(), rows.column("label").to_numpy()
         texts = rows.column("text").combine_chunks()
         texts = texts if isinstance(texts, pa.Array) else texts.chunk(0)
+        examples = []
+        for start, stop in slices(texts):
+            at, values, bounds = features(texts.slice(start, stop - start))
+            for row in range(stop - start):
+                own = slice(bounds[row], bounds[row + 1])
+                examples.append((at[own].astype(np.int32), values[own].astype(np.float32), int(labels[start + row])))
         for _ in range(epochs):
-            for start, stop in slices(texts):
-                at, values, bounds = features(texts.slice(start, stop - start))
-                for row in range(stop - start):
-                    own = slice(bounds[row], bounds[row + 1])
-                    leader.learn(at[own], values[own], int(labels[start + row]))
+            for example in examples:
+                leader.learn(*example)
         weights = leader.weights()
         used = np.flatnonzero(weights)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(weights[used])], ["bucket", "weight"])
@@ -102,7 +105,7 @@ def _train_shard(epochs: int):
     return run
 
 
-def train(labelled: DataFrame, docs: DataFrame, rows: int = 16384, shards: int = 4, epochs: int = 3) -> np.ndarray:
+def train(labelled: DataFrame, docs: DataFrame, rows: int = 16384, shards: int = 4, epochs: int = 8) -> np.ndarray:
     """Weights from at most ``rows`` labelled documents: those with the smallest hashes of their id.
 
     ``labelled`` needs doc_id and label (0 or 1, others are not used; of several labels of one

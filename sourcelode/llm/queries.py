@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sourcelode.llm import bpe, chat, langid, mixing, quality, tokenfile, topk
+from sourcelode.llm import bpe, chat, htmltext, langid, mixing, quality, syncmers, tokenfile, topk
 from sourcelode.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -145,6 +145,11 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op6_syncmer_fingerprints")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def quality_weights(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     """Weights learned from labels whose document is not held out."""
     learnable = labels.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
@@ -165,6 +170,11 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op8_html_text")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract_pages(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def encoded_digests(docs: DataFrame, path: str) -> DataFrame:
     """Encode whole texts, decode the ids again, and digest both."""
     tokens = bpe.encode(docs.select("doc_id", "text"), path).select("doc_id", "ids")

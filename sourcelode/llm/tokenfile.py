@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator, Sequence
 from functools import cache
@@ -11,7 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sourcelode.llm.bpe import CHUNK, Pieces
+from sourcelode.llm.bpe import CHUNK, REMEMBERED, Pieces, byte_letters
+from sourcelode.llm.words import slices
 
 #: Documents whose ids differ only below this width share a segment.
 SEGMENT_WIDTH = 4096
@@ -88,25 +90,51 @@ class Codes:
         return out
 
 
+#: Split of a run between blanks, as the vocabulary's pre-tokenizer makes it (fixed value).
+PIECE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
+#: Runs with other characters, or with what may be a special token, go through the whole library:
+#: up to U+024F normalisation changes nothing and lower case is character by character.
+UNSURE = re.compile("[^\x00-\u012f\u0131-\u024f]|<\\|")
+
+
 class Library:
-    """The tokenizers library, asked once for every distinct run of characters between blanks.
+    """The tokenizers library, asked once for every distinct piece while it is remembered.
 
-    Right for vocabularies that drop white space and split at it; blanks and line feeds are cut
-    here, all other white space by the library.
+    Right for vocabularies that lower-case a text, drop its white space and split at it and by
+    ``PIECE_PATTERN``. Texts are cut at blanks and line feeds; a run of plain characters is split here
+    and its pieces go to the library's model, any other run goes to the library as a whole.
     """
 
     def __init__(self, path: str):
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.pieces = Pieces(self._ask)
+        self.model, self.split = self.tokenizer.model, regex.compile(PIECE_PATTERN).findall
+        self.letters = {b: letter for b, letter in enumerate(byte_letters())}
+        self.known: dict[str, list[int]] = {}
+        self.pieces = Pieces(self._ask, 2 * REMEMBERED)
+
+    def _piece(self, piece: str) -> list[int]:
+        ids = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
+        self.known[piece] = ids
+        return ids
 
     def _ask(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(runs, add_special_tokens=False)]
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        return np.fromiter((i for ids in found for i in ids), np.int64, int(lengths.sum())), lengths
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        known, flat, lengths = self.known, [], []
+        for run in runs:
+            before = len(flat)
+            if UNSURE.search(run):
+                flat += self.tokenizer.encode(run, add_special_tokens=False).ids
+            else:
+                for piece in self.split(run.lower()):
+                    flat += known.get(piece) or self._piece(piece)
+            lengths.append(len(flat) - before)
+        return np.array(flat, np.int64), np.array(lengths, np.int64)
 
     def encode(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
         return self.pieces.ids([[r for r in (t or "").replace("\n", " ").split(" ") if r] for t in texts])
@@ -123,18 +151,14 @@ def encode(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = library(path)
         for batch in batches:
-            texts, start, held, packed = batch.column(1).to_pylist(), 0, 0, []
-            for at in range(len(texts) + 1):
-                if at == len(texts) or held > CHUNK:
-                    flat, counts = known.encode(texts[start:at])
-                    ends = np.cumsum(counts)
-                    flat = np.insert(flat, ends, end_id).astype("<u4")
-                    ends += np.arange(1, len(ends) + 1)
-                    packed += [flat[b:e].tobytes() for b, e in zip(np.append(0, ends[:-1]), ends, strict=True)]
-                    start, held = at, 0
-                if at < len(texts):
-                    held += len(texts[at] or "")
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["doc_id", "ids"])
+            for start, stop in slices(batch.column(1), CHUNK):
+                part = batch.slice(start, stop - start)
+                flat, counts = known.encode(part.column(1).to_pylist())
+                ends = np.cumsum(counts)
+                flat = np.insert(flat, ends, end_id).astype("<u4")
+                ends += np.arange(1, len(ends) + 1)
+                packed = [flat[b:e].tobytes() for b, e in zip(np.append(0, ends[:-1]), ends, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(packed, pa.binary())], ["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids binary")
 

@@ -41,8 +41,8 @@ def _shapes(column: pa.Array) -> pa.Array:
 def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashed features of the texts of a column as sorted buckets, values and row bounds.
 
-    Features are single words and pairs of neighbours, each as written (lower-cased) and as its
-    shape. A row's values are square roots of counts, scaled to length 1; a row without words has
+    Features are single words, pairs of neighbours and that both words of a pair are equal, each
+    as written (lower-cased) and as its shape. A row's values are square roots of counts, scaled to length 1; a row without words has
     none.
     """
     buckets, rows = [], []
@@ -52,6 +52,10 @@ def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             hashes, at = (words, of) if n == 1 else ngram_hashes(words, of, 2)
             buckets.append(mix(hashes + U64(8 * kind + n)) >> U64(64 - BITS))
             rows.append(at)
+        # A pair of equal words is also a feature of its own, whatever the word.
+        twice = np.flatnonzero((words[1:] == words[:-1]) & (of[1:] == of[:-1]))
+        buckets.append(np.full(len(twice), 77 + kind, U64))
+        rows.append(of[twice])
     keys = (np.concatenate(rows).astype(np.int64) << BITS) | np.concatenate(buckets).astype(np.int64)
     keys, counts = np.unique(keys, return_counts=True)
     bounds = np.searchsorted(keys, np.arange(len(column) + 1, dtype=np.int64) << BITS)

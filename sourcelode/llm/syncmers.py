@@ -57,28 +57,30 @@ def likeness(left: Column, right: Column) -> Column:
     return F.when(either == 0, F.lit(1.0)).otherwise(common / either)
 
 
-def with_next(docs: DataFrame, carried: list[str]) -> DataFrame:
-    """``docs`` with ``next``, a struct of the ``carried`` columns of the next document by descending
-    doc_id; the last one's next is the first. Rows of NULL id come last, rows of one id are in the
-    order of their texts.
+def _tops(docs: DataFrame) -> DataFrame:
+    """The greatest row of every bucket (``b_``), in the next bucket that has rows; the last one's
+    in the first. Only bucket numbers are ranked as a whole."""
+    everything = Window.partitionBy(F.lit(0))
+    light = docs.groupBy("b_").agg(F.count("*").alias("rows_"))
+    light = light.select("b_", F.coalesce(F.lead("b_").over(everything.orderBy("b_")), F.min("b_").over(everything)).alias("to_"))
+    top = docs.groupBy("b_").agg(F.max_by(F.struct("doc_id", "text"), F.struct(F.coalesce("doc_id", F.lit(FIRST_BUCKET)), "text")).alias("v"))
+    return top.join(light, "b_").select(F.col("to_").alias("b_"), "v.doc_id", "v.text")
+
+
+def with_next(docs: DataFrame, k: int = K, s: int = S) -> DataFrame:
+    """``docs`` (doc_id, text) with ``anchors``, and ``next_text`` and ``next_anchors`` of the next
+    document by descending doc_id; the last one's next is the first. Rows of NULL id come last,
+    rows of one id are in the order of their texts.
 
     Documents are sorted inside buckets of ``NEIGHBOURS`` ids. The greatest row of every bucket is
-    also sent to the next bucket that has rows, in front of its least row, so no step orders all
-    documents; only one id per bucket is ranked as a whole.
+    also sent to the next one, in front of its least row, so no step orders all documents.
     """
-    row = F.struct(*docs.columns)
     docs = docs.withColumn("b_", F.coalesce(F.floor(F.col("doc_id") / NEIGHBOURS), F.lit(FIRST_BUCKET)).cast("bigint"))
-    everything = Window.partitionBy(F.lit(0))
-    last = docs.groupBy("b_").agg(F.max(F.coalesce(F.col("doc_id"), F.lit(FIRST_BUCKET))).alias("id_"))
-    last = last.withColumn("to_", F.coalesce(F.lead("b_").over(everything.orderBy("b_")), F.min("b_").over(everything)))
-    tops = docs.withColumn("id_", F.coalesce(F.col("doc_id"), F.lit(FIRST_BUCKET))).join(last.select("id_", "to_"), "id_")
-    # Rows of one id: the last of them by text.
-    tops = tops.groupBy("to_").agg(F.max_by(row, F.coalesce(F.col("text"), F.lit(""))).alias("v"))
-    tops = tops.select(F.col("to_").alias("b_"), "v", F.lit(True).alias("sent_"))
-    rows = docs.select("b_", row.alias("v"), F.lit(False).alias("sent_")).unionByName(tops)
-    order = Window.partitionBy("b_").orderBy(F.desc("sent_"), F.col("v.doc_id").asc_nulls_first(), F.coalesce(F.col("v.text"), F.lit("")))
-    rows = rows.withColumn("n", F.lag("v").over(order)).where(~F.col("sent_"))
-    return rows.select("v.*", F.struct(*[F.col(f"n.{c}").alias(c) for c in carried]).alias("next"))
+    sent = _tops(docs).withColumn("sent_", F.lit(True))
+    rows = with_anchors(docs.withColumn("sent_", F.lit(False)).unionByName(sent), "text", "anchors", k, s)
+    order = Window.partitionBy("b_").orderBy(F.desc("sent_"), F.col("doc_id").asc_nulls_first(), "text")
+    rows = rows.withColumn("next_text", F.lag("text").over(order)).withColumn("next_anchors", F.lag("anchors").over(order))
+    return rows.where(~F.col("sent_")).drop("b_", "sent_")
 
 
 def fingerprints(docs: DataFrame, k: int = K, s: int = S) -> DataFrame:
@@ -92,10 +94,10 @@ def fingerprints(docs: DataFrame, k: int = K, s: int = S) -> DataFrame:
     rows of their own.
     """
     docs = docs.select(F.col("doc_id").cast("bigint"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    rows = with_next(with_anchors(docs, "text", "anchors", k, s), ["text", "anchors"])
+    rows = with_next(docs, k, s)
     rows = rows.withColumn("n_chars", F.length("text").cast("bigint")).withColumn("cut", F.expr("CAST(n_chars div 3 AS INT)"))
-    rows = rows.withColumn("edited", F.expr("concat(substring(text, 1, CAST(n_chars AS INT) - cut), substring(next.text, 1, cut))"))
-    rows = with_anchors(rows.withColumn("next_anchors", F.col("next.anchors")).drop("next"), "edited", "edited_anchors", k, s)
+    rows = rows.withColumn("edited", F.expr("concat(substring(text, 1, CAST(n_chars AS INT) - cut), substring(next_text, 1, cut))"))
+    rows = with_anchors(rows, "edited", "edited_anchors", k, s)
     return rows.select(
         "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         fingerprint(F.col("anchors")).alias("fingerprint"), fingerprint(F.col("edited_anchors")).alias("edited_fingerprint"),

@@ -12,8 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sourcelode.llm.bpe import CHUNK, REMEMBERED, Pieces, byte_letters
-from sourcelode.llm.words import slices
+from sourcelode.llm.bpe import byte_letters
+from sourcelode.llm.words import U64, slices, utf8, word_spans
 
 #: Documents whose ids differ only below this width share a segment.
 SEGMENT_WIDTH = 4096
@@ -97,12 +97,17 @@ PIECE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 UNSURE = re.compile("[^\x00-\u012f\u0131-\u024f]|<\\|")
 
 
+#: Runs and pieces that a task remembers with their ids; a full memory is emptied.
+RUNS, PIECES = 1_500_000, 300_000
+
+
 class Library:
     """The tokenizers library, asked once for every distinct piece while it is remembered.
 
     Right for vocabularies that lower-case a text, drop its white space and split at it and by
-    ``PIECE_PATTERN``. Texts are cut at blanks and line feeds; a run of plain characters is split here
-    and its pieces go to the library's model, any other run goes to the library as a whole.
+    ``PIECE_PATTERN``. Texts are cut at ASCII white space into runs, which are known by 64-bit
+    hashes of their lower-cased bytes; a run of plain characters is split here and its pieces
+    go to the library's model, any other run goes to the library as a whole.
     """
 
     def __init__(self, path: str):
@@ -114,30 +119,63 @@ class Library:
         self.tokenizer.no_truncation()
         self.model, self.split = self.tokenizer.model, regex.compile(PIECE_PATTERN).findall
         self.letters = {b: letter for b, letter in enumerate(byte_letters())}
-        self.known: dict[str, list[int]] = {}
-        self.pieces = Pieces(self._ask, 2 * REMEMBERED)
+        self.pieces: dict[str, list[int]] = {}
+        self._clear()
+
+    def _clear(self):
+        self.hashes, self.firsts, self.lengths = np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.flat = np.zeros(0, np.int32)
 
     def _piece(self, piece: str) -> list[int]:
         ids = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
-        self.known[piece] = ids
+        self.pieces[piece] = ids
         return ids
 
     def _ask(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        known, flat, lengths = self.known, [], []
+        if len(self.pieces) > PIECES:
+            self.pieces.clear()
+        known, flat, lengths = self.pieces, [], []
         for run in runs:
             before = len(flat)
-            if UNSURE.search(run):
+            if not run.isascii() and UNSURE.search(run) or "<|" in run:
                 flat += self.tokenizer.encode(run, add_special_tokens=False).ids
             else:
-                for piece in self.split(run.lower()):
+                run = run.lower()
+                for piece in (run,) if run.isalpha() else self.split(run):
                     flat += known.get(piece) or self._piece(piece)
             lengths.append(len(flat) - before)
-        return np.array(flat, np.int64), np.array(lengths, np.int64)
-
-    def encode(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        return self.pieces.ids([[r for r in (t or "").replace("\n", " ").split(" ") if r] for t in texts])
+        return np.array(flat, np.int32), np.array(lengths, np.int32)
+
+    def _remember(self, hashes: np.ndarray, runs: list[str]) -> None:
+        flat, lengths = self._ask(runs)
+        firsts = len(self.flat) + np.cumsum(lengths, dtype=np.int64) - lengths
+        self.flat = np.concatenate([self.flat, flat])
+        at = np.searchsorted(self.hashes, hashes)
+        self.hashes, self.firsts, self.lengths = (
+            np.insert(old, at, new) for old, new in ((self.hashes, hashes), (self.firsts, firsts), (self.lengths, lengths))
+        )
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and their number per text."""
+        hashes, rows, starts, lengths = word_spans(texts)
+        if len(self.hashes) > RUNS:
+            self._clear()
+        distinct, first, of = np.unique(hashes, return_index=True, return_inverse=True)
+        at = np.searchsorted(self.hashes, distinct)
+        at[at == len(self.hashes)] = 0
+        fresh = self.hashes[at] != distinct if len(self.hashes) else np.ones(len(distinct), bool)
+        if fresh.any():
+            data = utf8(texts)[0].tobytes()
+            places = first[fresh]
+            self._remember(distinct[fresh], [
+                data[b:e].decode("utf-8", "surrogatepass") for b, e in zip(starts[places].tolist(), (starts + lengths)[places].tolist(), strict=True)
+            ])
+        at = np.searchsorted(self.hashes, distinct)[of]
+        sizes = self.lengths[at].astype(np.int64)
+        upto = np.concatenate(([0], np.cumsum(sizes)))
+        flat = self.flat[np.repeat(self.firsts[at] - upto[:-1], sizes) + np.arange(upto[-1])]
+        bounds = upto[np.searchsorted(rows, np.arange(len(texts) + 1))]
+        return flat, np.diff(bounds)
 
 
 @cache
@@ -151,9 +189,9 @@ def encode(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = library(path)
         for batch in batches:
-            for start, stop in slices(batch.column(1), CHUNK):
+            for start, stop in slices(batch.column(1)):
                 part = batch.slice(start, stop - start)
-                flat, counts = known.encode(part.column(1).to_pylist())
+                flat, counts = known.encode(part.column(1))
                 ends = np.cumsum(counts)
                 flat = np.insert(flat, ends, end_id).astype("<u4")
                 ends += np.arange(1, len(ends) + 1)

@@ -56,9 +56,15 @@ def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
     Words are runs of bytes other than space and 0x09 to 0x0D; none crosses a row.
     """
+    return word_spans(column)[:2]
+
+
+def word_spans(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """:func:`word_hashes` with the first byte of every word and its length."""
     data, offsets = utf8(column)
+    none = np.zeros(0, np.int64)
     if not len(data):
-        return np.zeros(0, U64), np.zeros(0, np.int64)
+        return np.zeros(0, U64), none, none, none
     inside = ~_SPACE[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
@@ -67,12 +73,12 @@ def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     starts = np.flatnonzero(inside & ~before)
     lengths = np.flatnonzero(inside & ~after) + 1 - starts
     if not len(starts):
-        return np.zeros(0, U64), np.zeros(0, np.int64)
+        return np.zeros(0, U64), none, none, none
     first = np.cumsum(lengths) - lengths
     place = np.arange(int(lengths.sum())) - np.repeat(first, lengths)
     weight = _PLACE[place & (len(_PLACE) - 1)] + place.astype(U64) // U64(len(_PLACE))
     hashes = np.add.reduceat(_BYTE[_LOWER[data[inside]]] * weight, first)
-    return mix(hashes + lengths.astype(U64)), np.searchsorted(offsets, starts, "right") - 1
+    return mix(hashes + lengths.astype(U64)), np.searchsorted(offsets, starts, "right") - 1, starts, lengths
 
 
 def ngram_hashes(words: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

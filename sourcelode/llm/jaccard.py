@@ -77,24 +77,51 @@ def prefix_length(size: int, percent: int) -> int:
     return size - -(-percent * size // 100) + 1
 
 
+def parity(values: np.ndarray) -> bytes:
+    """A bit per residue of the elements: whether an odd number has it.
+
+    The set bits of two sketches' XOR are at most the elements that only one of the sets has.
+    The sketch has about a bit per element; a longer one folds onto a shorter one.
+    """
+    bits = 64
+    while bits < len(values):
+        bits *= 2
+    odd = np.bincount(values & (bits - 1), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def least_difference(left: bytes, right: bytes) -> int:
+    """Elements that at least are in one of two sets only, from their sketches."""
+    a, b = (int.from_bytes(x, "little") for x in sorted((left, right), key=len))
+    bits = 8 * min(len(left), len(right))
+    while b >> bits:
+        width = bits
+        while b >> (2 * width):
+            width *= 2
+        b = (b >> width) ^ (b & ((1 << width) - 1))
+    return (a ^ b).bit_count()
+
+
 def _describe(classes: np.ndarray, words: int, percent: int):
-    names = ["doc_id", "n", "set_key", "group_key", "prefix"]
+    names = ["doc_id", "n", "set_key", "group_key", "sketch", "prefix"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, stop in slices(batch.column(1)):
                 part = batch.slice(start, stop - start)
-                sizes, keys, groups, prefixes = [], [], [], []
+                sizes, keys, groups, sketches, prefixes = [], [], [], [], []
                 for hashes in shingle_sets(part.column(1), words):
                     size = len(hashes)
-                    prefix = elements(hashes, classes)[: prefix_length(size, percent)] if size else np.zeros(0, np.int64)
+                    own = elements(hashes, classes)
+                    prefix = own[: prefix_length(size, percent)] if size else own
+                    sketches.append(parity(own))
                     sizes.append(size)
                     keys.append(hashlib.blake2b(hashes.tobytes(), digest_size=16).digest())
                     groups.append(hashlib.blake2b(prefix.tobytes() + size.to_bytes(8, "little"), digest_size=16).digest())
                     prefixes.append(prefix)
                 ends = np.concatenate(([0], np.cumsum([len(p) for p in prefixes])))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(groups, pa.binary()),
+                    [part.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(groups, pa.binary()), pa.array(sketches, pa.binary()),
                      pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*prefixes, np.zeros(0, np.int64)])))],
                     names,
                 )
@@ -172,9 +199,30 @@ def _verify(percent: int):
     return run
 
 
-def verified(pairs: DataFrame, docs: DataFrame, classes: np.ndarray, words: int, percent: int) -> DataFrame:
-    """Those of ``pairs`` (left, right: ids of different documents) whose whole sets link."""
-    pairs = written(pairs, "pairs")
+def _possible(percent: int):
+    """Pairs whose sketches allow the similarity: sets of n and m elements link if at most
+    (100 - percent) / (100 + percent) * (n + m) are in one of them only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            total = batch.column(2).to_numpy()
+            least = np.fromiter(
+                (least_difference(a, b) for a, b in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)), np.int64, len(batch)
+            )
+            yield batch.select([0, 1]).filter(pa.array((100 + percent) * least <= (100 - percent) * total))
+
+    return run
+
+
+def verified(pairs: DataFrame, members: DataFrame, docs: DataFrame, classes: np.ndarray, words: int, percent: int) -> DataFrame:
+    """Those of ``pairs`` (left, right: ids of different classes) whose whole sets link.
+
+    Sketches of ``members`` (id, n, sketch) leave few of the others; for the rest the texts are read
+    again, only those of ids in a pair."""
+    light = members.select("id", "n", "sketch")
+    pairs = pairs.join(light.toDF("left", "n", "sketch"), "left").join(light.toDF("right", "m", "other"), "right")
+    pairs = pairs.select("left", "right", (F.col("n") + F.col("m")).alias("total"), "sketch", "other")
+    pairs = written(pairs.mapInArrow(_possible(percent), "left long, right long").distinct(), "pairs")
     ids = pairs.select(F.col("left").alias("id")).unionByName(pairs.select(F.col("right").alias("id"))).distinct()
     # A filter of fixed size: a set bit for the hash of every wanted id, gathered as 64-bit words.
     bit = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
@@ -217,10 +265,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     classes = frequency_classes(docs, words)
     described = written(
-        docs.mapInArrow(_describe(classes, words, percent), "doc_id long, n long, set_key binary, group_key binary, prefix array<long>"), "described"
+        docs.mapInArrow(_describe(classes, words, percent), "doc_id long, n long, set_key binary, group_key binary, sketch binary, prefix array<long>"), "described"
     )
-    light = described.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", "n", "set_key", "group_key")
-    members = written(light.groupBy("set_key", "n", "group_key").agg(F.min("doc_id").alias("id"), F.max("doc_id").alias("last")), "classes")
+    light = described.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", "n", "set_key", "group_key", "sketch")
+    members = written(light.groupBy("set_key", "n", "group_key").agg(F.min("doc_id").alias("id"), F.min("sketch").alias("sketch")), "classes")
     groups = (
         described.where("n > 0 AND doc_id IS NOT NULL").groupBy("group_key", "n")
         .agg(F.min("doc_id").alias("group_id"), F.first("prefix").alias("prefix"))
@@ -246,7 +294,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     of_group = written(members.select("id", "group_key").join(group_ids, "group_key").select("id", "group_id"), "members")
     first = of_group.join(stars, "group_id").select(F.col("leader").alias("left"), F.col("id").alias("right"))
     inside = of_group.where("id <> group_id").select(F.col("group_id").alias("left"), F.col("id").alias("right"))
-    linked = verified(first.unionByName(inside).distinct(), docs, classes, words, percent)
+    linked = verified(first.unionByName(inside).distinct(), members, docs, classes, words, percent)
 
     # Rows of one doc_id with different texts belong together.
     same = light.join(members.select("set_key", "n", "id"), ["set_key", "n"]).groupBy("doc_id").agg(F.min("id").alias("low"), F.max("id").alias("high"))
@@ -268,7 +316,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         f"group_id < group_id_2 AND NOT (low = high AND low_2 = high_2 AND low = low_2) AND 100 * least(n, n_2) >= {percent} * greatest(n, n_2)"
         f" AND {100 + percent} * ({bound}) >= {percent} * (n + n_2)"
     )
-    candidates = marked.join(other, "token").where(fits).select("group_id", "group_id_2").distinct()
+    # All common elements up to the earlier end of both prefixes are shared prefix elements; at most
+    # the rest of one set follows.
+    after = f"greatest(ceil({percent} * n / 100), ceil({percent} * n_2 / 100)) - 1"
+    candidates = marked.join(other, "token").where(fits).groupBy("group_id", "group_id_2", "n", "n_2").agg(F.count("*").alias("shared"))
+    candidates = candidates.where(f"{100 + percent} * (shared + {after}) >= {percent} * (n + n_2)").select("group_id", "group_id_2")
     across = (
         candidates.join(labelled.select("group_id", F.col("id").alias("left"), F.col("label").alias("a")), "group_id")
         .join(labelled.select(F.col("group_id").alias("group_id_2"), F.col("id").alias("right"), F.col("label").alias("b")), "group_id_2")
@@ -279,7 +331,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     within = split.select("group_id", F.col("id").alias("left"), F.col("label").alias("a")).join(
         split.select("group_id", F.col("id").alias("right"), F.col("label").alias("b")), "group_id"
     ).where("left < right AND a <> b").select("left", "right")
-    more = verified(across.unionByName(within).distinct(), docs, classes, words, percent)
+    more = verified(across.unionByName(within).distinct(), members, docs, classes, words, percent)
 
     joined = found.select(F.col("node").alias("left"), F.col("component").alias("right")).unionByName(more).unionByName(same)
     final = components(joined)

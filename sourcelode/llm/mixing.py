@@ -99,8 +99,9 @@ def mix(
     Returns the columns of ``docs`` with ``mix_domain``, ``mix_lang``, ``mix_source``, ``mix_tokens``, ``mix_epoch`` and
     ``mix_take``: one row per document and epoch in which it is taken, whole unless ``mix_take`` is
     below ``mix_tokens``. A leaf of budget B and A tokens gives B div A whole epochs and B mod A
-    tokens of the next one, in the order of md5(seed:epoch:doc_id); rows of one doc_id stay
-    together. The document that crosses the end is taken up to it. Documents without words are
+    tokens of the next one, in the order of md5(seed:epoch:doc_id); rows of one doc_id
+    share a place. The document that crosses the end is taken up to it (each of its rows, if there
+    are several). Documents without words are
     taken with the whole epochs and before the end of the last one. A table without any word
     gives no rows. Columns of these names in ``docs`` are replaced.
 

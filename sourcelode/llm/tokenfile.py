@@ -18,7 +18,7 @@ from sourcelode.llm.words import U64, slices, utf8, word_spans
 #: Documents whose ids differ only below this width share a segment.
 SEGMENT_WIDTH = 4096
 #: Ids after which a segment gets another part, so that no row outgrows a task.
-PART_IDS = 1 << 20
+PART_IDS = 1 << 18
 #: Bits of a bitmap between two entries of its rank directory.
 RANK_BITS = 512
 SCHEMA = (
@@ -98,7 +98,7 @@ UNSURE = re.compile("[^\x00-\u012f\u0131-\u024f]|<\\|")
 
 
 #: Runs and pieces that a task remembers with their ids; a full memory is emptied.
-RUNS, PIECES = 1_500_000, 300_000
+RUNS, PIECES = 500_000, 150_000
 
 
 class Library:
@@ -218,7 +218,7 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 3, *[pa.list_(pa.binary())] * 3]
         return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types, strict=True)], FIELDS)
 
-    for batch in batches:
+    for batch in (b.slice(at, 256) for b in batches for at in range(0, len(b), 256)):
         for at, doc, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if docs and (at != segment or held + len(own) // 4 > PART_IDS):
                 yield batch_of(row())

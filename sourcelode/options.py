@@ -6,12 +6,12 @@ from dataclasses import asdict, dataclass, field
 
 @dataclass(frozen=True)
 class ScanOptions:
-    # The default limits and path patterns decide which files are scanned.
+    # The path patterns decide which files are scanned. Limits are off (0) unless set.
     languages: tuple = ("python", "javascript")
     patterns: tuple = ("owasp-top-10", "custom")
     false_positive_reduction: bool = True
-    max_file_size_mb: int = 10
-    max_files_per_scan: int = 10000
+    max_file_size_mb: float = 0
+    max_files_per_scan: int = 0
     include_patterns: tuple = ("*.py", "*.js", "*.ts", "*.jsx", "*.tsx")
     exclude_patterns: tuple = (
         "*/node_modules/*", "*/venv/*", "*/env/*", "*/.git/*", "*/dist/*", "*/build/*",

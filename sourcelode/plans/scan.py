@@ -24,7 +24,7 @@ def scan_paths(
     paths: DataFrame, options: ScanOptions = ScanOptions(), families: tuple = BUILTIN_FAMILIES,
     tasks: int | None = None,
 ):
-    """Same for a table of paths, at most ``max_files_per_scan`` per root, by path."""
+    """Same for a table of paths, at most ``max_files_per_scan`` (0: all) per root, by path."""
     capped = src.cap_files(paths, options.max_files_per_scan, per="root")
     files = det.with_language(src.read_source(capped, tasks), options)
     return files, det.detect(files, options, families, keys=("root", "file_path"))

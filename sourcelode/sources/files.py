@@ -111,7 +111,9 @@ def file_table(spark: SparkSession, file_paths) -> DataFrame:
 
 
 def within_size(paths: DataFrame, options: ScanOptions = ScanOptions()) -> DataFrame:
-    """Drop files over the size limit and files whose size could not be read."""
+    """Drop files over the size limit, if one is set, and files whose size could not be read."""
+    if options.max_bytes <= 0:
+        return paths.where(F.col("length").isNotNull())
     return paths.where(F.col("length") <= options.max_bytes)
 
 

@@ -209,4 +209,4 @@ def test_snapshot_has_no_secrets():
     })
     kept = json.loads(config_snapshot(options))
     assert kept["llm"] == {"model": "m", "max_tokens": 5} and kept["database"] == {"host": "h"}
-    assert kept["scanner"]["max_file_size_mb"] == 10
+    assert kept["scanner"]["max_file_size_mb"] == 0

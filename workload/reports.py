@@ -393,7 +393,7 @@ def _(t):
 
 @query(
     "config_snapshot",
-    """SELECT scan_id, ai_analysis_enabled AND scan_id % 2 = 0 AS enable_ai_analysis, CAST(10000 AS BIGINT) AS max_files_per_scan FROM scan_records""",
+    """SELECT scan_id, ai_analysis_enabled AND scan_id % 2 = 0 AS enable_ai_analysis, CAST(0 AS BIGINT) AS max_files_per_scan FROM scan_records""",
     [SCANS],
 )
 def _(t):

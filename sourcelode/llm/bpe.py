@@ -221,6 +221,25 @@ def encode(docs: DataFrame, path: str, column: str = "text", ids: str = "ids") -
     return docs.select(*rest, docs[column].alias("text_")).mapInArrow(run, schema)
 
 
+def round_trip(docs: DataFrame, path: str, column: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """:func:`encode` and :func:`decode` in one pass, so that a task needs one Python worker."""
+    rest = [c for c in docs.columns if c not in (ids, decoded)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = vocabulary(path)
+        for batch in batches:
+            for start, stop in slices(batch.column(len(rest)), CHUNK):
+                part = batch.slice(start, stop - start)
+                flat, counts = known.encode(part.column(len(rest)).to_pylist())
+                ends = np.concatenate(([0], np.cumsum(counts)))
+                tokens = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
+                texts = [known.decode(flat[b:e]) for b, e in zip(ends[:-1], ends[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(rest)], tokens, pa.array(texts, pa.string())], [*rest, ids, decoded])
+
+    schema = docs.select(*rest).schema.add(ids, ArrayType(IntegerType())).add(decoded, "string")
+    return docs.select(*rest, docs[column].alias("text_")).mapInArrow(run, schema)
+
+
 def decode(tokens: DataFrame, path: str, ids: str = "ids", column: str = "decoded") -> DataFrame:
     """``tokens`` with the text of ``ids``; NULL is empty. A column named ``column`` is replaced."""
     rest = [c for c in tokens.columns if c != column]

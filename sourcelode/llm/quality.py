@@ -109,7 +109,7 @@ def _train_shard(epochs: int):
     return run
 
 
-def train(labelled: DataFrame, docs: DataFrame, rows: int = 16384, shards: int = 4, epochs: int = 8) -> np.ndarray:
+def train(labelled: DataFrame, docs: DataFrame, rows: int = 8192, shards: int = 4, epochs: int = 8) -> np.ndarray:
     """Weights from at most ``rows`` labelled documents: those with the smallest hashes of their id.
 
     ``labelled`` needs doc_id and label (0 or 1, others are not used; of several labels of one

@@ -182,8 +182,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def encoded_digests(docs: DataFrame, path: str) -> DataFrame:
     """Encode whole texts, decode the ids again, and digest both."""
-    tokens = bpe.encode(docs.select("doc_id", "text"), path).select("doc_id", "ids")
-    texts = bpe.decode(tokens, path)
+    texts = bpe.round_trip(docs.select("doc_id", "text"), path)
     return texts.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),

@@ -56,6 +56,7 @@ class StatusLog:
         order = F.struct("updated_at", "seq")
         latest = log.groupBy(key).agg(
             F.max_by("status", order).alias("_status"),
+            F.max("updated_at").alias("_updated"),
             F.max("fixed_at").alias("_fixed_at"),
             F.max_by("fixed_in_commit", "commit_order").alias("_commit"),
         )
@@ -63,6 +64,7 @@ class StatusLog:
             "status": F.coalesce("_status", "status"),
             "fixed_at": F.coalesce("_fixed_at", "fixed_at"),
             "fixed_in_commit": F.coalesce("_commit", "fixed_in_commit"),
+            "updated_at": F.coalesce("_updated", "updated_at"),
         }
         joined = findings.join(latest, key, "left")
         return joined.select(
@@ -80,7 +82,7 @@ class RuleCounters:
         path = self.path
 
         def keep(batch: DataFrame, batch_id: int) -> None:
-            batch.coalesce(1).write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+            batch.write.mode("overwrite").parquet(f"{path}/version={batch_id}")
 
         return (
             pattern_usage(findings).writeStream.outputMode("complete").foreachBatch(keep)

@@ -11,12 +11,18 @@ from workload.usage import PRICED
 from workload.views import LLM_USAGE, VULNERABILITY_RECORDS, load, src_files_of
 
 
-def stream(t, table: str):
-    """A test table as a file stream."""
-    return (
-        t.spark.readStream.schema(load(t.spark, t.sf_dir, table).schema)
-        .option("pathGlobFilter", f"{table}.parquet").parquet(t.sf_dir)
-    )
+# Bytes a batch takes from a table where the order of arrival does not matter.
+BATCH = 64 * 2**30
+
+
+def stream(t, table: str, batch: int | None = BATCH):
+    """A test table, one file or a folder of them, as a file stream. ``batch`` None: all of it
+    in one batch."""
+    reader = t.spark.readStream.schema(load(t.spark, t.sf_dir, table).schema)
+    if batch:
+        reader = reader.option("maxBytesPerTrigger", batch)
+    # As a pattern, the path may be a single file as well.
+    return reader.parquet(f"{t.sf_dir.rstrip('/')}/{table}.parque[t]")
 
 
 def written(t, frame, label: str):
@@ -48,14 +54,33 @@ def _(t):
     return written(t, unique, "stream-dedupe").select("code_hash")
 
 
-def usage_stream(t):
+def closed_totals(t, totals, label: str):
+    """Totals of all windows of the usage table, the last ones included.
+
+    Files hold events of any time, so the table is one batch: split, its late rows would be lost.
+    A second run then brings one row two days past the end, which closes the windows still open.
+    """
+    base = scratch_path(t.spark, label)
+    events = t("events")
+    closing = events.agg((F.max("ts") + F.expr("INTERVAL 2 DAYS")).alias("ts"))
+    markers = closing.select(
+        *[
+            F.col("ts") if f.name == "ts" else F.lit(None).cast(f.dataType).alias(f.name)
+            for f in events.schema
+        ]
+    )
     sql = LLM_USAGE.replace("FROM events", "FROM {events}")
-    rows = t.spark.sql(sql, events=stream(t, "events"))
-    return rows.withColumn("ts", F.col("ts").cast("timestamp"))
+    out = None
+    for arrived in (markers.where("false"), markers):
+        arrived.write.mode("append").parquet(f"{base}/markers")
+        marks = t.spark.readStream.schema(events.schema).parquet(f"{base}/markers")
+        rows = t.spark.sql(sql, events=stream(t, "events", batch=None).unionByName(marks))
+        out = totals(rows.withColumn("ts", F.col("ts").cast("timestamp")))
+        stt.append_to(out, f"{base}/table", f"{base}/checkpoint").awaitTermination()
+    return t.spark.read.schema(out.schema).parquet(f"{base}/table")
 
 
-# Windows still open when the stream stops are not emitted yet.
-_CLOSED = "closed AS (SELECT *, date_trunc('day', ts) AS d FROM costs WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM costs) - INTERVAL 1 HOUR)"
+_CLOSED = "closed AS (SELECT *, date_trunc('day', ts) AS d FROM costs)"
 
 
 @query(
@@ -66,7 +91,7 @@ _CLOSED = "closed AS (SELECT *, date_trunc('day', ts) AS d FROM costs WHERE date
     f"{PRICED},\n{_CLOSED}",
 )
 def _(t):
-    totals = written(t, stu.stream_cost(usage_stream(t)), "stream-cost")
+    totals = closed_totals(t, stu.stream_cost, "stream-cost")
     return totals.select(
         F.date_format("window_start", "yyyy-MM-dd").alias("day"), "provider", "total_requests",
         "total_tokens", F.round("cost_usd", 9).alias("cost_usd"),
@@ -81,7 +106,7 @@ def _(t):
     f"{PRICED},\n{_CLOSED}",
 )
 def _(t):
-    daily = written(t, stu.stream_budget(usage_stream(t)), "stream-budget")
+    daily = closed_totals(t, stu.stream_budget, "stream-budget")
     return daily.select(
         F.date_format("window_start", "yyyy-MM-dd").alias("day"),
         F.round("cost_usd", 9).alias("cost_usd"), "state",

@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from sourcelode.functions import text as txt
 from sourcelode.functions.vectors import cosine
-from sourcelode.operators.summary import dedupe_code
 
 # Default similarity threshold and length of a result list.
 THRESHOLD = 0.8
 TOP = 20
-# Vectors per block of the all-pairs job; a task holds two blocks.
+# Vectors per block of the all-pairs job at most; a task holds two blocks.
 BLOCK_ROWS = 20_000
+# Blocks smaller than this cost more in copies than further tasks gain.
+LEAST_BLOCK_ROWS = 128
 
 
 def find_similar(
@@ -48,18 +49,21 @@ def similar_findings(
 
 
 def similar_all(
-    vectors: DataFrame, threshold: float = THRESHOLD, top: int = TOP,
+    vectors: DataFrame, threshold: float = THRESHOLD, top: int | None = TOP,
     vec: str = "embedding", row_id: str = "vec_id", block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """For every vector its ``top`` most similar others; exact, whatever the data looks like.
+    """For every vector its ``top`` (None: all) most similar others; exact, whatever the data
+    looks like.
 
     Ids are hashed into B equal blocks; every pair of blocks is one group that multiplies two
     blocks of bounded size and keeps the best ``top`` per row. Near copies spread over all blocks
     like any other rows, so no group is larger than the rest, and a row costs B copies of itself
-    in the shuffle, never a row per pair. Pass one row per distinct code (see ``dedupe_code``).
+    in the shuffle, never a row per pair. There are enough blocks for a task per core. Pass one row per distinct code (see ``dedupe_code``).
     """
-    blocks = max(1, math.ceil(vectors.count() / block_rows))
     spark = vectors.sparkSession
+    rows, cores = vectors.count(), spark.sparkContext.defaultParallelism
+    for_cores = min(math.ceil(math.sqrt(2 * cores)), rows // LEAST_BLOCK_ROWS)
+    blocks = max(1, math.ceil(rows / block_rows), for_cores)
     block = F.pmod(F.xxhash64(row_id), F.lit(blocks)).cast("int")
     cells = (
         vectors.select(row_id, F.col(vec).cast("array<double>").alias("_v"), block.alias("_b"))
@@ -101,7 +105,7 @@ def similar_all(
                 scores = np.round(unit[start : start + 512] @ other_unit.T, 12)
                 scores[mine[:, None] == other_ids[None, :]] = -2.0
                 scores[scores < least] = -2.0
-                if limit < len(other_ids):
+                if limit is not None and limit < len(other_ids):
                     # Everything above the limit-th best, then ties in id order.
                     edge = -np.partition(-scores, limit - 1, axis=1)[:, limit - 1 : limit]
                     above, tied = scores > edge, scores == edge
@@ -124,17 +128,25 @@ def similar_all(
         return pd.concat(frames) if frames else pd.DataFrame(columns=columns)
 
     # A fixed number of tasks: the groups are few and heavy, far from what their bytes suggest.
-    tasks = min(blocks * (blocks + 1) // 2, 8 * spark.sparkContext.defaultParallelism)
+    tasks = min(blocks * (blocks + 1) // 2, 8 * cores)
     spread = cells.repartition(tasks, "_i", "_j")
     found = spread.groupBy("_i", "_j").applyInPandas(best, shape)
     ranked = Window.partitionBy("target_id").orderBy(F.desc("similarity"), "similar_id")
+    if top is None:
+        # A rank would bring all neighbours of a hot row into one task.
+        return found
     return (
         found.withColumn("rank", F.row_number().over(ranked).cast("long"))
         .where(F.col("rank") <= top)
     )
 
 
-def hashed_embedding(texts: DataFrame, code: str = "code", dimensions: int = 64) -> DataFrame:
+HASHED_DIMENSIONS = 64
+
+
+def hashed_embedding(
+    texts: DataFrame, code: str = "code", dimensions: int = HASHED_DIMENSIONS
+) -> DataFrame:
     """Add ``embedding``: word counts hashed into ``dimensions`` buckets, scaled to length 1."""
     words = F.filter(F.split(F.lower(code), r"[^\p{L}\p{N}_]+"), lambda word: word != "")
     counted = HashingTF(numFeatures=dimensions, inputCol="_words", outputCol="_counts").transform(
@@ -145,23 +157,26 @@ def hashed_embedding(texts: DataFrame, code: str = "code", dimensions: int = 64)
 
 
 def embed_corpus(
-    files: DataFrame, row_id: str, model=None, dimensions: int = 64, batch_rows: int = 50,
+    files: DataFrame, row_id: str, model=None, dimensions: int | None = None, batch_rows: int = 50,
     model_name: str = "hashed-words", model_version: str = "1.0.0",
 ) -> DataFrame:
     """One embedding per distinct code.
 
     ``model(list of texts) -> list of vectors`` runs once per ``batch_rows`` distinct texts; it is
     built by calling ``model`` lazily in the task, so wrap loading in the function. An error gives
-    zero vectors. Without a model the built-in hashed word vector is used.
+    zero vectors of ``dimensions``, which a model has to come with. Without a model the built-in
+    hashed word vector is used, 64 long unless ``dimensions`` says otherwise.
     """
-    unique = dedupe_code(files, row_id)
-    # Semi-join on the unique row id: evenly spread, and copies never reach the model. Only the
-    # cleaned code goes through it.
+    if model is not None and dimensions is None:
+        raise ValueError("name the length of the model's vectors in dimensions")
+    dimensions = dimensions or HASHED_DIMENSIONS
     cleaned = files.select(
         row_id, txt.code_hash("content").alias("code_hash"),
         txt.preprocess_code("content", "language").alias("code"),
     )
-    kept = cleaned.join(unique.select(row_id), row_id, "left_semi").drop(row_id)
+    # One shuffle; copies are dropped in each task before it. The row with the smallest id stays,
+    # as the same text can be cleaned differently in two languages.
+    kept = cleaned.groupBy("code_hash").agg(F.min_by("code", row_id).alias("code"))
     facts = [F.lit(model_name).alias("model_name"), F.lit(model_version).alias("model_version")]
     if model is None:
         return hashed_embedding(kept, "code", dimensions).select("code_hash", "embedding", *facts)

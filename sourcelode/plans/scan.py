@@ -60,17 +60,20 @@ def profile_code(files: DataFrame, embedding: str = "embedding", model: str = "h
 
     Files without an embedding keep their text metrics and get an ``error``.
     """
+    def of_vector(value):
+        return F.when(F.col(embedding).isNotNull(), value)
+
     measured = m.with_lines(files).withColumns(
         {
             "complexity_score": m.complexity(),
             "security_risk_score": m.risk_score(),
             "maintainability_score": m.maintainability(),
             "code_quality_score": m.code_quality(),
-            "embedding_magnitude": v.norm(embedding),
-            "embedding_entropy": v.entropy(embedding),
-            "semantic_complexity": v.semantic_complexity(embedding),
-            "pattern_diversity": v.pattern_diversity(embedding),
-            "embedding_security_score": v.security_signal(embedding),
+            "embedding_magnitude": of_vector(v.norm(embedding)),
+            "embedding_entropy": of_vector(v.entropy(embedding)),
+            "semantic_complexity": of_vector(v.semantic_complexity(embedding)),
+            "pattern_diversity": of_vector(v.pattern_diversity(embedding)),
+            "embedding_security_score": of_vector(v.security_signal(embedding)),
             "detected_patterns": m.detected_indicators(),
             **m.line_stats(),
             "indentation_levels": m.indentation_histogram(),
@@ -92,7 +95,7 @@ def profile_code(files: DataFrame, embedding: str = "embedding", model: str = "h
         "embedding_entropy", "risk_score", "embedding_security_score",
     )
     return (
-        measured.withColumn("overall_risk_score", F.when(F.col(embedding).isNotNull(), overall))
+        measured.withColumn("overall_risk_score", of_vector(overall))
         .withColumn(
             "analysis_metadata",
             F.struct(

@@ -38,6 +38,8 @@ def test_all_pairs_match_brute_force_with_copies(spark, block_rows):
     found = sim.similar_all(vectors(spark, rows), 0.7, 6, block_rows=block_rows).collect()
     assert {(r.target_id, r.similar_id) for r in found} == brute(rows, 0.7, 6)
     assert max(r["rank"] for r in found) == 6
+    everything = sim.similar_all(vectors(spark, rows), 0.7, None, block_rows=block_rows).collect()
+    assert {(r.target_id, r.similar_id) for r in everything} == brute(rows, 0.7, len(rows))
 
 
 def test_one_target(spark):
@@ -131,6 +133,8 @@ def test_embedding_each_code_once(spark):
 
     got = sim.embed_corpus(files, "id", model, dimensions=2, batch_rows=1).collect()
     assert sorted(r.embedding for r in got) == [[0.0, 0.0], [5.0, 5.0]]
+    with pytest.raises(ValueError):
+        sim.embed_corpus(files, "id", model)
     built_in = sim.embed_corpus(files, "id").collect()
     assert len(built_in) == 2
     assert all(np.linalg.norm(r.embedding) == pytest.approx(1) for r in built_in)
@@ -193,3 +197,4 @@ def test_profile_reports_missing_embedding(spark):
     rows = spark.createDataFrame([("x = 1", "python", None)], "content string, language string, embedding array<double>")
     row = scan.profile_code(rows).first()
     assert row.error == "no embedding" and row.total_lines == 1 and row.overall_risk_score is None
+    assert row.embedding_entropy is None and row.pattern_diversity is None

@@ -189,18 +189,18 @@ _PROFILED = f"""{LINED},
 {_FOUND},
 {VECS},
 scored AS (SELECT file_id, {COMPLEXITY} AS cx, {MAINTAIN} AS mt, {QUALITY} AS q, {_INDICATED} AS risk, {ENTROPY} AS en, {SEMANTIC} AS sc, {SIGNAL} AS em
- FROM found JOIN vecs ON file_id = vec_id)"""
+ FROM found LEFT JOIN vecs ON file_id = vec_id)"""
 _OVERALL = """greatest(0, least(1, 0.5 * (risk * 0.8 + em * 0.2) + 0.3 * (cx * 0.3 + (1 - mt) * 0.2 + (1 - q) * 0.2) + 0.2 * (sc * 0.4 + least(en, 0.5) * 0.3)))"""
 
 
 def profiled(t):
     vectors = t("embeddings").select(F.col("vec_id").alias("file_id"), "embedding")
-    return profile_code(scanned(t).select("file_id", "content", "language").join(vectors, "file_id"))
+    return profile_code(scanned(t).select("file_id", "content", "language").join(vectors, "file_id", "left"))
 
 
 @query(
     "overall_risk",
-    f"SELECT file_id, round(CAST({_OVERALL} AS DOUBLE), 6) AS overall_risk FROM scored",
+    f"SELECT file_id, CASE WHEN en IS NOT NULL THEN round(CAST({_OVERALL} AS DOUBLE), 6) END AS overall_risk FROM scored",
     ["src_files"],
     _PROFILED,
 )
@@ -211,9 +211,10 @@ def _(t):
 @query(
     "profile_code",
     f"""SELECT f.file_id, round(CAST({COMPLEXITY} AS DOUBLE), 6) AS complexity_score, round({RISK}, 6) AS security_risk_score, round(CAST({MAINTAIN} AS DOUBLE), 6) AS maintainability_score,
- round(CAST({QUALITY} AS DOUBLE), 6) AS code_quality_score, round(CAST({ENTROPY} AS DOUBLE), 6) AS embedding_entropy, round(CAST({DIVERSITY} AS DOUBLE), 6) AS pattern_diversity,
- CAST(len(lines) AS BIGINT) AS total_lines, CAST(len(words) AS BIGINT) AS pattern_count, {_count('class ')} AS class_count, CAST(length(content) AS BIGINT) AS code_length
- FROM found f JOIN vecs ON file_id = vec_id""",
+ round(CAST({QUALITY} AS DOUBLE), 6) AS code_quality_score, round(CAST({ENTROPY} AS DOUBLE), 6) AS embedding_entropy, CASE WHEN vec_id IS NOT NULL THEN round(CAST({DIVERSITY} AS DOUBLE), 6) END AS pattern_diversity,
+ CAST(len(lines) AS BIGINT) AS total_lines, CAST(len(words) AS BIGINT) AS pattern_count, {_count('class ')} AS class_count, CAST(length(content) AS BIGINT) AS code_length,
+ CASE WHEN vec_id IS NULL THEN 'no embedding' END AS error
+ FROM found f LEFT JOIN vecs ON file_id = vec_id""",
     ["src_files"],
     f"{LINED},\n{_FOUND},\n{VECS}",
 )
@@ -228,7 +229,7 @@ def _(t):
             )
         ],
         "total_lines", "pattern_count", "class_count",
-        F.col("analysis_metadata.code_length").alias("code_length"),
+        F.col("analysis_metadata.code_length").alias("code_length"), "error",
     )
 
 
@@ -288,7 +289,7 @@ _ALL = f"""ranked AS (SELECT a.vec_id AS target_id, b.vec_id AS similar_id, {_CO
     ctes=f"{VECS},\n{_ALL}",
 )
 def _(t):
-    return sim.similar_all(t("embeddings"), NEAR, block_rows=200).select(
+    return sim.similar_all(t("embeddings"), NEAR).select(
         "target_id", "similar_id", F.round("similarity", 6).alias("similarity")
     )
 

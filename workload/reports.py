@@ -326,12 +326,11 @@ def _(t):
 def _(t):
     from sourcelode.operators.similar import similar_all
 
-    near = similar_all(t("embeddings"), 0.3)
+    near = similar_all(t("embeddings"), 0.3, top=None)
     place = F.struct(
         F.concat(F.lit("f"), F.col("similar_id").cast("string")).alias("file_path"),
         F.col("similar_id").alias("line_number"), "similarity",
     )
-    # At most 20 similar rows per target.
     listed = near.groupBy("target_id").agg(F.sort_array(F.collect_list(place)).alias("similar"))
     text = F.to_json(rep.related_locations("similar"))
     lines = F.from_json(

@@ -200,47 +200,31 @@ def compare_scans(scans: DataFrame, findings: DataFrame, baseline, current) -> D
     )
 
 
-# A target with at most this many scans is ordered by one task.
-MAX_SCANS_PER_TASK = 1_000_000
-
-
 def scan_order(scans: DataFrame, bucket: str = "day") -> DataFrame:
     """Each scan with its neighbours on the same target (by time, then id).
 
-    One count per target decides. Ordinary targets are ordered whole. If some target owns more
-    scans than a task should sort, ordering runs per target and time bucket instead, and only
-    bucket ends are ordered per target.
+    Scans are ordered per target and time bucket, and only bucket ends per target, so a target
+    with very many scans is no single task's work. Scans without a time come first.
     """
-    keyed = scans.select("scan_id", "target_path", "scan_timestamp")
-    sizes = keyed.groupBy("target_path").agg(F.count(F.lit(1)).alias("n"))
-    biggest = sizes.agg(F.max("n")).first()[0] or 0
-    if biggest > MAX_SCANS_PER_TASK:
-        return _scan_order_by_bucket(keyed, bucket)
-    order = Window.partitionBy("target_path").orderBy("scan_timestamp", "scan_id")
-    return keyed.select(
-        "target_path", "scan_id", "scan_timestamp",
-        F.lag("scan_id").over(order).alias("previous_scan_id"),
-        F.lead("scan_id").over(order).alias("next_scan_id"),
+    # Structs are equal where their NULLs are, which keeps NULL targets and times in the join.
+    keyed = scans.select("scan_id", "target_path", "scan_timestamp").withColumn(
+        "_bucket", F.struct("target_path", F.date_trunc(bucket, "scan_timestamp").alias("start"))
     )
-
-
-def _scan_order_by_bucket(scans: DataFrame, bucket: str) -> DataFrame:
-    keyed = scans.withColumn("_bucket", F.date_trunc(bucket, "scan_timestamp"))
     order = F.struct("scan_timestamp", "scan_id")
-    inside = Window.partitionBy("target_path", "_bucket").orderBy("scan_timestamp", "scan_id")
-    buckets = keyed.groupBy("target_path", "_bucket").agg(
+    inside = Window.partitionBy("_bucket").orderBy("scan_timestamp", "scan_id")
+    buckets = keyed.groupBy("_bucket").agg(
         F.min_by("scan_id", order).alias("_first"), F.max_by("scan_id", order).alias("_last")
     )
-    across = Window.partitionBy("target_path").orderBy("_bucket")
+    across = Window.partitionBy("_bucket.target_path").orderBy("_bucket.start")
     around = buckets.select(
-        "target_path", "_bucket",
+        "_bucket",
         F.lag("_last").over(across).alias("_earlier"),
         F.lead("_first").over(across).alias("_later"),
     )
     return (
         keyed.withColumn("_previous", F.lag("scan_id").over(inside))
         .withColumn("_next", F.lead("scan_id").over(inside))
-        .join(around, ["target_path", "_bucket"])
+        .join(around, "_bucket")
         .select(
             "target_path", "scan_id", "scan_timestamp",
             F.coalesce("_previous", "_earlier").alias("previous_scan_id"),

@@ -54,10 +54,8 @@ def test_severity_shift(spark):
     assert row.risk_score_change == (3 - 1) + (2 - 4) + (0 - 1) + (4 - 0)
 
 
-@pytest.mark.parametrize("bucket", [None, "hour", "day", "month", "year"])
-def test_scan_order_in_every_bucket_size(spark, monkeypatch, bucket):
-    if bucket:
-        monkeypatch.setattr(his, "MAX_SCANS_PER_TASK", 3)
+@pytest.mark.parametrize("bucket", ["hour", "day", "month", "year"])
+def test_scan_order_in_every_bucket_size(spark, bucket):
     rows = []
     for n in range(60):
         rows.append((n, f"t{n % 7 % 3}", datetime(2024, 1 + n % 4, 1 + n * 5 % 28, n % 2)))
@@ -69,7 +67,9 @@ def test_scan_order_in_every_bucket_size(spark, monkeypatch, bucket):
                 ordered[at - 1][1] if at else None,
                 ordered[at + 1][1] if at + 1 < len(ordered) else None,
             )
-    got = his.scan_order(scans(spark, rows), bucket or "day").collect()
+    rows += [(100, None, datetime(2024, 1, 1)), (101, None, None), (102, "t9", None), (103, "t9", datetime(2024, 1, 1))]
+    expected |= {100: (101, None), 101: (None, 100), 102: (None, 103), 103: (102, None)}
+    got = his.scan_order(scans(spark, rows), bucket).collect()
     assert {r.scan_id: (r.previous_scan_id, r.next_scan_id) for r in got} == expected
 
 

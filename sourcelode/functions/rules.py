@@ -49,12 +49,15 @@ class Rule:
         foreign = ("(?P", r"\Z", "(?(", r"\N{", "(?=", "(?!", "(?<")
         if any(mark in self.pattern for mark in foreign):
             return False
-        if (r"\b", True) in _tokens(self.pattern):
+        tokens = list(_tokens(self.pattern))
+        # Combining marks are word characters in Java only; U+001C to U+001F are space in Python
+        # only, which can be mended for a plain \s alone.
+        if any(token in (r"\w", r"\W", r"\S") or (inside and token in (r"\b", r"\s")) for token, inside in tokens):
             return False
         # Empty matches are cut differently. Without its assertions a pattern matches "" if and
         # only if it can match an empty piece of some line.
         bare = "".join(
-            token for token, inside in _tokens(self.pattern)
+            token for token, inside in tokens
             if inside or token not in ("^", "$", r"\b", r"\B")
         )
         return re.compile(bare, re.IGNORECASE).search("") is None

@@ -192,12 +192,13 @@ def test_no_rule_can_fire(spark):
     [
         (r"\btodo\b", True), (r"^import\s+os$", True), (r"\b", False), (r"^\s*", False),
         (r"x*", False), (r"[^)]+$", True), (r"a(?=b)", False), (r"(?P<n>a)", False), (r"[\b]x?", False),
+        (r"ab\w+z", False), (r"a[\s]b", False), (r"a\S+b", False), (r"a\W", False), (r"a\sb", True),
     ],
 )
 def test_which_rules_run_natively(spark, pattern, native):
     rule = Rule("r", "t", pattern, "LOW", "HIGH")
     assert rule.native is native
-    text = "import os\n todo, TODOs a)b) ab xx\n  import os"
+    text = "import os\n todo, TODOs a)b) ab xx\n  import os\nabe\u0301z abez a\x1cb a b a-b"
     source = spark.createDataFrame([("a.py", "python", text)], "file_path string, language string, content string")
     family = Family("F", "", "LOW", None, (), (rule,))
     found = places(det.match_rules(source, families=(family,)))

@@ -130,15 +130,19 @@ def _(t):
     return t("raw_paths").select("path_id", pth.sanitize_path("raw_path").alias("safe_path"))
 
 
+# Every document as a blob; one path in seven is not allowed.
+_BLOB_PATH = "concat(CASE doc_id % 7 WHEN 3 THEN '../' WHEN 5 THEN '.github/' ELSE 'src/' END, 'f', CAST(doc_id AS varchar), '.py')"
+
+
 @query(
     "repo_file_limit",
-    f"""SELECT p.path_id AS file_id, {_SAFE_PATH} AS file_path, md5(d.text) AS content_hash FROM documents d
- JOIN raw_paths p ON d.doc_id = p.path_id WHERE strlen(d.text) <= 20000 AND {_SAFE_PATH} IS NOT NULL""",
-    ["raw_paths"],
+    f"""SELECT doc_id AS file_id, {_SAFE_PATH} AS file_path, md5(text) AS content_hash FROM
+ (SELECT doc_id, text, {_BLOB_PATH} AS raw_path FROM documents) WHERE strlen(text) <= 20000 AND {_SAFE_PATH} IS NOT NULL""",
 )
 def _(t):
-    blobs = t("documents").join(t("raw_paths"), F.col("doc_id") == F.col("path_id")).select(
-        F.col("doc_id").alias("file_id"), F.col("raw_path").alias("file_path"),
+    path = F.expr(_BLOB_PATH.replace("varchar", "string"))
+    blobs = t("documents").select(
+        F.col("doc_id").alias("file_id"), path.alias("file_path"),
         F.base64(F.col("text").cast("binary")).alias("blob"),
     )
     return repos.decode_blobs(blobs, 20000).select(
@@ -240,7 +244,7 @@ def _redact_sql(column: str) -> str:
 
 @query("redact", f"SELECT doc_id, {_redact_sql('text')} AS redacted FROM documents")
 def _(t):
-    return t.wide("documents", "doc_id").select("doc_id", txt.redact("text").alias("redacted"))
+    return t("documents").select("doc_id", txt.redact("text").alias("redacted"))
 
 
 @query("redact_conversations", f"SELECT conv_id, turn, {_redact_sql('text')} AS redacted FROM conversations")

@@ -73,10 +73,10 @@ def _src_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def spread(spark: SparkSession, table: DataFrame, key: str) -> DataFrame:
-    """Text and grouping work costs more than reading, so a table in fewer files than cores is
-    spread before it; a table in many files is left where it is."""
+    """Text and grouping work costs more than reading, so a table that Spark reads in fewer tasks
+    than there are cores is spread before it; large files are read in many tasks."""
     cores = spark.sparkContext.defaultParallelism
-    return table.repartition(cores, key) if len(table.inputFiles()) < cores else table
+    return table.repartition(cores, key) if table.rdd.getNumPartitions() < cores else table
 
 
 def src_files_of(spark: SparkSession, sf_dir: str, documents: DataFrame) -> DataFrame:

@@ -10,6 +10,16 @@ from pyspark.sql import functions as F
 LEVELS = ("domain", "lang", "source")
 #: Hex digits of the order key that number a leaf's slices; 16**3 slices per leaf.
 SLICE_DIGITS = 3
+#: Tasks among which the rows of a leaf are dealt when they meet its budget.
+SALTS = 32
+
+
+def _with_leaf(rows: DataFrame, leaves: DataFrame, path: list[str]) -> DataFrame:
+    """``rows`` joined to the one row of their leaf; a leaf may hold any share of all rows, so its
+    rows are dealt to ``SALTS`` tasks by doc_id and its row is repeated for each."""
+    dealt = rows.withColumn("mix_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    copies = leaves.withColumn("mix_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return dealt.join(copies, [*path, "mix_salt"]).drop("mix_salt")
 
 
 def count_tokens(text: Column) -> Column:
@@ -111,7 +121,7 @@ def mix(
     key = lambda epoch: F.md5(F.concat(F.lit(f"{seed}:"), epoch.cast("string"), F.lit(":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
     path = [f"mix_{x}" for x in LEVELS]
     named = lambda c: F.coalesce(c.cast("string"), F.lit("unknown"))
-    docs = docs.drop(*path, "mix_tokens", "mix_epoch", "mix_take")
+    docs = docs.drop(*path, "mix_tokens", "mix_epoch", "mix_take", "mix_salt")
     marked = docs.select(
         "*", named(domain).alias(path[0]), named(F.col("lang")).alias(path[1]), named(F.col("source")).alias(path[2]),
         count_tokens(F.col("text")).alias("mix_tokens"),
@@ -123,7 +133,7 @@ def mix(
     plan = leaf_budgets(leaves, share, max_epochs, level_weights).select(
         *LEVELS, F.expr("budget div tokens").alias("epochs"), (F.col("budget") % F.col("tokens")).alias("rest")
     )
-    keyed = light.join(plan.where("rest > 0"), list(LEVELS)).withColumn("key", key(F.col("epochs")))
+    keyed = _with_leaf(light, plan.where("rest > 0"), list(LEVELS)).withColumn("key", key(F.col("epochs")))
     units = keyed.withColumn("slice", F.substring("key", 1, SLICE_DIGITS))
     slices = units.groupBy(*LEVELS, "slice").agg(F.sum("n").alias("n"), F.first("rest").alias("rest"))
     running = Window.partitionBy(*LEVELS).orderBy("slice")
@@ -141,7 +151,7 @@ def mix(
     )
     whole = plan.join(last, list(LEVELS), "left").select(*(F.col(x).alias(p) for p, x in zip(path, LEVELS, strict=True)), "epochs", "end_key", "end_take")
     row_key = key(F.col("epochs"))
-    taken = marked.join(whole, path).withColumn("row_key", F.when(F.col("end_key").isNotNull(), row_key))
+    taken = _with_leaf(marked, whole, path).withColumn("row_key", F.when(F.col("end_key").isNotNull(), row_key))
     count = F.col("epochs") + F.coalesce((F.col("row_key") <= F.col("end_key")).cast("bigint"), F.lit(0))
     taken = taken.withColumn("copies", count).where(F.col("copies") > 0)
     taken = taken.withColumn("mix_epoch", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("copies") - 1)))

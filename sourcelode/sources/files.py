@@ -11,6 +11,8 @@ from sourcelode.options import ScanOptions
 from sourcelode.schemas import PATHS
 
 READ_BATCH_BYTES = 32 * 1024 * 1024
+# Lasting states of a path: it is passed over. Any other error fails the task.
+SKIPPED = (FileNotFoundError, PermissionError, IsADirectoryError, NotADirectoryError)
 
 
 def _tasks(spark: SparkSession, tasks: int | None) -> int:
@@ -47,7 +49,7 @@ def list_files(
                     fs.LocalFileSystem(), top)
                 try:
                     found = system.get_file_info(fs.FileSelector(path, recursive=False))
-                except OSError:
+                except SKIPPED:
                     return
                 local = isinstance(system, fs.LocalFileSystem)
                 for info in found:
@@ -151,7 +153,10 @@ def cap_files(paths: DataFrame, limit: int, per: str | None = None) -> DataFrame
 
 
 def read_bytes(paths: DataFrame, tasks: int | None = None) -> DataFrame:
-    """Add the bytes of every file that exists, in batches of bounded size."""
+    """Add the bytes of every file that exists and may be read, in batches of bounded size.
+
+    Other errors, such as a store that answers too slowly, fail the task, which Spark repeats.
+    """
     spark = paths.sparkSession
     shape = "root string, file_path string, length long, modified timestamp, content binary"
     most = READ_BATCH_BYTES
@@ -169,7 +174,7 @@ def read_bytes(paths: DataFrame, tasks: int | None = None) -> DataFrame:
                         fs.LocalFileSystem(), path)
                     with system.open_input_stream(inner) as stream:
                         data = stream.read()
-                except OSError:
+                except SKIPPED:
                     continue
                 rows.append((root, path, len(data), modified, data))
                 held += len(data)

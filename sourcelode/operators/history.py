@@ -103,16 +103,11 @@ def _accuracy() -> Column:
     return F.when(right + wrong > 0, right / (right + wrong))
 
 
-def merge_pattern_usage(totals: DataFrame, latest: DataFrame) -> DataFrame:
-    """Add new counters to stored ones: both tables have one row per rule."""
-    columns = [
-        "pattern_name", "times_triggered", "true_positives", "false_positives", "avg_severity",
-        "first_used", "last_used",
-    ]
-    both = totals.select(*columns).unionByName(latest.select(*columns))
+def sum_pattern_usage(counters: DataFrame) -> DataFrame:
+    """Counters of several periods or loads -> one row per rule."""
     weighted = F.sum(F.col("avg_severity") * F.col("times_triggered"))
     return (
-        both.groupBy("pattern_name")
+        counters.groupBy("pattern_name")
         .agg(
             (weighted / F.sum("times_triggered")).alias("avg_severity"),
             F.sum("times_triggered").alias("times_triggered"),
@@ -125,6 +120,15 @@ def merge_pattern_usage(totals: DataFrame, latest: DataFrame) -> DataFrame:
     )
 
 
+def merge_pattern_usage(totals: DataFrame, latest: DataFrame) -> DataFrame:
+    """Add new counters to stored ones: both tables have one row per rule."""
+    columns = [
+        "pattern_name", "times_triggered", "true_positives", "false_positives", "avg_severity",
+        "first_used", "last_used",
+    ]
+    return sum_pattern_usage(totals.select(*columns).unionByName(latest.select(*columns)))
+
+
 def top_patterns(usage: DataFrame, limit: int = 50) -> DataFrame:
     return usage.orderBy(F.desc("times_triggered"), "pattern_name").limit(limit)
 

@@ -1,10 +1,8 @@
-"""Writing results and keeping the scan history as Parquet tables."""
+"""Writing results as JSON, CSV and appended logs."""
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from sourcelode.operators.reports import sarif_documents, scan_documents
-from sourcelode.operators.summary import languages_detected, severity_counts
-from sourcelode.schemas import SCAN_RECORDS, VULNERABILITY_RECORDS
 
 
 def write_json(scans: DataFrame, findings: DataFrame, path: str, **options) -> None:
@@ -29,82 +27,9 @@ def export_csv(table: DataFrame, path: str, separator: str = ",") -> None:
     table.select(*flat).write.option("header", True).option("sep", separator).csv(path)
 
 
-def _shaped(df: DataFrame, schema) -> DataFrame:
-    """Columns of ``schema`` in its order and types; absent ones are NULL."""
-    return df.select(
-        *[
-            (F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name)
-            for f in schema
-        ]
-    )
+def append_usage(usage: DataFrame, path: str, batch) -> None:
+    """Add token usage rows to the log below ``path``.
 
-
-class HistoryStore:
-    """``scan_records`` and ``vulnerability_records`` below one folder, partitioned by period.
-
-    ``period`` is ``month`` or ``day``; a load of many old scans should not use ``day``.
+    Every batch owns a folder: a batch that is written again replaces itself.
     """
-
-    def __init__(self, spark: SparkSession, path: str, period: str = "month"):
-        self.spark, self.path, self.period = spark, path.rstrip("/"), period
-
-    def _append(self, table: DataFrame, name: str, stamp: str, sort=()):
-        """Adaptive execution evens out the files: a busy period is split, quiet ones share tasks."""
-        dated = table.withColumn(
-            "scan_period", F.date_trunc(self.period, stamp).cast("date")
-        ).hint("rebalance", "scan_period")
-        dated.sortWithinPartitions("scan_period", *sort).write.mode("append").partitionBy(
-            "scan_period"
-        ).parquet(f"{self.path}/{name}")
-
-    def _read(self, name: str, schema) -> DataFrame:
-        return self.spark.read.schema(schema.add("scan_period", "date")).parquet(f"{self.path}/{name}")
-
-    def scans(self) -> DataFrame:
-        return self._read("scan_records", type(SCAN_RECORDS)(list(SCAN_RECORDS)))
-
-    def findings(self) -> DataFrame:
-        return self._read(
-            "vulnerability_records", type(VULNERABILITY_RECORDS)(list(VULNERABILITY_RECORDS))
-        )
-
-    def save(self, scans: DataFrame, findings: DataFrame, persist_vulnerabilities: bool = True):
-        """Append scans with their counts and languages, then the findings of those scans.
-
-        The finding's path and language come from its location. Findings of unknown scans are
-        dropped by the join that brings the scan date.
-        """
-        counts = severity_counts(findings)
-        facts = scans.drop(*[c for c in counts.columns if c != "scan_id"], "languages_detected")
-        complete = (
-            facts.join(counts, "scan_id", "left")
-            .na.fill(0, [c for c in counts.columns if c != "scan_id"])
-            .join(languages_detected(findings), "scan_id", "left")
-            .withColumn(
-                "languages_detected",
-                F.coalesce("languages_detected", F.array().cast("array<string>")),
-            )
-        )
-        if "id" not in complete.columns:
-            complete = complete.withColumn("id", F.sha2(F.col("scan_id").cast("string"), 256))
-        if "target_type" not in complete.columns:
-            complete = complete.withColumn("target_type", F.lit("directory"))
-        self._append(_shaped(complete, SCAN_RECORDS), "scan_records", "scan_timestamp")
-        if persist_vulnerabilities:
-            rows = findings.join(
-                scans.select("scan_id", F.col("scan_timestamp").alias("_at")), "scan_id"
-            )
-            for name, value in (
-                ("status", F.lit("open")),
-                ("ai_analyzed", F.coalesce("ai_explanation", F.lit("")) != ""),
-                ("explanation", F.col("ai_explanation")),
-                ("false_positive_probability", F.col("false_positive_likelihood")),
-                ("created_at", F.col("_at")),  # also dates the partition
-                ("updated_at", F.col("_at")),
-            ):
-                if name not in rows.columns:
-                    rows = rows.withColumn(name, value)
-            self._append(
-                _shaped(rows, VULNERABILITY_RECORDS), "vulnerability_records", "created_at",
-                ("severity",),
-            )
+    usage.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={batch}")

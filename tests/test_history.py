@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sourcelode.operators import groups, history as his, reports as rep, summary as agg, usage as use
 from sourcelode.schemas import SCAN_RECORDS
-from sourcelode.sources.sinks import HistoryStore
+from sourcelode.sources.store import HistoryStore
 
 FIND = "scan_id long, finding_id long, vulnerability_type string, severity string, file_path string, line_number long"
 
@@ -210,6 +210,83 @@ def test_history_store(spark, tmp_path):
     assert {r.status for r in store.findings().collect()} == {"open"}
 
 
+def stored(spark, path):
+    """Two old scans and a new one with a finding each, the old ones of one period."""
+    store = HistoryStore(spark, str(path), "month")
+    known = scans(spark, [(1, "t", datetime(2023, 9, 1)), (2, "t", datetime(2023, 9, 2)), (3, "t", day(3))])
+    rows = findings(spark, [(n, n, "a", "HIGH", "x.py", 3) for n in (1, 2, 3)])
+    rows = rows.withColumnRenamed("finding_id", "id").withColumns({
+        "ai_explanation": F.lit(None).cast("string"), "false_positive_likelihood": F.lit(None).cast("double"),
+    })
+    store.save(known, rows)
+    return store, known, rows
+
+
+def test_saving_again_replaces(spark, tmp_path):
+    store, known, rows = stored(spark, tmp_path / "h")
+    store.save(known, rows)
+    assert sorted(r.scan_id for r in store.scans().collect()) == ["1", "2", "3"]
+    assert store.findings().count() == 3
+    # Scan 2 moves to another month and loses its finding; scan 1 shares its old period.
+    store.save(scans(spark, [(2, "t", day(9))]), rows.where("scan_id = 7"))
+    got = {r.scan_id: (r.scan_period.month, r.total_vulnerabilities) for r in store.scans().collect()}
+    assert got == {"1": (9, 1), "2": (1, 0), "3": (1, 1)}
+    assert sorted(r.scan_id for r in store.findings().collect()) == ["1", "3"]
+
+
+def test_stored_scan_without_time(spark, tmp_path):
+    store, _, rows = stored(spark, tmp_path / "h")
+    for _ in range(2):
+        store.save(scans(spark, [(8, "t", None)]), rows.withColumn("scan_id", F.lit(8)))
+    assert store.scans().where("scan_id = '8'").count() == 1
+    assert store.findings().where("scan_id = '8'").count() == 3
+
+
+def test_stored_status(spark, tmp_path):
+    store, _, _ = stored(spark, tmp_path / "h")
+    updates = spark.createDataFrame(
+        [(1, "fixed", day(20), 1, "abc"), (9, "fixed", day(20), 1, "x")],
+        "id long, status string, updated_at timestamp_ntz, seq long, fixed_in_commit string",
+    )
+    store.update_status(updates)
+    got = {r.id: (r.status, r.fixed_in_commit) for r in store.findings().collect()}
+    assert got == {"1": ("fixed", "abc"), "2": ("open", None), "3": ("open", None)}
+
+
+def test_expiry_takes_children_along(spark, tmp_path):
+    store, _, _ = stored(spark, tmp_path / "h")
+    archive = HistoryStore(spark, str(tmp_path / "a"), "month")
+    pairs = [("1", "2", day(1)), ("2", "3", day(1)), ("3", "4", day(1))]
+    store.put("scan_comparisons", spark.createDataFrame(
+        pairs, "baseline_scan_id string, current_scan_id string, comparison_timestamp timestamp_ntz"
+    ))
+    metrics = [("1", "openai", None, 2), ("3", "openai", None, 5)]
+    frame = spark.createDataFrame(metrics, "scan_id string, provider string, model string, total_requests long")
+    store.put("usage_metrics", frame)
+    store.put("usage_metrics", frame)  # no time, no model: still replaced, not added
+    assert store.table("usage_metrics").count() == 2
+    for _ in range(2):
+        store.expire("2024-01-10", 90, archive)
+    assert [r.scan_id for r in store.scans().collect()] == ["3"]
+    assert [r.id for r in store.findings().collect()] == ["3"]
+    assert [(r.baseline_scan_id) for r in store.table("scan_comparisons").collect()] == ["3"]
+    assert [r.scan_id for r in store.table("usage_metrics").collect()] == ["3"]
+    assert sorted(r.scan_id for r in archive.scans().collect()) == ["1", "2"]
+    assert sorted(r.id for r in archive.findings().collect()) == ["1", "2"]
+    assert archive.table("scan_comparisons").count() == 2
+    assert [r.total_requests for r in archive.table("usage_metrics").collect()] == [2]
+
+
+def test_empty_store(spark, tmp_path):
+    store = HistoryStore(spark, str(tmp_path / "none"))
+    assert store.scans().count() == 0 and store.pattern_usage().count() == 0
+    store.expire("2024-01-10")
+    store.save(scans(spark, []), findings(spark, []).withColumnRenamed("finding_id", "id").withColumns({
+        "ai_explanation": F.lit(None).cast("string"), "false_positive_likelihood": F.lit(None).cast("double"),
+    }))
+    assert store.findings().count() == 0
+
+
 def usage(spark, rows):
     return spark.createDataFrame(
         rows, "provider string, model string, prompt_tokens long, completion_tokens long"

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 from sourcelode.operators import history as his, summary as agg
 from sourcelode.session import scratch_path
 from sourcelode.sources.repos import repo_metadata
-from sourcelode.sources.sinks import HistoryStore, export_csv
+from sourcelode.sources.sinks import export_csv
+from sourcelode.sources.store import HistoryStore
 from workload.registry import query, sql_case
 from sourcelode.functions.lookups import FINDING_LANGUAGES, SEVERITY_RANK
 
@@ -91,6 +92,14 @@ def _(t):
     )
 
 
+def saved_history(t):
+    """A store of its own with all scans and findings of the test tables."""
+    store = HistoryStore(t.spark, scratch_path(t.spark, "history"), "year")
+    findings = t(VULNS).withColumnRenamed("finding_id", "id").withColumn("ai_explanation", F.lit(None).cast("string"))
+    store.save(t(SCANS), findings.withColumn("false_positive_likelihood", F.lit(None).cast("double")))
+    return store
+
+
 @query(
     "save_scan",
     f"""SELECT s.scan_id, count(v.scan_id) AS total_vulnerabilities,
@@ -100,9 +109,7 @@ def _(t):
     BOTH,
 )
 def _(t):
-    store = HistoryStore(t.spark, scratch_path(t.spark, "history"), "year")
-    findings = t(VULNS).withColumnRenamed("finding_id", "id").withColumn("ai_explanation", F.lit(None).cast("string"))
-    store.save(t(SCANS), findings.withColumn("false_positive_likelihood", F.lit(None).cast("double")))
+    store = saved_history(t)
     stored = store.findings().groupBy("scan_id").agg(F.count(F.lit(1)).alias("stored_findings"))
     return (
         store.scans().join(stored, "scan_id", "left").na.fill(0, ["stored_findings"])
@@ -202,6 +209,18 @@ def _(t):
     return his.top_patterns(usage(t)).select("pattern_name", "times_triggered")
 
 
+@query("stored_pattern_usage", "SELECT * FROM usage", [VULNS], _USAGE)
+def _(t):
+    """Counters of two periods stored, one of them twice, and read back as one row per rule."""
+    store = HistoryStore(t.spark, scratch_path(t.spark, "history"), "year")
+    early = F.col("created_at") < F.lit("1995-06-17").cast("timestamp_ntz")
+    for chosen, start in ((early, "1992-01-01"), (~early, "1995-06-17"), (~early, "1995-06-17")):
+        rows = his.pattern_usage(t(VULNS).where(chosen))
+        start = F.lit(start).cast("timestamp_ntz")
+        store.put("pattern_usage", rows.withColumn("stats_period_start", start))
+    return _shown(store.pattern_usage())
+
+
 @query("patterns_by_accuracy", "SELECT pattern_name, accuracy_rate FROM usage", [VULNS], _USAGE)
 def _(t):
     return his.patterns_by_accuracy(usage(t)).select("pattern_name", "accuracy_rate")
@@ -295,6 +314,22 @@ def _(t):
     )
 
 
+@query(
+    "stored_comparisons",
+    f"SELECT baseline_scan_id, current_scan_id, {_NUMBERS}, risk_score_change, overall_trend FROM trend",
+    BOTH,
+    _TREND,
+)
+def _(t):
+    """All comparisons stored and read back."""
+    store = HistoryStore(t.spark, scratch_path(t.spark, "history"), "year")
+    store.put("scan_comparisons", trend(t).withColumn("comparison_timestamp", F.col("scan_timestamp")))
+    return store.table("scan_comparisons").select(
+        *[F.col(name).cast("long").alias(name) for name in ("baseline_scan_id", "current_scan_id")],
+        *_NUMBERS.split(", "), "risk_score_change", "overall_trend",
+    )
+
+
 @query(
     "severity_shift",
     "SELECT current_scan_id, severity_increased, severity_decreased, risk_score_change FROM trend",
@@ -400,6 +435,43 @@ def _(t):
     return changed.withColumn("fixed_at", F.date_format("fixed_at", "yyyy-MM-dd"))
 
 
+@query(
+    "stored_status",
+    STATUS_SQL,
+    [VULNS],
+    _UPDATES,
+)
+def _(t):
+    """Status updates written into the stored findings."""
+    store = saved_history(t)
+    store.update_status(status_updates(t).withColumn("id", F.col("finding_id").cast("string")))
+    return store.findings().select(
+        F.col("id").cast("long").alias("finding_id"), "status",
+        F.date_format("fixed_at", "yyyy-MM-dd").alias("fixed_at"), "fixed_in_commit",
+    )
+
+
+@query(
+    "stored_retention",
+    f"""SELECT scan_timestamp < TIMESTAMP '{AS_OF}' - INTERVAL 90 DAY AS archived, s.scan_id, count(v.finding_id) AS findings
+ FROM scan_records s LEFT JOIN vulnerability_records v ON s.scan_id = v.scan_id GROUP BY 1, 2""",
+    BOTH,
+)
+def _(t):
+    """Old scans moved to an archive with their findings."""
+    store = saved_history(t)
+    archive = HistoryStore(t.spark, scratch_path(t.spark, "archive"), "year")
+    store.expire(AS_OF, 90, archive)
+    parts = []
+    for archived, place in ((True, archive), (False, store)):
+        found = place.findings().groupBy("scan_id").agg(F.count(F.lit(1)).alias("findings"))
+        parts.append(
+            place.scans().join(found, "scan_id", "left").na.fill(0, ["findings"])
+            .select(F.lit(archived).alias("archived"), F.col("scan_id").cast("long").alias("scan_id"), "findings")
+        )
+    return parts[0].unionByName(parts[1])
+
+
 @query(
     "orphan_guard",
     """SELECT usage_id, u.scan_id, s.scan_id IS NOT NULL AS kept FROM llm_usage u LEFT JOIN scan_records s ON u.scan_id = s.scan_id""",

@@ -4,6 +4,9 @@ from pyspark.sql import functions as F
 
 from sourcelode.functions.lookups import PRICES
 from sourcelode.operators import usage as use
+from sourcelode.session import scratch_path
+from sourcelode.sources.sinks import append_usage
+from sourcelode.sources.store import HistoryStore
 from workload.registry import literal, query
 
 USAGE = ["llm_usage"]
@@ -69,11 +72,12 @@ def _(t):
     PRICED,
 )
 def _(t):
-    """Usage appended in two steps, then summed: totals equal those of the whole."""
-    rows = t("llm_usage")
-    early = rows.where(F.col("completion_tokens") < 250)
-    late = rows.where(F.col("completion_tokens") >= 250)
-    return use.cost_summary(early.unionByName(late))
+    """Usage appended to a log in two batches, one of them twice, then summed from the log."""
+    rows, path = t("llm_usage"), scratch_path(t.spark, "usage")
+    early = F.col("completion_tokens") < 250
+    for batch, chosen in ((0, early), (1, ~early), (1, ~early)):
+        append_usage(rows.where(chosen), path, batch)
+    return use.cost_summary(t.spark.read.parquet(path))
 
 
 @query(
@@ -112,8 +116,14 @@ _METRICS = """metrics AS (SELECT scan_id, provider, model, count(*) AS total_req
     f"{PRICED},\n{_METRICS}",
 )
 def _(t):
-    return use.save_usage(t("llm_usage"), t("scan_records")).withColumn(
-        "estimated_cost", F.round("estimated_cost", 10)
+    """Metrics stored in the history, dated by their scan, and read back."""
+    store = HistoryStore(t.spark, scratch_path(t.spark, "history"), "year")
+    dates = t("scan_records").select("scan_id", F.col("scan_timestamp").alias("created_at"))
+    store.put("usage_metrics", use.save_usage(t("llm_usage"), t("scan_records")).join(dates, "scan_id"))
+    return store.table("usage_metrics").select(
+        F.col("scan_id").cast("long").alias("scan_id"), "provider", "model", "total_requests",
+        "successful_requests", "failed_requests", "prompt_tokens", "completion_tokens",
+        "total_tokens", F.round("estimated_cost", 10).alias("estimated_cost"),
     )
 
 

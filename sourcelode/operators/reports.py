@@ -14,7 +14,6 @@ from sourcelode.functions.lookups import (
     REPORT_VERSION,
 )
 from sourcelode.functions.paths import as_column, lookup, mime_type
-from sourcelode.operators.groups import MAX_PER_PART, part_counts, with_part
 from sourcelode.operators.summary import severity_rank
 
 TOOL_NAME = "sourcelode"
@@ -45,12 +44,9 @@ def _given(text) -> Column:
     return F.when(column != "", column)
 
 
-def sarif_result(row=None, related=None) -> Column:
-    """A finding as SARIF result struct; NULL fields vanish in ``to_json``.
-
-    The finding is the current row, or the struct ``row``.
-    """
-    get = F.col if row is None else row.getField
+def sarif_result(related=None) -> Column:
+    """The row's finding as SARIF result struct; NULL fields vanish in ``to_json``."""
+    get = F.col
     region = F.struct(
         get("line_number").alias("startLine"),
         get("column_number").alias("startColumn"),
@@ -185,96 +181,101 @@ _REST = (
 )
 
 
-def _grouped(findings: DataFrame, max_per_part: int) -> DataFrame:
-    """Findings of each scan part in finding order, with the part's files.
+# Sections of a written scan, in this order.
+HEAD, ARTIFACTS, RESULTS_HEAD, RESULTS, TAIL = range(5)
 
-    Plain fields travel through the shuffle; the much longer JSON is made after it.
-    """
-    parted = with_part(findings, ["scan_id"], "id", max_per_part)
-    # Maps have no order; as a list of entries the metadata can be in a sorted struct.
-    item = F.struct(*_ORDER, *_REST, F.map_entries("metadata").alias("metadata"))
-    return parted.groupBy("scan_id", "part").agg(
-        F.sort_array(F.collect_list(item)).alias("_items"),
-        F.sort_array(F.collect_set("file_path")).alias("_files"),
-    )
 
+def _in_order(scans: DataFrame, findings: DataFrame, heads: dict, artifacts: bool):
+    """The rows of all scans' documents in writing order: texts around lists, and list entries.
 
-def _json_list(build) -> Column:
-    """The collected findings as comma-separated JSON texts."""
-    texts = F.transform("_items", lambda row: F.to_json(build(row)))
-    return F.array_join(F.coalesce(texts, F.array().cast("array<string>")), ",")
+    Columns ``scan_id``, ``section``, the finding's fields (of a file: its path), ``_first`` (entry
+    that needs no comma before it) and ``_text`` (a text that is no entry). ``heads`` has the text
+    column of each section that is one.
 
-
-def _scan_parts(scans: DataFrame, findings: DataFrame, max_per_part: int) -> DataFrame:
-    """Each scan once per part; scans without findings have one."""
-    counts = part_counts(findings, ["scan_id"], max_per_part)
-    joined = scans.join(counts, "scan_id", "left")
-    last = F.coalesce(F.col("_parts"), F.lit(1)) - 1
-    return joined.withColumn("part", F.explode(F.sequence(F.lit(0), last))).withColumn(
-        "part", F.col("part").cast("long")
+    The smallest finding of a scan is an aggregate, so no scan is ever gathered: findings meet one
+    row per scan (which also drops those of unknown scans) and are range-sorted. Plain fields
+    travel; the longer JSON is made after the sort. Repeated rows need a ``_row`` number.
+    """
+    order = [*_ORDER, *[name for name in ("_row",) if name in findings.columns]]
+    place = F.struct(*order)
+    first = findings.groupBy("scan_id").agg(F.min(place).alias("_least"))
+    entries = findings.select("scan_id", *order, *_REST, "metadata").join(
+        first.join(scans.select("scan_id"), "scan_id"), "scan_id"
     )
+    parts = [
+        entries.withColumns({"section": F.lit(RESULTS), "_first": place.eqNullSafe(F.col("_least"))})
+    ]
+    if artifacts:
+        is_first = F.col("file_path").eqNullSafe(F.col("_least.file_path"))
+        parts.append(
+            entries.select("scan_id", "file_path", is_first.alias("_first")).distinct()
+            .withColumn("section", F.lit(ARTIFACTS))
+        )
+    around = [F.struct(F.lit(at).alias("section"), text.alias("_text")) for at, text in heads.items()]
+    parts.append(scans.select("scan_id", F.inline(F.array(*around))))
+    rows = parts[0].drop("_least")
+    for part in parts[1:]:
+        rows = rows.unionByName(part, allowMissingColumns=True)
+    return rows.orderBy("scan_id", "section", *order)
+
+
+def _entry(build) -> Column:
+    """JSON of a list entry, after a comma unless it is the first of its list."""
+    return F.concat(F.when(F.col("_first"), "").otherwise(","), F.to_json(build))
 
 
-def sarif_documents(scans: DataFrame, findings: DataFrame, max_per_part: int = MAX_PER_PART):
-    """SARIF documents, one per scan; a scan over ``max_per_part`` findings gets several.
+def sarif_lines(scans: DataFrame, findings: DataFrame) -> DataFrame:
+    """SARIF documents as sorted lines (``scan_id``, ``section``, ``line``).
 
-    Every finding is in exactly one document, and no document needs more than a part in memory.
+    The lines of a scan, one after the other, are its document: an envelope, one line per file
+    and one per finding, in the order of file, line, column, type and id. Scans follow one
+    another by id. A scan of any size is as many lines, in as many tasks as it takes.
     """
-    grouped = _grouped(findings, max_per_part)
-    parts = _scan_parts(scans, findings, max_per_part).join(grouped, ["scan_id", "part"], "left")
-    files = F.coalesce("_files", F.array().cast("array<string>"))
-    artifacts = F.transform(
-        files,
-        lambda path: F.struct(
-            F.struct(path.alias("uri"), F.lit("%SRCROOT%").alias("uriBaseId")).alias("location"),
-            mime_type(path).alias("mimeType"),
-            F.array(F.lit("analysisTarget")).alias("roles"),
-        ),
-    )
-    head = F.to_json(
+    rest = F.to_json(
         F.struct(
             F.array(invocation()).alias("invocations"),
-            artifacts.alias("artifacts"),
             F.lit("unicodeCodePoints").alias("columnKind"),
             provenance().alias("versionControlProvenance"),
         )
     )
-    run = F.concat(
-        F.lit(f'{{"tool":{tool_json()},'), F.substring(head, F.lit(2), F.length(head) - 2),
-        F.lit(',"results":['), _json_list(sarif_result), F.lit("]}"),
+    head = F.concat(
+        F.lit(f'{{"$schema":"{REPORT_SCHEMA_URI}","version":"{REPORT_VERSION}","runs":['),
+        F.lit(f'{{"tool":{tool_json()},'), F.substring(rest, F.lit(2), F.length(rest) - 2),
+        F.lit(',"artifacts":['),
     )
-    return parts.select(
-        "scan_id", "part",
-        F.concat(
-            F.lit(f'{{"$schema":"{REPORT_SCHEMA_URI}","version":"{REPORT_VERSION}","runs":['),
-            run, F.lit("]}"),
-        ).alias("document"),
+    rows = _in_order(
+        scans, findings, {HEAD: head, RESULTS_HEAD: F.lit('],"results":['), TAIL: F.lit("]}]}")},
+        artifacts=True,
     )
+    artifact = F.struct(
+        F.struct(
+            F.col("file_path").alias("uri"), F.lit("%SRCROOT%").alias("uriBaseId")
+        ).alias("location"),
+        mime_type("file_path").alias("mimeType"),
+        F.array(F.lit("analysisTarget")).alias("roles"),
+    )
+    line = (
+        F.when(F.col("section") == RESULTS, _entry(sarif_result()))
+        .when(F.col("section") == ARTIFACTS, _entry(artifact))
+        .otherwise(F.col("_text"))
+    )
+    return rows.select("scan_id", "section", line.alias("line"))
 
 
-def finding_json(row) -> Column:
-    """A collected finding as nested JSON fields."""
+def finding_json() -> Column:
+    """A finding as nested JSON fields."""
     place = ("file_path", "line_number", "column_number", "end_line_number", "end_column_number")
-    plain = [row[name].alias(name) for name in ("id", "vulnerability_type", *_REST) if name not in place]
-    return F.struct(
-        *plain,
-        F.struct(*[row[name].alias(name) for name in place]).alias("location"),
-        F.map_from_entries(row["metadata"]).alias("metadata"),
-    )
+    plain = [name for name in ("id", "vulnerability_type", *_REST) if name not in place]
+    return F.struct(*plain, F.struct(*place).alias("location"), "metadata")
 
 
-def scan_documents(scans: DataFrame, findings: DataFrame, max_per_part: int = MAX_PER_PART):
-    """Scan results as JSON documents, split like :func:`sarif_documents`."""
-    grouped = _grouped(findings, max_per_part)
-    parts = _scan_parts(scans, findings, max_per_part).join(grouped, ["scan_id", "part"], "left")
+def scan_lines(scans: DataFrame, findings: DataFrame) -> DataFrame:
+    """Scan results as JSON documents in sorted lines, built like :func:`sarif_lines`."""
     head = F.to_json(F.struct(*scans.columns), {"ignoreNullFields": "false"})
-    return parts.select(
-        "scan_id", "part",
-        F.concat(
-            F.substring(head, F.lit(1), F.length(head) - 1), F.lit(',"vulnerabilities":['),
-            _json_list(finding_json), F.lit("]}"),
-        ).alias("document"),
-    )
+    opened = F.concat(F.substring(head, F.lit(1), F.length(head) - 1), F.lit(',"vulnerabilities":['))
+    rows = _in_order(scans, findings, {HEAD: opened, TAIL: F.lit("]}")}, artifacts=False)
+    line = F.when(F.col("section") == RESULTS, _entry(finding_json())).otherwise(F.col("_text"))
+    return rows.select("scan_id", "section", line.alias("line"))
 
 
 def severity_report(findings: DataFrame, description: str = "description") -> DataFrame:
@@ -327,30 +328,15 @@ def _finding_lines() -> Column:
     return F.concat(F.concat_ws("\n", *text), F.lit("\n"))
 
 
-def check_details(scans: DataFrame, findings: DataFrame, max_per_part: int = MAX_PER_PART):
-    """Markdown sections: one header per scan (NULL file), then one section per file part.
+def check_details(scans: DataFrame, findings: DataFrame) -> DataFrame:
+    """Markdown report as sorted texts: a header per scan (NULL file), a header per file, then a
+    text per finding.
 
-    The line formats are fixed values.
-
-    Sections in the order scan, file (NULL first), part, joined by line breaks, are the report.
+    The texts of a scan, joined by line breaks, are its report. The line formats are fixed values.
     """
-    parted = with_part(findings, ["scan_id", "file_path"], "id", max_per_part)
-    item = F.struct(
-        "line_number", "column_number", "vulnerability_type", "id", _finding_lines().alias("text")
-    )
-    sections = (
-        parted.groupBy("scan_id", "file_path", "part")
-        .agg(F.sort_array(F.collect_list(item)).alias("_items"))
-        .select(
-            "scan_id", "file_path", "part",
-            F.concat_ws(
-                "\n",
-                F.when(F.col("part") == 0, F.concat(F.lit("### "), F.col("file_path"), F.lit("\n"))),
-                F.array_join(F.transform("_items", lambda x: x["text"]), "\n"),
-            ).alias("section"),
-        )
-    )
-    found = findings.groupBy("scan_id").agg(F.count(F.lit(1)).alias("_n"))
+    title = F.concat(F.lit("### "), F.col("file_path"), F.lit("\n"))
+    files = findings.groupBy("scan_id", "file_path").agg(F.count(F.lit(1)).alias("_n"))
+    found = files.groupBy("scan_id").agg(F.sum("_n").alias("_n"))
     header = F.concat_ws(
         "\n",
         F.lit("## Scan Results"),
@@ -363,7 +349,17 @@ def check_details(scans: DataFrame, findings: DataFrame, max_per_part: int = MAX
         F.lit(""),
     )
     headers = scans.join(found, "scan_id", "left").select(
-        "scan_id", F.lit(None).cast("string").alias("file_path"), F.lit(0).cast("long").alias("part"),
-        F.when(F.col("_n") > 0, header).otherwise(CLEAN_DETAILS).alias("section"),
+        "scan_id", F.lit(0).alias("section"),
+        F.when(F.col("_n") > 0, header).otherwise(CLEAN_DETAILS).alias("text"),
+    )
+    titles = files.select("scan_id", "file_path", F.lit(1).alias("section"), title.alias("text"))
+    places = ("line_number", "column_number", "vulnerability_type", "id")
+    texts = findings.select(
+        "scan_id", "file_path", F.lit(2).alias("section"), *places, _finding_lines().alias("text")
+    )
+    rows = texts.unionByName(titles, allowMissingColumns=True)
+    rows = rows.unionByName(headers, allowMissingColumns=True)
+    whole = F.when(F.col("section") == 0, 0).otherwise(1)
+    return rows.orderBy("scan_id", whole, "file_path", "section", *places).select(
+        "scan_id", "file_path", "section", "line_number", "id", "text"
     )
-    return headers.unionByName(sections)

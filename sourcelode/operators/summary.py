@@ -4,7 +4,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sourcelode.functions import paths as pth, text as txt
 from sourcelode.functions.lookups import CONFIDENCE_SCORE, DEFAULT_CONFIDENCE_SCORE, SEVERITY_RANK
-from sourcelode.operators.groups import MAX_PER_PART, with_part
 
 SEVERITIES = ("CRITICAL", "HIGH", "MEDIUM", "LOW", "INFO")
 
@@ -91,20 +90,17 @@ def primary_language(counts: DataFrame, by="repo") -> DataFrame:
 FINDING_ORDER = ("file_path", "line_number", "column_number", "vulnerability_type", "id")
 
 
-def findings_by_file(
-    findings: DataFrame, keys=("scan_id", "file_path"), row_id="id",
-    fields=("line_number", "vulnerability_type", "severity"), max_per_part: int = MAX_PER_PART,
-) -> DataFrame:
-    """The findings of each file as a list in line order.
+def findings_by_file(findings: DataFrame, keys=("scan_id", "file_path"), row_id="id") -> DataFrame:
+    """Findings file by file, in line order within each: a range sort, no file is ever gathered.
 
-    A file with more than ``max_per_part`` findings gets several rows (``part`` 0, 1, ...).
+    :func:`file_totals` has the number of each file.
     """
-    parted = with_part(findings, list(keys), row_id, max_per_part)
-    item = F.struct(*[F.col(name) for name in dict.fromkeys((*fields, row_id))])
-    return parted.groupBy(*keys, "part").agg(
-        F.count(F.lit(1)).alias("finding_count"),
-        F.sort_array(F.collect_list(item)).alias("findings"),
-    )
+    order = [c for c in ("line_number", "column_number", "vulnerability_type", row_id) if c in findings.columns]
+    return findings.orderBy(*keys, *order)
+
+
+def file_totals(findings: DataFrame, keys=("scan_id", "file_path")) -> DataFrame:
+    return findings.groupBy(*keys).agg(F.count(F.lit(1)).alias("finding_count"))
 
 
 def artifacts(findings: DataFrame, by=()) -> DataFrame:

@@ -2,18 +2,30 @@
 
 from pyspark.sql import DataFrame, functions as F
 
-from sourcelode.operators.reports import sarif_documents, scan_documents
+from sourcelode.operators.reports import sarif_lines, scan_lines
+from sourcelode.session import scratch_path
 
 
-def write_json(scans: DataFrame, findings: DataFrame, path: str, **options) -> None:
-    """Scan results as text, one JSON document per line."""
-    scan_documents(scans, findings, **options).select("document").write.text(path)
+def _write_lines(lines, scans: DataFrame, findings: DataFrame, path: str) -> None:
+    """Findings are evaluated once, into the shared folder, where repeated rows get a number.
+
+    The files of the result, in the order of their names, hold the sorted lines.
+    """
+    spark = findings.sparkSession
+    kept = scratch_path(spark, "findings")
+    findings.withColumn("_row", F.monotonically_increasing_id()).write.parquet(kept)
+    lines(scans, spark.read.parquet(kept)).select("line").write.text(path)
+
+
+def write_json(scans: DataFrame, findings: DataFrame, path: str) -> None:
+    """Scan results as JSON documents of many lines, one document after the other."""
+    _write_lines(scan_lines, scans, findings, path)
 
 
-def write_sarif(scans: DataFrame, findings: DataFrame, path: str, **options) -> None:
-    """SARIF documents, one per line, in a folder per scan."""
-    documents = sarif_documents(scans, findings, **options)
-    documents.select("scan_id", "document").write.partitionBy("scan_id").text(path)
+def write_sarif(scans: DataFrame, findings: DataFrame, path: str) -> None:
+    """SARIF documents of many lines, one after the other; for one file per scan or period pass
+    the scans of it (findings of other scans are left out)."""
+    _write_lines(sarif_lines, scans, findings, path)
 
 
 def export_csv(table: DataFrame, path: str, separator: str = ",") -> None:

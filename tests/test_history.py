@@ -5,8 +5,9 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from sourcelode.operators import groups, history as his, reports as rep, summary as agg, usage as use
+from sourcelode.operators import history as his, reports as rep, summary as agg, usage as use
 from sourcelode.schemas import SCAN_RECORDS
+from sourcelode.sources import sinks
 from sourcelode.sources.store import HistoryStore
 
 FIND = "scan_id long, finding_id long, vulnerability_type string, severity string, file_path string, line_number long"
@@ -133,24 +134,16 @@ def hot_findings(spark, n=3000):
     )
 
 
-@pytest.mark.parametrize("broadcast_limit", [0, 10_000])
-def test_hot_groups_are_split_and_stay_whole(spark, monkeypatch, broadcast_limit):
-    monkeypatch.setattr(groups, "MAX_BROADCAST_KEYS", broadcast_limit)
+def test_hot_file_is_listed_in_order(spark):
     rows = hot_findings(spark)
-    listed = agg.findings_by_file(rows, row_id="finding_id", max_per_part=100)
-    got = listed.collect()
-    assert sum(r.finding_count for r in got) == 3000
-    assert len({f.finding_id for r in got for f in r.findings}) == 3000
-    hot = [r for r in got if r.scan_id == 0]
-    assert len(hot) > 15 and max(r.finding_count for r in hot) < 200
-    assert all(r.part == 0 for r in got if r.scan_id != 0)
-    for r in got:
-        assert [f.line_number for f in r.findings] == sorted(f.line_number for f in r.findings)
-
-
-def test_documents_of_a_hot_scan(spark):
-    import json
+    listed = agg.findings_by_file(rows.repartition(7), row_id="finding_id")
+    got = [(r.scan_id, r.file_path, r.line_number, r.finding_id) for r in listed.collect()]
+    assert got == sorted(got) and len(got) == 3000
+    totals = {r.scan_id: r.finding_count for r in agg.file_totals(rows).collect()}
+    assert totals[0] == sum(g[0] == 0 for g in got) and sum(totals.values()) == 3000
+
 
+def test_documents_of_a_hot_scan(spark, tmp_path):
     none = F.lit(None).cast("string")
     rows = hot_findings(spark, 900).withColumns({
         "title": F.lit("t"), "description": F.lit("d \"q\""), "confidence": F.lit("HIGH"),
@@ -163,24 +156,50 @@ def test_documents_of_a_hot_scan(spark):
     known = scans(spark, [(n, "t", day(1)) for n in [*range(50), 99]]).withColumns({
         "scan_duration": F.lit(0.0), "repository_url": none, "branch": none, "commit_hash": none,
     })
-    documents = rep.sarif_documents(known, rows, max_per_part=100).collect()
+    # Two equal rows, and a finding of an unknown scan.
+    rows = rows.unionByName(rows.where("finding_id = 5")).unionByName(
+        rows.where("finding_id = 6").withColumn("scan_id", F.lit(1000).cast("long"))
+    )
+    sinks.write_sarif(known, rows, str(tmp_path / "sarif"))
+    documents = written(tmp_path / "sarif")
+    assert len(documents) == 51
     ids = []
-    for r in documents:
-        run = json.loads(r.document)["runs"][0]
-        ids += [x["properties"]["scanner_id"] for x in run["results"]]
+    for document in documents:
+        run = document["runs"][0]
         assert "versionControlProvenance" not in run
-        if r.scan_id == 99:
-            assert run["results"] == [] and run["artifacts"] == []
-    assert sorted(ids) == sorted(str(n) for n in range(900))
-    assert sum(r.scan_id == 0 for r in documents) == 7
-    result = json.loads(documents[0].document)["runs"][0]["results"][0]
+        ids.append([int(x["properties"]["scanner_id"]) for x in run["results"]])
+        lines = [x["locations"][0]["physicalLocation"]["region"]["startLine"] for x in run["results"]]
+        assert lines == sorted(lines)
+        assert len(run["artifacts"]) == (1 if run["results"] else 0)
+    assert ids[-1] == [] and len(ids[0]) > 600  # scans in order: 99 is the last, 0 the first
+    assert sorted(sum(ids, [])) == sorted([*range(900), 5])
+    result = documents[0]["runs"][0]["results"][0]
     region = result["locations"][0]["physicalLocation"]["region"]
     assert region["endLine"] == region["startLine"] and region["endColumn"] == 1
     assert region["snippet"]["text"] == " a: b\nplain" and result["ruleIndex"] == 2 and result["level"] == "note"
     assert result["properties"]["ai_analysis"] == "see [REDACTED]" and "cwe" not in result["properties"]
     assert "owasp_category" not in result["properties"] and "fixes" not in result
-    plain = rep.scan_documents(known, rows, max_per_part=100).where("scan_id = 99").first()
-    assert json.loads(plain.document)["vulnerabilities"] == []
+    sinks.write_json(known, rows, str(tmp_path / "json"))
+    plain = written(tmp_path / "json")
+    assert [d["scan_id"] for d in plain] == [*range(50), 99] and plain[-1]["vulnerabilities"] == []
+    assert sum(len(d["vulnerabilities"]) for d in plain) == 901
+    details = rep.check_details(known.withColumns({"files_scanned": F.lit(1), "total_lines_scanned": F.lit(2)}), rows)
+    got = [(r.scan_id, r.section, r.line_number) for r in details.where("scan_id = 0").collect()]
+    assert got[0][1] == 0 and got[1][1] == 1 and {g[1] for g in got[2:]} == {2}
+    assert [g[2] for g in got[2:]] == sorted(g[2] for g in got[2:])
+
+
+def written(folder):
+    """The documents of a folder's files in the order of their names."""
+    import json
+
+    text = "".join(path.read_text() for path in sorted(folder.glob("part-*")))
+    decoder, found, at = json.JSONDecoder(), [], 0
+    while at < len(text):
+        document, at = decoder.raw_decode(text, at)
+        found.append(document)
+        at += 1  # the line break
+    return found
 
 
 def test_check_texts(spark):

@@ -170,6 +170,10 @@ def test_redaction(spark):
     assert "BBBB" not in got[2] and got[4] == "key [REDACTED]" and "cccc" not in got[5]
 
 
+def text_of(folder):
+    return "".join(path.read_text() for path in sorted(folder.glob("part-*")))
+
+
 def test_written_files(spark, tmp_path):
     root = tree(tmp_path)
     files, findings = scan.scan_tree(spark, [root])
@@ -180,13 +184,13 @@ def test_written_files(spark, tmp_path):
     })
     keyed = findings.withColumn("scan_id", F.concat_ws(":", F.lit("s1"), "root"))
     sinks.write_json(record, keyed, str(tmp_path / "json"))
-    document = json.loads(spark.read.text(str(tmp_path / "json")).first()[0])
+    document = json.loads(text_of(tmp_path / "json"))
     assert document["files_scanned"] == files.count()
     assert len(document["vulnerabilities"]) == findings.count()
     assert document["vulnerabilities"][0]["location"]["line_number"] == 1
     assert document["vulnerabilities"][0]["metadata"] == {"regex_match": "md5("}
     sinks.write_sarif(record, keyed, str(tmp_path / "sarif"))
-    sarif = json.loads(spark.read.text(str(tmp_path / "sarif")).first()[0])
+    sarif = json.loads(text_of(tmp_path / "sarif"))
     run = sarif["runs"][0]
     assert sarif["version"] == "2.1.0" and len(run["tool"]["driver"]["rules"]) == 5
     assert len(run["results"]) == findings.count()

@@ -249,23 +249,24 @@ def _(t):
 
 @query(
     "findings_by_file",
-    """SELECT scan_id, file_path, CAST(0 AS BIGINT) AS part, count(*) AS finding_count,
- string_agg(concat(coalesce(CAST(line_number AS varchar), '-'), ':', vulnerability_type, ':', severity), ' '
-  ORDER BY line_number NULLS FIRST, vulnerability_type, severity, finding_id) AS listing FROM vulnerability_records GROUP BY scan_id, file_path""",
+    "SELECT scan_id, file_path, line_number, vulnerability_type, severity FROM vulnerability_records",
     [VULNS],
 )
 def _(t):
-    listed = agg.findings_by_file(t(VULNS), row_id="finding_id")
-    item = lambda f: F.concat(
-        F.coalesce(f["line_number"].cast("string"), F.lit("-")), F.lit(":"), f["vulnerability_type"],
-        F.lit(":"), f["severity"],
-    )
-    return listed.select(
-        "scan_id", "file_path", "part", "finding_count",
-        F.array_join(F.transform("findings", item), " ").alias("listing"),
+    return agg.findings_by_file(t(VULNS), row_id="finding_id").select(
+        "scan_id", "file_path", "line_number", "vulnerability_type", "severity"
     )
 
 
+@query(
+    "file_totals",
+    "SELECT scan_id, file_path, count(*) AS finding_count FROM vulnerability_records GROUP BY scan_id, file_path",
+    [VULNS],
+)
+def _(t):
+    return agg.file_totals(t(VULNS))
+
+
 @query(
     "check_conclusion",
     """SELECT s.scan_id, CASE WHEN n IS NULL THEN 'success' WHEN severe > 0 THEN 'failure' ELSE 'neutral' END AS conclusion

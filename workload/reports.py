@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 from sourcelode.functions import text as txt
 from sourcelode.functions.lookups import FAILED_VERDICT, REPORT_LEVELS, REPORT_RULE_TYPES
 from sourcelode.operators import reports as rep, summary as agg, verdicts as ver
+from sourcelode.session import scratch_path
+from sourcelode.sources.sinks import write_json, write_sarif
 from workload import sqlparts as sp
 from workload.detection import _ID, FINDS, findings, scanned
 from workload.history import BOTH, SCANS, VULNS
@@ -206,28 +208,27 @@ def _(t):
     FINDS,
 )
 def _(t):
-    """The written JSON, read back field by field."""
+    """The written JSON, read back."""
     results = rep.sarif_results(findings(t), keys=("file_id",))
-
-    def field(path: str):
-        return F.get_json_object("result", path)
-
-    place = "$.locations[0].physicalLocation"
-    return results.select(
-        "file_id", field("$.ruleId").alias("rule_id"),
-        field("$.ruleIndex").cast("long").alias("rule_index"), field("$.level").alias("level"),
-        field(place + ".artifactLocation.uri").alias("uri"),
-        *[
-            field(f"{place}.region.{name}").cast("long").alias(column)
-            for name, column in (
-                ("startLine", "start_line"), ("startColumn", "start_column"),
-                ("endLine", "end_line"), ("endColumn", "end_column"),
-            )
-        ],
-        field(place + ".region.snippet.text").alias("snippet"),
-        field("$.partialFingerprints.primaryLocationLineHash").alias("fingerprint"),
-        field("$.properties.cwe").alias("cwe"),
-        field("$.fixes[0].description.text").alias("fix"),
+    shape = (
+        "ruleId string, ruleIndex long, level string, properties struct<cwe string>,"
+        " locations array<struct<physicalLocation struct<artifactLocation struct<uri string>,"
+        " region struct<startLine long, startColumn long, endLine long, endColumn long, snippet struct<text string>>>>>,"
+        " partialFingerprints struct<primaryLocationLineHash string>,"
+        " fixes array<struct<description struct<text string>>>"
+    )
+    read = results.select("file_id", F.from_json("result", shape).alias("r")).select(
+        "file_id", "r.*", F.col("r.locations")[0]["physicalLocation"].alias("place")
+    )
+    region = "place.region."
+    return read.select(
+        "file_id", F.col("ruleId").alias("rule_id"), F.col("ruleIndex").alias("rule_index"), "level",
+        F.col("place.artifactLocation.uri").alias("uri"),
+        F.col(region + "startLine").alias("start_line"), F.col(region + "startColumn").alias("start_column"),
+        F.col(region + "endLine").alias("end_line"), F.col(region + "endColumn").alias("end_column"),
+        F.col(region + "snippet.text").alias("snippet"),
+        F.col("partialFingerprints.primaryLocationLineHash").alias("fingerprint"),
+        F.col("properties.cwe").alias("cwe"), F.get("fixes", 0)["description"]["text"].alias("fix"),
     )
 
 
@@ -261,45 +262,70 @@ def described_scans(t):
 
 @query(
     "sarif_run",
-    """SELECT s.scan_id, CAST(0 AS BIGINT) AS part, count(v.scan_id) AS results, count(DISTINCT v.file_path) AS artifacts,
+    """SELECT s.scan_id, count(v.scan_id) AS results, count(DISTINCT v.file_path) AS artifacts,
  CASE WHEN s.scan_id % 2 = 0 THEN sha256(any_value(target_path)) END AS revision, coalesce(min(v.file_path), '') AS first_artifact
  FROM scan_records s LEFT JOIN vulnerability_records v ON s.scan_id = v.scan_id GROUP BY s.scan_id""",
     BOTH,
 )
 def _(t):
-    documents = rep.sarif_documents(described_scans(t), stored(t))
-    run = F.from_json(
-        "document",
-        "runs array<struct<results array<struct<ruleId string>>, artifacts array<struct<location struct<uri string>>>,"
-        " versionControlProvenance array<struct<revisionId string>>>>",
-    )["runs"][0]
-    return documents.select("scan_id", "part", run.alias("run")).select(
-        "scan_id", "part", F.size("run.results").cast("long").alias("results"),
-        F.size("run.artifacts").cast("long").alias("artifacts"),
-        F.get("run.versionControlProvenance", 0)["revisionId"].alias("revision"),
-        F.coalesce(F.get("run.artifacts", 0)["location"]["uri"], F.lit("")).alias("first_artifact"),
+    """Each scan's lines, parsed one by one."""
+    lines = rep.sarif_lines(described_scans(t), stored(t))
+    artifact = F.get_json_object(F.ltrim(F.col("line"), F.lit(",")), "$.location.uri")
+    revision = F.regexp_extract("line", '"revisionId":"([0-9a-f]+)"', 1)
+    section = F.col("section")
+    return lines.groupBy("scan_id").agg(
+        F.count_if(section == rep.RESULTS).alias("results"),
+        F.count_if(section == rep.ARTIFACTS).alias("artifacts"),
+        F.nullif(F.max(F.when(section == rep.HEAD, revision)), F.lit("")).alias("revision"),
+        F.coalesce(
+            F.max(F.when((section == rep.ARTIFACTS) & ~F.startswith("line", F.lit(",")), artifact)),
+            F.lit(""),
+        ).alias("first_artifact"),
     )
 
 
-@query(
-    "write_json",
-    """SELECT s.scan_id, any_value(target_path) AS target_path, count(v.scan_id) AS findings,
- coalesce(string_agg(concat_ws(':', v.file_path, coalesce(CAST(v.line_number AS varchar), ''), v.vulnerability_type), ' '
-  ORDER BY v.file_path, v.line_number NULLS FIRST, v.vulnerability_type), '') AS places
- FROM scan_records s LEFT JOIN vulnerability_records v ON s.scan_id = v.scan_id GROUP BY s.scan_id""",
-    BOTH,
-)
+_PLACED = """SELECT v.finding_id, v.vulnerability_type, v.file_path, v.line_number, row_number() OVER
+ (PARTITION BY v.scan_id ORDER BY v.file_path, v.line_number NULLS FIRST, v.vulnerability_type, CAST(v.finding_id AS varchar)) = 1 AS first
+ FROM scan_records s JOIN vulnerability_records v ON s.scan_id = v.scan_id"""
+
+
+def _entries(t, path, mark: str, shape: str):
+    """The written list entries that hold ``mark``: whether they open a list, and their fields."""
+    comma = F.lit(",")
+    lines = t.spark.read.text(path).where(F.contains("value", F.lit(mark)))
+    return lines.select(
+        (~F.startswith("value", comma)).alias("first"),
+        F.from_json(F.ltrim(F.col("value"), comma), shape).alias("r"),
+    )
+
+
+@query("write_sarif", _PLACED, BOTH)
 def _(t):
-    """Scan documents, parsed again."""
-    documents = rep.scan_documents(t(SCANS), stored(t))
-    shape = "target_path string, vulnerabilities array<struct<vulnerability_type string, location struct<file_path string, line_number long>>>"
-    place = lambda v: F.concat_ws(
-        ":", v["location"]["file_path"], F.coalesce(v["location"]["line_number"].cast("string"), F.lit("")),
-        v["vulnerability_type"],
+    """SARIF files, written and read again: the result lines, and which ones open a list."""
+    path = scratch_path(t.spark, "sarif")
+    write_sarif(described_scans(t), stored(t), path)
+    shape = (
+        "ruleId string, locations array<struct<physicalLocation struct<artifactLocation struct<uri string>,"
+        " region struct<startLine long>>>>, properties struct<scanner_id string>"
     )
-    return documents.select("scan_id", F.from_json("document", shape).alias("d")).select(
-        "scan_id", "d.target_path", F.size("d.vulnerabilities").cast("long").alias("findings"),
-        F.array_join(F.transform("d.vulnerabilities", place), " ").alias("places"),
+    return _entries(t, path, '"scanner_id":', shape).select(
+        F.col("r.properties.scanner_id").cast("long").alias("finding_id"),
+        F.col("r.ruleId").alias("vulnerability_type"),
+        F.col("r.locations")[0]["physicalLocation"]["artifactLocation"]["uri"].alias("file_path"),
+        F.col("r.locations")[0]["physicalLocation"]["region"]["startLine"].alias("line_number"),
+        "first",
+    )
+
+
+@query("write_json", _PLACED, BOTH)
+def _(t):
+    """Scan documents, written and read again in the same way."""
+    path = scratch_path(t.spark, "json")
+    write_json(t(SCANS), stored(t), path)
+    shape = "id string, vulnerability_type string, location struct<file_path string, line_number long>"
+    return _entries(t, path, '"location":', shape).select(
+        F.col("r.id").cast("long").alias("finding_id"), "r.vulnerability_type",
+        "r.location.file_path", "r.location.line_number", "first",
     )
 
 
@@ -378,16 +404,17 @@ _MARK = sql_case("severity", rep.SEVERITY_MARKS)
 
 @query(
     "check_details",
-    f"""SELECT scan_id, file_path, CAST(0 AS BIGINT) AS part, '### ' || file_path || chr(10) || chr(10) || string_agg('- ' || {_MARK} || ' **' || vulnerability_type || '** (Line ' || coalesce(CAST(line_number AS varchar), 'None') || ')'
- || chr(10) || '  - **Severity:** ' || severity || chr(10) || '  - **Confidence:** ' || confidence || chr(10) || '  - **Description:** ' || vulnerability_type || ' found' || chr(10), chr(10)
-  ORDER BY line_number NULLS FIRST, vulnerability_type) AS section FROM vulnerability_records GROUP BY scan_id, file_path
- UNION ALL SELECT s.scan_id, NULL, CAST(0 AS BIGINT), CASE WHEN n IS NULL THEN '{rep.CLEAN_DETAILS}' ELSE '## Scan Results' || chr(10) || chr(10) || '- **Files Scanned:** ' || files_scanned || chr(10)
+    f"""SELECT scan_id, file_path, 2 AS section, '- ' || {_MARK} || ' **' || vulnerability_type || '** (Line ' || coalesce(CAST(line_number AS varchar), 'None') || ')'
+ || chr(10) || '  - **Severity:** ' || severity || chr(10) || '  - **Confidence:** ' || confidence || chr(10) || '  - **Description:** ' || vulnerability_type || ' found' || chr(10) AS text
+ FROM vulnerability_records
+ UNION ALL SELECT DISTINCT scan_id, file_path, 1, '### ' || file_path || chr(10) FROM vulnerability_records
+ UNION ALL SELECT s.scan_id, NULL, 0, CASE WHEN n IS NULL THEN '{rep.CLEAN_DETAILS}' ELSE '## Scan Results' || chr(10) || chr(10) || '- **Files Scanned:** ' || files_scanned || chr(10)
  || '- **Lines Scanned:** ' || total_lines_scanned || chr(10) || '- **Scan Duration:** ' || format('{{:.2f}}', scan_duration) || 's' || chr(10) || chr(10) || '## Vulnerabilities by File' || chr(10) END
  FROM scan_records s LEFT JOIN (SELECT scan_id, count(*) AS n FROM vulnerability_records GROUP BY scan_id) c ON s.scan_id = c.scan_id""",
     BOTH,
 )
 def _(t):
-    return rep.check_details(t(SCANS), stored(t))
+    return rep.check_details(t(SCANS), stored(t)).select("scan_id", "file_path", "section", "text")
 
 
 @query(

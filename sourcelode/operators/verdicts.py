@@ -20,18 +20,23 @@ SYSTEM_PROMPT = (
 
 
 def with_source(findings: DataFrame, files: DataFrame, keys=("repo", "file_path")) -> DataFrame:
-    """Re-cut each finding's snippet with ten lines of context from its own file.
+    """Add ``prompt_snippet``: each finding's line with ten lines of context from its own file.
 
-    Findings of one file are bounded by the file size limit, so the key cannot run hot.
+    A file meets the distinct lines of its findings once (no more than it has lines); only the
+    cut pieces are then joined to the findings, never the text. Findings without a file are left
+    out.
     """
-    joined = findings.join(files.select(*keys, "content"), list(keys))
-    number = F.col("line_number").cast("int")
-    window = txt.context_window(txt.lines("content"), number, PROMPT_RADIUS)
-    return (
-        joined.withColumn("_window", window)
-        .withColumn("prompt_snippet", txt.snippet("_window", number, PROMPT_RADIUS))
-        .drop("_window", "content")
-    )
+    keys, at = list(keys), F.coalesce(F.col("line_number"), F.lit(0)).cast("int")
+    wanted = findings.groupBy(*keys).agg(F.collect_set(at).alias("_wanted"))
+    split = files.select(*keys, txt.lines("content").alias("_lines")).join(wanted, keys)
+
+    def piece(number):
+        window = txt.context_window("_lines", number, PROMPT_RADIUS)
+        text = F.when(number > 0, txt.snippet(window, number, PROMPT_RADIUS))
+        return F.struct(number.alias("_at"), text.alias("prompt_snippet"))
+
+    pieces = split.select(*keys, F.inline(F.transform("_wanted", piece)))
+    return findings.withColumn("_at", at).join(pieces, [*keys, "_at"]).drop("_at")
 
 
 def context_lines(context: dict) -> Column:

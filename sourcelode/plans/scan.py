@@ -6,7 +6,7 @@ from sourcelode import __version__
 from sourcelode.functions import metrics as m, vectors as v
 from sourcelode.functions.rules import BUILTIN_FAMILIES
 from sourcelode.operators import detect as det, verdicts as ver
-from sourcelode.operators.summary import scan_summary
+from sourcelode.operators.summary import scan_summary, scan_totals
 from sourcelode.options import ScanOptions, config_snapshot
 from sourcelode.sources import files as src
 
@@ -37,10 +37,18 @@ def scan_file(spark: SparkSession, path: str, options: ScanOptions = ScanOptions
     return files, det.detect(files, options, keys=("root", "file_path"))
 
 
-def scan_records(files: DataFrame, findings: DataFrame, scan_id, started, seconds: float,
+def scan_records(files: DataFrame, findings: DataFrame | None, scan_id, started, seconds: float,
                  options: ScanOptions = ScanOptions()) -> DataFrame:
-    """One record per scanned root with its counts and the options used."""
-    summary = scan_summary(files, findings, by=("root",))
+    """One record per scanned root with its counts and the options used.
+
+    Pass findings that are stored already. Without them the built-in rules are counted in the
+    same pass over the files that counts lines.
+    """
+    if findings is None:
+        counts = det.file_counts(files, options, keys=("root", "file_path"))
+        summary = scan_totals(counts, by=("root",))
+    else:
+        summary = scan_summary(files, findings, by=("root",))
     return summary.select(
         F.concat_ws(":", F.lit(scan_id), "root").alias("scan_id"),
         F.lit(started).cast("timestamp_ntz").alias("scan_timestamp"),

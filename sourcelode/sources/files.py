@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from sourcelode.functions import paths as pth, text as txt
 from sourcelode.options import ScanOptions
 from sourcelode.schemas import PATHS
+from sourcelode.session import scratch_path
 
 READ_BATCH_BYTES = 32 * 1024 * 1024
 # Lasting states of a path: it is passed over. Any other error fails the task.
@@ -25,85 +26,82 @@ def list_files(
 ) -> DataFrame:
     """All files below ``roots`` (a list, or a DataFrame with a ``root`` column).
 
-    One set of tasks lists the first ``split_depth`` levels, the directories found there are
-    spread over ``tasks`` more, so one giant tree does not stay in one task. Directories that are
-    hidden or fit an exclude glob are not entered; linked directories are not followed.
+    Listing goes in rounds of ``split_depth`` levels until no directory is left: the directories
+    a round stops at are spread over ``tasks`` for the next one, so no subtree stays in one task.
+    Rounds are written to the shared folder; a path is listed once, and stays listed when an
+    executor is lost. Directories that are hidden or fit an exclude glob are not entered; linked
+    directories are not followed.
     """
     if not isinstance(roots, DataFrame):
         roots = spark.createDataFrame([(root,) for root in roots], "root string")
     shape = "root string, file_path string, length long, modified timestamp, is_dir boolean"
     prune = [pth.glob_regex(glob).replace(r"\z", r"\Z") for glob in options.exclude_patterns]
 
-    def walker(limit):
-        def walk(batches):
-            import os
-            import re
+    def walk(batches):
+        import os
+        import re
 
-            import pandas as pd
-            from pyarrow import fs
-
-            skip = [re.compile(pattern) for pattern in prune]
+        import pandas as pd
+        from pyarrow import fs
 
-            def entries(top):
-                system, path = fs.FileSystem.from_uri(top) if "://" in top else (
-                    fs.LocalFileSystem(), top)
-                try:
-                    found = system.get_file_info(fs.FileSelector(path, recursive=False))
-                except SKIPPED:
-                    return
-                local = isinstance(system, fs.LocalFileSystem)
-                for info in found:
-                    full = top.rstrip("/") + "/" + info.base_name
-                    if info.type == fs.FileType.File:
-                        yield full, info.size, info.mtime, False
-                    elif info.type == fs.FileType.Directory:
-                        hidden = info.base_name.startswith(".")
-                        linked = local and os.path.islink(info.path)
-                        if not (hidden or linked or any(p.match(full) for p in skip)):
-                            yield full, None, None, True
-
-            for batch in batches:
-                rows = []
-                for root, path, length, modified, is_dir in batch.itertuples(index=False):
-                    if not is_dir:
-                        rows.append((root, path, length, modified, False))
-                        continue
-                    level = [path]
-                    depth = 0
-                    while level:
-                        below = []
-                        for top in level:
-                            for full, size, mtime, directory in entries(top):
-                                if not directory:
-                                    rows.append((root, full, size, mtime, False))
-                                elif limit and depth + 1 >= limit:
-                                    rows.append((root, full, None, None, True))
-                                else:
-                                    below.append(full)
-                        level = below
-                        depth += 1
-                        if len(rows) > 50000:
-                            yield _frame(pd, rows)
-                            rows = []
-                yield _frame(pd, rows)
-
-        def _frame(pd, rows):
-            frame = pd.DataFrame(
-                rows, columns=["root", "file_path", "length", "modified", "is_dir"]
-            )
+        skip = [re.compile(pattern) for pattern in prune]
+
+        def entries(top):
+            system, path = fs.FileSystem.from_uri(top) if "://" in top else (
+                fs.LocalFileSystem(), top)
+            try:
+                found = system.get_file_info(fs.FileSelector(path, recursive=False))
+            except SKIPPED:
+                return
+            local = isinstance(system, fs.LocalFileSystem)
+            for info in found:
+                full = top.rstrip("/") + "/" + info.base_name
+                if info.type == fs.FileType.File:
+                    yield full, info.size, info.mtime, False
+                elif info.type == fs.FileType.Directory:
+                    hidden = info.base_name.startswith(".")
+                    linked = local and os.path.islink(info.path)
+                    if not (hidden or linked or any(p.match(full) for p in skip)):
+                        yield full, None, None, True
+
+        def framed(rows):
+            frame = pd.DataFrame(rows, columns=["root", "file_path", "length", "modified", "is_dir"])
             frame["length"] = frame["length"].astype("Int64")
             frame["modified"] = pd.to_datetime(frame["modified"], utc=True)
             return frame
 
-        return walk
-
-    start = roots.select(
-        "root", F.col("root").alias("file_path"), F.lit(None).cast("long").alias("length"),
-        F.lit(None).cast("timestamp").alias("modified"), F.lit(True).alias("is_dir"),
-    )
-    shallow = start.mapInPandas(walker(split_depth), shape)
-    spread = shallow.repartition(_tasks(spark, tasks), "file_path")
-    return spread.mapInPandas(walker(None), shape).select(*PATHS.names)
+        for batch in batches:
+            rows = []
+            for root, path in batch.itertuples(index=False):
+                level = [path]
+                for depth in range(1, split_depth + 1):
+                    below = []
+                    for top in level:
+                        for full, size, mtime, directory in entries(top):
+                            if directory and depth < split_depth:
+                                below.append(full)
+                            else:
+                                rows.append((root, full, size, mtime, directory))
+                            if len(rows) > 50000:
+                                yield framed(rows)
+                                rows = []
+                    level = below
+            yield framed(rows)
+
+    base = scratch_path(spark, "listing")
+    level = roots.select("root", F.col("root").alias("file_path"))
+    rounds = 0
+    while True:
+        path = f"{base}/round={rounds}"
+        spread = level.repartition(_tasks(spark, tasks), "file_path")
+        spread.mapInPandas(walk, shape).write.parquet(path)
+        below = spark.read.schema(shape).parquet(path).where("is_dir")
+        rounds += 1
+        if below.isEmpty():
+            break
+        level = below.select("root", "file_path")
+    listed = spark.read.schema(shape).parquet(*[f"{base}/round={n}" for n in range(rounds)])
+    return listed.where("NOT is_dir").select(*PATHS.names)
 
 
 def file_table(spark: SparkSession, file_paths) -> DataFrame:

@@ -193,6 +193,16 @@ def test_enrich_end_to_end(spark):
     assert off.count() == 2
 
 
+def test_source_windows(spark):
+    files = spark.createDataFrame([("a", "x\ny"), ("b", "z")], "file_path string, content string")
+    rows = [("a", 2, "1"), ("a", 2, "2"), ("a", None, "3"), ("gone", 1, "4"), ("b", 1, "5")]
+    found = spark.createDataFrame(rows, "file_path string, line_number long, id string")
+    got = {r.id: r.prompt_snippet for r in ver.with_source(found, files, ("file_path",)).collect()}
+    assert got == {
+        "1": "       1: x\n>>>    2: y", "2": "       1: x\n>>>    2: y", "3": None, "5": ">>>    1: z",
+    }
+
+
 def test_profile_reports_missing_embedding(spark):
     rows = spark.createDataFrame([("x = 1", "python", None)], "content string, language string, embedding array<double>")
     row = scan.profile_code(rows).first()

@@ -49,6 +49,8 @@ def test_listing_and_path_filters(spark, tmp_path):
         "__init__.py", "_private/a.py", "deep/b/c/d/e.py", "src/z.TS", "src/.dotfile.py", "bad.py",
         "bom.py", "notes.md", "tool", "empty.py",
     ])
+    assert names(src.list_files(spark, [root], split_depth=1), root) == names(listed, root)
+    assert src.list_files(spark, [root + "/none"]).count() == 0
     small = ScanOptions(max_file_size_mb=10 / 1024 / 1024)
     assert "_private/a.py" not in names(src.within_size(listed, small), root)
     everything = ScanOptions(include_patterns=())
@@ -73,6 +75,7 @@ def test_scan_tree(spark, tmp_path):
     # "h\nk\n" after newline conversion is three lines.
     assert record.files_scanned == 8 and record.total_lines_scanned == 3 + 2 + 1 + 1 + 1 + 1 + 2 + 1
     assert record.repository_name == "repo"
+    assert scan.scan_records(files, None, "s1", "2024-01-01 00:00:00", 1.5).first().asDict() == record.asDict()
 
 
 def test_scan_file(spark, tmp_path):

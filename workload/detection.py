@@ -6,13 +6,15 @@ from sourcelode.functions import paths as pth, text as txt
 from sourcelode.functions.lookups import FINDING_LANGUAGES, LANGUAGE_ALIASES
 from sourcelode.functions.rules import (
     BUILTIN_FAMILIES,
+    Family,
+    Rule,
     rule_catalog,
     with_rules_enabled,
     without_family,
 )
 from sourcelode.operators import detect as det, summary as agg
 from sourcelode.options import ScanOptions
-from sourcelode.plans.scan import scan_tree
+from sourcelode.plans.scan import scan_file, scan_tree
 from sourcelode.session import scratch_path
 from sourcelode.sources import files as src, repos
 from workload import sqlparts as sp
@@ -448,6 +450,36 @@ def _(t):
     )
 
 
+# A rule that only a Python scan reproduces (look-ahead), and a detector of the user's own.
+_CALLED = Family(
+    "Calls", "calls", "LOW", None, (),
+    (Rule("called_hash", "Call of a hash", r"(?:md5|sha1)(?=\()", "LOW", "HIGH"),),
+)
+
+
+def _long_files(code, file_path, language):
+    """One finding per file of more than 40 lines, at the last of them."""
+    last = code.count("\n") + 1
+    if last > 40:
+        yield {"vulnerability_type": "long_file", "severity": "INFO", "line_number": last, "column_number": 1}
+
+
+@query(
+    "custom_findings",
+    """SELECT file_id, vulnerability_type, line_number FROM finds
+ UNION ALL SELECT file_id, 'called_hash', line_number FROM (SELECT file_id, line_number, unnest(regexp_extract_all(line, '(?i)(?:md5|sha1)\\(', 0)) FROM one_line)
+ UNION ALL SELECT file_id, 'long_file', len(string_split(content, chr(10))) FROM files WHERE len(string_split(content, chr(10))) > 40""",
+    ["src_files"],
+    FINDS,
+)
+def _(t):
+    """Catalogue rules, a Python-only rule and a detector of one's own, as one table."""
+    keys = ("file_id", "repo", "file_path")
+    found = findings(t, families=(*BUILTIN_FAMILIES, _CALLED))
+    own = det.detect_custom(scanned(t), _long_files, keys)
+    return found.unionByName(own).select("file_id", "vulnerability_type", "line_number")
+
+
 @query(
     "union_findings",
     """SELECT language, family, count(*) AS findings FROM (SELECT language, split_part(rule_id, '_', 1) AS family FROM finds) GROUP BY ALL""",
@@ -529,16 +561,17 @@ def export_tree(t):
     base = scratch_path(t.spark, "tree")
 
     def write(batches):
-        import os
-
         import pandas as pd
+        from pyarrow import fs
 
+        local = "://" not in base
+        system, top = (fs.LocalFileSystem(), base) if local else fs.FileSystem.from_uri(base)
         for batch in batches:
             for path, content in zip(batch["file_path"], batch["content"]):
-                full = base + path
-                os.makedirs(os.path.dirname(full), exist_ok=True)
-                with open(full, "w", encoding="utf-8", newline="") as out:
-                    out.write(content)
+                full = top + path
+                system.create_dir(full.rpartition("/")[0], recursive=True)
+                with system.open_output_stream(full) as out:
+                    out.write(content.encode("utf-8"))
             yield pd.DataFrame({"n": [len(batch)]})
 
     files = t("src_files").select("file_path", "content")
@@ -583,3 +616,18 @@ def _(t):
     base, roots = export_tree(t)
     _, found = scan_tree(t.spark, roots)
     return found.select(_below(base), "vulnerability_type", "line_number", "column_number")
+
+
+@query(
+    "scan_file",
+    """SELECT vulnerability_type, line_number, column_number FROM finds
+ WHERE file_id = (SELECT min(file_id) FROM finds)""",
+    ["src_files"],
+    FINDS,
+)
+def _(t):
+    """The first file with findings, read and scanned on its own."""
+    base, _ = export_tree(t)
+    first = findings(t).agg(F.min_by("file_path", "file_id")).first()[0]
+    _, found = scan_file(t.spark, base + first)
+    return found.select("vulnerability_type", "line_number", "column_number")

@@ -24,11 +24,13 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that was learned: those without letters (``und``) go. ``lang``
-    becomes the predicted language where it was NULL."""
+    """Documents in a learned language, by op 3's prediction and score: those without letters
+    (``und``) and those below the least score of the predicted language go. ``lang`` becomes the predicted
+    language, also where it said another one. Profiles and least scores come from rows that are not held out."""
     learnable = docs.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2)
-    found = langid.predict(docs, langid.train(learnable)).where(F.col("lang_pred") != langid.UNKNOWN)
-    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    profiles = langid.train(learnable)
+    found = langid.predict(docs, profiles).where(langid.known(langid.least_scores(learnable, profiles)))
+    return found.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

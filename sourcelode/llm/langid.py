@@ -19,6 +19,8 @@ CHUNK = 1 << 19
 #: Distinct grams a task holds before it hands them on.
 HELD = 1 << 20
 UNKNOWN = "und"
+#: Share of a language's median score below which a text is taken to be in no learned language.
+LEAST_SHARE = 0.55
 
 
 @cache
@@ -175,3 +177,21 @@ def predict(docs: DataFrame, profiles: Profiles) -> DataFrame:
 
     schema = docs.select(*rest).schema.add("lang_pred", "string").add("lang_score", "double")
     return docs.select(*rest, F.col("text").alias("text_")).mapInArrow(run, schema)
+
+
+def least_scores(learnable: DataFrame, profiles: Profiles, share: float = LEAST_SHARE) -> dict[str, float]:
+    """Least score per language: ``share`` of the median of the ``learnable`` rows (text, lang) that
+    are predicted as they are labelled. A few wrongly labelled rows do not move a median, and scripts
+    with many letters, whose scores are low throughout, have a bound of their own."""
+    found = predict(learnable.where(F.col("text").isNotNull()).select("lang", "text"), profiles)
+    medians = found.where("lang_pred = lang").groupBy("lang").agg(F.percentile_approx("lang_score", 0.5, 10000).alias("median"))
+    return {row["lang"]: share * row["median"] for row in medians.collect()}  # a row per language
+
+
+def known(least: dict[str, float]) -> Column:
+    """Whether a prediction reaches its language's least score; languages that none of their own
+    rows were predicted as take the highest. Score 0 (not one known gram) never does."""
+    bound = F.lit(max(least.values(), default=0.0))
+    for language, value in least.items():
+        bound = F.when(F.col("lang_pred") == language, F.lit(value)).otherwise(bound)
+    return (F.col("lang_pred") != UNKNOWN) & (F.col("lang_score") > 0) & (F.col("lang_score") >= bound)

@@ -186,9 +186,9 @@ def _verify(percent: int):
         of, known = None, None
         for batch in batches:
             keep = []
-            for one, left, right in zip(batch.column(2).to_pylist(), batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                if of != left:
-                    of, known = left, _unpack(one)
+            for one, right in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                if of != one:  # by content: an id has a set per row
+                    of, known = one, _unpack(one)
                 other = _unpack(right)
                 at = np.searchsorted(known, other)
                 at[at == len(known)] = 0

@@ -212,3 +212,16 @@ def test_broken_pages_do_not_crash(page):
 def test_shingle_sets_are_sorted_and_distinct():
     sets = shingle_sets(pa.array(["a b c d e " * 50]))
     assert len(sets[0]) == 5 and (np.diff(sets[0].astype(object)) > 0).all()
+
+
+def test_near_duplicates_of_an_id_with_two_texts(documents):
+    rng = random.Random(12)
+    rows = []
+    for at in range(6):
+        one, two = (prose(rng, "xx", 150) for _ in range(2))
+        # Each text of the repeated id has one near copy, and the copies do not link by themselves.
+        rows += [(10 * at, one), (10 * at, two), (10 * at + 1, edited(rng, one, 2)), (10 * at + 2, edited(rng, two, 2))]
+    for order in (rows, rows[::-1]):
+        got = {(r["doc_id"], r["component_id"]) for r in jaccard.near_duplicates(documents(order)).collect()}
+        assert got == {(10 * at + k, 10 * at) for at in range(6) for k in range(3)}
+        assert got == {(d, c) for d, _, c in brute_components(order)}

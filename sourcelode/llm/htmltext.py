@@ -165,13 +165,15 @@ def _has_heading(node: Node) -> bool:
     return any(isinstance(c, Node) and (c.name in ("h1", "h2", "h3", "p", "hgroup") or _has_heading(c)) for c in node.content)
 
 
-def containers(root: Node) -> Iterator[tuple[str, float, Node]]:
-    """Containers with their generalised paths and scores, in page order.
+def containers(root: Node) -> tuple[list[tuple[str, float, Node]], dict[int, tuple[Node, str]]]:
+    """Containers with their generalised paths and scores, in page order; and of every element that
+    is no noise, by its ``id()``, the element around it with that one's path.
 
     The score is the text of the blocks that a container holds by itself or in its blocks,
     less what links hold, with half of a nested container's passed on to the one around it.
     """
     found: list[tuple[str, float, Node]] = []
+    around: dict[int, tuple[Node, str]] = {}
 
     def visit(start: Node) -> None:
         # (node, path, text length, link length, passed on by children) without recursion
@@ -198,40 +200,93 @@ def containers(root: Node) -> Iterator[tuple[str, float, Node]]:
                 stack[-1][3] += -size if links else size
             elif not part.noise:
                 links += part.name == "a"
+                around[id(part)] = (node, path)
                 stack.append([part, f"{path}/{part.step}", iter(part.content), 0.0])
 
     visit(root)
-    return iter(found)
+    return found, around
 
 
 #: Elements that can hold an article.
 CONTAINERS = frozenset("article main section div td body center".split())
 
 
+def _added(node: Node, inner: Node) -> tuple[int, int, bool]:
+    """What a node has besides one of its children: lengths of plain and of link text, and whether a
+    heading is there; without noise."""
+    size, linked, heading, links = 0, 0, False, 0
+    stack = [(node, iter(node.content))]
+    while stack:
+        of, rest = stack[-1]
+        part = next(rest, None)
+        if part is None:
+            stack.pop()
+            links -= of.name == "a" and bool(stack)
+        elif isinstance(part, str):
+            length = len(_WHITE.sub(" ", part).strip())
+            size, linked = (size, linked + length) if links else (size + length, linked)
+        elif part is not inner and not part.noise and not (part.name == "header" and not _has_heading(part)):
+            heading = heading or part.name in ("h1", "h2")
+            links += part.name == "a"
+            stack.append((part, iter(part.content)))
+    return size, linked, heading
+
+
+def whole(path: str, node: Node, around: dict[int, tuple[Node, str]]) -> tuple[str, Node]:
+    """The container of the whole article around a page's best container.
+
+    It is the outermost ``article`` around it, else the innermost ``main``. Without these it is the
+    lowest ancestor that adds text which is not mostly links, and a higher one while no headline
+    (h1, h2) is in it; ``body`` only for a headline that nothing else has.
+    """
+    chain = [(path, node)]
+    while (up := around.get(id(chain[-1][1]))) is not None and up[0].name:
+        chain.append((up[1], up[0]))
+    articles = [x for x in chain if x[1].name == "article"]
+    if articles:
+        return articles[-1]
+    if mains := [x for x in chain if x[1].name == "main"]:
+        return mains[0]
+    reached, heading = chain[0], _added(node, node)[2]
+    for (_, inner), (path, outer) in zip(chain, chain[1:]):
+        if outer.name in ("body", "html") and heading:
+            break
+        size, linked, more = _added(outer, inner)
+        if size <= linked:
+            if linked:
+                break
+            continue
+        heading = heading or more
+        if outer.name in CONTAINERS and (outer.name != "body" or heading):
+            reached = (path, outer)
+            if heading:
+                break
+    return reached
+
+
 def best_path(page: str) -> tuple[str, float]:
-    """Path and score of the page's best container; the empty path without one."""
-    best = ("", 0.0)
-    for path, score, _ in containers(parse(page)):
-        if score > best[1]:
-            best = (path, score)
-    return best
+    """Path of the whole article around the page's best container, and that one's score; the empty
+    path without one."""
+    found, around = containers(parse(page))
+    path, score, node = max(found, key=lambda x: x[1], default=("", 0.0, None))
+    return (whole(path, node, around)[0], score) if score > 0 else ("", 0.0)
 
 
 def extract(page: str, paths: list[str]) -> str:
-    """Blocks below the first of ``paths`` that the page has with text, else below its own best
-    container, else of the whole page."""
+    """Blocks below the first of ``paths`` that the page has with text, else below the article around
+    its own best container, else of the whole page."""
     root = parse(page)
     by_path: dict[str, list[Node]] = {}
-    own, most = None, 0.0
-    for path, score, node in containers(root):
+    found, around = containers(root)
+    for path, _, node in found:
         by_path.setdefault(path, []).append(node)
-        if score > most:
-            own, most = node, score
+    path, score, node = max(found, key=lambda x: x[1], default=("", 0.0, root))
+    own = whole(path, node, around)[1] if score > 0 else root
     for path in paths:
         out = [b for node in by_path.get(path, ()) for b in blocks(node)]
         if out:
             return "\n".join(out)
-    return "\n".join(blocks(own if own is not None else root))
+    return "\n".join(blocks(own))
 
 
 def host_of(url):
@@ -243,7 +298,7 @@ def host_of(url):
 def host_paths(pages: DataFrame, keep: int = 3) -> DataFrame:
     """host, paths: the ``keep`` paths with the most votes of each host's pages, best first.
 
-    Every page votes for the path of its best container. Votes are summed inside tasks before they
+    Every page votes for the path of the article around its best container. Votes are summed inside tasks before they
     meet, so a host with most of the pages costs no more than another.
     """
 

@@ -225,3 +225,28 @@ def test_near_duplicates_of_an_id_with_two_texts(documents):
         got = {(r["doc_id"], r["component_id"]) for r in jaccard.near_duplicates(documents(order)).collect()}
         assert got == {(10 * at + k, 10 * at) for at in range(6) for k in range(3)}
         assert got == {(d, c) for d, _, c in brute_components(order)}
+
+
+BODY = "<p>" + "Body of the article, in words. " * 40 + "</p>"
+NESTED = [
+    # headline and lead outside the body's div, with and without an article around them
+    "<div class=top><a href=/>Home</a></div><article><h1>Headline</h1><p>Lead</p><div class=content>%s</div></article><p>Imprint</p>",
+    "<div class=top><a href=/>Home</a></div><div class=wrap><h1>Headline</h1><p>Lead</p><div class=content>%s</div></div><div class=end>Imprint</div>",
+    "<main><h1>Headline</h1><p>Lead</p><div class=content><div class=inner>%s</div></div></main><div>Imprint</div>",
+    # two differently named parts
+    "<article><div class=intro><h1>Headline</h1><p>Lead</p></div><div class=rest>%s</div></article><div>Imprint</div>",
+    "<div class=page><div class=intro><h1>Headline</h1><p>Lead</p></div><div class=rest>%s</div></div><div>Imprint</div>",
+]
+
+
+@pytest.mark.parametrize("page", NESTED)
+def test_extraction_takes_the_whole_article(page):
+    page = "<html><body>" + page % BODY + "</body></html>"
+    want = ["Headline", "Lead", htmltext.blocks(htmltext.parse(BODY))[0]]
+    assert htmltext.extract(page, []).split("\n") == want
+    assert htmltext.extract(page, [htmltext.best_path(page)[0]]).split("\n") == want
+
+
+def test_extraction_stays_in_a_div_with_its_headline():
+    page = "<body><div class=head>Site</div><div class=post><h1>Headline</h1>%s</div><div class=end>Imprint</div></body>" % BODY
+    assert htmltext.extract(page, []).startswith("Headline\nBody") and "Imprint" not in htmltext.extract(page, [])

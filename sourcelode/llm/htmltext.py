@@ -32,13 +32,24 @@ ENDS = {
 SCOPES = frozenset("ul ol dl table body html article section div main".split())
 #: Elements that never hold an article's text.
 SKIPPED = frozenset("script style noscript template iframe object svg canvas form button select textarea input nav footer aside menu dialog head title noembed noframes".split())
-#: Words in a class, id or role that mark what is no article (menus, adverts, notices, comments).
-_NOISE = re.compile(
-    r"(?:^|[-_ ])(?:ad|ads|advert\w*|banner|sponsor\w*|promo\w*|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|footer|foot|masthead|"
+_NOISE_WORDS = (
+    r"ad|ads|advert\w*|banner|sponsor\w*|promo\w*|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|footer|foot|masthead|"
     r"comments?|commentlist|disqus|replies|reply|cookies?|consent|gdpr|notices?|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|"
-    r"related|recommend\w*|widget|toolbar|pager|pagination|search|skip|hidden|copyright|complementary|contentinfo)(?:$|[-_ ])",
-    re.IGNORECASE,
+    r"related|recommend\w*|widget|toolbar|pager|pagination|search|skip|hidden|copyright|complementary|contentinfo"
 )
+#: Words that name the place or shape of such a part next to what it is.
+_PLACE_WORDS = (
+    r"\d+|site|page|main|top|bottom|left|right|inner|outer|header|head|title|body|content|bar|box|block|lists?|items?|area|zone|slot|unit|container|wrapper|wrap|"
+    r"section|panel|row|column|col|form|field|input|buttons?|icons?|links?|posts?|articles?|stories|entries|thread|mobile|desktop|sticky|toggle|google|gpt"
+)
+#: Words in a class or role that mark what is no article (menus, adverts, notices, comments).
+_NOISE = re.compile(rf"(?:^|[-_ ])(?:{_NOISE_WORDS})(?:$|[-_ ])", re.IGNORECASE)
+#: Whole ids of such parts. Ids are often made of a heading's words (``related-work``), so every word has to be one.
+_NOISE_ID = re.compile(rf"(?:(?:{_PLACE_WORDS})[-_])*(?:{_NOISE_WORDS})(?:[-_](?:{_NOISE_WORDS}|{_PLACE_WORDS}))*", re.IGNORECASE)
+#: Whole names of article elements that are comments.
+_COMMENT = re.compile(rf"(?:(?:{_PLACE_WORDS})[-_])*(?:comments?|commentlist|disqus|replies|reply)(?:[-_](?:comments?|replies|reply|{_PLACE_WORDS}))*", re.IGNORECASE)
+#: Blocks that hold an article's running text; their ids, as those of inline elements, say nothing of their kind.
+_PROSE = frozenset("h1 h2 h3 h4 h5 h6 hgroup p pre blockquote li dt dd figure figcaption caption tr td th details summary hr address".split())
 #: Marks of an article's container.
 _ARTICLE = re.compile(r"(?:^|[-_ ])(?:article|post|entry|content|story|body|main|text)(?:$|[-_ ])", re.IGNORECASE)
 
@@ -58,13 +69,23 @@ def _generalised(value: str) -> str:
     return ".".join(sorted({c for c in (re.sub(r"\d+", "#", x) for x in value.lower().split()) if c}))
 
 
+def _marked(name: str, known: dict[str, str]) -> bool:
+    """Whether class, id and role of an element say that it is no article."""
+    if name in ("html", "body", "main") or not known:
+        return False
+    own = known.get("id", "").strip()
+    if name == "article":
+        return any(_COMMENT.fullmatch(x) for x in (*known.get("class", "").split(), own))
+    marks = " ".join(known.get(k, "") for k in ("class", "role"))
+    return bool(_NOISE.search(marks) or own and name in BLOCKS and name not in _PROSE and _NOISE_ID.fullmatch(own))
+
+
 def _node(name: str, attributes: str) -> Node:
     known: dict[str, str] = {}
     if attributes.strip(" /"):
         for key, *values in _ATTRIBUTE.findall(attributes):
             known.setdefault(key.lower(), html.unescape(next((v for v in values if v), "")))
-    marks = " ".join(known.get(k, "") for k in ("class", "id", "role"))
-    noise = name in SKIPPED or bool(marks and _NOISE.search(marks) and name not in ("html", "body", "article", "main"))
+    noise = name in SKIPPED or _marked(name, known)
     noise = noise or "hidden" in known or known.get("aria-hidden") == "true" or "display:none" in known.get("style", "").replace(" ", "").lower()
     step = name + ("." + _generalised(known["class"]) if known.get("class") else "")
     return Node(name, step, noise)

@@ -250,3 +250,21 @@ def test_extraction_takes_the_whole_article(page):
 def test_extraction_stays_in_a_div_with_its_headline():
     page = "<body><div class=head>Site</div><div class=post><h1>Headline</h1>%s</div><div class=end>Imprint</div></body>" % BODY
     assert htmltext.extract(page, []).startswith("Headline\nBody") and "Imprint" not in htmltext.extract(page, [])
+
+
+@pytest.mark.parametrize("part", [
+    "<h2 id=related-work>Kept</h2>", "<h2 id=ad-hoc-methods>Kept</h2>", "<h3 id=comments>Kept</h3>", "<p id=search-results>Kept</p>", "<p>K<span id=side>ept</span></p>",
+    "<section id=side-effects><h2>Kept</h2></section>", "<section id=share-prices><p>Kept</section>", "<div id=related-work>Kept</div>",
+    "<article class='post comments-open' id=no-comments>Kept</article>",
+])
+def test_ids_made_of_heading_words_are_no_noise(part):
+    assert "\nKept\n" in htmltext.extract(f"<article><h1>T</h1>{part}{BODY}</article>", []) + "\n"
+
+
+@pytest.mark.parametrize("part", [
+    "<article class=comment>Gone</article>", "<article class='item comment-body' id=x>Gone</article>", "<article id=comment-12>Gone</article>",
+    "<div id=cookie-notice>Gone</div>", "<section id=related-posts>Gone</section>", "<section id=comments>Gone</section>", "<div id=top-ad-slot-2>Gone</div>",
+    "<ul id=share-buttons><li>Gone</ul>", "<p class=ad>Gone</p>", "<div class=related-links>Gone</div>",
+])
+def test_marked_parts_are_noise(part):
+    assert "Gone" not in htmltext.extract(f"<article><h1>T</h1>{BODY}{part}</article>", [])

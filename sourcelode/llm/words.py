@@ -51,6 +51,18 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
     yield start, len(lengths)
 
 
+def byte_words(text: bytes, table: bytes, limit: int = 2 * SLICE_BYTES) -> Iterator[list[bytes]]:
+    """Words of a text in lists of about ``limit`` bytes; ``table`` maps each byte to itself, another
+    one or, if it ends a word (as all ASCII white space must), to a space."""
+    text = text.translate(table)
+    start = 0
+    while start < len(text):
+        stop = text.find(b" ", start + limit) if len(text) > start + limit else -1
+        stop = len(text) if stop < 0 else stop
+        yield text[start:stop].split()
+        start = stop
+
+
 def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the lower-cased (A-Z) words of every text, and the row each word is in.
 

@@ -5,28 +5,23 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Components are kept inside this range, so that a product of up to 256 of them fits a long.
-CODE_LIMIT = 1 << 27
+#: Components whose code lies beyond this have no place in a long; their rows take no part.
+LARGEST = 1 << 62
 #: Depths to which the sorted lists are read, as shares of their length.
 DEPTHS = (0.1, 0.25, 0.5, 0.75, 1.0)
 
 
 def integer_codes(embedding, scale: float = 256.0):
-    """floor(scale * x) of each component, x as double; beyond +-2**27 the nearest of these."""
-    code = lambda x: F.floor(F.lit(scale) * x.cast("double"))
-    bound = F.lit(CODE_LIMIT).cast("double")
-    return F.transform(
-        embedding, lambda x: F.when(F.abs(x.cast("double") * scale) < bound, code(x)).otherwise(F.signum(x) * bound).cast("bigint")
-    )
+    """floor(scale * x) of each component, x as double."""
+    return F.transform(embedding, lambda x: F.floor(F.lit(scale) * x.cast("double")))
 
 
-def _finite(embedding):
-    good = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
+def _usable(embedding, scale: float):
+    good = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double") * scale) < F.lit(float(LARGEST)))
     return embedding.isNotNull() & F.forall(embedding, good)
 
 
@@ -52,32 +47,41 @@ def _pack(rows_per_block: int):
 
 
 class Block:
-    """Candidates of one block with the sorted list of every component."""
+    """Candidates of one block with two sorted lists per component: by falling value, for positive
+    weights, and by rising value, for negative ones."""
 
     def __init__(self, ids: bytes, codes: bytes, width: int):
         self.ids = np.frombuffer(ids, np.int64)
         self.codes = np.frombuffer(codes, np.int64).reshape(len(self.ids), width)
-        self.lists = np.sort(self.codes, axis=0)
 
-    def frontier(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
-        """Component values last read when every list has been read ``depth`` entries deep, from
-        its top and, for negative weights, from its bottom."""
-        return self.lists[len(self.ids) - depth], self.lists[depth - 1]
+    def lists(self, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of ``2 * width`` lists: every row's value, its place in the list, and the values in list order."""
+        rows = np.pad(self.codes, ((0, 0), (0, width - self.codes.shape[1])))
+        order = np.argsort(rows, axis=0, kind="stable")
+        rising = np.take_along_axis(rows, order, axis=0)
+        place = np.empty(rows.shape, np.int32)
+        np.put_along_axis(place, order, np.arange(len(rows), dtype=np.int32)[:, None], axis=0)
+        places = np.concatenate([len(rows) - 1 - place, place], axis=1)
+        return np.concatenate([rows, rows], axis=1), places, np.concatenate([rising[::-1], rising], axis=1)
+
+
+def _highest(queries: np.ndarray, rows: np.ndarray) -> int:
+    """A bound of all sums of products."""
+    largest = lambda x: max(int(x.max(initial=0)), -int(x.min(initial=0)))
+    return largest(queries) * largest(rows) * max(1, queries.shape[1])
 
 
 def _products(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Exact integer products; floating matrix products while every sum stays below 2**53."""
-    high = int(np.abs(queries).max(initial=0)) * int(np.abs(rows).max(initial=0)) * max(1, queries.shape[1])
+    """Exact integer products; floating matrix products while every sum stays below 2**53, Python
+    integers where one may pass a long."""
+    high = _highest(queries, rows)
     if high < 1 << 24:
         return (queries.astype(np.float32) @ rows.T.astype(np.float32)).astype(np.int64)
     if high < 1 << 53:
         return (queries.astype(np.float64) @ rows.T.astype(np.float64)).astype(np.int64)
-    return queries @ rows.T
-
-
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    order = np.lexsort((ids, -scores))[:k]
-    return scores[order], ids[order]
+    if high < 1 << 63:
+        return queries @ rows.T
+    return queries.astype(object) @ rows.T.astype(object)
 
 
 class Search:
@@ -87,74 +91,78 @@ class Search:
         self.ids = np.frombuffer(ids, np.int64)
         self.codes = np.frombuffer(codes, np.int64).reshape(len(self.ids), width)
         self.k = k
-        self.scores = [np.zeros(0, np.int64) for _ in self.ids]
-        self.found = [np.zeros(0, np.int64) for _ in self.ids]
+        #: The best (score, vec_id) of each query so far, scores as Python integers.
+        self.best: list[list[tuple[int, int]]] = [[] for _ in self.ids]
+        #: List entries read, and how many there were.
+        self.read = self.entries = 0
 
     def floor(self) -> np.ndarray:
         """Score that an outsider has to reach, per query: its k-th best so far."""
         low = np.iinfo(np.int64).min
-        return np.array([s[self.k - 1] if len(s) >= self.k else low for s in self.scores], np.int64)
+        return np.array([b[self.k - 1][0] if len(b) >= self.k else low for b in self.best], object)
 
     def add(self, block: Block) -> None:
         """No-random-access rounds over the block.
 
-        After reading all lists to a depth, an entry that was read is exact and an unread one lies
-        between the list's far end and the value last read. The k-th largest lower bound, or the
-        k-th best score of earlier blocks, is the floor; candidates whose upper bound is below it
-        are out. Reading stops as soon as few enough are left to resolve their scores.
+        The sorted lists are read from their tops, a stretch of all of them per round. A row's lower bound
+        takes each list at its far end until the row is met in it; then the difference is added. Its upper
+        bound takes lists in which it was not met at the value last read. The k-th largest
+        lower bound, or the k-th best score of earlier blocks, is the floor; rows whose upper bounds are
+        below those of all queries are no longer read. Reading stops as soon as few enough pairs are left, and
+        these resolve their scores.
         """
         width = max(self.codes.shape[1], block.codes.shape[1])
         queries = np.pad(self.codes, ((0, 0), (0, width - self.codes.shape[1])))
-        rows = np.pad(block.codes, ((0, 0), (0, width - block.codes.shape[1])))
-        lists = np.pad(block.lists, ((0, 0), (0, width - block.lists.shape[1])))
-        up, down = np.maximum(queries, 0), np.minimum(queries, 0)
-        signed = np.concatenate([up, down], axis=1)
-        size, floor = len(block.ids), self.floor()
-        own = self.ids[:, None] == block.ids[None, :]
-        open_pairs = ~own
-        for share in DEPTHS:
-            depth = max(1, int(np.ceil(share * size)))
-            top, bottom = lists[size - depth], lists[depth - 1]
-            high = _products(signed, np.concatenate([np.maximum(rows, top), np.minimum(rows, bottom)], axis=1))
-            if depth < size:
-                low = _products(signed, np.concatenate([np.where(rows >= top, rows, lists[0]), np.where(rows <= bottom, rows, lists[-1])], axis=1))
-            else:
-                low = high
-            if size > self.k:
-                low = np.where(own, np.iinfo(np.int64).min, low)
-                kth = np.partition(low, size - self.k, axis=1)[:, size - self.k]
-                floor = np.maximum(floor, kth)
-            open_pairs &= high >= floor[:, None]
-            if open_pairs.sum() <= 0.02 * open_pairs.size + self.k * len(self.ids):
-                break
+        values, places, lists = block.lists(width)
+        signed = np.concatenate([np.maximum(queries, 0), np.minimum(queries, 0)], axis=1)
+        size, rows = len(block.ids), np.arange(len(block.ids))
+        open_pairs = self.ids[:, None] != block.ids[None, :]
+        self.entries += values.size
+        if 4 * _highest(signed, values) < LARGEST:  # bounds fit a long; beyond that all pairs resolve
+            far = lists[-1]
+            floor = np.maximum(self.floor(), -(1 << 62)).astype(np.int64)
+            lower = np.repeat(_products(signed, far[None, :]), size, axis=1)
+            done = 0
+            for share in DEPTHS:
+                depth = max(1, int(np.ceil(share * size)))
+                met = places[rows] < depth
+                fresh = met & (places[rows] >= done)
+                self.read += int(fresh.sum())
+                lower += _products(signed, np.where(fresh, values[rows] - far, 0))
+                if len(rows) > self.k:
+                    own = np.where(open_pairs, lower, -(1 << 62))
+                    floor = np.maximum(floor, np.partition(own, len(rows) - self.k, axis=1)[:, len(rows) - self.k])
+                upper = lower + _products(signed, np.where(met, 0, lists[depth - 1] - far))
+                open_pairs &= upper >= floor[:, None]
+                keep = open_pairs.any(axis=0)
+                rows, lower, open_pairs, done = rows[keep], lower[:, keep], open_pairs[:, keep], depth
+                if open_pairs.sum() <= 0.02 * size * len(self.ids) + self.k * len(self.ids):
+                    break
         for at in np.flatnonzero(open_pairs.any(axis=1)):
-            left = np.flatnonzero(open_pairs[at])
-            scores = _products(queries[at : at + 1], rows[left])[0]
-            self.scores[at], self.found[at] = _best(
-                np.concatenate([self.scores[at], scores]), np.concatenate([self.found[at], block.ids[left]]), self.k
-            )
+            left = rows[open_pairs[at]]
+            scores = _products(queries[at : at + 1], values[left, :width])[0].tolist()
+            found = sorted(zip((-s for s in scores), block.ids[left].tolist(), strict=True))[: self.k]
+            self.best[at] = sorted([*self.best[at], *((-s, i) for s, i in found)], key=lambda x: (-x[0], x[1]))[: self.k]
 
-    def rows(self) -> pd.DataFrame:
-        counts = [len(s) for s in self.scores]
-        return pd.DataFrame({
-            "query_id": np.repeat(self.ids, counts), "vec_id": np.concatenate([*self.found, np.zeros(0, np.int64)]),
-            "score": np.concatenate([*self.scores, np.zeros(0, np.int64)]),
-        })
+    def rows(self) -> pa.RecordBatch:
+        """The best of all queries; a score is ``high * 2**62 + low``."""
+        found = [(query, vec, score >> 62, score & (LARGEST - 1)) for query, best in zip(self.ids.tolist(), self.best, strict=True) for score, vec in best]
+        columns = zip(*found, strict=True) if found else [[]] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["query_id", "vec_id", "high", "low"])
 
 
 def _search(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
         key, search = None, None
         for batch in batches:
             for row in batch.to_pylist():
                 if row["q_ids"] != key:
                     if search is not None:
-                        yield pa.RecordBatch.from_pandas(search.rows(), schema, preserve_index=False)
+                        yield search.rows()
                     key, search = row["q_ids"], Search(row["q_ids"], row["q_codes"], row["q_width"], k)
                 search.add(Block(row["ids"], row["codes"], row["width"]))
         if search is not None:
-            yield pa.RecordBatch.from_pandas(search.rows(), schema, preserve_index=False)
+            yield search.rows()
 
     return run
 
@@ -168,7 +176,9 @@ def top_k(
     condition on ``vec_id``. Returns query_id, rank (from 1), vec_id, score; ties go to the smaller
     vec_id, and a query with fewer than ``k`` candidates gets all of them.
 
-    Rows with a NULL id, a NULL vector or a NULL or non-finite component take no part. Rows of one
+    Rows with a NULL id, a NULL vector or a NULL or non-finite component take no part, nor do rows with a
+    component whose code is no long. Sums are exact however large; a score that is no long is ranked by
+    its value and returned as the nearest long. Rows of one
     vec_id count once, with the smallest vector. Shorter vectors are padded with zeros; an empty
     vector scores 0 with all. Without queries or candidates the result is empty.
 
@@ -182,7 +192,7 @@ def top_k(
     across = max(1, int(cells**0.5 / 2))
     down = -(-cells // across)
     clean = (
-        vectors.select("vec_id", "embedding").where(F.col("vec_id").isNotNull() & _finite(F.col("embedding")))
+        vectors.select("vec_id", "embedding").where(F.col("vec_id").isNotNull() & _usable(F.col("embedding"), scale))
         .groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
         .select("vec_id", integer_codes(F.col("embedding"), scale).alias("codes"))
     )
@@ -198,10 +208,11 @@ def top_k(
     )
     queries = queries.select("across", "down", *(F.col(c).alias(f"q_{c}") for c in ("ids", "codes", "width")))
     found = queries.join(candidates, ["across", "down"]).drop("across", "down").mapInArrow(
-        _search(k), "query_id long, vec_id long, score long"
+        _search(k), "query_id long, vec_id long, high long, low long"
     )
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query_id").orderBy(F.desc("high"), F.desc("low"), "vec_id")
+    score = F.when(F.col("high") > 1, 2**63 - 1).when(F.col("high") < -2, -(2**63)).otherwise(F.shiftleft("high", 62) + F.col("low"))
     return (
         found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-        .select("query_id", "rank", "vec_id", "score")
+        .select("query_id", "rank", "vec_id", score.cast("long").alias("score"))
     )

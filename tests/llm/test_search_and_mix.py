@@ -3,11 +3,12 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from sourcelode.llm import mixing
-from sourcelode.llm.topk import top_k
+from sourcelode.llm.topk import Block, Search, top_k
 
 
 def brute(rows, k, scale=256.0):
@@ -36,8 +37,6 @@ def test_top_k_equals_brute_force_with_ties_nulls_and_repeated_rows(spark):
     same = [0.25, -0.5] * 8
     rows += [(i, same) for i in range(1000, 1500)]
     rows += [(50, None), (100, [None] * 16), (None, same), (2000, [float("nan")] * 16), (2050, [float("inf")] * 16), (150, same), (150, same)]
-    rows += [(2100, [1e30, -1e30] + [0.0] * 14)]
-    rows = [r for r in rows if r[0] != 2100]
     df = spark.createDataFrame([(*r, "x", 1) for r in rows], "vec_id long, embedding array<double>, label string, score int")
     assert found(df, 5) == brute(rows, 5)
 
@@ -48,8 +47,33 @@ def test_top_k_small_tables_and_vectors_of_other_lengths(spark):
     assert found(spark.createDataFrame([(0, [1.0])], schema), 5) == []
     rows = [(0, [1.0, 2.0]), (1, [1.0]), (2, []), (3, [0.5, 0.5, 9.0])]
     assert found(spark.createDataFrame(rows, schema), 5) == [(0, 1, 3, 98304), (0, 2, 1, 65536), (0, 3, 2, 0)]
-    far = spark.createDataFrame([(0, [1e30]), (1, [-1e30])], schema)
-    assert found(far, 1) == [(0, 1, 1, -(1 << 54))]
+    far = spark.createDataFrame([(0, [1.0]), (1, [-1e30]), (2, [0.5])], schema)
+    assert found(far, 1) == [(0, 1, 2, 32768)]
+
+
+def test_top_k_of_large_and_long_vectors(spark):
+    schema, rng = "vec_id long, embedding array<double>", random.Random(9)
+    rows = [(0, [1.0]), (1, [6e5]), (2, [7e5]), (3, [5e5])]
+    assert found(spark.createDataFrame(rows, schema), 3) == [(0, 1, 2, 45875200000), (0, 2, 1, 39321600000), (0, 3, 3, 32768000000)]
+    for size, width in ((2.0**19, 16), (2.0**40, 4), (3.0, 700), (2.0**27, 512)):
+        rows = [(i, [rng.gauss(0, size) for _ in range(width)]) for i in range(120)]
+        want = [(q, n, i, max(-(2**63), min(2**63 - 1, s))) for q, n, i, s in brute(rows, 5)]
+        assert found(spark.createDataFrame(rows, schema), 5) == want
+
+
+def test_lists_are_read_as_far_as_needed():
+    rng = np.random.default_rng(3)
+    queries = np.abs(rng.normal(60, 10, (20, 16))).astype(np.int64)
+    few = rng.integers(-30, 30, (512, 16))
+    few[:12] += 400  # some rows stand out in all lists
+    for rows, most in ((few, 0.3), (rng.integers(-200, 200, (512, 16)), 1.0)):
+        ids = np.arange(512)
+        search = Search((1000 + np.arange(20)).tobytes(), queries.tobytes(), 16, 5)
+        search.add(Block(ids.tobytes(), rows.astype(np.int64).tobytes(), 16))
+        assert 0 < search.read <= most * search.entries
+        scores = queries @ rows.T
+        for at, best in enumerate(search.best):
+            assert best == sorted(((int(s), i) for i, s in enumerate(scores[at])), key=lambda x: (-x[0], x[1]))[:5]
 
 
 WEIGHTS = {"domain": {"a": 3, "b": 1}, "lang": {}, "source": {}}

@@ -90,23 +90,28 @@ def sarif_result(related=None) -> Column:
     return F.struct(*fields)
 
 
+def related_location(file_path, line_number, similarity) -> Column:
+    """A similar place as one related location: a row per link, however many links a finding has."""
+    return F.struct(
+        F.struct(
+            F.struct(as_column(file_path).alias("uri")).alias("artifactLocation"),
+            F.struct(as_column(line_number).alias("startLine")).alias("region"),
+        ).alias("physicalLocation"),
+        F.struct(
+            F.concat(
+                F.lit("Similar vulnerability (similarity: "),
+                F.coalesce(as_column(similarity).cast("string"), F.lit("unknown")),
+                F.lit(")"),
+            ).alias("text")
+        ).alias("message"),
+    )
+
+
 def related_locations(similar) -> Column:
-    """``array<struct<file_path, line_number, similarity>>`` as related locations."""
+    """``array<struct<file_path, line_number, similarity>>`` as related locations; pass bounded lists,
+    such as the best ``TOP`` of a finding."""
     return F.transform(
-        as_column(similar),
-        lambda place: F.struct(
-            F.struct(
-                F.struct(place["file_path"].alias("uri")).alias("artifactLocation"),
-                F.struct(place["line_number"].alias("startLine")).alias("region"),
-            ).alias("physicalLocation"),
-            F.struct(
-                F.concat(
-                    F.lit("Similar vulnerability (similarity: "),
-                    F.coalesce(place["similarity"].cast("string"), F.lit("unknown")),
-                    F.lit(")"),
-                ).alias("text")
-            ).alias("message"),
-        ),
+        as_column(similar), lambda place: related_location(place["file_path"], place["line_number"], place["similarity"])
     )
 
 

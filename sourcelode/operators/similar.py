@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from sourcelode.functions import text as txt
 from sourcelode.functions.vectors import cosine
+from sourcelode.operators.cells import SLACK, Cells, angles, make_cells, unit_rows
 
 # Default similarity threshold and length of a result list.
 THRESHOLD = 0.8
@@ -48,38 +49,109 @@ def similar_findings(
     return near.withColumnRenamed("similarity", "similarity_score")
 
 
+def _blocks_of(cells: Cells, block_rows: int) -> tuple[dict, dict, int]:
+    """Of each cell its first block and the number of blocks it is dealt over, and the number of blocks.
+
+    Neighbouring cells share a block, a cell of more than ``block_rows`` rows is split.
+    """
+    sizes = {at: int(n) for at, n in enumerate(cells.counts) if n} | dict(cells.others)
+    near: dict = {}
+    if len(cells.pivots):
+        # Cells around the same of a few pivots lie side by side; the first pivots are the furthest apart.
+        coarse = max(1, sum(sizes.values()) // block_rows)
+        for at, pivot in enumerate(cells.pivots):
+            own = [c for c in range(min(coarse, len(cells.pivots))) if len(cells.pivots[c]) == len(pivot)]
+            near[at] = max(own, key=lambda c: float(cells.pivots[c] @ pivot)) if own else -1
+    first, splits, block, held = {}, {}, 0, 0
+    for at in sorted(sizes, key=lambda c: (c < 0, near.get(c, 0), c)):
+        if held and held + sizes[at] > block_rows:
+            block, held = block + 1, 0
+        first[at], splits[at] = block, -(-sizes[at] // block_rows)
+        if splits[at] > 1:
+            block, held = block + splits[at], 0
+        else:
+            held += sizes[at]
+    return first, splits, block + (1 if held else 0)
+
+
 def similar_all(
     vectors: DataFrame, threshold: float = THRESHOLD, top: int | None = TOP,
-    vec: str = "embedding", row_id: str = "vec_id", block_rows: int = BLOCK_ROWS,
+    vec: str = "embedding", row_id: str = "vec_id", block_rows: int = BLOCK_ROWS, cells: int | None = None,
 ) -> DataFrame:
-    """For every vector its ``top`` (None: all) most similar others; exact, whatever the data
-    looks like.
+    """For every vector its ``top`` (None: all) most similar others; exact, whatever the data looks like.
 
-    Ids are hashed into B equal blocks; every pair of blocks is one group that multiplies two
-    blocks of bounded size and keeps the best ``top`` per row. Near copies spread over all blocks
-    like any other rows, so no group is larger than the rest, and a row costs B copies of itself
-    in the shuffle, never a row per pair. There are enough blocks for a task per core. Pass one row per distinct code (see ``dedupe_code``).
+    ``threshold`` has to be positive. Vectors are dealt into cells around pivots (:func:`make_cells`). Two cells are
+    compared only if the angles between pivots and the radii allow a pair within the threshold. Cells
+    fill blocks of ``block_rows`` at most, large ones are split; a pair of blocks is one group, to which a row
+    goes only if some cell on the other side can hold a similar one. So a row is copied at most once per block, and
+    on clustered data to few; data without clusters costs what all blocks against all blocks do.
+    A group multiplies only pairs of cells that meet. Pass one row per distinct code (see ``dedupe_code``).
     """
-    spark = vectors.sparkSession
-    rows, cores = vectors.count(), spark.sparkContext.defaultParallelism
-    for_cores = min(math.ceil(math.sqrt(2 * cores)), rows // LEAST_BLOCK_ROWS)
-    blocks = max(1, math.ceil(rows / block_rows), for_cores)
-    block = F.pmod(F.xxhash64(row_id), F.lit(blocks)).cast("int")
-    cells = (
-        vectors.select(row_id, F.col(vec).cast("array<double>").alias("_v"), block.alias("_b"))
-        .withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        .withColumn("_i", F.least("_b", "_o"))
-        .withColumn("_j", F.greatest("_b", "_o"))
-        .drop("_o")
-    )
-    id_type = vectors.schema[row_id].dataType
-    shape = T.StructType(
-        [
-            T.StructField("target_id", id_type),
-            T.StructField("similar_id", id_type),
-            T.StructField("similarity", T.DoubleType()),
-        ]
-    )
+    if threshold <= 0:
+        raise ValueError("cells need a positive threshold")
+    dealt = make_cells(vectors, row_id, vec, cells)
+    spark, cores = vectors.sparkSession, vectors.sparkSession.sparkContext.defaultParallelism
+    rows = int(dealt.counts.sum()) + sum(dealt.others.values())
+    # Smaller blocks where there are few rows, so that each core has a pair of blocks.
+    wanted = min(math.ceil(math.sqrt(2 * cores)), max(1, rows // LEAST_BLOCK_ROWS))
+    first, splits, blocks = _blocks_of(dealt, min(block_rows, max(LEAST_BLOCK_ROWS, math.ceil(rows / wanted))))
+    theta = math.acos(min(1.0, threshold)) + SLACK
+    met = dealt.meet(theta)
+    shared = spark.sparkContext.broadcast((dealt.pivots, dealt.radii, met, first, splits))  # a row per pivot, a bit per pair of pivots
+    vector = T.ArrayType(T.DoubleType())
+    id_field = T.StructField(row_id, vectors.schema[row_id].dataType)
+    sent = T.StructType([
+        id_field, T.StructField("vector", vector), T.StructField("cell", T.IntegerType()), T.StructField("block", T.IntegerType()),
+        T.StructField("i", T.IntegerType()), T.StructField("j", T.IntegerType()),
+    ])
+
+    def send(batches):
+        import numpy as np
+        import pandas as pd
+
+        pivots, radii, _, first, splits = shared.value
+        lengths = np.array([len(p) for p in pivots])
+        reach = {}
+        for n in set(lengths.tolist()):
+            own = [at for at in np.flatnonzero(lengths == n) if at in first]
+            # Which blocks a cell fills.
+            fills = np.zeros((len(own), blocks), bool)
+            for row, at in enumerate(own):
+                fills[row, first[at] : first[at] + splits[at]] = True
+            reach[n] = (np.stack([pivots[at] for at in own]) if own else None, radii[own], fills)
+        for batch in batches:
+            number = batch["number"].to_numpy()
+            cell = batch["cell"].to_numpy()
+            home = np.array([first[c] + h % splits[c] for c, h in zip(cell, number)], np.int32)
+            parts = []
+            for c in np.unique(np.where(cell < 0, cell, 0)):
+                at = np.flatnonzero(cell == c) if c < 0 else np.flatnonzero(cell >= 0)
+                if c < 0:
+                    to = np.zeros((len(at), blocks), bool)
+                    to[:, first[c] : first[c] + splits[c]] = True
+                    parts.append((at, to))
+                    continue
+                size = batch["vector"].iloc[at].map(len).to_numpy()
+                for n, (own, radius, fills) in reach.items():
+                    here = at[size == n]
+                    if len(here) and own is not None:
+                        near = angles(unit_rows(batch["vector"].iloc[here]), own) <= radius + theta + SLACK
+                        parts.append((here, near.astype(np.float32) @ fills.astype(np.float32) > 0))
+            for at, to in parts:
+                to[np.arange(len(at)), home[at]] = True
+                row, other = np.nonzero(to)
+                own = home[at][row]
+                for start in range(0, len(row), 20_000):
+                    part = slice(start, start + 20_000)
+                    source = batch.iloc[at[row[part]]]
+                    yield pd.DataFrame({
+                        row_id: source[row_id].to_numpy(), "vector": source["vector"].to_numpy(), "cell": source["cell"].to_numpy(),
+                        "block": own[part], "i": np.minimum(own[part], other[part]), "j": np.maximum(own[part], other[part]),
+                    }, columns=sent.names)
+
+    shape = T.StructType([
+        T.StructField("target_id", id_field.dataType), T.StructField("similar_id", id_field.dataType), T.StructField("similarity", T.DoubleType()),
+    ])
     limit, least = top, threshold
 
     def best(key, frame):
@@ -87,18 +159,18 @@ def similar_all(
         import pandas as pd
 
         i, j = key
+        met = shared.value[2]
+        out = []
 
         def side(number):
-            rows = frame[frame["_b"] == number].sort_values(row_id, kind="stable")
-            if rows.empty:
-                return rows[row_id].to_numpy(), None
-            matrix = np.stack(rows["_v"].to_numpy()).astype("float64")
-            lengths = np.sqrt((matrix * matrix).sum(axis=1))
-            unit = np.divide(matrix, lengths[:, None], out=np.zeros_like(matrix),
-                             where=lengths[:, None] > 0)
-            return rows[row_id].to_numpy(), unit
-
-        def top_of(ids, unit, other_ids, other_unit, out):
+            rows = frame[frame["block"] == number]
+            parts = {}
+            for cell, own in rows.groupby("cell"):
+                own = own.sort_values(row_id, kind="stable")
+                parts[cell] = (own[row_id].to_numpy(), unit_rows(own["vector"]))
+            return parts
+
+        def top_of(ids, unit, other_ids, other_unit):
             for start in range(0, len(ids), 512):
                 mine = ids[start : start + 512]
                 # Rounded, so that equal vectors tie wherever they sit in a block.
@@ -116,25 +188,31 @@ def similar_all(
                 row, column = np.nonzero(chosen & (scores > -2.0))
                 out.append((mine[row], other_ids[column], scores[row, column]))
 
-        left_ids, left = side(i)
-        right_ids, right = (left_ids, left) if i == j else side(j)
-        out = []
-        if left is not None and right is not None:
-            top_of(left_ids, left, right_ids, right, out)
-            if i != j:
-                top_of(right_ids, right, left_ids, left, out)
+        def meet(left, right):
+            for cell, (ids, unit) in left.items():
+                others = [c for c in right if c == cell or (c >= 0 and cell >= 0 and met[cell, c])]
+                if others:
+                    other_ids = np.concatenate([right[c][0] for c in others])
+                    order = np.argsort(other_ids, kind="stable")
+                    top_of(ids, unit, other_ids[order], np.concatenate([right[c][1] for c in others])[order])
+
+        left = side(i)
+        right = left if i == j else side(j)
+        meet(left, right)
+        if i != j:
+            meet(right, left)
         columns = ["target_id", "similar_id", "similarity"]
-        frames = [pd.DataFrame(dict(zip(columns, part))) for part in out]
+        frames = [pd.DataFrame(dict(zip(columns, part))) for part in out if len(part[0])]
         return pd.concat(frames) if frames else pd.DataFrame(columns=columns)
 
+    numbered = dealt.rows.withColumn("number", F.pmod(F.xxhash64(row_id), F.lit(1 << 30)).cast("int"))
     # A fixed number of tasks: the groups are few and heavy, far from what their bytes suggest.
-    tasks = min(blocks * (blocks + 1) // 2, 8 * cores)
-    spread = cells.repartition(tasks, "_i", "_j")
-    found = spread.groupBy("_i", "_j").applyInPandas(best, shape)
-    ranked = Window.partitionBy("target_id").orderBy(F.desc("similarity"), "similar_id")
+    tasks = max(1, min(blocks * (blocks + 1) // 2, 8 * cores))
+    found = numbered.mapInPandas(send, sent).repartition(tasks, "i", "j").groupBy("i", "j").applyInPandas(best, shape)
     if top is None:
         # A rank would bring all neighbours of a hot row into one task.
         return found
+    ranked = Window.partitionBy("target_id").orderBy(F.desc("similarity"), "similar_id")
     return (
         found.withColumn("rank", F.row_number().over(ranked).cast("long"))
         .where(F.col("rank") <= top)

@@ -3,7 +3,7 @@
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -28,3 +28,10 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh folder name below the shared folder."""
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
+
+def kept(df: DataFrame, label: str) -> DataFrame:
+    """Write a frame to the shared folder and read it back: it is evaluated once, and later steps do
+    not depend on the executors that did it."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,6 +1,9 @@
 """Vectors, similarity, metrics and verdicts."""
 
 import json
+import math
+import os
+import random
 
 import numpy as np
 import pytest
@@ -8,6 +11,8 @@ from pyspark.sql import functions as F
 
 from sourcelode.functions import metrics as m, vectors as v
 from sourcelode.operators import similar as sim, verdicts as ver
+from sourcelode.operators.cells import make_cells, unit_rows
+from sourcelode.sources.vectorindex import VectorIndex
 from sourcelode.options import ScanOptions
 from sourcelode.operators import detect as det
 from sourcelode.plans import scan
@@ -30,6 +35,66 @@ def brute(matrix, threshold, top):
     return out
 
 
+def brute_pairs(rows, least):
+    out = set()
+    for a, x in rows:
+        for b, y in rows:
+            if a != b and x and y and len(x) == len(y):
+                lengths = math.sqrt(sum(v * v for v in x)) * math.sqrt(sum(v * v for v in y))
+                if lengths and round(sum(v * w for v, w in zip(x, y)) / lengths, 12) >= least:
+                    out.add((a, b))
+    return out
+
+
+def clustered(seed, clusters, each, width=16, spread=0.05):
+    rng = random.Random(seed)
+    rows = []
+    for c in range(clusters):
+        centre = [rng.gauss(0, 1) for _ in range(width)]
+        rows += [(c * each + k, [x + rng.gauss(0, spread) for x in centre]) for k in range(each)]
+    return rows
+
+
+@pytest.mark.parametrize("shape", ["clusters", "hot", "random", "lengths"])
+def test_cells_lose_no_pair(spark, shape):
+    rows = {
+        "clusters": clustered(1, 30, 12),
+        "hot": clustered(2, 1, 250) + [(1000 + i, v) for i, v in clustered(3, 20, 5)],  # most rows in one cell
+        "random": clustered(4, 300, 1),
+        "lengths": clustered(5, 10, 10) + [(500 + i, v) for i, v in clustered(6, 3, 6, width=5)] + [(900, [0.0] * 16), (901, []), (902, None)],
+    }[shape]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for least, block_rows in ((0.8, 40), (0.35, 20_000)):
+        got = sim.similar_all(frame, least, None, block_rows=block_rows).collect()
+        pairs = [(r["target_id"], r["similar_id"]) for r in got]
+        assert len(pairs) == len(set(pairs)) and set(pairs) == brute_pairs(rows, least)
+
+
+def test_cells_compare_few_pairs_of_clustered_rows(spark):
+    rows = clustered(7, 60, 30)
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    cells = make_cells(frame, "vec_id", "embedding")
+    compared, every = cells.compared(math.acos(0.8))
+    assert compared < 0.1 * every
+    spread = make_cells(spark.createDataFrame(clustered(8, 1500, 1, 64), "vec_id long, embedding array<double>"), "vec_id", "embedding")
+    compared, every = spread.compared(math.acos(0.8))
+    assert compared <= every  # without clusters all cells may meet
+
+
+@pytest.mark.parametrize("sf", ["0.001", "0.01"])
+def test_cells_equal_all_pairs_of_the_tables(spark, sf):
+    path = f"/root/testdata/sf{sf}/embeddings.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test data")
+    table = spark.read.parquet(path)
+    unit = unit_rows(r["embedding"] for r in table.orderBy("vec_id").collect())
+    ids = [r["vec_id"] for r in table.orderBy("vec_id").collect()]
+    near = np.round(unit @ unit.T, 12) >= 0.3
+    want = {(ids[a], ids[b]) for a, b in zip(*np.nonzero(near)) if a != b}
+    got = {(r["target_id"], r["similar_id"]) for r in sim.similar_all(table, 0.3, None).collect()}
+    assert got == want
+
+
 @pytest.mark.parametrize("block_rows", [7, 40, 1000])
 def test_all_pairs_match_brute_force_with_copies(spark, block_rows):
     rng = np.random.default_rng(3)
@@ -208,3 +273,59 @@ def test_profile_reports_missing_embedding(spark):
     row = scan.profile_code(rows).first()
     assert row.error == "no embedding" and row.total_lines == 1 and row.overall_risk_score is None
     assert row.embedding_entropy is None and row.pattern_diversity is None
+
+
+@pytest.fixture(scope="module")
+def index(spark, tmp_path_factory):
+    rows = [(f"{i:05d}", v) for i, v in clustered(11, 40, 25, 24, 0.3)]
+    rows += [("zero", [0.0] * 24), ("none", None), ("short", [1.0, 2.0]), ("nan", [float("nan")] * 24), ("far", [1e100] * 24)]
+    frame = spark.createDataFrame(rows, "code_hash string, embedding array<double>")
+    return rows, VectorIndex(spark, str(tmp_path_factory.mktemp("index") / "i")).build(frame)
+
+
+def nearest(rows, aim, least, top):
+    out = []
+    for code, v in rows:
+        if v is not None and len(v) == len(aim) and np.isfinite(v).all() and np.any(v):
+            a, b = np.asarray(v) / np.abs(v).max(), np.asarray(aim)
+            out.append((-float(a @ b / np.linalg.norm(a) / np.linalg.norm(b)), code))
+    return [(code, -s) for s, code in sorted(out) if -s >= least][:top]
+
+
+def test_index_holds_every_row_and_searches_exactly(spark, index):
+    rows, stored = index
+    assert stored._vectors().count() == len(rows) == sum(f["rows"] for f in stored.lists())
+    asked = [r for at, r in enumerate(rows[:1000]) if at % 50 == 0] + [("random", np.random.default_rng(1).normal(size=24).tolist())]
+    frame = spark.createDataFrame([(code, v) for code, v in asked], "query_id string, embedding array<double>")
+    found = {}
+    for r in stored.search(frame, 0.1, 7, probe=2, exact=True).collect():
+        found.setdefault(r["query_id"], {})[r["rank"]] = r["code_hash"]
+    for code, aim in asked:
+        want = [c for c, _ in nearest(rows, aim, 0.1, 7)]
+        assert [found[code][n] for n in range(1, len(found[code]) + 1)] == want
+        assert [r["code_hash"] for r in stored.find(aim, 0.1, 7, probe=2, exact=True).collect()] == want
+
+
+def test_index_recall_and_pruning(spark, index):
+    rows, stored = index
+    asked = [r for at, r in enumerate(rows[:1000]) if at % 10 == 0]
+    frame = spark.createDataFrame(asked, "query_id string, embedding array<double>")
+    got = {(r["query_id"], r["code_hash"]) for r in stored.search(frame, 0.1, 10, probe=8).collect()}
+    want = {(code, c) for code, aim in asked for c, _ in nearest(rows, aim, 0.1, 10)}
+    assert len(got & want) >= 0.9 * len(want)
+    probed = stored.probes(asked[0][1], 3)
+    plan = stored.find(asked[0][1], probe=3)._jdf.queryExecution().toString()
+    assert "PartitionFilters: [" in plan and f"list#" in plan.split("PartitionFilters")[1]
+    files = stored._rows(probed).select(F.input_file_name().alias("f")).distinct().collect()
+    assert {int(r["f"].split("list=")[1].split("/")[0]) for r in files} <= set(probed) and len(probed) <= 4
+
+
+def test_index_of_odd_tables(spark, tmp_path):
+    shape = "code_hash string, embedding array<double>"
+    empty = VectorIndex(spark, str(tmp_path / "e")).build(spark.createDataFrame([], shape))
+    asked = spark.createDataFrame([("q", [1.0, 0.0]), ("n", None), ("z", [0.0, 0.0])], "query_id string, embedding array<double>")
+    assert empty.find([1.0, 0.0], exact=True).count() == 0 and empty.search(asked, exact=True).count() == 0
+    copies = spark.createDataFrame([(f"c{i:03d}", [1.0, 0.0]) for i in range(200)], shape)
+    stored = VectorIndex(spark, str(tmp_path / "c")).build(copies)
+    got = stored.search(asked, 0.5, 5, exact=True).collect()
+    assert [(r["query_id"], r["code_hash"]) for r in sorted(got, key=lambda r: r["rank"])] == [("q", f"c{i:03d}") for i in range(5)]

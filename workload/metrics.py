@@ -13,6 +13,8 @@ from sourcelode.functions.lookups import (
     RISK_WORDS,
 )
 from sourcelode.operators import similar as sim
+from sourcelode.session import scratch_path
+from sourcelode.sources.vectorindex import VectorIndex
 from sourcelode.plans.scan import profile_code
 from workload import sqlparts as sp
 from workload.detection import scanned
@@ -303,6 +305,40 @@ def _(t):
     return sim.similar_all(t("embeddings"), NEAR, top=3).select("target_id", "similar_id", "rank")
 
 
+def vector_index(t):
+    """A stored index of all vectors, by their id as text."""
+    index = VectorIndex(t.spark, scratch_path(t.spark, "vector-index"))
+    return index.build(t("embeddings").select(F.lpad(F.col("vec_id").cast("string"), 12, "0").alias("code_hash"), "embedding"))
+
+
+_NEAREST = f"""ranked AS (SELECT a.vec_id AS query_id, b.vec_id, {_COS} AS s, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_COS} DESC, b.vec_id) AS rank
+ FROM vecs a JOIN vecs b ON a.vec_id % 100 = 0 WHERE {_COS} >= 0.3)"""
+
+
+@query(
+    "index_search",
+    "SELECT query_id, rank, vec_id, round(s, 6) AS similarity FROM ranked WHERE rank <= 10",
+    ctes=f"{VECS},\n{_NEAREST}",
+)
+def _(t):
+    """The rows nearest to every hundredth row, exactly, from the lists that may hold them."""
+    asked = t("embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    found = vector_index(t).search(asked, 0.3, 10, exact=True)
+    return found.select("query_id", "rank", F.col("code_hash").cast("long").alias("vec_id"), F.round("similarity", 6).alias("similarity"))
+
+
+@query(
+    "index_find",
+    f"""SELECT a.vec_id, round({_COS}, 6) AS similarity FROM vecs a JOIN vecs b ON b.vec_id = {TARGET}
+ WHERE {_COS} >= 0.1 ORDER BY {_COS} DESC, a.vec_id LIMIT 20""",
+    ctes=VECS,
+)
+def _(t):
+    aim = target(t).first()[0]
+    found = vector_index(t).find(aim, 0.1, exact=True)
+    return found.select(F.col("code_hash").cast("long").alias("vec_id"), F.round("similarity", 6).alias("similarity"))
+
+
 @query(
     "embed_corpus",
     "SELECT DISTINCT sha256(content) AS code_hash, CAST(64 AS BIGINT) AS dimensions, 1.0::DOUBLE AS length FROM files",

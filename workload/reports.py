@@ -353,20 +353,11 @@ def _(t):
     from sourcelode.operators.similar import similar_all
 
     near = similar_all(t("embeddings"), 0.3, top=None)
-    place = F.struct(
-        F.concat(F.lit("f"), F.col("similar_id").cast("string")).alias("file_path"),
-        F.col("similar_id").alias("line_number"), "similarity",
-    )
-    listed = near.groupBy("target_id").agg(F.sort_array(F.collect_list(place)).alias("similar"))
-    text = F.to_json(rep.related_locations("similar"))
-    lines = F.from_json(
-        text, "array<struct<physicalLocation struct<region struct<startLine long>>>>"
-    )
-    return listed.select(
-        F.col("target_id").alias("vec_id"), F.size(lines).cast("long").alias("related"),
-        F.array_min(F.transform(lines, lambda x: x["physicalLocation"]["region"]["startLine"]))
-        .alias("first_related"),
-    )
+    name = F.concat(F.lit("f"), F.col("similar_id").cast("string"))
+    text = F.to_json(rep.related_location(name, "similar_id", "similarity"))
+    place = F.from_json(text, "physicalLocation struct<region struct<startLine long>>")
+    lines = near.select(F.col("target_id").alias("vec_id"), place["physicalLocation"]["region"]["startLine"].alias("line"))
+    return lines.groupBy("vec_id").agg(F.count("line").alias("related"), F.min("line").alias("first_related"))
 
 
 @query(

@@ -1,5 +1,9 @@
-"""The scan history as Parquet tables that can be written again, changed and thinned out."""
+"""The scan history as versions of Parquet tables: every change is one new version."""
 
+import json
+import os
+import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import date
 from functools import reduce
@@ -14,6 +18,12 @@ from sourcelode.session import scratch_path
 
 PERIOD = "scan_period"
 UNDATED = date(1970, 1, 1)
+# Times a change is made anew when another writer was faster.
+ATTEMPTS = 5
+
+
+class Conflict(RuntimeError):
+    """Other writers were faster ``ATTEMPTS`` times; nothing was changed."""
 
 
 @dataclass(frozen=True)
@@ -62,36 +72,118 @@ def _matching(table: DataFrame, keys: DataFrame, how: str) -> DataFrame:
     return table.join(named, reduce(lambda a, b: a & b, same), how)
 
 
-class HistoryStore:
-    """The tables of ``TABLES`` below one folder, partitioned by ``period`` (``month``, ``day``, ...).
+class Manifests:
+    """Numbered versions below a folder, each one small JSON file that appears at once or not at all.
 
-    A write rewrites the periods it touches and no others, so it may be repeated: rows with the
-    same identity are replaced. Rows without a time are kept in the period of ``UNDATED``. The
-    driver holds the names of the touched periods, nothing that grows with the rows. One writer
-    at a time.
+    A version number can be taken by one writer only: on a local file system by a hard link to a complete file, elsewhere by a
+    rename that does not replace, which HDFS does atomically. Object stores need a file system whose rename refuses existing
+    names.
     """
 
-    def __init__(self, spark: SparkSession, path: str, period: str = "month"):
-        self.spark, self.path, self.period = spark, path.rstrip("/"), period
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def folder(self, path: str):
+        """A path with its file system: object stores work like disks."""
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
+
+    def versions(self) -> list[int]:
+        system, at = self.folder(self.path)
+        if not system.exists(at):
+            return []
+        names = [status.getPath().getName() for status in system.listStatus(at)]
+        return sorted(int(name.removesuffix(".json")) for name in names if name.endswith(".json") and name[:1].isdigit())
+
+    def _file(self, version: int) -> str:
+        return f"{self.path}/{version:020d}.json"
+
+    def read(self, version: int) -> dict:
+        """The content of a version; version 0 is the empty store."""
+        if version == 0:
+            return {"version": 0, "tables": {}}
+        system, at = self.folder(self._file(version))
+        stream = system.open(at)
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def create(self, version: int, content: dict) -> bool:
+        """Make a version current; False if another writer has taken the number."""
+        jvm, text = self.spark._jvm, json.dumps(content | {"version": version})
+        draft = f"{self.path}/.draft-{uuid.uuid4().hex}"
+        system, at = self.folder(draft)
+        system.mkdirs(at.getParent())
+        stream = system.create(at, False)
+        stream.write(bytearray(text.encode()))
+        stream.close()
+        try:
+            if system.getScheme() == "file":
+                local = lambda path: self.folder(path)[1].toUri().getPath()
+                try:
+                    os.link(local(draft), local(self._file(version)))
+                except FileExistsError:
+                    return False
+                return True
+            context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(at.toUri(), self.spark._jsc.hadoopConfiguration())
+            options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+            try:
+                context.rename(at, self.folder(self._file(version))[1], options)
+            except Exception as error:  # a Java exception, told apart by its class
+                if "FileAlreadyExistsException" in str(error):
+                    return False
+                raise
+            return True
+        finally:
+            system.delete(at, False)
+
+    def delete(self, version: int) -> None:
+        system, at = self.folder(self._file(version))
+        system.delete(at, False)
 
-    # --- folders -----------------------------------------------------------------------------
 
-    def _folder(self, path: str):
-        """The path with its file system: object stores work like disks."""
-        folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return folder.getFileSystem(self.spark._jsc.hadoopConfiguration()), folder
+class HistoryStore:
+    """The tables of ``TABLES`` below one folder, by ``period`` (``month``, ``day``, ...), in versions.
+
+    Data files are never changed. A version is a manifest that names, for each table and period, the folder with that
+    period's rows. A change writes the periods it touches to a new folder and then makes the next manifest current in one
+    atomic step, for all tables together: a driver that is lost before leaves files that no version names, one
+    lost after has finished. A writer that finds its version taken makes its change anew on the newer one, so
+    writers cannot overwrite each other. ``at`` gives a reader of one version, which stays as it is until
+    :meth:`vacuum` removes it. Rows without a time are in the period of ``UNDATED``. The driver holds names of
+    periods and folders, nothing that grows with the rows.
+    """
 
-    def _remove(self, path: str) -> None:
-        system, folder = self._folder(path)
-        system.delete(folder, True)
+    def __init__(self, spark: SparkSession, path: str, period: str = "month", version: int | None = None):
+        self.spark, self.path, self.period, self.pinned = spark, path.rstrip("/"), period, version
+        self.manifests = Manifests(spark, f"{self.path}/versions")
+
+    # --- reading -----------------------------------------------------------------------------
+
+    def versions(self) -> list[int]:
+        return self.manifests.versions()
+
+    def version(self) -> int:
+        """The version that is read: the pinned or the latest one; 0 before the first change."""
+        return self.pinned if self.pinned is not None else max(self.versions(), default=0)
+
+    def at(self, version: int | None = None) -> "HistoryStore":
+        """The store as it was in a version (the latest one if none is named); it cannot be changed."""
+        return HistoryStore(self.spark, self.path, self.period, self.version() if version is None else version)
 
-    def table(self, name: str) -> DataFrame:
-        """A stored table; empty when nothing has been written to it."""
+    def _read(self, content: dict, name: str, periods=None) -> DataFrame:
         fields = T.StructType([*TABLES[name].schema.fields, T.StructField(PERIOD, T.DateType())])
-        system, folder = self._folder(f"{self.path}/{name}")
-        if not system.exists(folder):
+        held = content["tables"].get(name, {})
+        paths = [f"{self.path}/data/{folder}/{name}/_at={period}" for period, folder in sorted(held.items()) if periods is None or period in periods]
+        if not paths:
             return self.spark.createDataFrame([], fields)
-        return self.spark.read.schema(fields).parquet(f"{self.path}/{name}")
+        return self.spark.read.schema(fields).parquet(*paths)
+
+    def table(self, name: str, periods=None) -> DataFrame:
+        """A stored table, or some of its periods (dates or texts); empty when nothing has been written to it."""
+        wanted = None if periods is None else {str(period) for period in periods}
+        return self._read(self.manifests.read(self.version()), name, wanted)
 
     def scans(self) -> DataFrame:
         return self.table("scan_records")
@@ -113,45 +205,87 @@ class HistoryStore:
         dated.write.parquet(path)
         return self.spark.read.schema(dated.schema).parquet(path), path
 
+    def _remove(self, path: str) -> None:
+        system, folder = self.manifests.folder(path)
+        system.delete(folder, True)
+
     @staticmethod
     def _periods(rows: DataFrame) -> set:
-        return {row[0] for row in rows.select(PERIOD).distinct().collect()}
+        return {str(row[0]) for row in rows.select(PERIOD).distinct().collect()}
 
-    def _write(self, rows: DataFrame, name: str) -> None:
-        """Replace the periods of ``rows``. Adaptive execution evens out the files: a busy period
-        is split, quiet ones share tasks."""
+    def _write(self, rows: DataFrame, name: str, folder: str) -> set:
+        """Write rows to a new folder, by period, and tell which periods they are of. Adaptive execution evens
+        out the files: a busy period is split, quiet ones share tasks."""
+        path = f"{self.path}/data/{folder}/{name}"
         even = rows.hint("rebalance", PERIOD).sortWithinPartitions(PERIOD, *TABLES[name].sort)
-        even.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-            PERIOD
-        ).parquet(f"{self.path}/{name}")
-
-    def _replace(self, name: str, keys: DataFrame, fresh: DataFrame | None = None) -> None:
-        """Take out the rows that match ``keys`` and add ``fresh`` (staged) ones."""
-        old = self.table(name)
+        even.withColumn("_at", F.col(PERIOD)).write.partitionBy("_at").parquet(path)
+        system, at = self.manifests.folder(path)
+        return {s.getPath().getName().removeprefix("_at=") for s in system.listStatus(at) if s.getPath().getName().startswith("_at=")}
+
+    def _replaced(self, content: dict, name: str, keys: DataFrame, fresh: DataFrame | None, folder: str) -> None:
+        """Take out of a table the rows that match ``keys`` and add ``fresh`` (staged) ones: periods with such rows
+        are written to ``folder``, and ``content`` names them."""
+        old = self._read(content, name)
         touched = self._periods(_matching(old, keys, "left_semi"))
         if fresh is not None:
             touched |= self._periods(fresh)
         if not touched:
             return
-        result = _matching(old.where(F.col(PERIOD).isin(*touched)), keys, "left_anti")
+        result = _matching(self._read(content, name, touched), keys, "left_anti")
         if fresh is not None:
             result = result.unionByName(fresh)
-        left = self._periods(result)
-        if left:
-            self._write(result, name)
-        for period in touched - left:
-            self._remove(f"{self.path}/{name}/{PERIOD}={period}")
-
-    def put(self, name: str, rows: DataFrame) -> None:
+        written = self._write(result, name, folder)
+        held = content["tables"].setdefault(name, {})
+        for period in touched:
+            held.pop(period, None)
+        held.update({period: folder for period in written})
+
+    def change(self, make: Callable[[dict, str], None]) -> int:
+        """Make the next version: ``make(content, folder)`` writes data below ``folder`` and changes the content of
+        the latest manifest. If the number is taken meanwhile, the change is made anew. Returns the version."""
+        if self.pinned is not None:
+            raise ValueError(f"version {self.pinned} cannot be changed")
+        for _ in range(ATTEMPTS):
+            base, folder = self.version(), uuid.uuid4().hex
+            content = self.manifests.read(base)
+            before = json.dumps(content["tables"], sort_keys=True)
+            make(content, folder)
+            if json.dumps(content["tables"], sort_keys=True) == before:
+                return base
+            if self.manifests.create(base + 1, content):
+                return base + 1
+            self._remove(f"{self.path}/data/{folder}")
+        raise Conflict(f"{ATTEMPTS} attempts to change {self.path} met other writers")
+
+    def vacuum(self, keep: int = 10, grace_seconds: float = 86_400.0) -> int:
+        """Remove all but the last ``keep`` versions, and data that none of them names. Folders younger than
+        ``grace_seconds`` stay: a writer may be at work there. Returns the number of data folders removed."""
+        versions = self.versions()
+        for version in versions[: max(0, len(versions) - keep)]:
+            self.manifests.delete(version)
+        named = {folder.split("/")[0] for v in versions[-keep:] for held in self.manifests.read(v)["tables"].values() for folder in held.values()}
+        system, at = self.manifests.folder(f"{self.path}/data")
+        if not system.exists(at):
+            return 0
+        now, removed = self.spark._jvm.java.lang.System.currentTimeMillis(), 0
+        for status in system.listStatus(at):
+            if status.getPath().getName() not in named and now - status.getModificationTime() >= 1000 * grace_seconds:
+                system.delete(status.getPath(), True)
+                removed += 1
+        return removed
+
+    def put(self, name: str, rows: DataFrame) -> int:
         """Add rows to a table; a stored row with the same identity is replaced."""
         fresh, path = self._staged(rows, name)
-        self._replace(name, fresh.select(*TABLES[name].identity), fresh)
+        keys = fresh.select(*TABLES[name].identity)
+        version = self.change(lambda content, folder: self._replaced(content, name, keys, fresh, folder))
         self._remove(path)
+        return version
 
     def save(self, scans: DataFrame, findings: DataFrame, persist_vulnerabilities: bool = True):
         """Store scans with their counts and languages, and the findings of those scans.
 
-        Saving a scan again replaces it and its findings. The finding's path and language come
+        Both tables change in one version. Saving a scan again replaces it and its findings. The finding's path and language come
         from its location. Findings of unknown scans are dropped by the join that brings the scan
         date. ``findings`` is evaluated once. Without ``persist_vulnerabilities`` only the scans
         are written; findings stored before stay.
@@ -193,36 +327,62 @@ class HistoryStore:
             complete = complete.withColumn("id", F.sha2("scan_id", 256))
         if "target_type" not in complete.columns:
             complete = complete.withColumn("target_type", F.lit("directory"))
-        if persist_vulnerabilities:
-            self._replace("vulnerability_records", scans.select("scan_id"), findings)
-        self.put("scan_records", complete)
-        if path:
-            self._remove(path)
+        whole, scans_path = self._staged(complete, "scan_records")
+
+        def both(content, folder):
+            if persist_vulnerabilities:
+                self._replaced(content, "vulnerability_records", scans.select("scan_id"), findings, folder)
+            self._replaced(content, "scan_records", whole.select("scan_id"), whole, folder)
+
+        version = self.change(both)
+        for used in filter(None, (path, scans_path)):
+            self._remove(used)
+        return version
 
-    def update_status(self, updates: DataFrame) -> None:
+    def update_status(self, updates: DataFrame) -> int:
         """Apply status updates (``id, status, updated_at, seq, fixed_in_commit``), see
         :func:`history.update_status`; only periods with such findings are rewritten."""
-        old = self.findings()
         ids = updates.select(F.col("id").cast("string").alias("id"))
-        touched = self._periods(_matching(old, ids, "left_semi"))
-        if touched:
-            kept = old.where(F.col(PERIOD).isin(*touched))
-            self._write(his.update_status(kept, updates, "id"), "vulnerability_records")
 
-    def expire(self, as_of, days: int = 90, archive: "HistoryStore | None" = None) -> None:
-        """Remove scans older than ``days`` before ``as_of`` with all rows that name them.
+        def apply(content, folder):
+            name = "vulnerability_records"
+            touched = self._periods(_matching(self._read(content, name), ids, "left_semi"))
+            if touched:
+                written = self._write(his.update_status(self._read(content, name, touched), updates, "id"), name, folder)
+                content["tables"][name].update({period: folder for period in written})
+
+        return self.change(apply)
+
+    def expire(self, as_of, days: int = 90, archive: "HistoryStore | None" = None) -> int:
+        """Remove scans older than ``days`` before ``as_of`` with all rows that name them, in one version.
 
-        With ``archive`` the rows are put there first. The scans go last, so a run that broke off
-        can be repeated.
+        With ``archive`` the rows are put there first, in one version of that store; a run that broke off can be
+        repeated.
         """
-        old = his.expired_scans(self.scans(), as_of, days).select("scan_id")
         children = [name for name in TABLES if TABLES[name].scans and name != "scan_records"]
-        for name in (*children, "scan_records"):
-            for column in TABLES[name].scans:
-                keys = old.select(F.col("scan_id").alias(column))
-                if archive is not None:
-                    archive.put(name, _matching(self.table(name), keys, "left_semi"))
-                self._replace(name, keys)
+        steps = [(name, column) for name in (*children, "scan_records") for column in TABLES[name].scans]
+        base = self.at()
+        old = his.expired_scans(base.scans(), as_of, days).select("scan_id")
+        if archive is not None:
+            # What is archived and what is removed come from the same version, so nothing slips between.
+            moved = [
+                (name, archive._staged(_matching(base.table(name), old.select(F.col("scan_id").alias(column)), "left_semi"), name))
+                for name, column in steps
+            ]
+
+            def add(content, folder):
+                for nth, (name, (fresh, _)) in enumerate(moved):
+                    archive._replaced(content, name, fresh.select(*TABLES[name].identity), fresh, f"{folder}/{nth}")
+
+            archive.change(add)
+            for _, (_, path) in moved:
+                self._remove(path)
+
+        def remove(content, folder):
+            for nth, (name, column) in enumerate(steps):
+                self._replaced(content, name, old.select(F.col("scan_id").alias(column)), None, f"{folder}/{nth}")
+
+        return self.change(remove)
 
     def pattern_usage(self) -> DataFrame:
         """Rule counters over all stored periods, one row per rule."""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sourcelode.operators import history as his, reports as rep, summary as agg, usage as use
 from sourcelode.schemas import SCAN_RECORDS
 from sourcelode.sources import sinks
-from sourcelode.sources.store import HistoryStore
+from sourcelode.sources.store import Conflict, HistoryStore, Manifests
 
 FIND = "scan_id long, finding_id long, vulnerability_type string, severity string, file_path string, line_number long"
 
@@ -296,6 +296,90 @@ def test_expiry_takes_children_along(spark, tmp_path):
     assert [r.total_requests for r in archive.table("usage_metrics").collect()] == [2]
 
 
+def counted(store):
+    return sorted(r.scan_id for r in store.scans().collect()), sorted(r.id for r in store.findings().collect())
+
+
+def test_a_writer_lost_before_its_manifest_changes_nothing(spark, tmp_path, monkeypatch):
+    store, known, rows = stored(spark, tmp_path / "h")
+    before, version = counted(store), store.version()
+
+    def lost(*_):
+        raise OSError("driver lost")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(Manifests, "create", lost)  # data is written, the manifest is not
+        for change in (
+            lambda: store.save(scans(spark, [(1, "t", datetime(2023, 9, 5)), (7, "t", datetime(2023, 9, 5))]), rows.where("scan_id = 9")),
+            lambda: store.expire("2024-01-10", 90),
+            lambda: store.put("scan_records", scans(spark, [(2, "t", day(1))])),
+        ):
+            with pytest.raises(OSError):
+                change()
+    assert (counted(store), store.version()) == (before, version)
+    store.save(scans(spark, [(7, "t", datetime(2023, 9, 5))]), rows.where("scan_id = 9"))
+    assert counted(store)[0] == ["1", "2", "3", "7"]
+    assert store.vacuum(keep=1, grace_seconds=0) >= 2  # what lost writers left
+    assert counted(store)[0] == ["1", "2", "3", "7"]
+
+
+def test_writers_cannot_overwrite_each_other(spark, tmp_path):
+    store, known, rows = stored(spark, tmp_path / "h")
+    other, met = HistoryStore(spark, store.path, "month"), []
+    plain = store._replaced
+
+    def slow(content, name, *rest):
+        plain(content, name, *rest)
+        if name == "scan_records" and not met:
+            met.append(other.save(scans(spark, [(2, "u", datetime(2023, 9, 9)), (8, "u", datetime(2023, 9, 9))]), rows.where("scan_id = 2")))
+
+    store._replaced = slow
+    first = store.version()
+    last = store.save(scans(spark, [(1, "u", datetime(2023, 9, 7))]), rows.where("scan_id = 1"))
+    assert met == [first + 1] and last == first + 2
+    got = {r.scan_id: r.target_path for r in store.scans().collect()}
+    assert got == {"1": "u", "2": "u", "3": "t", "8": "u"}
+    assert counted(store)[1] == ["1", "2", "3"]
+    # A number is taken once.
+    assert store.manifests.create(last + 1, {"tables": {}}) and not store.manifests.create(last + 1, {"tables": {"x": {}}})
+    assert store.manifests.read(last + 1)["tables"] == {}
+
+
+def test_a_writer_gives_up_when_others_are_always_faster(spark, tmp_path, monkeypatch):
+    store, known, rows = stored(spark, tmp_path / "h")
+    before = counted(store)
+    monkeypatch.setattr(Manifests, "create", lambda *_: False)
+    with pytest.raises(Conflict):
+        store.put("scan_records", scans(spark, [(9, "t", day(1))]))
+    assert counted(store) == before and store.vacuum(keep=5, grace_seconds=0) == 0
+
+
+def test_older_versions_stay_readable(spark, tmp_path):
+    store, known, rows = stored(spark, tmp_path / "h")
+    old, frozen = store.version(), store.at()
+    plan = frozen.scans()
+    store.expire("2024-01-10", 90)
+    assert counted(store) == (["3"], ["3"]) and counted(store.at(old)) == (["1", "2", "3"], ["1", "2", "3"])
+    assert counted(frozen)[0] == ["1", "2", "3"] and plan.count() == 3
+    assert store.at(0).scans().count() == 0
+    with pytest.raises(ValueError):
+        frozen.put("scan_records", known)
+    assert [str(p.scan_period) for p in store.at(old).table("scan_records", ["2023-09-01"]).select("scan_period").distinct().collect()] == ["2023-09-01"]
+    store.vacuum(keep=1)
+    assert store.versions() == [old + 1] and plan.count() == 3  # younger than the grace time
+    store.vacuum(keep=1, grace_seconds=0)
+    assert counted(store) == (["3"], ["3"])
+
+
+def test_unchanged_periods_keep_their_files(spark, tmp_path):
+    store, known, rows = stored(spark, tmp_path / "h")
+    before = store.manifests.read(store.version())["tables"]["scan_records"]
+    store.put("scan_records", scans(spark, [(4, "t", day(4))]))
+    after = store.manifests.read(store.version())["tables"]["scan_records"]
+    assert after["2023-09-01"] == before["2023-09-01"] and after["2024-01-01"] != before["2024-01-01"]
+    assert store.update_status(spark.createDataFrame([], "id long, status string, updated_at timestamp_ntz, seq long, fixed_in_commit string")) == store.version()
+
+
 def test_empty_store(spark, tmp_path):
     store = HistoryStore(spark, str(tmp_path / "none"))
     assert store.scans().count() == 0 and store.pattern_usage().count() == 0

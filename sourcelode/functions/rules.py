@@ -15,6 +15,12 @@ from sourcelode.schemas import RULES
 JAVA_FLAGS = "(?iumdU)"
 
 
+# Escapes that both regex languages read alike; escaped punctuation is too.
+_ALIKE = frozenset((r"\s", r"\d", r"\D", r"\t", r"\n", r"\r", r"\f"))
+# Groups other than plain ones, braces that are no counted repeat, and doubled quantifiers.
+_FOREIGN = re.compile(r"\(\?(?!:)|(?<!\\)(?:\\\\)*\{(?!\d+(?:,\d*)?\})|[*+?}]\+")
+
+
 @dataclass(frozen=True)
 class Rule:
     """One regex rule. ``needles`` speeds up matching: a line can only match if, in lower case,
@@ -45,21 +51,24 @@ class Rule:
 
     @property
     def native(self) -> bool:
-        """Whether Spark's own regex functions give the same matches as a Python scan."""
-        foreign = ("(?P", r"\Z", "(?(", r"\N{", "(?=", "(?!", "(?<")
-        if any(mark in self.pattern for mark in foreign):
+        """Whether Spark's own regex functions give the same matches as a Python scan.
+
+        Only patterns made of parts that both languages read alike are: ASCII literals, ``.``, groups, alternatives,
+        anchors, plain bracket classes, counted repeats and the escapes in ``_ALIKE``. Word boundaries and word classes treat
+        combining marks differently, ``{,n}`` and brackets inside brackets have other meanings.
+        """
+        if not self.pattern.isascii() or _FOREIGN.search(self.pattern):
             return False
         tokens = list(_tokens(self.pattern))
-        # Combining marks are word characters in Java only; U+001C to U+001F are space in Python
-        # only, which can be mended for a plain \s alone.
-        if any(token in (r"\w", r"\W", r"\S") or (inside and token in (r"\b", r"\s")) for token, inside in tokens):
-            return False
-        # Empty matches are cut differently. Without its assertions a pattern matches "" if and
+        for token, inside in tokens:
+            if len(token) > 1 and token not in _ALIKE and (token[1].isalnum() or token[1].isspace()):
+                return False
+            # U+001C to U+001F are space in Python only, which can be mended for a plain \s alone.
+            if inside and token in (r"\s", "[", "&"):
+                return False
+        # Empty matches are cut differently. Without its anchors a pattern matches "" if and
         # only if it can match an empty piece of some line.
-        bare = "".join(
-            token for token, inside in tokens
-            if inside or token not in ("^", "$", r"\b", r"\B")
-        )
+        bare = "".join(token for token, inside in tokens if inside or token not in ("^", "$"))
         return re.compile(bare, re.IGNORECASE).search("") is None
 
     def applies_to(self, language: str) -> bool:

@@ -252,8 +252,12 @@ def build_findings(
     families: tuple = BUILTIN_FAMILIES,
     keys=("file_path",),
     radius: int = SNIPPET_RADIUS,
+    prompt_radius: int | None = None,
 ) -> DataFrame:
-    """Rule attributes, location, snippet and metadata for every match."""
+    """Rule attributes, location, snippet and metadata for every match.
+
+    With ``prompt_radius``, the radius that the matches were cut with, there is a wider ``prompt_snippet`` too.
+    """
     spark = matches.sparkSession
     # The catalogue is a fixed list of rules held by the driver: always small.
     rules = F.broadcast(
@@ -263,6 +267,13 @@ def build_findings(
         )
     )
     extra = [key for key in keys if key != "file_path"]
+    number, window = F.col("line_number").cast("int"), F.col("_window")
+    wider = []
+    if prompt_radius is not None:
+        wider = [txt.snippet("_window", number, prompt_radius).alias("prompt_snippet")]
+        # The narrow window is a part of the wide one; both begin at line 1 at the earliest.
+        skip = F.least(number - 1, F.lit(prompt_radius)) - F.least(number - 1, F.lit(radius))
+        window = F.slice("_window", skip + 1, F.least(number - 1, F.lit(radius)) + radius + 1)
     return matches.join(rules, "rule_id").select(
         *extra,
         finding_id(*extra, "file_path", "rule_id", "line_number", "column_number",
@@ -272,12 +283,12 @@ def build_findings(
         "column_number",
         F.lit(None).cast("long").alias("end_line_number"),
         "end_column_number",
-        txt.snippet("_window", F.col("line_number").cast("int"), radius).alias("code_snippet"),
+        txt.snippet(window, number, radius).alias("code_snippet"),
         "cwe_id", "owasp_category", "remediation", "references",
         F.create_map(F.lit("regex_match"), F.col("regex_match")).alias("metadata"),
         F.lit(None).cast("string").alias("ai_explanation"),
         F.lit(None).cast("double").alias("false_positive_likelihood"),
-        "language",
+        "language", *wider,
     )
 
 
@@ -286,9 +297,16 @@ def detect(
     options: ScanOptions = ScanOptions(),
     families: tuple = BUILTIN_FAMILIES,
     keys=("file_path",),
+    prompt_radius: int | None = None,
 ) -> DataFrame:
-    """Findings of files whose ``language`` is known."""
-    return build_findings(match_rules(files, options, families, keys), families, keys)
+    """Findings of files whose ``language`` is known.
+
+    With ``prompt_radius`` each finding also carries that many lines around it as ``prompt_snippet``, cut in the same
+    pass, so that a review needs no second look at the files.
+    """
+    widest = max(SNIPPET_RADIUS, prompt_radius or 0)
+    found = match_rules(files, options, families, keys, widest)
+    return build_findings(found, families, keys, prompt_radius=None if prompt_radius is None else widest)
 
 
 def scan_code(

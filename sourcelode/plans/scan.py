@@ -63,25 +63,14 @@ def scan_records(files: DataFrame, findings: DataFrame | None, scan_id, started,
     )
 
 
-def profile_code(files: DataFrame, embedding: str = "embedding", model: str = "hashed-words"):
-    """All code metrics of each file, from its text and its embedding; a map over rows.
-
-    Files without an embedding keep their text metrics and get an ``error``.
-    """
-    def of_vector(value):
-        return F.when(F.col(embedding).isNotNull(), value)
-
-    measured = m.with_lines(files).withColumns(
+def profile_text(files: DataFrame) -> DataFrame:
+    """All metrics of each file that come from its text, a map over rows; the text itself is left behind."""
+    return m.with_lines(files).withColumns(
         {
             "complexity_score": m.complexity(),
             "security_risk_score": m.risk_score(),
             "maintainability_score": m.maintainability(),
             "code_quality_score": m.code_quality(),
-            "embedding_magnitude": of_vector(v.norm(embedding)),
-            "embedding_entropy": of_vector(v.entropy(embedding)),
-            "semantic_complexity": of_vector(v.semantic_complexity(embedding)),
-            "pattern_diversity": of_vector(v.pattern_diversity(embedding)),
-            "embedding_security_score": of_vector(v.security_signal(embedding)),
             "detected_patterns": m.detected_indicators(),
             **m.line_stats(),
             "indentation_levels": m.indentation_histogram(),
@@ -89,6 +78,7 @@ def profile_code(files: DataFrame, embedding: str = "embedding", model: str = "h
             "class_count": m.class_count(),
             "import_count": m.import_count(),
             "control_structures": m.control_counts(),
+            "code_length": F.length("content").cast("long"),
         }
     ).withColumns(
         {
@@ -97,27 +87,52 @@ def profile_code(files: DataFrame, embedding: str = "embedding", model: str = "h
             "high_risk_patterns": m.high_risk("detected_patterns"),
             "medium_risk_patterns": m.medium_risk("detected_patterns"),
         }
-    )
+    ).drop("_lines", "_code", "content")
+
+
+def profile_vectors(measured: DataFrame, embedding: str = "embedding", model: str = "hashed-words") -> DataFrame:
+    """Rows of :func:`profile_text` with their embeddings: the metrics of the vector and the overall risk.
+
+    Files without an embedding keep their text metrics and get an ``error``.
+    """
+    def of_vector(value):
+        return F.when(F.col(embedding).isNotNull(), value)
+
     overall = m.overall_risk(
         "complexity_score", "maintainability_score", "code_quality_score", "semantic_complexity",
         "embedding_entropy", "risk_score", "embedding_security_score",
     )
     return (
-        measured.withColumn("overall_risk_score", of_vector(overall))
+        measured.withColumns(
+            {
+                "embedding_magnitude": of_vector(v.norm(embedding)),
+                "embedding_entropy": of_vector(v.entropy(embedding)),
+                "semantic_complexity": of_vector(v.semantic_complexity(embedding)),
+                "pattern_diversity": of_vector(v.pattern_diversity(embedding)),
+                "embedding_security_score": of_vector(v.security_signal(embedding)),
+            }
+        )
+        .withColumn("overall_risk_score", of_vector(overall))
         .withColumn(
             "analysis_metadata",
             F.struct(
                 F.lit(model).alias("model_used"),
                 F.size(embedding).cast("long").alias("embedding_dimensions"),
-                F.length("content").cast("long").alias("code_length"),
+                F.col("code_length"),
                 F.col("language").alias("language"),
             ),
         )
         .withColumn("error", F.when(F.col(embedding).isNull(), "no embedding"))
-        .drop("_lines", "_code", "content", embedding)
+        .drop("code_length", embedding)
     )
 
 
+def profile_code(files: DataFrame, embedding: str = "embedding", model: str = "hashed-words"):
+    """All code metrics of files that have their embedding at hand; a map over rows. With embeddings in a table of
+    their own, join them to the rows of :func:`profile_text`, so that no text is moved."""
+    return profile_vectors(profile_text(files), embedding, model)
+
+
 def enrich(
     findings: DataFrame, files: DataFrame, client, tasks: int, options: ScanOptions = ScanOptions(),
     keys=("file_path",), context: dict | None = None, provider="", model="", as_of=None,
@@ -125,7 +140,9 @@ def enrich(
     """Findings after a model's review; unchanged when reviewing is switched off."""
     if not options.enable_ai_analysis:
         return findings
-    sourced = ver.with_source(findings, files, keys)
+    # Windows cut by detect() need no second look at the files.
+    cut = "prompt_snippet" in findings.columns
+    sourced = findings if cut else ver.with_source(findings, files, keys)
     prompts = ver.build_prompts(sourced, "prompt_snippet", context)
     answers = ver.batch_infer(prompts, "id", client, tasks)
     verdicts = answers.select(

@@ -2,6 +2,7 @@
 
 import random
 import re
+import warnings
 
 import pytest
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from sourcelode.functions.rules import (
     with_rules_enabled,
     without_family,
 )
-from sourcelode.operators import detect as det
+from sourcelode.operators import detect as det, verdicts as ver
 from sourcelode.options import ScanOptions
 
 PYTHON = '''import hashlib
@@ -190,7 +191,8 @@ def test_no_rule_can_fire(spark):
 @pytest.mark.parametrize(
     "pattern,native",
     [
-        (r"\btodo\b", True), (r"^import\s+os$", True), (r"\b", False), (r"^\s*", False),
+        (r"\btodo\b", False), (r"^import\s+os$", True), (r"ab\B", False), ("[[:alpha:]]x", False), ("[a&&b]", False),
+        ("a{,2}b", False), ("[a[b]", False), ("a{2}", True), (r"\{x\}", True), ("(?:a|b)b", True), ("a++b", False), (r"\b", False), (r"^\s*", False),
         (r"x*", False), (r"[^)]+$", True), (r"a(?=b)", False), (r"(?P<n>a)", False), (r"[\b]x?", False),
         (r"ab\w+z", False), (r"a[\s]b", False), (r"a\S+b", False), (r"a\W", False), (r"a\sb", True),
     ],
@@ -198,8 +200,49 @@ def test_no_rule_can_fire(spark):
 def test_which_rules_run_natively(spark, pattern, native):
     rule = Rule("r", "t", pattern, "LOW", "HIGH")
     assert rule.native is native
-    text = "import os\n todo, TODOs a)b) ab xx\n  import os\nabe\u0301z abez a\x1cb a b a-b"
+    text = "import os\n todo, TODOs a)b) ab xx ab\u0301 ab\u200d :x & {x} aab\n  import os\nabe\u0301z abez a\x1cb a b a-b"
     source = spark.createDataFrame([("a.py", "python", text)], "file_path string, language string, content string")
     family = Family("F", "", "LOW", None, (), (rule,))
     found = places(det.match_rules(source, families=(family,)))
     assert found == by_python({"a.py": ("python", text)}, families=(family,))
+
+
+PARTS = ["a", "b", "_", "1", " ", "=", r"\(", r"\.", r"\{", ".", "[ab]", "[^a]", "[a-f0-9_]", r"[(\[]", r"\d", r"\s", r"\D", "(a|b1)", "(?:ab|_)", "^a", "b$",
+         r"\w", r"\W", r"\S", r"\bx", r"a\B", "[[:alpha:]]", "[a&&b]", "(?=a)", "(?<=b)1", "(?P<n>a)", r"\Z", "é", "K", r"\u0131", r"\x41"]
+REPEATS = ["", "", "", "+", "*", "?", "{2}", "{1,2}", "{,2}", "+?", "*?", "*+"]
+
+
+def test_generated_rules_match_as_python_does(spark):
+    """Patterns of a small grammar, run by whichever engine they are sent to."""
+    rng = random.Random(17)
+    rules = []
+    while len(rules) < 120:
+        pattern = "".join(rng.choice(PARTS) + rng.choice(REPEATS) for _ in range(rng.randint(1, 4)))
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            try:
+                re.compile(pattern, re.I | re.M)
+            except re.error:
+                continue
+        rules.append(Rule(f"g{len(rules):03d}", "t", pattern, "LOW", "HIGH"))
+    assert 20 < sum(rule.native for rule in rules) < 100
+    letters = "aabb_1 =(.{[:&xAéKıſk\u0301\u200d\x1c\x85\xa0²٣中-"
+    text = "\n".join("".join(rng.choice(letters) for _ in range(rng.randint(0, 14))) for _ in range(120))
+    source = spark.createDataFrame([("a.py", "python", text)], "file_path string, language string, content string")
+    for start in range(0, len(rules), 60):
+        family = Family("G", "", "LOW", None, (), tuple(rules[start : start + 60]))
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            want = by_python({"a.py": ("python", text)}, families=(family,))
+        assert places(det.match_rules(source, families=(family,))) == want
+
+
+def test_prompt_windows_are_cut_while_detecting(spark):
+    lines = [f"line {n}" for n in range(1, 40)]
+    lines[0] = lines[4] = lines[20] = lines[38] = "h = hashlib.md5(x)"
+    source = det.with_language(files(spark, a_py="\n".join(lines)))
+    plain = {r.line_number: r.code_snippet for r in det.detect(source).collect()}
+    wide = det.detect(source, prompt_radius=10).collect()
+    assert {r.line_number: r.code_snippet for r in wide} == plain and len(plain) == 4
+    joined = ver.with_source(det.detect(source), source, ("file_path",)).collect()
+    assert {r.line_number: r.prompt_snippet for r in wide} == {r.line_number: r.prompt_snippet for r in joined}

@@ -159,6 +159,9 @@ def test_repository_tables(spark):
     blobs = spark.createDataFrame(rows, "file_path string, blob string")
     kept = repos.decode_blobs(blobs, 240).collect()
     assert [(r.file_path, r.content) for r in kept] == [("a.py", "x = 1\n" * 40)]
+    lost = {r.file_path: r.reason for r in repos.skipped_blobs(blobs, 240).collect()}
+    assert lost == {"../b.py": "unsafe path", "c.bin": "not text", "d.py": "too large", "e.py": "not base64"}
+    assert sorted(r.file_path for r in repos.decode_blobs(blobs).collect()) == ["a.py", "d.py"]
 
 
 def test_redaction(spark):

@@ -487,8 +487,9 @@ def _(t):
     FINDS,
 )
 def _(t):
-    """Families and languages are one projection, so their findings need no union."""
-    return findings(t).groupBy(
+    """Two sets of families, scanned apart and put together."""
+    parts = [findings(t, families=BUILTIN_FAMILIES[:2]), findings(t, families=BUILTIN_FAMILIES[2:])]
+    return parts[0].unionByName(parts[1]).groupBy(
         "language", F.substring_index("vulnerability_type", "_", 1).alias("family")
     ).agg(F.count(F.lit(1)).alias("findings"))
 
@@ -556,8 +557,8 @@ def _(t):
 # --- trees on disk ---------------------------------------------------------------------------
 
 
-def export_tree(t):
-    """Write every source file below a fresh shared folder, from the tasks that hold them."""
+def export_tree(t, where="true"):
+    """Write the source files that fit a condition below a fresh shared folder, from the tasks that hold them."""
     base = scratch_path(t.spark, "tree")
 
     def write(batches):
@@ -574,14 +575,14 @@ def export_tree(t):
                     out.write(content.encode("utf-8"))
             yield pd.DataFrame({"n": [len(batch)]})
 
-    files = t("src_files").select("file_path", "content")
+    files = t("src_files").where(where).select("file_path", "content")
     files.mapInPandas(write, "n long").agg(F.sum("n")).write.format("noop").mode("overwrite").save()
     roots = t("src_files").select(F.concat(F.lit(base + "/corpus/"), "repo").alias("root")).distinct()
     return base, roots
 
 
 def _below(base: str):
-    return F.substring("file_path", len(base) + 1, 1000).alias("file_path")
+    return F.expr(f"substr(file_path, {len(base) + 1})").alias("file_path")
 
 
 @query(
@@ -621,13 +622,16 @@ def _(t):
 @query(
     "scan_file",
     """SELECT vulnerability_type, line_number, column_number FROM finds
- WHERE file_id = (SELECT min(file_id) FROM finds)""",
+ WHERE file_id = (SELECT arg_max(file_id, struct_pack(n := length(content), i := -file_id)) FROM src_files WHERE file_path LIKE '%.py' AND contains(content, 'hashlib.md5('))""",
     ["src_files"],
     FINDS,
 )
 def _(t):
-    """The first file with findings, read and scanned on its own."""
-    base, _ = export_tree(t)
-    first = findings(t).agg(F.min_by("file_path", "file_id")).first()[0]
-    _, found = scan_file(t.spark, base + first)
+    """The longest file of a kind, found among all, read from disk and scanned on its own."""
+    source = t("src_files").where("file_path LIKE '%.py' AND contains(content, 'hashlib.md5(')")
+    first = source.agg(F.max_by(F.struct("file_id", "file_path"), F.struct(F.length("content"), -F.col("file_id"))).alias("f")).first()["f"]
+    if first is None:
+        return det.detect(source.withColumn("language", F.lit("python"))).select("vulnerability_type", "line_number", "column_number")
+    base, _ = export_tree(t, F.col("file_id") == first["file_id"])
+    _, found = scan_file(t.spark, base + first["file_path"])
     return found.select("vulnerability_type", "line_number", "column_number")

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from sourcelode.functions import metrics as m, vectors as v
+from sourcelode.functions import metrics as m, paths as pth, vectors as v
 from sourcelode.functions.lookups import (
     COMPLEXITY_WORDS,
     ERROR_WORDS,
@@ -15,7 +15,7 @@ from sourcelode.functions.lookups import (
 from sourcelode.operators import similar as sim
 from sourcelode.session import scratch_path
 from sourcelode.sources.vectorindex import VectorIndex
-from sourcelode.plans.scan import profile_code
+from sourcelode.plans.scan import profile_text, profile_vectors
 from workload import sqlparts as sp
 from workload.detection import scanned
 from workload.registry import literal, query
@@ -34,6 +34,12 @@ def _any(expression: str, words) -> str:
 
 
 _SOLID = sp.strip("l") + " <> ''"
+def every(t):
+    """All files with their language, also those of no configured one."""
+    source = t("src_files").select("file_id", "file_path", "content")
+    return m.with_lines(source.withColumn("language", pth.detect_language("file_path", "content")))
+
+
 LINED = f"""{sp.FILES},
 lined AS (SELECT *, string_split(content, chr(10)) AS lines FROM files),
 code AS (SELECT *, list_filter(lines, lambda l: {_SOLID}) AS nb FROM lined)"""
@@ -99,46 +105,57 @@ def _count(token: str) -> str:
 
 @query(
     "count_functions",
-    f"""SELECT file_id, CASE WHEN language = 'python' THEN {_count('def ')} ELSE {_count('function ')} + {_count('=> ')} END AS functions FROM files""",
+    f"""SELECT file_id, CASE WHEN language = 'python' THEN {_count('def ')} WHEN language IN ('javascript', 'typescript') THEN {_count('function ')} + {_count('=> ')}
+ WHEN language = 'java' THEN len(list_filter(string_split(content, chr(10)), lambda l: contains(l, 'public') AND contains(l, '(') AND contains(l, '{{'))) ELSE 0 END AS functions FROM all_files""",
     ["src_files"],
-    sp.FILES,
+    sp.ALL_FILES,
 )
 def _(t):
-    return files(t).select("file_id", m.function_count().alias("functions"))
+    return every(t).select("file_id", m.function_count().alias("functions"))
 
 
-@query("count_classes", f"SELECT file_id, {_count('class ')} AS classes FROM files", ["src_files"], sp.FILES)
+@query(
+    "count_classes",
+    f"SELECT file_id, CASE WHEN language IN ('python', 'javascript', 'typescript', 'java') THEN {_count('class ')} ELSE 0 END AS classes FROM all_files",
+    ["src_files"],
+    sp.ALL_FILES,
+)
 def _(t):
-    return files(t).select("file_id", m.class_count().alias("classes"))
+    return every(t).select("file_id", m.class_count().alias("classes"))
 
 
 @query(
     "count_imports",
-    f"""SELECT file_id, {_count('import ')} + CASE WHEN language = 'python' THEN {_count('from ')} ELSE {_count('require(')} END AS imports FROM files""",
+    f"""SELECT file_id, CASE WHEN language = 'python' THEN {_count('import ')} + {_count('from ')} WHEN language IN ('javascript', 'typescript') THEN {_count('import ')} + {_count('require(')}
+ WHEN language = 'java' THEN {_count('import ')} ELSE 0 END AS imports FROM all_files""",
     ["src_files"],
-    sp.FILES,
+    sp.ALL_FILES,
 )
 def _(t):
-    return files(t).select("file_id", m.import_count().alias("imports"))
+    return every(t).select("file_id", m.import_count().alias("imports"))
 
 
 @query(
     "control_counts",
     f"""SELECT file_id, {_count('if ')} AS if_statements, {_count('for ')} AS for_loops, {_count('while ')} AS while_loops, {_count('try')} AS try_blocks,
- CASE WHEN language = 'python' THEN {_count('with ')} END AS with_statements, CASE WHEN language = 'python' THEN {_count('async def')} END AS async_functions FROM files""",
+ CASE WHEN language = 'python' THEN {_count('with ')} END AS with_statements, CASE WHEN language = 'python' THEN {_count('async def')} END AS async_functions FROM all_files""",
     ["src_files"],
-    sp.FILES,
+    sp.ALL_FILES,
 )
 def _(t):
-    return files(t).select("file_id", m.control_counts().alias("c")).select("file_id", "c.*")
+    return every(t).select("file_id", m.control_counts().alias("c")).select("file_id", "c.*")
 
 
 def _words(language: str) -> str:
     return "[" + ", ".join(literal(w) for w in INDICATORS[language]) + "]"
 
 
-_FOUND = f"""found AS (SELECT *, list_filter(CASE WHEN language = 'javascript' THEN {_words('javascript')} ELSE {_words('python')} END,
- lambda w: contains(lower(content), lower(w))) AS words FROM code)"""
+def _found(source: str) -> str:
+    return f"""found AS (SELECT *, list_filter(CASE WHEN language = 'javascript' THEN {_words('javascript')} WHEN language = 'java' THEN {_words('java')} ELSE {_words('python')} END,
+ lambda w: contains(lower(content), lower(w))) AS words FROM {source})"""
+
+
+_FOUND = _found("code")
 _WEIGHT = "CASE w " + " ".join(f"WHEN {literal(w)} THEN {x}" for w, x in INDICATOR_WEIGHTS.items()) + " ELSE 0.1 END"
 _INDICATED = f"least(coalesce(list_sum(list_transform(words, lambda w: CAST({_WEIGHT} AS DOUBLE))), 0), 1.0::DOUBLE)"
 
@@ -149,10 +166,10 @@ _INDICATED = f"least(coalesce(list_sum(list_transform(words, lambda w: CAST({_WE
  array_to_string(list_filter(words, lambda w: w IN ('eval(', 'exec(', 'os.system', 'Runtime.exec')), ' ') AS high_risk,
  array_to_string(list_filter(words, lambda w: w IN ('subprocess', 'innerHTML', 'document.write')), ' ') AS medium_risk FROM found""",
     ["src_files"],
-    f"{LINED},\n{_FOUND}",
+    f"{sp.ALL_FILES},\n{_found('all_files')}",
 )
 def _(t):
-    found = files(t).withColumn("w", m.detected_indicators())
+    found = every(t).withColumn("w", m.detected_indicators())
     return found.select(
         "file_id", F.array_join("w", " ").alias("detected"),
         F.size("w").cast("long").alias("pattern_count"),
@@ -197,7 +214,9 @@ _OVERALL = """greatest(0, least(1, 0.5 * (risk * 0.8 + em * 0.2) + 0.3 * (cx * 0
 
 def profiled(t):
     vectors = t("embeddings").select(F.col("vec_id").alias("file_id"), "embedding")
-    return profile_code(scanned(t).select("file_id", "content", "language").join(vectors, "file_id", "left"))
+    # Texts are measured where they are; only the measures meet the vectors.
+    measured = profile_text(scanned(t).select("file_id", "content", "language"))
+    return profile_vectors(measured.join(vectors, "file_id", "left"))
 
 
 @query(

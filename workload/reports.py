@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from sourcelode.functions import text as txt
 from sourcelode.functions.lookups import FAILED_VERDICT, REPORT_LEVELS, REPORT_RULE_TYPES
 from sourcelode.operators import reports as rep, summary as agg, verdicts as ver
-from sourcelode.session import scratch_path
+from sourcelode.session import kept, scratch_path
 from sourcelode.sources.sinks import write_json, write_sarif
 from workload import sqlparts as sp
 from workload.detection import _ID, FINDS, findings, scanned
@@ -22,8 +22,8 @@ from workload.registry import literal, query, sql_case
     sp.findings(radius=10),
 )
 def _(t):
-    found = findings(t).drop("language")
-    return ver.with_source(found, scanned(t)).select(
+    """Every finding with the lines around it, cut while detecting."""
+    return findings(t, prompt_radius=ver.PROMPT_RADIUS).select(
         "file_id", "vulnerability_type", "line_number", "column_number", "prompt_snippet"
     )
 
@@ -55,6 +55,20 @@ verdict AS (SELECT file_id, j IS NULL AS failed, coalesce(j->>'analysis', {liter
  coalesce(j->>'remediation', {literal(FAILED_VERDICT['remediation'])}) AS advice, coalesce(j->>'confidence', 'LOW') AS verdict_confidence FROM parsed)"""
 
 
+@query(
+    "stored_source_join",
+    """SELECT file_id, rule_id AS vulnerability_type, line_number, column_number, code_snippet AS prompt_snippet FROM finds""",
+    ["src_files"],
+    sp.findings(radius=10),
+)
+def _(t):
+    """The same for findings that were stored without their surroundings."""
+    stored_rows = kept(findings(t).drop("language"), "findings")
+    return ver.with_source(stored_rows, scanned(t)).select(
+        "file_id", "vulnerability_type", "line_number", "column_number", "prompt_snippet"
+    )
+
+
 def verdicts(t):
     return t("verdicts").select("file_id", ver.parse_verdict("verdict_json").alias("analysis"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import heapq
 import json
 import re
 from collections.abc import Callable, Iterator, Sequence
@@ -12,15 +14,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType
 
-from sourcelode.llm.words import slices
+from sourcelode.llm.words import emptied, slices
 
 #: Split of a text before merging, as byte-level tokenizers define it (fixed value).
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters beyond these ranges may be classed otherwise by another release of Unicode; the
 #: tokenizers library splits texts that hold one.
 RARE = re.compile("[^\\x00-\u0557\u2010-\u205e\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]")
-#: Pieces a task remembers with their ids; a full memory is emptied.
-REMEMBERED = 200_000
+#: Bytes of the pieces that a task remembers with their ids; a full memory is emptied.
+REMEMBERED = 24 << 20
+#: Bytes that a remembered piece takes besides its letters and ids, about.
+ENTRY = 150
+#: Words of more symbols are merged one by one.
+LONG_WORD = 1 << 10
 #: Bytes of text that are encoded together.
 CHUNK = 1 << 20
 NEVER = np.iinfo(np.int64).max
@@ -45,17 +51,19 @@ class Pieces:
 
     def _clear(self):
         self.index: dict = {}
+        self.held = 0
         self.flat, self.ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
     def ids(self, texts: Sequence[list]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, given as lists of pieces, one after another, and their number per text."""
-        if len(self.index) > self.remembered:
+        if self.held > self.remembered:
             self._clear()
         index = self.index
         fresh = list({p: None for pieces in texts for p in pieces if p not in index})
         if fresh:
             flat, lengths = self.encode(fresh)
             index.update(zip(fresh, range(len(index), len(index) + len(fresh)), strict=True))
+            self.held += ENTRY * len(fresh) + 4 * len(flat) + sum(len(p) for p in fresh if isinstance(p, str))
             self.flat = np.concatenate([self.flat, flat.astype(np.int32)])
             self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(lengths)])
         sizes = [len(pieces) for pieces in texts]
@@ -82,6 +90,7 @@ class Bpe:
         made = np.array([vocabulary[a + b] for a, b in pairs], np.int64)
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks, self.made = keys[order], order.astype(np.int64), made[order]
+        del pairs, keys, made
         self.size = 1 + max([*vocabulary.values(), *self.special.values()])
         spelled = [b""] * self.size
         for token, at in vocabulary.items():
@@ -90,6 +99,9 @@ class Bpe:
             spelled[at] = token.encode()
         self.spelled_ends = np.concatenate(([0], np.cumsum([len(s) for s in spelled])))
         self.spelled = np.frombuffer(b"".join(spelled), np.uint8)
+        numbers = [b"%d," % at for at in range(self.size)]
+        self.number_ends = np.concatenate(([0], np.cumsum([len(s) for s in numbers])))
+        self.numbers = np.frombuffer(b"".join(numbers), np.uint8)
         self.pieces = Pieces(self._encode_pieces)
 
     @cached_property
@@ -141,6 +153,13 @@ class Bpe:
         """
         words = np.arange(len(lengths))
         done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        if (long := lengths > LONG_WORD).any():
+            stops = np.cumsum(lengths)
+            for at in np.flatnonzero(long):
+                own = self._merge_long(symbols[stops[at] - lengths[at] : stops[at]])
+                done.append((words[at : at + 1], own, np.array([len(own)])))
+            symbols = symbols[~np.repeat(long, lengths)]
+            words, lengths = words[~long], lengths[~long]
         while len(words):
             ends = np.cumsum(lengths)
             starts = ends - lengths
@@ -180,18 +199,52 @@ class Bpe:
         before = np.cumsum(sizes) - sizes
         return flat[np.repeat(firsts - before, sizes) + np.arange(int(sizes.sum()))], sizes
 
+    @cached_property
+    def _rank_and_made(self) -> dict[int, tuple[int, int]]:
+        return dict(zip(self.keys.tolist(), zip(self.ranks.tolist(), self.made.tolist(), strict=True), strict=True))
+
+    def _merge_long(self, symbols: np.ndarray) -> np.ndarray:
+        """Merge one long word: the ranks of its pairs stay in a heap by rank and place, and a merge
+        looks up the two pairs that it makes."""
+        known, count = self._rank_and_made, len(symbols)
+        own = symbols.tolist()
+        after, before = [*range(1, count), -1], list(range(-1, count - 1))
+        heap = [(known[key][0], at) for at, key in enumerate(((symbols[:-1] << 32) | symbols[1:]).tolist()) if key in known]
+        heapq.heapify(heap)
+        while heap:
+            rank, at = heapq.heappop(heap)
+            right = after[at]
+            found = known.get((own[at] << 32) | own[right]) if right >= 0 and own[at] >= 0 else None
+            if found is None or found[0] != rank:
+                continue  # one of the two has been merged since
+            own[at], own[right] = found[1], -1
+            after[at] = after[right]
+            if after[at] >= 0:
+                before[after[at]] = at
+            for left, place in ((at, after[at]), (before[at], at)):
+                if left >= 0 and place >= 0 and (found := known.get((own[left] << 32) | own[place])) is not None:
+                    heapq.heappush(heap, (found[0], left))
+        return np.array([s for s in own if s >= 0], np.int64)
+
     def encode(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row and their number per text."""
         return self.pieces.ids([self.split(t or "") for t in texts])
 
-    def decode(self, ids: np.ndarray) -> str:
-        """Text of ids; bytes that are not UTF-8 become U+FFFD, ids outside the vocabulary nothing."""
+    def _listed(self, ids: np.ndarray, data: np.ndarray, ends: np.ndarray) -> bytes:
+        """The entries of a table of bytes at ``ids``, in a row."""
         ids = np.asarray(ids, np.int64)
         ids = ids[(ids >= 0) & (ids < self.size)]
-        starts, lengths = self.spelled_ends[ids], self.spelled_ends[ids + 1] - self.spelled_ends[ids]
+        starts, lengths = ends[ids], ends[ids + 1] - ends[ids]
         before = np.cumsum(lengths) - lengths
-        places = np.repeat(starts - before, lengths) + np.arange(int(lengths.sum()))
-        return self.spelled[places].tobytes().decode("utf-8", "replace")
+        return data[np.repeat(starts - before, lengths) + np.arange(int(lengths.sum()))].tobytes()
+
+    def decode(self, ids: np.ndarray) -> str:
+        """Text of ids; bytes that are not UTF-8 become U+FFFD, ids outside the vocabulary nothing."""
+        return self._listed(ids, self.spelled, self.spelled_ends).decode("utf-8", "replace")
+
+    def written(self, ids: np.ndarray) -> bytes:
+        """Ids as decimal numbers with commas between."""
+        return self._listed(ids, self.numbers, self.number_ends)[:-1]
 
 
 @cache
@@ -199,6 +252,18 @@ def vocabulary(path: str) -> Bpe:
     return Bpe(path)
 
 
+def _encoded(batches: Iterator[pa.RecordBatch], path: str, at: int) -> Iterator[tuple[Bpe, pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Parts of bounded size of a task's batches, with the ids of the texts in column ``at`` and where each
+    text's ids end."""
+    known = vocabulary(path)
+    with emptied(known.pieces._clear):
+        for batch in batches:
+            for start, stop in slices(batch.column(at), CHUNK):
+                part = batch.slice(start, stop - start)
+                flat, counts = known.encode(part.column(at).to_pylist())
+                yield known, part, flat, np.concatenate(([0], np.cumsum(counts)))
+
+
 def encode(docs: DataFrame, path: str, column: str = "text", ids: str = "ids") -> DataFrame:
     """``docs`` with the token ids of ``column`` as array<int>; NULL and empty texts have none.
 
@@ -206,51 +271,45 @@ def encode(docs: DataFrame, path: str, column: str = "text", ids: str = "ids") -
     so repeated rows give equal ids; a column named ``ids`` is replaced.
     """
     rest = [c for c in docs.columns if c != ids]
+    sent = rest if column in rest else [*rest, column]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = vocabulary(path)
-        for batch in batches:
-            for start, stop in slices(batch.column(len(rest)), CHUNK):
-                part = batch.slice(start, stop - start)
-                flat, counts = known.encode(part.column(len(rest)).to_pylist())
-                ends = np.concatenate(([0], np.cumsum(counts)))
-                tokens = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(rest)], tokens], [*rest, ids])
+        for _, part, flat, ends in _encoded(batches, path, sent.index(column)):
+            tokens = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
+            yield pa.RecordBatch.from_arrays([*part.columns[: len(rest)], tokens], [*rest, ids])
 
-    schema = docs.select(*rest).schema.add(ids, ArrayType(IntegerType()))
-    return docs.select(*rest, docs[column].alias("text_")).mapInArrow(run, schema)
+    return docs.select(*sent).mapInArrow(run, docs.select(*rest).schema.add(ids, ArrayType(IntegerType())))
 
 
-def round_trip(docs: DataFrame, path: str, column: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
-    """:func:`encode` and :func:`decode` in one pass, so that a task needs one Python worker."""
-    rest = [c for c in docs.columns if c not in (ids, decoded)]
+def digests(docs: DataFrame, path: str, column: str = "text") -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 (of decimal ids with commas between) and decoded_sha256 (of the text that the
+    ids decode to, in UTF-8) of every row; :func:`encode` and :func:`decode` where the ids are, so that
+    neither they nor the texts leave the task."""
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = vocabulary(path)
-        for batch in batches:
-            for start, stop in slices(batch.column(len(rest)), CHUNK):
-                part = batch.slice(start, stop - start)
-                flat, counts = known.encode(part.column(len(rest)).to_pylist())
-                ends = np.concatenate(([0], np.cumsum(counts)))
-                tokens = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
-                texts = [known.decode(flat[b:e]) for b, e in zip(ends[:-1], ends[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(rest)], tokens, pa.array(texts, pa.string())], [*rest, ids, decoded])
+        for known, part, flat, ends in _encoded(batches, path, 1):
+            own = [flat[b:e] for b, e in zip(ends[:-1], ends[1:], strict=True)]
+            listed = [hashlib.sha256(known.written(ids)).hexdigest() for ids in own]
+            texts = [hashlib.sha256(known.decode(ids).encode()).hexdigest() for ids in own]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(ends)), pa.array(listed, pa.string()), pa.array(texts, pa.string())], names)
 
-    schema = docs.select(*rest).schema.add(ids, ArrayType(IntegerType())).add(decoded, "string")
-    return docs.select(*rest, docs[column].alias("text_")).mapInArrow(run, schema)
+    schema = docs.select("doc_id").schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
+    return docs.select("doc_id", column).mapInArrow(run, schema)
 
 
 def decode(tokens: DataFrame, path: str, ids: str = "ids", column: str = "decoded") -> DataFrame:
     """``tokens`` with the text of ``ids``; NULL is empty. A column named ``column`` is replaced."""
     rest = [c for c in tokens.columns if c != column]
+    sent = rest if ids in rest else [*rest, ids]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = vocabulary(path)
         for batch in batches:
-            lists = batch.column(len(rest))
+            lists = batch.column(sent.index(ids))
             flat, ends = np.asarray(lists.flatten()), np.concatenate(([0], np.cumsum(np.asarray(lists.value_lengths().fill_null(0)))))
             texts = [known.decode(flat[ends[at] : ends[at + 1]]) for at in range(len(lists))]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], pa.array(texts, pa.string())], [*rest, column])
 
     schema = tokens.select(*rest).schema.add(column, "string")
-    return tokens.select(*rest, tokens[ids].alias("ids_")).mapInArrow(run, schema)
+    return tokens.select(*sent).mapInArrow(run, schema)

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sourcelode.llm.words import emptied
+
 #: Lengths of the n-grams. Three code points of 21 bits fit one integer, so grams are exact.
 LENGTHS = (1, 2, 3)
 BITS = 21
@@ -163,20 +165,21 @@ def predict(docs: DataFrame, profiles: Profiles) -> DataFrame:
     distance; equal distances go to the language first by name. Columns of these names in
     ``docs`` are replaced.
     """
-    rest = [c for c in docs.columns if c not in ("lang_pred", "lang_score")]
     shared = docs.sparkSession.sparkContext.broadcast(profiles)
 
-    def run(batches):
+    @F.arrow_udf("lang_pred string, lang_score double")
+    def predicted(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known = shared.value
-        for batch in batches:
-            found = [known.predict(text) for text in batch.column(len(rest)).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[: len(rest)], pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())],
-                [*rest, "lang_pred", "lang_score"],
-            )
-
-    schema = docs.select(*rest).schema.add("lang_pred", "string").add("lang_score", "double")
-    return docs.select(*rest, F.col("text").alias("text_")).mapInArrow(run, schema)
+        with emptied():
+            for texts in columns:
+                found = [known.predict(text.as_py()) for text in texts]
+                values = [pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())]
+                yield pa.StructArray.from_arrays(values, ["lang_pred", "lang_score"])
+
+    # Only texts go to Python, and only predictions come back; not moved below a filter, which would predict twice.
+    rest = [c for c in docs.columns if c not in ("lang_pred", "lang_score")]
+    found = docs.withColumn("found_", predicted.asNondeterministic()(F.col("text")))
+    return found.select(*rest, F.col("found_.lang_pred").alias("lang_pred"), F.col("found_.lang_score").alias("lang_score"))
 
 
 def least_scores(learnable: DataFrame, profiles: Profiles, share: float = LEAST_SHARE) -> dict[str, float]:

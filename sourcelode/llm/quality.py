@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sourcelode.llm.words import SLICE_BYTES, U64, mix, ngram_hashes, slices, utf8, word_hashes
+from sourcelode.llm.words import SLICE_BYTES, U64, emptied, mix, ngram_hashes, slices, utf8, word_hashes
 
 #: Weights are kept in 2**BITS buckets.
 BITS = 18
@@ -109,20 +109,21 @@ def _train_shard(epochs: int):
     return run
 
 
-def train(labelled: DataFrame, docs: DataFrame, rows: int = 8192, shards: int = 4, epochs: int = 8) -> np.ndarray:
+def train(labelled: DataFrame, docs: DataFrame, rows: int = 16384, shards: int = 4, epochs: int = 8) -> np.ndarray:
     """Weights from at most ``rows`` labelled documents: those with the smallest hashes of their id.
 
     ``labelled`` needs doc_id and label (0 or 1, others are not used; of several labels of one
-    document the largest counts), ``docs`` doc_id and text. The bound is the documented size of the training
-    sample, whatever the table holds. It is dealt into ``shards`` groups that are trained on their
-    own and averaged, so a task holds ``rows / shards`` texts.
+    document the largest counts), ``docs`` doc_id and text; of several texts of one doc_id the first by
+    order is learned from. The bound is the documented size of the training sample, whatever the table holds. It is
+    dealt into ``shards`` groups that are trained on their own and averaged, so a task holds about ``rows / shards``
+    texts.
     """
     known = labelled.where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1)).groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
     known = known.withColumn("key", F.xxhash64("doc_id")).orderBy("key", "doc_id").limit(rows)
-    # At most ``rows`` ids and labels are broadcast.
+    # At most ``rows`` ids and labels are broadcast; tasks drop further texts of an id before the shuffle.
     texts = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(known), "doc_id")
-    texts = texts.withColumn("shard", F.pmod("key", F.lit(shards)))
-    found = texts.groupBy("shard").applyInArrow(
+    texts = texts.groupBy("doc_id", "key", "label").agg(F.min("text").alias("text")).withColumn("shard", F.pmod("key", F.lit(shards)))
+    found = texts.select("key", "label", "text", "shard").groupBy("shard").applyInArrow(
         lambda table: pa.Table.from_batches(_train_shard(epochs)(iter(table.to_batches()))), "bucket long, weight double"
     )
     weights = np.zeros((1 << BITS) + 1)
@@ -142,19 +143,19 @@ def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     A NULL text or one without words gets the intercept's score. Columns of this name in ``docs``
     are replaced.
     """
-    rest = [c for c in docs.columns if c != "quality_score"]
     shared = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
 
-    def run(batches):
+    @F.arrow_udf("double")
+    def scored(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known = shared.value.astype(np.float64)
-        for batch in batches:
-            texts, sums = batch.column(len(rest)), []
-            for start, stop in slices(texts, SLICE_BYTES):
-                at, values, bounds = features(texts.slice(start, stop - start))
-                upto = np.concatenate(([0.0], np.cumsum(known[at] * values)))
-                sums.append(upto[bounds[1:]] - upto[bounds[:-1]])
-            total = np.concatenate([*sums, np.zeros(0)]) + known[-1]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], pa.array(1 / (1 + np.exp(-total)))], [*rest, "quality_score"])
-
-    schema = docs.select(*rest).schema.add("quality_score", "double")
-    return docs.select(*rest, F.col("text").alias("text_")).mapInArrow(run, schema)
+        with emptied():
+            for texts in columns:
+                sums = []
+                for start, stop in slices(texts, SLICE_BYTES):
+                    at, values, bounds = features(texts.slice(start, stop - start))
+                    upto = np.concatenate(([0.0], np.cumsum(known[at] * values)))
+                    sums.append(upto[bounds[1:]] - upto[bounds[:-1]])
+                yield pa.array(1 / (1 + np.exp(-(np.concatenate([*sums, np.zeros(0)]) + known[-1]))))
+
+    # Only texts go to Python, and only scores come back; not moved below a filter, which would score twice.
+    return docs.withColumn("quality_score", scored.asNondeterministic()(F.col("text")))

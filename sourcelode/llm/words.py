@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +23,21 @@ _PLACE = _random.integers(0, 2**64, 1 << 20, dtype=U64) | U64(1)
 _STEP = _random.integers(0, 2**64, 64, dtype=U64) | U64(1)
 
 
+@contextmanager
+def emptied(*clear: Callable[[], None]) -> Iterator[None]:
+    """At the end of a task, call ``clear`` and give free memory back: workers outlive their tasks, and
+    what they keep is missing in later stages."""
+    try:
+        yield
+    finally:
+        for function in clear:
+            function()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+
 def mix(values: np.ndarray) -> np.ndarray:
     """Spread the bits of 64-bit values."""
     values = (values ^ (values >> U64(31))) * U64(0x7FB5D329728EA185)

@@ -182,26 +182,15 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract_pages(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
 
 
-def encoded_digests(docs: DataFrame, path: str) -> DataFrame:
-    """Encode whole texts, decode the ids again, and digest both."""
-    texts = bpe.round_trip(docs.select("doc_id", "text"), path)
-    return texts.select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
-    )
-
-
 @query("op9_bpe_round_trip")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encoded_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 @query("op10_token_files")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "tokens")
-    tokens = tokenfile.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
-    tokenfile.write(tokens, path)
+    tokenfile.write_texts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 1, path)
     return tokenfile.read_documents(spark, path)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from collections.abc import Iterator, Sequence
@@ -9,20 +10,19 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sourcelode.llm.bpe import byte_letters
-from sourcelode.llm.words import U64, slices, utf8, word_spans
+from sourcelode.llm.words import U64, emptied, slices, utf8, word_spans
 
-#: Documents whose ids differ only below this width share a segment.
-SEGMENT_WIDTH = 4096
-#: Ids after which a segment gets another part, so that no row outgrows a task.
-PART_IDS = 1 << 18
+#: Ids after which a segment ends, so that no row outgrows a task; a longer document is a segment of its own.
+SEGMENT_IDS = 1 << 18
 #: Bits of a bitmap between two entries of its rank directory.
 RANK_BITS = 512
 SCHEMA = (
-    "segment long, part int, n_docs long, n_ids long, doc_ids binary, doc_known binary, doc_ends binary, "
+    "part int, segment long, n_docs long, n_ids long, doc_ids binary, doc_known binary, doc_ends binary, "
     "levels array<binary>, bitmaps array<binary>, ranks array<binary>"
 )
 FIELDS = [f.split(" ")[0] for f in SCHEMA.split(", ")]
@@ -97,8 +97,10 @@ PIECE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 UNSURE = re.compile("[^\x00-\u012f\u0131-\u024f]|<\\|")
 
 
-#: Runs and pieces that a task remembers with their ids; a full memory is emptied.
-RUNS, PIECES = 500_000, 150_000
+#: Bytes of the runs and of the pieces that a task remembers with their ids; a full memory is emptied.
+RUNS, PIECES = 12 << 20, 16 << 20
+#: Bytes that a remembered piece takes besides its letters, about.
+ENTRY = 250
 
 
 class Library:
@@ -119,7 +121,13 @@ class Library:
         self.tokenizer.no_truncation()
         self.model, self.split = self.tokenizer.model, regex.compile(PIECE_PATTERN).findall
         self.letters = {b: letter for b, letter in enumerate(byte_letters())}
+        self.clear()
+
+    def clear(self):
+        """Forget runs and pieces, also those the library remembers."""
         self.pieces: dict[str, list[int]] = {}
+        self.piece_bytes = 0
+        self.model._clear_cache()
         self._clear()
 
     def _clear(self):
@@ -129,11 +137,13 @@ class Library:
     def _piece(self, piece: str) -> list[int]:
         ids = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
         self.pieces[piece] = ids
+        self.piece_bytes += ENTRY + len(piece) + 8 * len(ids)
         return ids
 
     def _ask(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.pieces) > PIECES:
+        if self.piece_bytes > PIECES:
             self.pieces.clear()
+            self.piece_bytes = 0
         known, flat, lengths = self.pieces, [], []
         for run in runs:
             before = len(flat)
@@ -155,10 +165,21 @@ class Library:
             np.insert(old, at, new) for old, new in ((self.hashes, hashes), (self.firsts, firsts), (self.lengths, lengths))
         )
 
+    @staticmethod
+    def _part_cases(hashes: np.ndarray, starts: np.ndarray, lengths: np.ndarray, data: np.ndarray) -> None:
+        """Give runs with ``<|`` hashes of their bytes as they are: special tokens are found before
+        a text is lower-cased, so such runs differ by case."""
+        opened = np.flatnonzero((data[:-1] == ord("<")) & (data[1:] == ord("|")))
+        of = np.unique(np.searchsorted(starts, opened, "right") - 1)
+        for at in of[of >= 0]:
+            run = data[starts[at] : starts[at] + lengths[at]].tobytes()
+            hashes[at] = int.from_bytes(hashlib.blake2b(run, digest_size=8).digest(), "little")
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and their number per text."""
         hashes, rows, starts, lengths = word_spans(texts)
-        if len(self.hashes) > RUNS:
+        self._part_cases(hashes, starts, lengths, utf8(texts)[0])
+        if 20 * len(self.hashes) + 4 * len(self.flat) > RUNS:
             self._clear()
         distinct, first, of = np.unique(hashes, return_index=True, return_inverse=True)
         at = np.searchsorted(self.hashes, distinct)
@@ -183,97 +204,124 @@ def library(path: str) -> Library:
     return Library(path)
 
 
-def encode(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """doc_id, ``ids`` (32-bit little-endian integers): the tokens of each whole text and ``end_id``."""
+def _encoded(path: str, end_id: int):
+    """Batches of doc_id and text become batches of doc_id and packed ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = library(path)
-        for batch in batches:
-            for start, stop in slices(batch.column(1)):
-                part = batch.slice(start, stop - start)
-                flat, counts = known.encode(part.column(1))
-                ends = np.cumsum(counts)
-                flat = np.insert(flat, ends, end_id).astype("<u4")
-                ends += np.arange(1, len(ends) + 1)
-                packed = [flat[b:e].tobytes() for b, e in zip(np.append(0, ends[:-1]), ends, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(packed, pa.binary())], ["doc_id", "ids"])
+        with emptied(known.clear):
+            for batch in batches:
+                for start, stop in slices(batch.column(1)):
+                    part = batch.slice(start, stop - start)
+                    flat, counts = known.encode(part.column(1))
+                    ends = np.cumsum(counts)
+                    flat = np.insert(flat, ends, end_id).astype("<u4")
+                    ends += np.arange(1, len(ends) + 1)
+                    packed = [flat[b:e].tobytes() for b, e in zip(np.append(0, ends[:-1]), ends, strict=True)]
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(packed, pa.binary())], ["doc_id", "ids"])
+
+    return run
+
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids binary")
+def encode(docs: DataFrame, path: str, end_id: int) -> DataFrame:
+    """doc_id, ``ids`` (32-bit little-endian integers): the tokens of each whole text and ``end_id``."""
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_encoded(path, end_id), "doc_id long, ids binary")
 
 
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by segment and document become one row per segment part."""
-    segment, part, docs, ids, held = None, 0, [], [], 0
+    """Documents of a range partition, in order, become one row per segment."""
+    task, nth = TaskContext.get().partitionId(), 0
+    docs: list[int | None] = []
+    ids: list[pa.BinaryScalar] = []
+    held = 0
 
     def row():
-        flat = np.frombuffer(b"".join(ids), "<u4")
+        flat = np.concatenate([np.frombuffer(x.as_buffer(), "<u4") for x in ids])
         levels, bitmaps, ranks = Codes.pack(flat)
-        return [
-            segment, part, len(docs), len(flat), np.array([d or 0 for d in docs], "<i8").tobytes(),
+        values = [
+            task, nth, len(docs), len(flat), np.array([d or 0 for d in docs], "<i8").tobytes(),
             np.array([d is not None for d in docs], np.uint8).tobytes(),
-            np.cumsum([len(x) // 4 for x in ids]).astype("<i8").tobytes(), levels, bitmaps, ranks,
+            np.cumsum([len(x.as_buffer()) // 4 for x in ids]).astype("<i8").tobytes(), levels, bitmaps, ranks,
         ]
-
-    def batch_of(values):
-        types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 3, *[pa.list_(pa.binary())] * 3]
+        types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), *[pa.binary()] * 3, *[pa.list_(pa.binary())] * 3]
         return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types, strict=True)], FIELDS)
 
-    for batch in (b.slice(at, 256) for b in batches for at in range(0, len(b), 256)):
-        for at, doc, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if docs and (at != segment or held + len(own) // 4 > PART_IDS):
-                yield batch_of(row())
-                part = part + 1 if at == segment else 0
-                docs, ids, held = [], [], 0
-            segment = at
-            docs.append(doc)
-            ids.append(own)
-            held += len(own) // 4
-    if docs:
-        yield batch_of(row())
+    with emptied():
+        for batch in batches:
+            for doc, own in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                size = len(own.as_buffer()) // 4
+                if docs and held + size > SEGMENT_IDS:
+                    yield row()
+                    nth, docs, ids, held = nth + 1, [], [], 0
+                docs.append(doc)
+                ids.append(own)
+                held += size
+        if docs:
+            yield row()
+
+
+def _ordered(rows: DataFrame, content: str) -> DataFrame:
+    """Rows (doc_id, ``content``) in ranges of ascending doc_id, sorted; NULL ids come first, rows of one id in
+    the order of a hash of their content. Ranges follow rows, whatever the ids are; the place of a
+    row in its task parts even rows that are equal."""
+    count = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.col("doc_id").asc_nulls_first(), F.asc("hash_"), F.asc("at_")]
+    placed = rows.select(F.col("doc_id").cast("long"), content, F.xxhash64(content).alias("hash_"), F.monotonically_increasing_id().alias("at_"))
+    return placed.repartitionByRange(count, *order).sortWithinPartitions(*order).select("doc_id", content)
 
 
 def write(tokens: DataFrame, path: str) -> None:
-    """Write documents (doc_id, ids) to a Parquet folder of segments in the order of doc_id.
+    """Write documents (doc_id, ids) to a Parquet folder of segments in the order of :func:`_ordered`.
 
-    A segment holds the documents of ``SEGMENT_WIDTH`` neighbouring ids, in order, in parts of about
-    ``PART_IDS`` ids; (segment, part) is the global order. NULL ids come first, rows of one doc_id
-    in the order of their tokens. Spark's writer commits whole tasks, so a lost executor leaves
-    no half file.
+    Files are ranges of documents; a segment is a run of about ``SEGMENT_IDS`` ids of a file, and
+    (part, segment) is the global order. Spark's writer commits whole tasks, so a lost executor leaves no
+    half file. ``tokens`` is read twice, once for the bounds of the ranges.
     """
-    placed = tokens.select(F.expr(f"coalesce(floor(doc_id / {SEGMENT_WIDTH}), -9223372036854775808)").cast("long").alias("segment"), "doc_id", "ids")
-    count = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = placed.repartition(count, "segment").sortWithinPartitions("segment", "doc_id", "ids")
-    placed.mapInArrow(_segments, SCHEMA).write.parquet(path)
+    _ordered(tokens, "ids").mapInArrow(_segments, SCHEMA).write.parquet(path)
+
+
+def write_texts(docs: DataFrame, vocabulary: str, end_id: int, path: str) -> None:
+    """:func:`encode` and :func:`write` in one pass: the texts are put in order, and each task encodes its range
+    and packs it into segments, so that ids are not shuffled. Rows of one doc_id are in the order of a
+    hash of their texts."""
+    run = _encoded(vocabulary, end_id)
+    _ordered(docs, "text").mapInArrow(lambda batches: _segments(run(batches)), SCHEMA).write.parquet(path)
 
 
 def starts(spark: SparkSession, path: str) -> DataFrame:
-    """segment, part and the number of ids before it; one small row per segment part."""
-    light = spark.read.schema(SCHEMA).parquet(path).select("segment", "part", "n_ids")
-    order = Window.partitionBy(F.lit(0)).orderBy("segment", "part").rowsBetween(Window.unboundedPreceding, -1)
-    return light.select("segment", "part", F.coalesce(F.sum("n_ids").over(order), F.lit(0)).alias("before"))
+    """part, segment and the number of ids before it: running sums inside each part, and the sums of the
+    parts before, of which there is one row each."""
+    light = spark.read.schema(SCHEMA).parquet(path).select("part", "segment", "n_ids")
+    before = lambda window: F.coalesce(F.sum("n_ids").over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = light.groupBy("part").agg(F.sum("n_ids").alias("n_ids"))
+    parts = parts.select("part", before(Window.orderBy("part")).alias("parts_before"))
+    inside = light.select("part", "segment", before(Window.partitionBy("part").orderBy("segment")).alias("inside"))
+    return inside.join(parts, "part").select("part", "segment", (F.col("parts_before") + F.col("inside")).alias("before"))
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """Every stored document from its segment: doc_id, start (ids of all documents before it),
     n_tokens, ids_crc32 (unsigned, of the ids as little-endian 32-bit integers)."""
 
+    names = ["part", "segment", "doc_id", "begin", "n_tokens", "ids_crc32"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(len(batch)):
-                segment, part, _, _, ids, known, ends, levels, bitmaps, ranks = (c[row].as_py() for c in batch.columns)
-                codes, ends = Codes(levels, bitmaps, ranks), np.frombuffer(ends, "<i8")
-                begins = np.concatenate(([0], ends[:-1]))
-                sums = [zlib.crc32(codes.read(int(b), int(e)).astype("<u4").tobytes()) for b, e in zip(begins, ends, strict=True)]
-                mask = np.frombuffer(known, np.uint8) == 0
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([segment] * len(ends), pa.int64()), pa.array([part] * len(ends), pa.int32()), pa.array(np.frombuffer(ids, "<i8"), mask=mask),
-                     pa.array(begins), pa.array(ends - begins), pa.array(sums, pa.int64())],
-                    ["segment", "part", "doc_id", "begin", "n_tokens", "ids_crc32"],
-                )
+        with emptied():
+            for batch in batches:
+                for row in range(len(batch)):
+                    part, segment, _, _, ids, known, ends, levels, bitmaps, ranks = (c[row].as_py() for c in batch.columns)
+                    codes, ends = Codes(levels, bitmaps, ranks), np.frombuffer(ends, "<i8")
+                    begins = np.concatenate(([0], ends[:-1]))
+                    sums = [zlib.crc32(codes.read(int(b), int(e)).astype("<u4").tobytes()) for b, e in zip(begins, ends, strict=True)]
+                    mask = np.frombuffer(known, np.uint8) == 0
+                    places = [pa.array([part] * len(ends), pa.int32()), pa.array([segment] * len(ends), pa.int64())]
+                    yield pa.RecordBatch.from_arrays(
+                        [*places, pa.array(np.frombuffer(ids, "<i8"), mask=mask), pa.array(begins), pa.array(ends - begins), pa.array(sums, pa.int64())], names
+                    )
 
     stored = spark.read.schema(SCHEMA).parquet(path)
-    rows = stored.mapInArrow(run, "segment long, part int, doc_id long, begin long, n_tokens long, ids_crc32 long")
-    return rows.join(starts(spark, path), ["segment", "part"]).select(
+    rows = stored.mapInArrow(run, "part int, segment long, doc_id long, begin long, n_tokens long, ids_crc32 long")
+    return rows.join(starts(spark, path), ["part", "segment"]).select(
         "doc_id", (F.col("before") + F.col("begin")).alias("start"), "n_tokens", "ids_crc32"
     )
 
@@ -286,9 +334,9 @@ def read_tokens(spark: SparkSession, path: str, places: DataFrame) -> DataFrame:
     """
     bounds = starts(spark, path)
     stored = spark.read.schema(SCHEMA).parquet(path)
-    bounds = bounds.join(stored.select("segment", "part", "n_ids"), ["segment", "part"])
-    wide = F.lit(PART_IDS)
-    # A part covers few stretches of PART_IDS places, so places meet parts on the stretch.
+    bounds = bounds.join(stored.select("part", "segment", "n_ids"), ["part", "segment"])
+    wide = F.lit(SEGMENT_IDS)
+    # A segment covers few stretches of SEGMENT_IDS places, so places meet segments on the stretch.
     spans = bounds.where("n_ids > 0").withColumn("stretch", F.explode(F.sequence((F.col("before") / wide).cast("long"), ((F.col("before") + F.col("n_ids") - 1) / wide).cast("long"))))
     hits = (
         places.where("place >= 0").select("place", (F.col("place") / wide).cast("long").alias("stretch"))
@@ -305,5 +353,5 @@ def read_tokens(spark: SparkSession, path: str, places: DataFrame) -> DataFrame:
                 found = [(w["place"], codes.token(w["at"])) for w in row["wanted"]]
                 yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.int64()), pa.array([t for _, t in found], pa.int64())], ["place", "token"])
 
-    joined = stored.select("segment", "part", "levels", "bitmaps", "ranks").join(hits.drop("group_"), ["segment", "part"])
+    joined = stored.select("segment", "part", "levels", "bitmaps", "ranks").join(hits.drop("group_"), ["part", "segment"])
     return joined.select("levels", "bitmaps", "ranks", "wanted").mapInArrow(run, "place long, token long")

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -41,11 +42,33 @@ def test_forgetting_pieces_changes_nothing():
     known = bpe.Bpe(BYTES)
     texts = sampled()
     want = known.encode(texts)
-    known.pieces = bpe.Pieces(known._encode_pieces, remembered=10)
+    known.pieces = bpe.Pieces(known._encode_pieces, remembered=1000)
     got = [known.encode(texts[i : i + 50]) for i in range(0, len(texts), 50)]
     assert (np.concatenate([g[0] for g in got]) == want[0]).all() and (np.concatenate([g[1] for g in got]) == want[1]).all()
 
 
+def test_long_words_equal_the_library():
+    rng = random.Random(4)
+    known, library = bpe.Bpe(BYTES), Tokenizer.from_file(BYTES)
+    words = ["".join(rng.choice(letters) for _ in range(n)) for letters in ("ab", "etaoinshr", "aaab", "é中x") for n in (1020, 1030, 5000)]
+    flat, counts = known.encode(["short one", *words, "and " + words[1]])
+    ends = np.cumsum(counts)
+    for text, end, count in zip(["short one", *words, "and " + words[1]], ends, counts):
+        assert flat[end - count : end].tolist() == library.encode(text, add_special_tokens=False).ids
+    began = time.monotonic()
+    long = "".join(rng.choice("etaoinshrdlu") for _ in range(200_000))
+    assert len(known.encode([long])[0]) == len(library.encode(long, add_special_tokens=False).ids)
+    assert time.monotonic() - began < 20
+
+
+def test_memory_is_bounded_in_bytes():
+    known = bpe.Bpe(BYTES)
+    known.pieces = bpe.Pieces(known._encode_pieces, remembered=1 << 20)
+    for n in range(100):
+        known.encode([f"{chr(97 + n % 26) * 4000}{n}"])
+        assert sum(len(p) for p in known.pieces.index) + known.pieces.flat.nbytes < (1 << 20) + 20_000
+
+
 def test_decode_of_broken_ids():
     known = bpe.vocabulary(BYTES)
     first_byte = int(known.encode(["é"])[0][0])
@@ -64,30 +87,36 @@ def test_codes_give_every_token(ids):
         assert codes.read(at, stop).tolist() == ids[at:stop]
 
 
-def test_library_pieces_equal_whole_texts():
+def test_library_pieces_equal_whole_texts(monkeypatch):
     own, library = tokenfile.Library(WORDS), Tokenizer.from_file(WORDS)
     texts = [t or "" for t in ODD_TEXTS] + sampled()
-    for limit in (10**6, 5):
-        own_limit, tokenfile.RUNS = tokenfile.RUNS, limit
-        try:
-            flat, counts = own.encode(pa.array(texts))
-        finally:
-            tokenfile.RUNS = own_limit
+    texts += ["<|endoftext|> a", "<|ENDOFTEXT|> a", "<|EndOfText|>x <|", "x<|ENDOFTEXT|>", "x<|endoftext|>"]
+    for limit, given in ((10**6, texts), (5, texts), (10**6, texts[::-1])):
+        monkeypatch.setattr(tokenfile, "RUNS", limit)
+        monkeypatch.setattr(tokenfile, "PIECES", 10 * limit)
+        own.clear()
+        texts = given
+        flat, counts = own.encode(pa.array(texts))
         ends = np.cumsum(counts)
         for text, end, count in zip(texts, ends, counts):
             assert flat[end - count : end].tolist() == library.encode(text, add_special_tokens=False).ids
+        for text in texts[-8:] + texts[:8]:  # one by one, remembered from before
+            assert own.encode(pa.array([text]))[0].tolist() == library.encode(text, add_special_tokens=False).ids
 
 
-def test_token_files(documents, spark, tmp_path, monkeypatch):
+@pytest.mark.parametrize("ids", ["dense", "sparse", "one"])
+def test_token_files(documents, spark, tmp_path, monkeypatch, ids):
     library = Tokenizer.from_file(WORDS)
     rng = random.Random(3)
     texts = [t for t in ODD_TEXTS] + sampled()
-    rows = [(rng.randrange(-9000, 20000) if i % 9 else None, t) for i, t in enumerate(texts)] + [(3, "a b"), (3, "a b")]
-    monkeypatch.setattr(tokenfile, "PART_IDS", 500)
+    pick = {"dense": lambda: rng.randrange(-90, 200), "sparse": lambda: rng.randrange(-(2**63), 2**63), "one": lambda: 5}[ids]
+    rows = [(pick() if i % 9 else None, t) for i, t in enumerate(texts)] + [(3, "a b"), (3, "a b")]
+    monkeypatch.setattr(tokenfile, "SEGMENT_IDS", 500)
     path = str(tmp_path / "tokens")
-    tokenfile.write(tokenfile.encode(documents(rows), WORDS, end_id=1), path)
-    ids = [(doc, library.encode(text or "", add_special_tokens=False).ids + [1]) for doc, text in rows]
-    ids.sort(key=lambda x: (x[0] is not None, x[0] or 0, np.array(x[1], "<u4").tobytes()))
+    tokenfile.write_texts(documents(rows), WORDS, 1, path)
+    hashed = {r["text"]: r["h"] for r in documents(rows).select("text", F.xxhash64("text").alias("h")).collect()}
+    ids = [(doc, library.encode(text or "", add_special_tokens=False).ids + [1], hashed[text]) for doc, text in rows]
+    ids = [x[:2] for x in sorted(ids, key=lambda x: (x[0] is not None, x[0] or 0, x[2]))]
     want, start = [], 0
     for doc, own in ids:
         want.append((doc, start, len(own), zlib.crc32(np.array(own, "<u4").tobytes())))
@@ -100,6 +129,18 @@ def test_token_files(documents, spark, tmp_path, monkeypatch):
     assert tokens == {at: flat[at] for at in range(0, len(flat), 3)}
 
 
+def test_files_are_ranges_in_order(documents, spark, tmp_path):
+    path = str(tmp_path / "ranges")
+    tokenfile.write(tokenfile.encode(documents([((i * 7919) % 5000, f"word {i}") for i in range(3000)]), WORDS, end_id=1), path)
+    stored = spark.read.schema(tokenfile.SCHEMA).parquet(path).withColumn("file", F.input_file_name()).collect()
+    spans = {}
+    for row in stored:
+        spans.setdefault((row["file"], row["part"]), []).extend(np.frombuffer(row["doc_ids"], "<i8").tolist())
+    spans = sorted((min(v), max(v), len(v), part) for (_, part), v in spans.items())
+    assert len(spans) > 4 and all(a[1] < b[0] and a[3] < b[3] for a, b in zip(spans, spans[1:]))
+    assert max(s[2] for s in spans) < 1500
+
+
 def test_empty_token_files(documents, spark, tmp_path):
     path = str(tmp_path / "none")
     tokenfile.write(tokenfile.encode(documents([]), WORDS, end_id=1), path)
@@ -153,9 +194,7 @@ def test_align_cuts_tokens_at_span_edges():
 
 
 def test_digest_of_ids_matches_python(documents):
-    from sourcelode.llm.queries import encoded_digests
-
-    row = encoded_digests(documents([(1, "héllo wörld")]), BYTES).first()
+    row = bpe.digests(documents([(1, "héllo wörld")]), BYTES).first()
     ids = Tokenizer.from_file(BYTES).encode("héllo wörld", add_special_tokens=False).ids
     assert row["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
     assert row["decoded_sha256"] == hashlib.sha256("héllo wörld".encode()).hexdigest()

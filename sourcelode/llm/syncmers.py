@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,9 +11,6 @@ from pyspark.sql import functions as F
 UNIT = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}]|[^\s\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}]+"
 #: A k-mer is five units, its inner substrings two.
 K, S = 5, 2
-#: Documents with neighbouring ids that are ordered together.
-NEIGHBOURS = 4096
-FIRST_BUCKET = -(1 << 62)
 
 
 def unit_hashes(text: Column) -> Column:
@@ -20,7 +19,8 @@ def unit_hashes(text: Column) -> Column:
 
 
 def with_anchors(docs: DataFrame, text: str, name: str, k: int = K, s: int = S) -> DataFrame:
-    """``docs`` with ``name``: the closed syncmers of a text column as 32-bit integers, in order.
+    """``docs`` with ``name``: the closed syncmers of a text column as 32-bit integers, in order; and
+    ``{name}_links``, the same anchors as their places tell them apart (see :func:`likeness`).
 
     A k-mer is chosen if the least hash of its ``k - s + 1`` inner substrings is that of the first or
     the last one. That depends on its own units alone, so a passage gives the same anchors wherever
@@ -38,11 +38,14 @@ def with_anchors(docs: DataFrame, text: str, name: str, k: int = K, s: int = S)
     # A k-mer is known by its substrings that do not overlap, and by the last one.
     parts = [*range(0, k - s + 1, s), k - s]
     kmer = ", ".join(f"m_[i + {at}]" for at in dict.fromkeys(parts))
-    chosen = F.expr(
-        f"CASE WHEN size(u_) >= {k} THEN transform(filter(sequence(0, size(u_) - {k}), i -> {least}), i -> hash({kmer}))"
-        " WHEN size(u_) > 0 THEN array(hash(u_)) ELSE CAST(array() AS ARRAY<INT>) END"
+    places = F.expr(
+        f"CASE WHEN size(u_) >= {k} THEN filter(sequence(0, size(u_) - {k}), i -> {least})"
+        " WHEN size(u_) > 0 THEN array(0) ELSE CAST(array() AS ARRAY<INT>) END"
     )
-    return docs.withColumn(name, chosen).drop("u_", "m_")
+    chosen = F.expr(f"CASE WHEN size(u_) >= {k} THEN transform(p_, i -> hash({kmer})) WHEN size(u_) > 0 THEN array(hash(u_)) ELSE CAST(array() AS ARRAY<INT>) END")
+    docs = docs.withColumn("p_", places).withColumn(name, chosen)
+    links = F.expr(f"transform({name}, (a_, i_) -> CASE WHEN i_ = 0 THEN hash(a_) ELSE hash(a_, {name}[i_ - 1], p_[i_] - p_[i_ - 1]) END)")
+    return docs.withColumn(f"{name}_links", links).drop("u_", "m_", "p_")
 
 
 def fingerprint(anchors: Column) -> Column:
@@ -52,35 +55,67 @@ def fingerprint(anchors: Column) -> Column:
 
 
 def likeness(left: Column, right: Column) -> Column:
-    """Shared share of the distinct anchors of two documents; 1 if both have none."""
+    """Share of the anchors of two documents that match by position; 1 if both have none.
+
+    Takes the links of both: an anchor matches if it follows the same anchor at the same distance (in
+    units) in both documents, or is the first in both. So a passage that is moved as a whole loses
+    one match, while the same anchors in another order have none. Repeated links count once.
+    """
     common, either = F.size(F.array_intersect(left, right)), F.size(F.array_union(left, right))
     return F.when(either == 0, F.lit(1.0)).otherwise(common / either)
 
 
+def _bucket(docs: DataFrame) -> Column:
+    """Number of the range of rows that a row is in, by (known_, id_, hash_, at_).
+
+    Bounds are those of Spark's range partitions over the keys alone, one per shuffle partition; so
+    ranges follow rows, whatever the ids are. A row finds its range among about the square root of
+    the bounds, then among those between two of these.
+    """
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names = ["known_", "id_", "hash_", "at_"]
+    keys = docs.select(F.struct(*names).alias("key")).repartitionByRange(parts, *(F.col(f"key.{c}") for c in names))
+    tops = keys.groupBy(F.spark_partition_id().alias("part")).agg(F.max("key").alias("top")).select("top.*").collect()
+    bounds = sorted(tuple(row) for row in tops)[:-1]
+    if not bounds:
+        return F.lit(0)
+    literal = lambda rows: F.array(*(F.struct(*(F.lit(v).cast(t).alias(c) for c, v, t in zip(names, row, ("int", "long", "long", "long"), strict=True))) for row in rows))
+    below = lambda among: F.size(F.filter(among, lambda bound: bound < F.struct(*names)))
+    step = math.isqrt(len(bounds)) + 1
+    coarse = bounds[step - 1 :: step]
+    first = below(literal(coarse)) * step if coarse else F.lit(0)
+    return first + below(F.slice(literal(bounds), first + 1, F.lit(step)))
+
+
 def _tops(docs: DataFrame) -> DataFrame:
-    """The greatest row of every bucket (``b_``), in the next bucket that has rows; the last one's
-    in the first. Only bucket numbers are ranked as a whole."""
+    """The greatest row of every bucket (``b_``), in the next bucket that has rows; the last one's in the
+    first. Only a key per bucket is ranked as a whole and sent to the tasks that look up its text."""
     everything = Window.partitionBy(F.lit(0))
-    light = docs.groupBy("b_").agg(F.count("*").alias("rows_"))
-    light = light.select("b_", F.coalesce(F.lead("b_").over(everything.orderBy("b_")), F.min("b_").over(everything)).alias("to_"))
-    top = docs.groupBy("b_").agg(F.max_by(F.struct("doc_id", "text"), F.struct(F.coalesce("doc_id", F.lit(FIRST_BUCKET)), "text")).alias("v"))
-    return top.join(light, "b_").select(F.col("to_").alias("b_"), "v.doc_id", "v.text")
+    light = docs.groupBy("b_").agg(F.max(F.struct("known_", "id_", "hash_")).alias("m"))
+    to = F.coalesce(F.lead("b_").over(everything.orderBy("b_")), F.min("b_").over(everything))
+    keys = light.select("m.*", to.alias("to_"))
+    return docs.drop("b_").join(F.broadcast(keys), ["known_", "id_", "hash_"]).groupBy(F.col("to_").alias("b_")).agg(F.min("text").alias("text"))
 
 
 def with_next(docs: DataFrame, k: int = K, s: int = S) -> DataFrame:
-    """``docs`` (doc_id, text) with ``anchors``, and ``next_text`` and ``next_anchors`` of the next
+    """``docs`` (doc_id, text) with ``anchors`` and ``anchors_links``, and ``next_text`` and ``next_links`` of the next
     document by descending doc_id; the last one's next is the first. Rows of NULL id come last,
-    rows of one id are in the order of their texts.
+    rows of one id are in the order of a hash of their texts.
 
-    Documents are sorted inside buckets of ``NEIGHBOURS`` ids. The greatest row of every bucket is
-    also sent to the next one, in front of its least row, so no step orders all documents.
+    Rows are sorted inside ranges of about equal numbers of rows (:func:`_bucket`). The greatest row of every
+    range is also sent to the next one, in front of its least row, so no step orders all documents, and
+    many rows of one id, or of none, are dealt over ranges like any others.
     """
-    docs = docs.withColumn("b_", F.coalesce(F.floor(F.col("doc_id") / NEIGHBOURS), F.lit(FIRST_BUCKET)).cast("bigint"))
-    sent = _tops(docs).withColumn("sent_", F.lit(True))
-    rows = with_anchors(docs.withColumn("sent_", F.lit(False)).unionByName(sent), "text", "anchors", k, s)
-    order = Window.partitionBy("b_").orderBy(F.desc("sent_"), F.col("doc_id").asc_nulls_first(), "text")
-    rows = rows.withColumn("next_text", F.lag("text").over(order)).withColumn("next_anchors", F.lag("anchors").over(order))
-    return rows.where(~F.col("sent_")).drop("b_", "sent_")
+    docs = docs.select(
+        "doc_id", "text", F.col("doc_id").isNotNull().cast("int").alias("known_"), F.coalesce("doc_id", F.lit(0).cast("bigint")).alias("id_"),
+        F.xxhash64("text").alias("hash_"), F.monotonically_increasing_id().alias("at_"),
+    )
+    docs = docs.withColumn("b_", _bucket(docs))
+    rows = docs.withColumn("sent_", F.lit(False)).unionByName(_tops(docs).withColumn("sent_", F.lit(True)), allowMissingColumns=True)
+    rows = with_anchors(rows, "text", "anchors", k, s)
+    order = Window.partitionBy("b_").orderBy(F.desc("sent_"), "known_", "id_", "hash_", "at_")
+    rows = rows.withColumn("next_text", F.lag("text").over(order)).withColumn("next_links", F.lag("anchors_links").over(order))
+    return rows.where(~F.col("sent_")).drop("b_", "sent_", "known_", "id_", "hash_", "at_")
 
 
 def fingerprints(docs: DataFrame, k: int = K, s: int = S) -> DataFrame:
@@ -101,7 +136,7 @@ def fingerprints(docs: DataFrame, k: int = K, s: int = S) -> DataFrame:
     return rows.select(
         "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         fingerprint(F.col("anchors")).alias("fingerprint"), fingerprint(F.col("edited_anchors")).alias("edited_fingerprint"),
-        likeness(F.col("anchors"), F.col("edited_anchors")).alias("near_edited"),
-        likeness(F.col("anchors"), F.col("next_anchors")).alias("near_next"),
+        likeness(F.col("anchors_links"), F.col("edited_anchors_links")).alias("near_edited"),
+        likeness(F.col("anchors_links"), F.col("next_links")).alias("near_next"),
     )
 

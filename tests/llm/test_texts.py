@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -173,6 +174,34 @@ def test_anchors_are_closed_syncmers(spark):
     assert row["anchors"] == want and 10 < len(want) < 50
 
 
+@pytest.mark.parametrize("ids", ["sparse", "one", "none"])
+def test_next_documents_whatever_the_ids(documents, ids):
+    rng = random.Random(2)
+    pick = {"sparse": lambda: rng.randrange(-(2**63), 2**63), "one": lambda: rng.choice([7, 7, 7, 7, 8, -3]), "none": lambda: None}[ids]
+    rows = [(pick(), f"{rng.randrange(40)} words of a text {'x ' * rng.randrange(9)}") for _ in range(300)]
+    df = documents(rows)
+    hashed = {r["text"]: r["h"] for r in df.select("text", F.xxhash64("text").alias("h")).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashed[r[1]]), reverse=True)
+    want = [(doc, text, follows) for (doc, text), (_, follows) in zip(order, order[1:] + order[:1])]
+    got = [(r["doc_id"], r["text"], r["next_text"]) for r in syncmers.with_next(df.select("doc_id", "text")).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_likeness_is_by_position(spark):
+    rng = random.Random(8)
+    half, other, more = (prose(rng, "xx", 80) for _ in range(3))
+    texts = [f"{half} {other}", f"{other} {half}", f"{more} {half} {other}", f"{half} {other}", " ".join(sorted(f"{half} {other}".split()))]
+    df = syncmers.with_anchors(spark.createDataFrame(list(enumerate(texts)), "id int, text string"), "text", "a")
+    first = df.where("id = 0").select(F.col("a_links").alias("own"))
+    near = {r["id"]: r["n"] for r in df.join(first).select("id", syncmers.likeness(F.col("a_links"), F.col("own")).alias("n")).collect()}
+    # A moved half keeps its own order, a text in front takes a third, mixed words leave nothing.
+    assert near[0] == near[3] == 1 and near[1] > 0.8 and 0.55 < near[2] < 0.75 and near[4] < 0.1
+    small = spark.createDataFrame([([1, 2, 3, 4], [4, 3, 2, 1])], "x array<int>, y array<int>")
+    links = "transform({0}, (a, i) -> CASE WHEN i = 0 THEN hash(a) ELSE hash(a, {0}[i - 1], 1) END)"
+    row = small.select(syncmers.likeness(F.expr(links.format("x")), F.expr(links.format("y"))).alias("n")).first()
+    assert row["n"] == 0.0  # the same anchors in another order
+
+
 def test_fingerprints_small_tables(documents):
     assert syncmers.fingerprints(documents([])).count() == 0
     only = syncmers.fingerprints(documents([(1, "abcdef")])).first()
@@ -252,6 +281,49 @@ def test_extraction_stays_in_a_div_with_its_headline():
     assert htmltext.extract(page, []).startswith("Headline\nBody") and "Imprint" not in htmltext.extract(page, [])
 
 
+LAYOUTS = [
+    "content no-sidebar", "content-area has-sidebar", "post-content with-comments", "main-content social", "story promo-free", "page-wrap sticky-nav",
+    "article-search", "post related-post", "main-content sidebar-right", "two-column side", "menu",
+]
+
+
+@pytest.mark.parametrize("layout", LAYOUTS)
+@pytest.mark.parametrize("page", [
+    "<body><nav><a href=/>Home</a></nav><div class=cookie-notice>We use cookies</div><div class='%s'>%s</div><div class=ad>Buy</div></body>",
+    "<body><header><h1>Site</h1></header><div class=outer><div class='%s'>%s</div></div><footer>Imprint</footer></body>",
+    "<body><table class='%s'><tr><td>%s</td></tr></table></body>",
+    "<body><form action=/><input name=state><div class='%s'>%s</div><button>Send</button></form></body>",
+    "<body><div class='%s'><article>%s</article><div class=comments><p>Nice. </p></div></div></body>",
+])
+def test_layout_classes_keep_the_article(layout, page):
+    page = page % (layout, f"<h1>Headline</h1><p>Lead</p><div class=side-by-side><p>Left</p><p>Right</p></div>{BODY}<div class=share>Gone</div>")
+    want = ["Headline", "Lead", "Left", "Right", htmltext.blocks(htmltext.parse(BODY))[0]]
+    assert htmltext.extract(page, []).split("\n")[-5:] == want
+    assert "Gone" not in htmltext.extract(page, []) and "cookies" not in htmltext.extract(page, [])
+    assert htmltext.extract(page, [htmltext.best_path(page)[0]]) == htmltext.extract(page, [])
+
+
+@pytest.mark.parametrize("name", ["comments", "comment-list", "sidebar", "related-posts"])
+def test_longer_parts_beside_the_article_stay_noise(name):
+    page = f"<body><div class=post><h1>Headline</h1><p>Short.</p></div><div class={name}>{BODY}</div></body>"
+    assert htmltext.extract(page, []) == "Headline\nShort."
+
+
+def test_deep_pages_take_linear_time():
+    def page(n):
+        return "<article>" + "<header>" * 50 + "<div class=a><span>" * n + "x <h1>T</h1> y" + "</b></div>" * n + "<p>z</article>"
+
+    def took(n):
+        began = time.perf_counter()
+        assert htmltext.extract(page(n), []) == "x\nT\ny\nz"
+        htmltext.best_path(page(n))
+        return time.perf_counter() - began
+
+    took(1000)
+    short, long = min(took(5000) for _ in range(2)), took(50_000)
+    assert long < 30 * short + 1
+
+
 @pytest.mark.parametrize("part", [
     "<h2 id=related-work>Kept</h2>", "<h2 id=ad-hoc-methods>Kept</h2>", "<h3 id=comments>Kept</h3>", "<p id=search-results>Kept</p>", "<p>K<span id=side>ept</span></p>",
     "<section id=side-effects><h2>Kept</h2></section>", "<section id=share-prices><p>Kept</section>", "<div id=related-work>Kept</div>",

@@ -190,10 +190,11 @@ _REST = (
 HEAD, ARTIFACTS, RESULTS_HEAD, RESULTS, TAIL = range(5)
 
 
-def _in_order(scans: DataFrame, findings: DataFrame, heads: dict, artifacts: bool):
+def _in_order(scans: DataFrame, findings: DataFrame, heads: dict, artifacts: bool, keys=("scan_id",), place_rows=None):
     """The rows of all scans' documents in writing order: texts around lists, and list entries.
 
-    Columns ``scan_id``, ``section``, the finding's fields (of a file: its path), ``_first`` (entry
+    A document is known by ``keys``, the scan and perhaps a part of it. ``place_rows`` puts rows in order (by default all
+    documents one after another). Columns ``keys``, ``section``, the finding's fields (of a file: its path), ``_first`` (entry
     that needs no comma before it) and ``_text`` (a text that is no entry). ``heads`` has the text
     column of each section that is one.
 
@@ -203,9 +204,10 @@ def _in_order(scans: DataFrame, findings: DataFrame, heads: dict, artifacts: boo
     """
     order = [*_ORDER, *[name for name in ("_row",) if name in findings.columns]]
     place = F.struct(*order)
-    first = findings.groupBy("scan_id").agg(F.min(place).alias("_least"))
-    entries = findings.select("scan_id", *order, *_REST, "metadata").join(
-        first.join(scans.select("scan_id"), "scan_id"), "scan_id"
+    keys = list(keys)
+    first = findings.groupBy(*keys).agg(F.min(place).alias("_least"))
+    entries = findings.select(*keys, *order, *_REST, "metadata").join(
+        first.join(scans.select(*keys), keys), keys
     )
     parts = [
         entries.withColumns({"section": F.lit(RESULTS), "_first": place.eqNullSafe(F.col("_least"))})
@@ -213,15 +215,15 @@ def _in_order(scans: DataFrame, findings: DataFrame, heads: dict, artifacts: boo
     if artifacts:
         is_first = F.col("file_path").eqNullSafe(F.col("_least.file_path"))
         parts.append(
-            entries.select("scan_id", "file_path", is_first.alias("_first")).distinct()
+            entries.select(*keys, "file_path", is_first.alias("_first")).distinct()
             .withColumn("section", F.lit(ARTIFACTS))
         )
     around = [F.struct(F.lit(at).alias("section"), text.alias("_text")) for at, text in heads.items()]
-    parts.append(scans.select("scan_id", F.inline(F.array(*around))))
+    parts.append(scans.select(*keys, F.inline(F.array(*around))))
     rows = parts[0].drop("_least")
     for part in parts[1:]:
         rows = rows.unionByName(part, allowMissingColumns=True)
-    return rows.orderBy("scan_id", "section", *order)
+    return (place_rows or DataFrame.orderBy)(rows, *keys, "section", *order)
 
 
 def _entry(build) -> Column:
@@ -229,6 +231,16 @@ def _entry(build) -> Column:
     return F.concat(F.when(F.col("_first"), "").otherwise(","), F.to_json(build))
 
 
+#: What opens and closes a SARIF file around its runs.
+SARIF_FILE = (f'{{"$schema":"{REPORT_SCHEMA_URI}","version":"{REPORT_VERSION}","runs":[', "]}")
+
+
+def run_lines(scans: DataFrame, findings: DataFrame, keys, place_rows) -> DataFrame:
+    """Runs without the file around them: each names its document (``automationDetails``), so that several can share a file."""
+    name = F.to_json(F.struct(F.concat_ws("/", *(F.col(k).cast("string") for k in keys)).alias("id")))
+    return _sarif(scans, findings, F.concat(F.lit('{"automationDetails":'), name, F.lit(",")), "]}", keys, place_rows)
+
+
 def sarif_lines(scans: DataFrame, findings: DataFrame) -> DataFrame:
     """SARIF documents as sorted lines (``scan_id``, ``section``, ``line``).
 
@@ -236,6 +248,10 @@ def sarif_lines(scans: DataFrame, findings: DataFrame) -> DataFrame:
     and one per finding, in the order of file, line, column, type and id. Scans follow one
     another by id. A scan of any size is as many lines, in as many tasks as it takes.
     """
+    return _sarif(scans, findings, F.lit(SARIF_FILE[0] + "{"), "]}" + SARIF_FILE[1])
+
+
+def _sarif(scans: DataFrame, findings: DataFrame, opened: Column, closed: str, keys=("scan_id",), place_rows=None) -> DataFrame:
     rest = F.to_json(
         F.struct(
             F.array(invocation()).alias("invocations"),
@@ -244,13 +260,12 @@ def sarif_lines(scans: DataFrame, findings: DataFrame) -> DataFrame:
         )
     )
     head = F.concat(
-        F.lit(f'{{"$schema":"{REPORT_SCHEMA_URI}","version":"{REPORT_VERSION}","runs":['),
-        F.lit(f'{{"tool":{tool_json()},'), F.substring(rest, F.lit(2), F.length(rest) - 2),
+        opened, F.lit(f'"tool":{tool_json()},'), F.substring(rest, F.lit(2), F.length(rest) - 2),
         F.lit(',"artifacts":['),
     )
     rows = _in_order(
-        scans, findings, {HEAD: head, RESULTS_HEAD: F.lit('],"results":['), TAIL: F.lit("]}]}")},
-        artifacts=True,
+        scans, findings, {HEAD: head, RESULTS_HEAD: F.lit('],"results":['), TAIL: F.lit(closed)},
+        True, keys, place_rows,
     )
     artifact = F.struct(
         F.struct(
@@ -264,7 +279,7 @@ def sarif_lines(scans: DataFrame, findings: DataFrame) -> DataFrame:
         .when(F.col("section") == ARTIFACTS, _entry(artifact))
         .otherwise(F.col("_text"))
     )
-    return rows.select("scan_id", "section", line.alias("line"))
+    return rows.select(*keys, "section", line.alias("line"))
 
 
 def finding_json() -> Column:
@@ -274,13 +289,13 @@ def finding_json() -> Column:
     return F.struct(*plain, F.struct(*place).alias("location"), "metadata")
 
 
-def scan_lines(scans: DataFrame, findings: DataFrame) -> DataFrame:
+def scan_lines(scans: DataFrame, findings: DataFrame, keys=("scan_id",), place_rows=None) -> DataFrame:
     """Scan results as JSON documents in sorted lines, built like :func:`sarif_lines`."""
     head = F.to_json(F.struct(*scans.columns), {"ignoreNullFields": "false"})
     opened = F.concat(F.substring(head, F.lit(1), F.length(head) - 1), F.lit(',"vulnerabilities":['))
-    rows = _in_order(scans, findings, {HEAD: opened, TAIL: F.lit("]}")}, artifacts=False)
+    rows = _in_order(scans, findings, {HEAD: opened, TAIL: F.lit("]}")}, False, keys, place_rows)
     line = F.when(F.col("section") == RESULTS, _entry(finding_json())).otherwise(F.col("_text"))
-    return rows.select("scan_id", "section", line.alias("line"))
+    return rows.select(*keys, "section", line.alias("line"))
 
 
 def severity_report(findings: DataFrame, description: str = "description") -> DataFrame:

@@ -1,31 +1,67 @@
 """Writing results as JSON, CSV and appended logs."""
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sourcelode.operators.reports import sarif_lines, scan_lines
-from sourcelode.session import scratch_path
+from sourcelode.operators.reports import HEAD, SARIF_FILE, TAIL, run_lines, scan_lines
+from sourcelode.session import kept
+from sourcelode.sources import reportfiles
 
+# Findings of a document at most, and bytes after which a file is closed behind the document that reaches them.
+PART_ROWS, FILE_BYTES = 50_000, 64 << 20
 
-def _write_lines(lines, scans: DataFrame, findings: DataFrame, path: str) -> None:
-    """Findings are evaluated once, into the shared folder, where repeated rows get a number.
 
-    The files of the result, in the order of their names, hold the sorted lines.
+def _write_documents(lines, scans: DataFrame, findings: DataFrame, path: str, around: tuple, extension: str, file_bytes: int, part_rows: int) -> None:
+    """Documents of bounded size in files that hold whole documents.
+
+    Findings are evaluated once, into the shared folder. A scan of more than ``part_rows`` findings is dealt over numbered parts by a
+    hash of its findings, each a document of its own; so no document outgrows a task, and documents are
+    dealt over tasks, each of which sorts its own and writes them one after another.
+    """
+    spark = scans.sparkSession
+    spark.dataSource.register(reportfiles.ReportFiles)
+    rows = kept(findings.withColumn("_row", F.monotonically_increasing_id()), "findings")
+    counts = rows.groupBy("scan_id").agg(F.ceil(F.count(F.lit(1)) / part_rows).cast("int").alias("parts"))
+    large = counts.where("parts > 1")  # at most a row per ``part_rows`` findings
+    wide = scans.join(large, "scan_id", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    number = F.pmod(F.xxhash64("file_path", "line_number", "id", "_row"), F.coalesce("parts", F.lit(1))).cast("int")
+    parted = rows.join(large, "scan_id", "left").withColumn("part", number).drop("parts")
+    # Columns of the scan itself go into its document, the numbers do not.
+    documents = wide.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def place(lined: DataFrame, scan, part, *order) -> DataFrame:
+        return lined.repartition(tasks, scan, part).sortWithinPartitions(scan, part, *order)
+
+    lined = lines(documents.drop("parts"), parted, ("scan_id", "part"), place)
+    shown = lined.select(
+        F.col("scan_id").cast("string").alias("scan_id"), "part", (F.col("section") == HEAD).alias("opens"), (F.col("section") == TAIL).alias("closes"), "line",
+    )
+    options = {"prefix": around[0], "suffix": around[1], "extension": extension, "fileBytes": str(file_bytes)}
+    shown.write.format(reportfiles.NAME).mode("append").options(**options).save(path)
+
+
+def write_json(scans: DataFrame, findings: DataFrame, path: str, file_bytes: int = FILE_BYTES, part_rows: int = PART_ROWS) -> None:
+    """Scan results as JSON files, each a list of whole documents; of a scan with very many findings, of numbered parts.
+
+    ``path`` has a folder per task with its files and an index (:func:`report_index`). ``file_bytes`` 1 gives every
+    document a file. Findings of other scans are left out.
     """
-    spark = findings.sparkSession
-    kept = scratch_path(spark, "findings")
-    findings.withColumn("_row", F.monotonically_increasing_id()).write.parquet(kept)
-    lines(scans, spark.read.parquet(kept)).select("line").write.text(path)
+    def lines(documents, parted, keys, place):
+        return scan_lines(documents, parted, keys, place)
+
+    _write_documents(lines, scans, findings, path, ("[", "]"), "json", file_bytes, part_rows)
 
 
-def write_json(scans: DataFrame, findings: DataFrame, path: str) -> None:
-    """Scan results as JSON documents of many lines, one document after the other."""
-    _write_lines(scan_lines, scans, findings, path)
+def write_sarif(scans: DataFrame, findings: DataFrame, path: str, file_bytes: int = FILE_BYTES, part_rows: int = PART_ROWS) -> None:
+    """SARIF files, each a log of whole runs: one run per scan, or per numbered part of a scan with very many findings, named
+    ``scan/part`` in its ``automationDetails``. Folders and index as in :func:`write_json`."""
+    _write_documents(run_lines, scans, findings, path, SARIF_FILE, "sarif.json", file_bytes, part_rows)
 
 
-def write_sarif(scans: DataFrame, findings: DataFrame, path: str) -> None:
-    """SARIF documents of many lines, one after the other; for one file per scan or period pass
-    the scans of it (findings of other scans are left out)."""
-    _write_lines(sarif_lines, scans, findings, path)
+def report_index(spark: SparkSession, path: str) -> DataFrame:
+    """Which document is in which file of a written report: scan_id, part, file."""
+    found = spark.read.schema("scan_id string, part int, file string").option("recursiveFileLookup", "true")
+    return found.option("pathGlobFilter", reportfiles.INDEX).json(path)
 
 
 def export_csv(table: DataFrame, path: str, separator: str = ",") -> None:

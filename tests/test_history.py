@@ -161,7 +161,8 @@ def test_documents_of_a_hot_scan(spark, tmp_path):
         rows.where("finding_id = 6").withColumn("scan_id", F.lit(1000).cast("long"))
     )
     sinks.write_sarif(known, rows, str(tmp_path / "sarif"))
-    documents = written(tmp_path / "sarif")
+    runs = [run for log in written(tmp_path / "sarif").values() for run in log["runs"]]
+    documents = [{"runs": [run]} for run in sorted(runs, key=lambda run: int(run["automationDetails"]["id"].split("/")[0]))]
     assert len(documents) == 51
     ids = []
     for document in documents:
@@ -180,7 +181,7 @@ def test_documents_of_a_hot_scan(spark, tmp_path):
     assert result["properties"]["ai_analysis"] == "see [REDACTED]" and "cwe" not in result["properties"]
     assert "owasp_category" not in result["properties"] and "fixes" not in result
     sinks.write_json(known, rows, str(tmp_path / "json"))
-    plain = written(tmp_path / "json")
+    plain = sorted((d for file in written(tmp_path / "json").values() for d in file), key=lambda d: d["scan_id"])
     assert [d["scan_id"] for d in plain] == [*range(50), 99] and plain[-1]["vulnerabilities"] == []
     assert sum(len(d["vulnerabilities"]) for d in plain) == 901
     details = rep.check_details(known.withColumns({"files_scanned": F.lit(1), "total_lines_scanned": F.lit(2)}), rows)
@@ -190,16 +191,62 @@ def test_documents_of_a_hot_scan(spark, tmp_path):
 
 
 def written(folder):
-    """The documents of a folder's files in the order of their names."""
+    """What the files of a report hold; each of them parses alone."""
     import json
 
-    text = "".join(path.read_text() for path in sorted(folder.glob("part-*")))
-    decoder, found, at = json.JSONDecoder(), [], 0
-    while at < len(text):
-        document, at = decoder.raw_decode(text, at)
-        found.append(document)
-        at += 1  # the line break
-    return found
+    files = sorted(folder.glob("part-*/report-*"))
+    assert files and not list(folder.glob("_staging*"))
+    return {f"{path.parent.name}/{path.name}": json.loads(path.read_text()) for path in files}
+
+
+def report_scans(spark, ids):
+    none = F.lit(None).cast("string")
+    return scans(spark, [(n, "t", day(1)) for n in ids]).withColumns({
+        "scan_duration": F.lit(0.0), "repository_url": none, "branch": none, "commit_hash": none,
+    })
+
+
+def report_findings(spark, n):
+    none = F.lit(None).cast("string")
+    return hot_findings(spark, n).withColumns({
+        "title": F.lit("t"), "description": F.lit("d"), "confidence": F.lit("HIGH"), "column_number": F.lit(1).cast("long"),
+        "end_line_number": F.lit(0).cast("long"), "end_column_number": F.lit(None).cast("long"), "code_snippet": F.lit("x"), "cwe_id": none,
+        "owasp_category": none, "remediation": none, "ai_explanation": none, "references": F.array(F.lit("u")),
+        "metadata": F.create_map(F.lit("k"), F.lit("v")), "false_positive_likelihood": F.lit(0.25),
+    })
+
+
+@pytest.mark.parametrize(("file_bytes", "part_rows"), [(1, 100), (200_000, 100), (64 << 20, 50_000)])
+def test_report_files_hold_whole_documents(spark, tmp_path, file_bytes, part_rows):
+    known, rows = report_scans(spark, [*range(50), 99]), report_findings(spark, 900)
+    counts = {r.scan_id: r["count"] for r in rows.groupBy("scan_id").count().collect()}
+    sinks.write_sarif(known, rows, str(tmp_path / "s"), file_bytes, part_rows)
+    logs = written(tmp_path / "s")
+    index = {(r.scan_id, r.part): r.file for r in sinks.report_index(spark, str(tmp_path / "s")).collect()}
+    found = {}
+    for file, log in logs.items():
+        for run in log["runs"]:
+            scan, part = run["automationDetails"]["id"].split("/")
+            assert index.pop((scan, int(part))) == file
+            assert len({x["location"]["uri"] for x in run["artifacts"]}) == len(run["artifacts"]) and len(run["results"]) <= 2 * part_rows
+            found.setdefault(int(scan), []).extend(x["properties"]["scanner_id"] for x in run["results"])
+    assert not index and {k: len(v) for k, v in found.items()} == {k: counts.get(k, 0) for k in [*range(50), 99]}
+    assert sum(len(set(v)) for v in found.values()) == 900
+    assert (file_bytes == 1) == all(len(log["runs"]) == 1 for log in logs.values())
+    sinks.write_json(known, rows, str(tmp_path / "j"), file_bytes, part_rows)
+    documents = [d for file in written(tmp_path / "j").values() for d in file]
+    assert sum(len(d["vulnerabilities"]) for d in documents) == 900 and {d["scan_id"] for d in documents} == set(found)
+
+
+def test_a_failed_report_leaves_no_file(spark, tmp_path):
+    broken = F.udf(lambda x: 1 // 0 if x > 40 else "x", "string")
+    lines = spark.range(50).select(
+        F.col("id").cast("string").alias("scan_id"), F.lit(0).alias("part"), F.lit(True).alias("opens"), F.lit(True).alias("closes"), broken("id").alias("line"),
+    )
+    spark.dataSource.register(sinks.reportfiles.ReportFiles)
+    with pytest.raises(Exception):
+        lines.write.format("report_files").mode("append").options(prefix="[", suffix="]", extension="json", fileBytes="9").save(str(tmp_path / "f"))
+    assert not list(tmp_path.glob("f/part-*"))
 
 
 def test_check_texts(spark):

@@ -306,7 +306,8 @@ _PLACED = """SELECT v.finding_id, v.vulnerability_type, v.file_path, v.line_numb
 def _entries(t, path, mark: str, shape: str):
     """The written list entries that hold ``mark``: whether they open a list, and their fields."""
     comma = F.lit(",")
-    lines = t.spark.read.text(path).where(F.contains("value", F.lit(mark)))
+    files = t.spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "report-*")
+    lines = files.text(path).where(F.contains("value", F.lit(mark)))
     return lines.select(
         (~F.startswith("value", comma)).alias("first"),
         F.from_json(F.ltrim(F.col("value"), comma), shape).alias("r"),

@@ -3,12 +3,15 @@
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from sourcelode.functions import text as txt
+from sourcelode.functions.automaton import RuleChooser
 from sourcelode.functions.paths import detect_language
 from sourcelode.functions.rules import BUILTIN_FAMILIES, Rule, active_rules, rule_catalog
 from sourcelode.options import ScanOptions
 from sourcelode.schemas import FINDINGS
 
 SNIPPET_RADIUS = 3
+# Rules that become expressions of a plan; larger catalogues go through an automaton in Python.
+MOST_EXPRESSIONS = 100
 # Offsets of many matches on one line are summed block by block.
 BLOCK = 1024
 
@@ -165,7 +168,11 @@ def _native_matches(files: DataFrame, rules, keys, radius: int) -> DataFrame:
 
 
 def _python_matches(files: DataFrame, rules, keys, radius: int) -> DataFrame:
-    """Rules only a Python scan reproduces (empty matches, Python-only syntax), Arrow-batched."""
+    """Rules only a Python scan reproduces (empty matches, Python-only syntax), and large catalogues, Arrow-batched.
+
+    A line is run through one automaton of literals taken from all patterns, and only rules of which it
+    holds a literal are tried on it.
+    """
     specs = [(rule.rule_id, rule.pattern, langs) for rule, langs in rules]
     fields = [files.schema[key] for key in keys]
     schema = T.StructType(
@@ -183,27 +190,24 @@ def _python_matches(files: DataFrame, rules, keys, radius: int) -> DataFrame:
     names = [field.name for field in schema]
     key_names = list(keys)
 
-    def scan(batches):
-        import re
+    folding = txt.FOLDING_LETTERS
 
+    def scan(batches):
         import pandas as pd
 
-        compiled = [(rid, re.compile(p, re.I | re.M), set(langs)) for rid, p, langs in specs]
+        chooser = RuleChooser(specs, folding)
         for batch in batches:
             rows = []
             for record in batch.to_dict("records"):
                 lines = record["content"].split("\n")
-                for rule_id, pattern, langs in compiled:
-                    if record["language"] not in langs:
-                        continue
-                    for n, line in enumerate(lines, 1):
-                        for match in pattern.finditer(line):
-                            window = lines[max(0, n - radius - 1) : n + radius]
-                            rows.append(
-                                [record[key] for key in key_names]
-                                + [record["language"], n, window, rule_id]
-                                + [match.start() + 1, match.end() + 1, match.group(0)]
-                            )
+                for n, line in enumerate(lines, 1):
+                    for rule_id, match in chooser.matches(line, record["language"]):
+                        window = lines[max(0, n - radius - 1) : n + radius]
+                        rows.append(
+                            [record[key] for key in key_names]
+                            + [record["language"], n, window, rule_id]
+                            + [match.start() + 1, match.end() + 1, match.group(0)]
+                        )
             yield pd.DataFrame(rows, columns=names)
 
     wanted = {lang for _, langs in rules for lang in langs}
@@ -227,8 +231,9 @@ def match_rules(
     ``files`` needs ``content``, ``language`` and the ``keys`` to carry along.
     """
     rules = active_rules(families, options.languages, options.confidence_threshold)
-    native = [pair for pair in rules if pair[0].native]
-    other = [pair for pair in rules if not pair[0].native]
+    # A plan with an expression per rule is for catalogues that one plan can hold.
+    native = [pair for pair in rules if pair[0].native] if len(rules) <= MOST_EXPRESSIONS else []
+    other = [pair for pair in rules if pair not in native] if native else list(rules)
     if not rules:
         return _python_matches(files.where(F.lit(False)), rules or [_NOTHING], keys, radius)
     parts = []

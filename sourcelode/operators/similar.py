@@ -3,7 +3,7 @@
 import math
 
 from pyspark.ml.feature import HashingTF, Normalizer
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import predict_batch_udf, vector_to_array
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from sourcelode.functions import text as txt
@@ -236,16 +236,16 @@ def hashed_embedding(
 
 def embed_corpus(
     files: DataFrame, row_id: str, model=None, dimensions: int | None = None, batch_rows: int = 50,
-    model_name: str = "hashed-words", model_version: str = "1.0.0",
+    model_name: str = "hashed-words", model_version: str = "1.0.0", load=None,
 ) -> DataFrame:
-    """One embedding per distinct code.
+    """One embedding per distinct code: code_hash, embedding, error, model_name, model_version.
 
-    ``model(list of texts) -> list of vectors`` runs once per ``batch_rows`` distinct texts; it is
-    built by calling ``model`` lazily in the task, so wrap loading in the function. An error gives
-    zero vectors of ``dimensions``, which a model has to come with. Without a model the built-in
-    hashed word vector is used, 64 long unless ``dimensions`` says otherwise.
+    ``load()`` makes a model, ``model(list of texts) -> list of vectors``, once per Python worker; ``model`` is one
+    that is at hand. It is called with up to ``batch_rows`` texts. A batch that fails is halved until the failing text is found, which
+    gets a zero vector of ``dimensions`` (which a model has to come with) and the ``error``. Without a model the built-in hashed
+    word vector is used, 64 long unless ``dimensions`` says otherwise.
     """
-    if model is not None and dimensions is None:
+    if (model is not None or load is not None) and dimensions is None:
         raise ValueError("name the length of the model's vectors in dimensions")
     dimensions = dimensions or HASHED_DIMENSIONS
     cleaned = files.select(
@@ -254,22 +254,37 @@ def embed_corpus(
     )
     # One shuffle; copies are dropped in each task before it. The row with the smallest id stays,
     # as the same text can be cleaned differently in two languages.
-    kept = cleaned.groupBy("code_hash").agg(F.min_by("code", row_id).alias("code"))
+    only = cleaned.groupBy("code_hash").agg(F.min_by("code", row_id).alias("code"))
     facts = [F.lit(model_name).alias("model_name"), F.lit(model_version).alias("model_version")]
-    if model is None:
-        return hashed_embedding(kept, "code", dimensions).select("code_hash", "embedding", *facts)
-    size = batch_rows
+    if model is None and load is None:
+        hashed = hashed_embedding(only, "code", dimensions)
+        return hashed.select("code_hash", "embedding", F.lit(None).cast("string").alias("error"), *facts)
 
-    def embed(batches):
-        import pandas as pd
+    def predictor():
+        import numpy as np
 
-        for batch in batches:
-            for start in range(0, len(batch), size):
-                part = batch.iloc[start : start + size]
-                try:
-                    vectors = [list(map(float, v)) for v in model(part["code"].tolist())]
-                except Exception:
-                    vectors = [[0.0] * dimensions for _ in range(len(part))]
-                yield pd.DataFrame({"code_hash": part["code_hash"].tolist(), "embedding": vectors})
-
-    return kept.mapInPandas(embed, "code_hash string, embedding array<double>").select("*", *facts)
+        embed = load() if load is not None else model
+
+        def vectors(texts: list) -> tuple:
+            try:
+                found = np.array([list(map(float, v)) for v in embed(texts)], float).reshape(len(texts), dimensions)
+                return found, [""] * len(texts)
+            except Exception as error:
+                if len(texts) == 1:
+                    return np.zeros((1, dimensions)), [f"{type(error).__name__}: {error}"]
+            half = len(texts) // 2
+            left, right = vectors(texts[:half]), vectors(texts[half:])
+            return np.concatenate([left[0], right[0]]), left[1] + right[1]
+
+        def predict(texts):
+            found, errors = vectors([str(t) for t in np.atleast_1d(texts)])
+            return {"embedding": found, "error": np.array(errors, object)}
+
+        return predict
+
+    embed = predict_batch_udf(
+        predictor, return_type=T.StructType([T.StructField("embedding", T.ArrayType(T.DoubleType())), T.StructField("error", T.StringType())]),
+        batch_size=batch_rows,
+    )
+    embedded = only.withColumn("_e", embed("code"))
+    return embedded.select("code_hash", "_e.embedding", F.nullif("_e.error", F.lit("")).alias("error"), *facts)

@@ -135,16 +135,19 @@ def profile_code(files: DataFrame, embedding: str = "embedding", model: str = "h
 
 def enrich(
     findings: DataFrame, files: DataFrame, client, tasks: int, options: ScanOptions = ScanOptions(),
-    keys=("file_path",), context: dict | None = None, provider="", model="", as_of=None,
+    keys=("file_path",), context: dict | None = None, provider="", model="", as_of=None, ledger=None,
 ) -> DataFrame:
-    """Findings after a model's review; unchanged when reviewing is switched off."""
+    """Findings after a model's review; unchanged when reviewing is switched off.
+
+    With a ``ledger`` (:class:`AnswerLedger`) each distinct prompt is asked once, in this run and later ones.
+    """
     if not options.enable_ai_analysis:
         return findings
     # Windows cut by detect() need no second look at the files.
     cut = "prompt_snippet" in findings.columns
     sourced = findings if cut else ver.with_source(findings, files, keys)
     prompts = ver.build_prompts(sourced, "prompt_snippet", context)
-    answers = ver.batch_infer(prompts, "id", client, tasks)
+    answers = ledger.ask(prompts, "id", client, tasks) if ledger else ver.batch_infer(prompts, "id", client, tasks)
     verdicts = answers.select(
         "id", ver.parse_verdict("analysis_json").alias("analysis"),
         ver.parse_verdict("doubt_json").alias("doubt"),

@@ -1,7 +1,6 @@
 """The scan history as versions of Parquet tables: every change is one new version."""
 
 import json
-import os
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -15,6 +14,7 @@ from sourcelode.operators import history as his
 from sourcelode.operators.summary import SEVERITIES
 from sourcelode.functions.paths import finding_language
 from sourcelode.session import scratch_path
+from sourcelode.sources.manifests import Manifests
 
 PERIOD = "scan_period"
 UNDATED = date(1970, 1, 1)
@@ -72,77 +72,6 @@ def _matching(table: DataFrame, keys: DataFrame, how: str) -> DataFrame:
     return table.join(named, reduce(lambda a, b: a & b, same), how)
 
 
-class Manifests:
-    """Numbered versions below a folder, each one small JSON file that appears at once or not at all.
-
-    A version number can be taken by one writer only: on a local file system by a hard link to a complete file, elsewhere by a
-    rename that does not replace, which HDFS does atomically. Object stores need a file system whose rename refuses existing
-    names.
-    """
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
-
-    def folder(self, path: str):
-        """A path with its file system: object stores work like disks."""
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
-
-    def versions(self) -> list[int]:
-        system, at = self.folder(self.path)
-        if not system.exists(at):
-            return []
-        names = [status.getPath().getName() for status in system.listStatus(at)]
-        return sorted(int(name.removesuffix(".json")) for name in names if name.endswith(".json") and name[:1].isdigit())
-
-    def _file(self, version: int) -> str:
-        return f"{self.path}/{version:020d}.json"
-
-    def read(self, version: int) -> dict:
-        """The content of a version; version 0 is the empty store."""
-        if version == 0:
-            return {"version": 0, "tables": {}}
-        system, at = self.folder(self._file(version))
-        stream = system.open(at)
-        try:
-            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-        finally:
-            stream.close()
-
-    def create(self, version: int, content: dict) -> bool:
-        """Make a version current; False if another writer has taken the number."""
-        jvm, text = self.spark._jvm, json.dumps(content | {"version": version})
-        draft = f"{self.path}/.draft-{uuid.uuid4().hex}"
-        system, at = self.folder(draft)
-        system.mkdirs(at.getParent())
-        stream = system.create(at, False)
-        stream.write(bytearray(text.encode()))
-        stream.close()
-        try:
-            if system.getScheme() == "file":
-                local = lambda path: self.folder(path)[1].toUri().getPath()
-                try:
-                    os.link(local(draft), local(self._file(version)))
-                except FileExistsError:
-                    return False
-                return True
-            context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(at.toUri(), self.spark._jsc.hadoopConfiguration())
-            options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
-            try:
-                context.rename(at, self.folder(self._file(version))[1], options)
-            except Exception as error:  # a Java exception, told apart by its class
-                if "FileAlreadyExistsException" in str(error):
-                    return False
-                raise
-            return True
-        finally:
-            system.delete(at, False)
-
-    def delete(self, version: int) -> None:
-        system, at = self.folder(self._file(version))
-        system.delete(at, False)
-
-
 class HistoryStore:
     """The tables of ``TABLES`` below one folder, by ``period`` (``month``, ``day``, ...), in versions.
 

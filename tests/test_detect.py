@@ -16,7 +16,9 @@ from sourcelode.functions.rules import (
     with_rules_enabled,
     without_family,
 )
+from sourcelode.functions.automaton import RuleChooser, required_factors
 from sourcelode.operators import detect as det, verdicts as ver
+from sourcelode.operators.tablefunctions import register_detector
 from sourcelode.options import ScanOptions
 
 PYTHON = '''import hashlib
@@ -246,3 +248,70 @@ def test_prompt_windows_are_cut_while_detecting(spark):
     assert {r.line_number: r.code_snippet for r in wide} == plain and len(plain) == 4
     joined = ver.with_source(det.detect(source), source, ("file_path",)).collect()
     assert {r.line_number: r.prompt_snippet for r in wide} == {r.line_number: r.prompt_snippet for r in joined}
+
+
+def test_detectors_are_table_functions_in_sql(spark):
+    def broken(code, path, language):
+        yield {"vulnerability_type": "first", "line_number": 1, "severity": "LOW"}
+        if "boom" in code:
+            raise RuntimeError("no good")
+        yield {"vulnerability_type": "second", "line_number": 2, "metadata": {"k": "v"}, "references": ["u"]}
+
+    source = det.with_language(files(spark, a_py="fine", b_py="boom", c_js="x"))
+    register_detector(spark, "two_marks", broken, ("python",))
+    found = spark.sql(
+        "SELECT f.file_path AS path, d.* FROM {f} f, LATERAL two_marks(f.content, f.file_path, f.language) d", f=source
+    ).collect()
+    got = sorted((r.path, r.vulnerability_type or "", r.line_number or 0, r.detector, r.error or "") for r in found)
+    assert got == [
+        ("a.py", "first", 1, "two_marks", ""), ("a.py", "second", 2, "two_marks", ""),
+        ("b.py", "", 0, "two_marks", "RuntimeError: no good"), ("b.py", "first", 1, "two_marks", ""),
+    ]
+    assert len({r.id for r in found if r.error is None}) == 3
+    assert [r.metadata for r in found if r.vulnerability_type == "second"] == [{"k": "v"}]
+    empty = spark.createDataFrame([(None, "a.py", "python")], "content string, file_path string, language string")
+    assert spark.sql("SELECT d.* FROM {f} f, LATERAL two_marks(f.content, f.file_path, f.language) d", f=empty).count() == 0
+
+
+def test_required_factors_are_in_every_match():
+    cases = {
+        r"md5\s*\(": {"md5"}, r"(SELECT|INSERT)\s+.*%": {"select", "insert"}, r"a?bcd+e": {"bc"}, r"x*": None, r"(ab|c)d": None,
+        r"(abc)+x": {"abc"}, r"(?:foo|barbaz)[0-9]qu": {"foo", "barbaz"}, r"h(e)llo": {"hello"}, r"^\.innerHTML": {".innerhtml"},
+    }
+    for pattern, want in cases.items():
+        got = required_factors(pattern)
+        assert (got and set(got)) == want, (pattern, got)
+    rng = random.Random(5)
+    for _ in range(400):
+        pattern = "".join(rng.choice(PARTS) + rng.choice(REPEATS) for _ in range(rng.randint(1, 6)))
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            try:
+                compiled = re.compile(pattern, re.I | re.M)
+            except re.error:
+                continue
+            factors = required_factors(pattern)
+        for _ in range(60):
+            line = "".join(rng.choice("aabb_1 =(.{xfAB-") for _ in range(12))
+            for match in compiled.finditer(line):
+                assert factors is None or any(f in line.lower() for f in factors), (pattern, line)
+
+
+def test_a_catalogue_of_two_thousand_rules(spark):
+    rng = random.Random(23)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(2100)]
+    rules = [Rule(f"r{n:04d}", "t", rng.choice([r"{}\s*\(", r"\b{}\b", r"(?:{}|x{})=", r"{}.*?y"]).format(w, w), "LOW", "HIGH") for n, w in enumerate(words[:2000])]
+    family = Family("Many", "", "LOW", None, (), tuple(rules))
+    lines = [" ".join(rng.choice([rng.choice(words), "y", "x", "plain", "K"]) + rng.choice(["", "(", "=", " "]) for _ in range(6)) for _ in range(300)]
+    text = "\n".join(lines)
+    source = spark.createDataFrame([("a.py", "python", text)], "file_path string, language string, content string")
+    assert places(det.match_rules(source, families=(family,))) == by_python({"a.py": ("python", text)}, families=(family,))
+    # Regexes tried per line hardly depend on how many rules there are.
+    plain = [line for line in lines if "K" not in line]
+    tried = []
+    for count in (200, 2000):
+        chooser = RuleChooser([(r.rule_id, r.pattern, ("python",)) for r in rules[:count]], ("K",))
+        for line in plain:
+            list(chooser.matches(line, "python"))
+        tried.append(chooser.tried / len(plain))
+    assert tried[1] < 8 and not chooser.always

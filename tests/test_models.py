@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from sourcelode.functions import metrics as m, vectors as v
 from sourcelode.operators import similar as sim, verdicts as ver
 from sourcelode.operators.cells import make_cells, unit_rows
+from sourcelode.operators.ledger import AnswerLedger
 from sourcelode.sources.vectorindex import VectorIndex
 from sourcelode.options import ScanOptions
 from sourcelode.operators import detect as det
@@ -329,3 +330,61 @@ def test_index_of_odd_tables(spark, tmp_path):
     stored = VectorIndex(spark, str(tmp_path / "c")).build(copies)
     got = stored.search(asked, 0.5, 5, exact=True).collect()
     assert [(r["query_id"], r["code_hash"]) for r in sorted(got, key=lambda r: r["rank"])] == [("q", f"c{i:03d}") for i in range(5)]
+
+
+def prompt_rows(spark, n=40):
+    return spark.createDataFrame([(i, f"judge {i % 13}", f"doubt {i % 7}") for i in range(n)], "id long, analysis_prompt string, doubt_prompt string")
+
+
+def test_every_prompt_is_asked_once(spark, tmp_path):
+    calls, stop = str(tmp_path / "calls"), str(tmp_path / "stop")
+
+    def client(system, prompts):
+        if os.path.exists(stop) and len(open(calls).readlines()) >= 9:
+            raise ConnectionError("line is down")
+        with open(calls, "a") as log:
+            log.writelines(f"{p}\n" for p in prompts)
+        return [f"answer to {p}" for p in prompts]
+
+    open(calls, "w").close()
+    ledger = AnswerLedger(spark, str(tmp_path / "ledger"), "m")
+    open(stop, "w").close()
+    with pytest.raises(Exception):  # half way through
+        ledger.ask(prompt_rows(spark), "id", client, tasks=3, batch=2)
+    assert ledger.answers().count() == 0 and 0 < len(open(calls).readlines()) < 20
+    os.rename(stop, stop + "ped")
+    got = {r.id: (r.analysis_json, r.doubt_json) for r in ledger.ask(prompt_rows(spark), "id", client, tasks=3, batch=2).collect()}
+    assert got == {i: (f"answer to judge {i % 13}", f"answer to doubt {i % 7}") for i in range(40)}
+    asked = open(calls).read().split("\n")[:-1]
+    assert len(asked) == len(set(asked)) == 20  # one call per distinct prompt, the failed run included
+    more = AnswerLedger(spark, str(tmp_path / "ledger"), "m")
+    rows = prompt_rows(spark, 3).unionByName(spark.createDataFrame([(99, "new", None)], "id long, analysis_prompt string, doubt_prompt string"))
+    assert {r.id: r.doubt_json for r in more.ask(rows, "id", client, tasks=2).collect()}[99] is None
+    assert open(calls).read().split("\n")[20:-1] == ["new"] and more.answers().count() == 21
+    assert AnswerLedger(spark, str(tmp_path / "ledger"), "other").ask(prompt_rows(spark, 1), "id", client, tasks=1).count() == 1
+    assert len(open(calls).readlines()) == 23  # another model is asked anew
+
+
+def test_one_bad_text_gives_one_zero_vector(spark, tmp_path):
+    loads = str(tmp_path / "loads")
+
+    def load():
+        with open(loads, "a") as log:
+            log.write(f"{os.getpid()}\n")
+
+        def model(texts):
+            if any("bad" in t for t in texts):
+                raise ValueError("cannot read bad")
+            return [[float(len(t)), 1.0, 2.0] for t in texts]
+
+        return model
+
+    rows = [(i, f"x = {i}" if i != 17 else "bad = 1", "python") for i in range(60)]
+    source = spark.createDataFrame(rows, "file_id long, content string, language string").coalesce(1)
+    found = sim.embed_corpus(source, "file_id", dimensions=3, load=load, batch_rows=8).collect()
+    assert len(found) == 60 and [r.error for r in found if r.error] == ["ValueError: cannot read bad"]
+    assert sum(r.embedding == [0.0, 0.0, 0.0] for r in found) == 1 and all(len(r.embedding) == 3 for r in found)
+    pids = open(loads).read().split()
+    assert len(pids) == len(set(pids))  # once per worker
+    plain = sim.embed_corpus(source.where("file_id <> 17"), "file_id", model=load(), dimensions=3, batch_rows=8).collect()
+    assert {r.code_hash: r.embedding for r in plain} == {r.code_hash: r.embedding for r in found if not r.error}

@@ -114,3 +114,54 @@ def test_rule_counters(spark, tmp_path):
         counters.follow(follow(spark, source, schema), str(tmp_path / "cp")).awaitTermination()
     got = {r.pattern_name: (r.times_triggered, r.true_positives, round(r.accuracy_rate, 4)) for r in counters.current().collect()}
     assert got == {"a": (3, 2, 0.6667), "b": (1, 1, 1.0)}
+
+
+STATUS = "finding_id long, status string, updated_at timestamp_ntz, seq long, fixed_in_commit string"
+
+
+def test_status_log_is_merged_and_stays_small(spark, tmp_path):
+    """Several batches, one of them twice, rows that come late: as one batch, and in few folders."""
+    import random
+
+    rng = random.Random(3)
+    rows = [(rng.randrange(12), rng.choice(["open", "fixed", "false_positive"]), at(1 + rng.randrange(20), 1), n, rng.choice(["", "c1", None, "c2"])) for n in range(120)]
+    findings = spark.createDataFrame(
+        [(i, "open", None, None, None) for i in range(14)], "finding_id long, status string, fixed_at timestamp_ntz, fixed_in_commit string, updated_at timestamp_ntz"
+    )
+    log = stt.StatusLog(spark, str(tmp_path / "log"), merge_every=4)
+    assert log.current(findings).count() == 14
+    sizes = []
+    for number in range(10):
+        batch = spark.createDataFrame(rows[12 * number : 12 * number + 12], STATUS)
+        log.keep(batch, number)
+        if number in (2, 3, 7):
+            log.keep(batch, number)  # the batch is tried again, also after it has been merged
+        sizes.append((len(list((tmp_path / "log" / "data").iterdir())), log.updates().count()))
+    assert max(n for n, _ in sizes) <= 8 and max(n for _, n in sizes) <= 4 * 12 + 12
+    whole = stt.StatusLog(spark, str(tmp_path / "whole"))
+    whole.keep(spark.createDataFrame(rows, STATUS), 0)
+    assert sorted(map(tuple, log.current(findings).collect())) == sorted(map(tuple, whole.current(findings).collect()))
+
+
+def test_first_seen_forgets_codes_by_timer(spark, tmp_path):
+    schema = "content string, ts timestamp"
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        # (hour, code): a comes again and again, b once and much later once more, the rest once each.
+        batches = [[(1, "a"), (1, "b"), (1, "a")], [(5, "a"), (5, "c")], [(9, "a"), (9, "d"), (8, "c")], [(13, "a"), (13, "e")], [(17, "a"), (17, "b")], [(21, "a")]]
+        states = []
+        for number, batch in enumerate(batches):
+            drop_in(spark, tmp_path / "in", [(code, at(1, hour)) for hour, code in batch], schema)
+            frame = sts.stream_first_seen(follow(spark, tmp_path / "in", schema), "ts", 6 * 3600)
+            query = stt.append_to(frame, str(tmp_path / "out"), str(tmp_path / "cp"))
+            query.awaitTermination()
+            states.append(max((op["numRowsTotal"] for p in query.recentProgress for op in p["stateOperators"]), default=0))
+        got = sorted((r.code_hash[:6], r.first_seen.hour) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    finally:
+        spark.conf.unset(provider)
+    import hashlib
+
+    short = lambda code: hashlib.sha256(code.encode()).hexdigest()[:6]
+    assert states[-1] <= max(states[:3]) and len(states) == 6  # codes of the last hours only
+    assert got == sorted([(short("a"), 1), (short("b"), 1), (short("c"), 5), (short("d"), 9), (short("e"), 13), (short("b"), 17)])

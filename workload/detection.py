@@ -17,6 +17,7 @@ from sourcelode.options import ScanOptions
 from sourcelode.plans.scan import scan_file, scan_tree
 from sourcelode.session import scratch_path
 from sourcelode.sources import files as src, repos
+from sourcelode.operators.tablefunctions import register_detector
 from workload import sqlparts as sp
 from workload.registry import literal, query, sql_case
 
@@ -480,6 +481,22 @@ def _(t):
     return found.unionByName(own).select("file_id", "vulnerability_type", "line_number")
 
 
+@query(
+    "detector_in_sql",
+    """SELECT file_id, 'long_file' AS vulnerability_type, CAST(len(string_split(content, chr(10))) AS BIGINT) AS line_number, 'long_files' AS detector
+ FROM files WHERE len(string_split(content, chr(10))) > 40""",
+    ["src_files"],
+    sp.FILES,
+)
+def _(t):
+    """A detector of one's own as a table function, called for every file in SQL."""
+    register_detector(t.spark, "long_files", _long_files)
+    return t.spark.sql(
+        "SELECT f.file_id, d.vulnerability_type, d.line_number, d.detector FROM {files} f, LATERAL long_files(f.content, f.file_path, f.language) d WHERE d.error IS NULL",
+        files=scanned(t),
+    )
+
+
 @query(
     "union_findings",
     """SELECT language, family, count(*) AS findings FROM (SELECT language, split_part(rule_id, '_', 1) AS family FROM finds) GROUP BY ALL""",

@@ -224,15 +224,17 @@ def match_rules(
     families: tuple = BUILTIN_FAMILIES,
     keys=("file_path",),
     radius: int = SNIPPET_RADIUS,
+    most_expressions: int = MOST_EXPRESSIONS,
 ) -> DataFrame:
     """All non-overlapping matches of each applicable rule on each line, with 1-based columns
     (the end column is exclusive) and the surrounding lines in ``_window``.
 
-    ``files`` needs ``content``, ``language`` and the ``keys`` to carry along.
+    ``files`` needs ``content``, ``language`` and the ``keys`` to carry along. Up to ``most_expressions`` rules are expressions
+    of the plan; larger catalogues go through an automaton in Python.
     """
     rules = active_rules(families, options.languages, options.confidence_threshold)
     # A plan with an expression per rule is for catalogues that one plan can hold.
-    native = [pair for pair in rules if pair[0].native] if len(rules) <= MOST_EXPRESSIONS else []
+    native = [pair for pair in rules if pair[0].native] if len(rules) <= most_expressions else []
     other = [pair for pair in rules if pair not in native] if native else list(rules)
     if not rules:
         return _python_matches(files.where(F.lit(False)), rules or [_NOTHING], keys, radius)

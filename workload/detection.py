@@ -18,6 +18,7 @@ from sourcelode.plans.scan import scan_file, scan_tree
 from sourcelode.session import scratch_path
 from sourcelode.sources import files as src, repos
 from sourcelode.operators.tablefunctions import register_detector
+from sourcelode.sources.tree import read_tree
 from workload import sqlparts as sp
 from workload.registry import literal, query, sql_case
 
@@ -481,6 +482,18 @@ def _(t):
     return found.unionByName(own).select("file_id", "vulnerability_type", "line_number")
 
 
+@query(
+    "rule_automaton",
+    "SELECT file_id, vulnerability_type, line_number, column_number FROM finds",
+    ["src_files"],
+    FINDS,
+)
+def _(t):
+    """All rules chosen by one automaton, as it is done for catalogues too large for a plan."""
+    found = det.match_rules(scanned(t), keys=("file_id",), most_expressions=0)
+    return found.select("file_id", F.col("rule_id").alias("vulnerability_type"), "line_number", "column_number")
+
+
 @query(
     "detector_in_sql",
     """SELECT file_id, 'long_file' AS vulnerability_type, CAST(len(string_split(content, chr(10))) AS BIGINT) AS line_number, 'long_files' AS detector
@@ -623,6 +636,19 @@ def _(t):
     return files.select(_below(base), txt.code_hash("content").alias("code_hash"))
 
 
+@query(
+    "tree_source",
+    f"""SELECT file_path, sha256(regexp_replace(content, '\\r\\n?', chr(10), 'g')) AS code_hash FROM src_files
+ WHERE NOT ({EXCLUDED}) AND NOT ({HIDDEN}) AND NOT ({DIR_EXCLUDED}) AND ({INCLUDED})""",
+    ["src_files"],
+)
+def _(t):
+    """The files of a scan through the data source."""
+    base, roots = export_tree(t)
+    files = read_tree(t.spark, [row["root"] for row in roots.collect()])  # a row per repository
+    return files.select(_below(base), txt.code_hash("content").alias("code_hash"))
+
+
 @query(
     "scan_tree",
     f"""SELECT file_path, vulnerability_type, line_number, column_number FROM finds

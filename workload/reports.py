@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from sourcelode.functions import text as txt
 from sourcelode.functions.lookups import FAILED_VERDICT, REPORT_LEVELS, REPORT_RULE_TYPES
 from sourcelode.operators import reports as rep, summary as agg, verdicts as ver
+from sourcelode.operators.ledger import AnswerLedger
 from sourcelode.session import kept, scratch_path
 from sourcelode.sources.sinks import write_json, write_sarif
 from workload import sqlparts as sp
@@ -172,6 +173,27 @@ def _(t):
     return answers.select("id", ver.parse_verdict("analysis_json")["analysis"].alias("analysis"))
 
 
+@query(
+    "answer_ledger",
+    f"SELECT {_ID} AS id, CAST(length({_BARE_PROMPT}) AS varchar) AS analysis FROM finds",
+    ["src_files"],
+    FINDS,
+)
+def _(t):
+    """The same judge behind a ledger: some prompts are asked first, then all that are still missing."""
+
+    def judge(system, prompts):
+        import json
+
+        return [json.dumps({"analysis": str(len(p))}) for p in prompts]
+
+    prompts = ver.build_prompts(findings(t))
+    ledger = AnswerLedger(t.spark, scratch_path(t.spark, "answers"), "stand-in")
+    ledger.ask(prompts.where("line_number % 2 = 0"), "id", judge, tasks=8, batch=500)
+    answers = ledger.ask(prompts, "id", judge, tasks=8, batch=500)
+    return answers.select("id", F.get_json_object("analysis_json", "$.analysis").alias("analysis"))
+
+
 # --- reports ---------------------------------------------------------------------------------
 
 _LEVEL = sql_case("severity", REPORT_LEVELS)

@@ -57,8 +57,8 @@ def _(t):
 def closed_totals(t, totals, label: str):
     """Totals of all windows of the usage table, the last ones included.
 
-    Files hold events of any time, so the table is one batch: split, its late rows would be lost.
-    A second run then brings one row two days past the end, which closes the windows still open.
+    The table holds events of any time, so it is put in order first: quarters by time arrive one after
+    another, a batch each. A last run brings one row two days past the end, which closes the windows still open.
     """
     base = scratch_path(t.spark, label)
     events = t("events")
@@ -70,11 +70,16 @@ def closed_totals(t, totals, label: str):
         ]
     )
     sql = LLM_USAGE.replace("FROM events", "FROM {events}")
-    out = None
-    for arrived in (markers.where("false"), markers):
-        arrived.write.mode("append").parquet(f"{base}/markers")
-        marks = t.spark.readStream.schema(events.schema).parquet(f"{base}/markers")
-        rows = t.spark.sql(sql, events=stream(t, "events", batch=None).unionByName(marks))
+    out, cuts = None, events.agg(F.percentile_approx("ts", [0.25, 0.5, 0.75])).first()[0] or []
+    edges = [None, *sorted(set(cuts)), None]
+    quarters = [
+        events.where((F.lit(True) if low is None else F.col("ts") >= low) & (F.lit(True) if high is None else F.col("ts") < high))
+        for low, high in zip(edges[:-1], edges[1:], strict=True)
+    ]
+    for arrived in (*quarters, markers):
+        arrived.write.mode("append").parquet(f"{base}/events")
+        arrivals = t.spark.readStream.schema(events.schema).parquet(f"{base}/events")
+        rows = t.spark.sql(sql, events=arrivals)
         out = totals(rows.withColumn("ts", F.col("ts").cast("timestamp")))
         stt.append_to(out, f"{base}/table", f"{base}/checkpoint").awaitTermination()
     return t.spark.read.schema(out.schema).parquet(f"{base}/table")

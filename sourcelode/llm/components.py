@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sourcelode.llm.storage import written
+from sourcelode.llm.storage import removed, written
 
 
 def components(links: DataFrame, rounds: int = 64) -> DataFrame:
@@ -30,7 +30,8 @@ def components(links: DataFrame, rounds: int = 64) -> DataFrame:
         down = star.groupBy(F.col("high").alias("node")).agg(F.min("low").alias("root"))
         small = star.select(F.col("high").alias("node"), "low").join(down, "node")
         small = small.select(F.col("root").alias("low"), F.explode(F.array("low", "node")).alias("high")).where("low <> high").distinct()
-        edges = written(small, "links")
+        before, edges = edges, written(small, "links")
+        removed(before)  # the new links stand by themselves
         seen = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("low", "high").cast("decimal(20,0)")).alias("sum")).first()
         if state == (seen["n"], seen["sum"]):
             break

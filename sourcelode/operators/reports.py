@@ -144,19 +144,8 @@ def invocation() -> Column:
 
 def tool_json() -> str:
     """The tool object with its rules: the same text in every document."""
-    rules = [
-        {
-            "id": entry["id"],
-            "name": entry["name"],
-            "shortDescription": {"text": entry["short"]},
-            "fullDescription": {"text": entry["full"]},
-            "defaultConfiguration": {"level": entry["level"]},
-            "properties": {"tags": entry["tags"], "precision": entry["precision"]},
-        }
-        for entry in REPORT_RULES
-    ]
     driver = {
-        "name": TOOL_NAME, "version": __version__, "semanticVersion": __version__, "rules": rules,
+        "name": TOOL_NAME, "version": __version__, "semanticVersion": __version__, "rules": REPORT_RULES,
     }
     return json.dumps({"driver": driver}, separators=(",", ":"))
 

@@ -22,10 +22,12 @@ def _tasks(spark: SparkSession, tasks: int | None) -> int:
 
 def list_files(
     spark: SparkSession, roots, options: ScanOptions = ScanOptions(), split_depth: int = 2,
-    tasks: int | None = None,
+    tasks: int | None = None, problems: bool = False,
 ) -> DataFrame:
     """All files below ``roots`` (a list, or a DataFrame with a ``root`` column).
 
+    With ``problems`` there is an ``error`` column, and folders that could not be listed are rows with the reason.
+
     Listing goes in rounds of ``split_depth`` levels until no directory is left: the directories
     a round stops at are spread over ``tasks`` for the next one, so no subtree stays in one task.
     Rounds are written to the shared folder; a path is listed once, and stays listed when an
@@ -34,7 +36,7 @@ def list_files(
     """
     if not isinstance(roots, DataFrame):
         roots = spark.createDataFrame([(root,) for root in roots], "root string")
-    shape = "root string, file_path string, length long, modified timestamp, is_dir boolean"
+    shape = "root string, file_path string, length long, modified timestamp, is_dir boolean, error string"
     prune = [pth.glob_regex(glob).replace(r"\z", r"\Z") for glob in options.exclude_patterns]
 
     def walk(batches):
@@ -51,21 +53,22 @@ def list_files(
                 fs.LocalFileSystem(), top)
             try:
                 found = system.get_file_info(fs.FileSelector(path, recursive=False))
-            except SKIPPED:
+            except SKIPPED as problem:
+                yield top, None, None, False, type(problem).__name__
                 return
             local = isinstance(system, fs.LocalFileSystem)
             for info in found:
                 full = top.rstrip("/") + "/" + info.base_name
                 if info.type == fs.FileType.File:
-                    yield full, info.size, info.mtime, False
+                    yield full, info.size, info.mtime, False, None
                 elif info.type == fs.FileType.Directory:
                     hidden = info.base_name.startswith(".")
                     linked = local and os.path.islink(info.path)
                     if not (hidden or linked or any(p.match(full) for p in skip)):
-                        yield full, None, None, True
+                        yield full, None, None, True, None
 
         def framed(rows):
-            frame = pd.DataFrame(rows, columns=["root", "file_path", "length", "modified", "is_dir"])
+            frame = pd.DataFrame(rows, columns=["root", "file_path", "length", "modified", "is_dir", "error"])
             frame["length"] = frame["length"].astype("Int64")
             frame["modified"] = pd.to_datetime(frame["modified"], utc=True)
             return frame
@@ -77,11 +80,11 @@ def list_files(
                 for depth in range(1, split_depth + 1):
                     below = []
                     for top in level:
-                        for full, size, mtime, directory in entries(top):
+                        for full, size, mtime, directory, error in entries(top):
                             if directory and depth < split_depth:
                                 below.append(full)
                             else:
-                                rows.append((root, full, size, mtime, directory))
+                                rows.append((root, full, size, mtime, directory, error))
                             if len(rows) > 50000:
                                 yield framed(rows)
                                 rows = []
@@ -101,7 +104,9 @@ def list_files(
             break
         level = below.select("root", "file_path")
     listed = spark.read.schema(shape).parquet(*[f"{base}/round={n}" for n in range(rounds)])
-    return listed.where("NOT is_dir").select(*PATHS.names)
+    if problems:
+        return listed.where("NOT is_dir").select(*PATHS.names, "error")
+    return listed.where("NOT is_dir AND error IS NULL").select(*PATHS.names)
 
 
 def file_table(spark: SparkSession, file_paths) -> DataFrame:
@@ -150,20 +155,26 @@ def cap_files(paths: DataFrame, limit: int, per: str | None = None) -> DataFrame
     return paths.withColumn("_n", F.row_number().over(window)).where(F.col("_n") <= limit).drop("_n")
 
 
-def read_bytes(paths: DataFrame, tasks: int | None = None) -> DataFrame:
-    """Add the bytes of every file that exists and may be read, in batches of bounded size.
+def read_bytes(paths: DataFrame, tasks: int | None = None, problems: bool = False) -> DataFrame:
+    """Add the bytes of every file that exists and may be read, in batches of bounded size. With ``problems`` the others
+    are rows without bytes and with an ``error``.
 
     Other errors, such as a store that answers too slowly, fail the task, which Spark repeats.
     """
     spark = paths.sparkSession
-    shape = "root string, file_path string, length long, modified timestamp, content binary"
+    shape = "root string, file_path string, length long, modified timestamp, content binary, error string"
     most = READ_BATCH_BYTES
 
     def read(batches):
         import pandas as pd
         from pyarrow import fs
 
-        columns = ["root", "file_path", "length", "modified", "content"]
+        columns = ["root", "file_path", "length", "modified", "content", "error"]
+        def framed(rows):
+            frame = pd.DataFrame(rows, columns=columns)
+            frame["length"] = frame["length"].astype("Int64")
+            return frame
+
         rows, held = [], 0
         for batch in batches:
             for root, path, _, modified in batch.itertuples(index=False):
@@ -172,19 +183,21 @@ def read_bytes(paths: DataFrame, tasks: int | None = None) -> DataFrame:
                         fs.LocalFileSystem(), path)
                     with system.open_input_stream(inner) as stream:
                         data = stream.read()
-                except SKIPPED:
+                except SKIPPED as problem:
+                    rows.append((root, path, None, modified, None, type(problem).__name__))
                     continue
-                rows.append((root, path, len(data), modified, data))
+                rows.append((root, path, len(data), modified, data, None))
                 held += len(data)
                 if held > most:
-                    yield pd.DataFrame(rows, columns=columns)
+                    yield framed(rows)
                     rows, held = [], 0
         if rows:
-            yield pd.DataFrame(rows, columns=columns)
+            yield framed(rows)
 
     # Only paths are moved here; spreading them keeps big files from meeting in one task.
     spread = paths.select(*PATHS.names).repartition(_tasks(spark, tasks), "file_path")
-    return spread.mapInPandas(read, shape)
+    found = spread.mapInPandas(read, shape)
+    return found if problems else found.where("error IS NULL").drop("error")
 
 
 def decode_text(files: DataFrame) -> DataFrame:

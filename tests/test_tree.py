@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sourcelode.operators.detect import with_language
 from sourcelode.options import ScanOptions
 from sourcelode.plans.scan import scan_tree
-from sourcelode.sources import tree
+from sourcelode.sources import files as src, tree
 from sourcelode.streaming.scans import stream_scan
 
 
@@ -100,3 +100,14 @@ def test_files_that_arrive_are_scanned_once(spark, roots, tmp_path):
     run().stop()
     run().stop()
     assert seen() == sorted([*first, ("new.py", "weak_crypto_md5", 1), ("later.py", "weak_crypto_md5", 1)])
+
+
+def test_listing_tells_what_it_could_not_read(spark, roots):
+    missing = roots[0] + "/none"
+    listed = src.list_files(spark, [*roots, missing], problems=True)
+    assert [(r["file_path"], r["error"]) for r in listed.where("error IS NOT NULL").collect()] == [(missing, "FileNotFoundError")]
+    assert listed.where("error IS NULL").count() == src.list_files(spark, roots).count()
+    paths = src.list_files(spark, roots).unionByName(src.file_table(spark, [missing + ".py"]))
+    read = src.read_bytes(paths, problems=True)
+    assert [(r["file_path"], r["error"]) for r in read.where("content IS NULL").collect()] == [(missing + ".py", "FileNotFoundError")]
+    assert src.read_bytes(paths).count() == read.count() - 1

@@ -186,6 +186,11 @@ def parse(page: str) -> Node:
     return root
 
 
+def _length(text: str) -> int:
+    """Length of a text with white space as it is shown."""
+    return 0 if text.isspace() else len(" ".join(text.split()))
+
+
 def _settle(root: Node) -> None:
     """Decide which marked elements are noise.
 
@@ -198,7 +203,7 @@ def _settle(root: Node) -> None:
         inside = links.pop(id(node)) or node.name == "a"
         for part in node.content:
             if isinstance(part, str):
-                node.size += 0 if inside else len(_WHITE.sub(" ", part).strip())
+                node.size += 0 if inside else _length(part)
             else:
                 order.append(part)
                 links[id(part)] = inside
@@ -299,7 +304,7 @@ def containers(root: Node) -> tuple[list[tuple[bytes, float, Node]], dict[int, t
                     stack[-1][3] += score
                 continue
             if isinstance(part, str):
-                size = len(_WHITE.sub(" ", part).strip())
+                size = _length(part)
                 stack[-1][3] += -size if links else size
             elif not part.noise:
                 links += part.name == "a"
@@ -328,7 +333,7 @@ def _added(node: Node, inner: Node) -> tuple[int, int, bool]:
             stack.pop()
             links -= of.name == "a" and bool(stack)
         elif isinstance(part, str):
-            length = len(_WHITE.sub(" ", part).strip())
+            length = _length(part)
             size, linked = (size, linked + length) if links else (size + length, linked)
         elif part is not inner and not part.noise and not (part.name == "header" and not part.headed):
             heading = heading or part.name in ("h1", "h2")

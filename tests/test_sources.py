@@ -190,13 +190,15 @@ def test_written_files(spark, tmp_path):
     })
     keyed = findings.withColumn("scan_id", F.concat_ws(":", F.lit("s1"), "root"))
     sinks.write_json(record, keyed, str(tmp_path / "json"))
-    document = json.loads(text_of(tmp_path / "json"))
+    [file] = (tmp_path / "json").glob("part-*/report-*.json")
+    [document] = json.loads(file.read_text())
     assert document["files_scanned"] == files.count()
     assert len(document["vulnerabilities"]) == findings.count()
     assert document["vulnerabilities"][0]["location"]["line_number"] == 1
     assert document["vulnerabilities"][0]["metadata"] == {"regex_match": "md5("}
     sinks.write_sarif(record, keyed, str(tmp_path / "sarif"))
-    sarif = json.loads(text_of(tmp_path / "sarif"))
+    [file] = (tmp_path / "sarif").glob("part-*/report-*.sarif.json")
+    sarif = json.loads(file.read_text())
     run = sarif["runs"][0]
     assert sarif["version"] == "2.1.0" and len(run["tool"]["driver"]["rules"]) == 5
     assert len(run["results"]) == findings.count()

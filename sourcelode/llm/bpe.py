@@ -22,7 +22,7 @@ WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s
 #: tokenizers library splits texts that hold one.
 RARE = re.compile("[^\\x00-\u0557\u2010-\u205e\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]")
 #: Bytes of the pieces that a task remembers with their ids; a full memory is emptied.
-REMEMBERED = 24 << 20
+REMEMBERED = 32 << 20
 #: Bytes that a remembered piece takes besides its letters and ids, about.
 ENTRY = 150
 #: Words of more symbols are merged one by one.
@@ -255,8 +255,8 @@ def vocabulary(path: str) -> Bpe:
 def _encoded(batches: Iterator[pa.RecordBatch], path: str, at: int) -> Iterator[tuple[Bpe, pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Parts of bounded size of a task's batches, with the ids of the texts in column ``at`` and where each
     text's ids end."""
-    known = vocabulary(path)
-    with emptied(known.pieces._clear):
+    known = vocabulary(path)  # what it remembers is bounded and serves the next task too
+    with emptied():
         for batch in batches:
             for start, stop in slices(batch.column(at), CHUNK):
                 part = batch.slice(start, stop - start)

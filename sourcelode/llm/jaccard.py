@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from sourcelode.llm.components import components
 from sourcelode.llm.storage import written
-from sourcelode.llm.words import U64, shingle_sets, slices
+from sourcelode.llm.words import shingle_sets, slices, tidy, U64
 
 #: Counters of the table that estimates how frequent shingles are; a fixed size for any corpus.
 COUNTERS = 1 << 18
@@ -58,7 +58,7 @@ def frequency_classes(docs: DataFrame, words: int) -> np.ndarray:
         )
 
     schema = "part int, counts binary"
-    counted = docs.select("text").mapInArrow(count, schema).repartition(COUNTER_ROWS, "part").mapInArrow(add, schema)
+    counted = docs.select("text").mapInArrow(tidy(count), schema).repartition(COUNTER_ROWS, "part").mapInArrow(tidy(add), schema)
     total = np.zeros(COUNTERS, np.int64)
     for row in counted.collect():  # 64 rows of 32 KB
         total[row["part"] * step : (row["part"] + 1) * step] = np.frombuffer(row["counts"], np.int64)
@@ -222,7 +222,7 @@ def verified(pairs: DataFrame, members: DataFrame, docs: DataFrame, classes: np.
     light = members.select("id", "n", "sketch")
     pairs = pairs.join(light.toDF("left", "n", "sketch"), "left").join(light.toDF("right", "m", "other"), "right")
     pairs = pairs.select("left", "right", (F.col("n") + F.col("m")).alias("total"), "sketch", "other")
-    pairs = written(pairs.mapInArrow(_possible(percent), "left long, right long").distinct(), "pairs")
+    pairs = written(pairs.mapInArrow(tidy(_possible(percent)), "left long, right long").distinct(), "pairs")
     ids = pairs.select(F.col("left").alias("id")).unionByName(pairs.select(F.col("right").alias("id"))).distinct()
     # A filter of fixed size: a set bit for the hash of every wanted id, gathered as 64-bit words.
     bit = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
@@ -233,11 +233,11 @@ def verified(pairs: DataFrame, members: DataFrame, docs: DataFrame, classes: np.
     for row in gathered.toLocalIterator():
         wanted[row["word"]] = row["bits"]
     texts = docs.select(F.col("doc_id").alias("id"), "text").withColumn("bit", bit)
-    sets = texts.where("id IS NOT NULL").mapInArrow(_sets(classes, words, wanted.view(np.uint8)), "id long, own binary")
+    sets = texts.where("id IS NOT NULL").mapInArrow(tidy(_sets(classes, words, wanted.view(np.uint8))), "id long, own binary")
     sets = written(sets.join(ids, "id", "left_semi"), "sets")
     both = pairs.join(sets.withColumnRenamed("id", "right").withColumnRenamed("own", "other"), "right")
     both = both.join(sets.withColumnRenamed("id", "left"), "left").select("left", "right", "own", "other")
-    return written(both.mapInArrow(_verify(percent), "left long, right long").distinct(), "verified")
+    return written(both.mapInArrow(tidy(_verify(percent)), "left long, right long").distinct(), "verified")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -265,7 +265,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     classes = frequency_classes(docs, words)
     described = written(
-        docs.mapInArrow(_describe(classes, words, percent), "doc_id long, n long, set_key binary, group_key binary, sketch binary, prefix array<long>"), "described"
+        docs.mapInArrow(tidy(_describe(classes, words, percent)), "doc_id long, n long, set_key binary, group_key binary, sketch binary, prefix array<long>"), "described"
     )
     light = described.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", "n", "set_key", "group_key", "sketch")
     members = written(light.groupBy("set_key", "n", "group_key").agg(F.min("doc_id").alias("id"), F.min("sketch").alias("sketch")), "classes")
@@ -280,7 +280,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     rows = rows.select("token", "group_id", "n", "place", salt.alias("salt"))
     shuffles = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     lists = rows.repartition(shuffles, "token", "salt").sortWithinPartitions("token")
-    lists = written(lists.mapInArrow(_shared, rows.schema).drop("salt"), "lists")
+    lists = written(lists.mapInArrow(tidy(_shared), rows.schema).drop("salt"), "lists")
 
     # First pass: the most connected group of every element, by the summed lengths of its lists.
     lengths = lists.groupBy("token").agg(F.count("*").alias("length")).where("length > 1")

@@ -98,7 +98,7 @@ UNSURE = re.compile("[^\x00-\u012f\u0131-\u024f]|<\\|")
 
 
 #: Bytes of the runs and of the pieces that a task remembers with their ids; a full memory is emptied.
-RUNS, PIECES = 12 << 20, 16 << 20
+RUNS, PIECES = 24 << 20, 32 << 20
 #: Bytes that a remembered piece takes besides its letters, about.
 ENTRY = 250
 
@@ -208,8 +208,8 @@ def _encoded(path: str, end_id: int):
     """Batches of doc_id and text become batches of doc_id and packed ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = library(path)
-        with emptied(known.clear):
+        known = library(path)  # what it remembers is bounded and serves the next task too
+        with emptied():
             for batch in batches:
                 for start, stop in slices(batch.column(1)):
                     part = batch.slice(start, stop - start)

@@ -38,6 +38,16 @@ def emptied(*clear: Callable[[], None]) -> Iterator[None]:
             trim(0)
 
 
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A task function that gives free memory back when its batches end."""
+
+    def tidied(batches: Iterator) -> Iterator:
+        with emptied():
+            yield from run(batches)
+
+    return tidied
+
+
 def mix(values: np.ndarray) -> np.ndarray:
     """Spread the bits of 64-bit values."""
     values = (values ^ (values >> U64(31))) * U64(0x7FB5D329728EA185)

@@ -116,7 +116,8 @@ def make_cells(vectors: DataFrame, row_id: str, vec: str, cells: int | None = No
                     cell[at], away[at] = numbers[nearest], apart[np.arange(len(at)), nearest]
             yield pd.DataFrame({row_id: batch[row_id], "vector": batch["vector"], "cell": cell, "angle": away}, columns=shape.names)
 
-    dealt = kept(plain.mapInPandas(assign, shape), "cells")
+    # Finding the cell again costs less than storing it: one product with the pivots per batch.
+    dealt = plain.mapInPandas(assign, shape)
     facts = dealt.groupBy("cell").agg(F.count("*").alias("n"), F.max("angle").alias("radius")).collect()
     radii, counts = np.zeros(len(pivots)), np.zeros(len(pivots), np.int64)
     for row in facts:

@@ -2,8 +2,12 @@
 
 import json
 import uuid
+import zlib
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
@@ -17,6 +21,20 @@ def _system(path: str):
     return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
 
 
+class Gzipped:
+    """A stream whose bytes are compressed on the way, fast rather than small."""
+
+    def __init__(self, stream):
+        self.stream, self.packer = stream, zlib.compressobj(1, zlib.DEFLATED, 31)
+
+    def write(self, data) -> None:
+        self.stream.write(self.packer.compress(data))
+
+    def close(self) -> None:
+        self.stream.write(self.packer.flush())
+        self.stream.close()
+
+
 @dataclass
 class Written(WriterCommitMessage):
     """The folder of one task, as it was written and as it shall be called."""
@@ -38,6 +56,7 @@ class ReportWriter(DataSourceArrowWriter):
         self.path = options["path"].rstrip("/")
         self.prefix, self.suffix, self.extension = options["prefix"], options["suffix"], options["extension"]
         self.file_bytes = int(options["filebytes"])
+        self.gzip = {"none": False, "gzip": True}[options.get("compression", "none")]
         self.staging = f"_staging-{uuid.uuid4().hex}"
 
     def write(self, iterator) -> Written:
@@ -56,9 +75,25 @@ class ReportWriter(DataSourceArrowWriter):
 
         try:
             for batch in iterator:
-                columns = [batch.column(c).to_pylist() for c in ("scan_id", "part", "opens", "closes", "line")]
-                for scan, part, opens, closes, line in zip(*columns, strict=True):
-                    if opens and stream is not None:
+                lines = pc.binary_join_element_wise(
+                    batch.column("line").cast(pa.large_string()), pc.if_else(batch.column("closes"), pa.scalar("", pa.large_string()), pa.scalar("\n", pa.large_string())), pa.scalar("", pa.large_string()),
+                )
+                if lines.null_count:
+                    raise ValueError("a line of a report is NULL")
+                data, ends = lines.buffers()[2], np.frombuffer(lines.buffers()[1], np.int64)[lines.offset : lines.offset + len(lines) + 1]
+                opens = np.flatnonzero(batch.column("opens").to_numpy(zero_copy_only=False))
+                scans, parts = batch.column("scan_id").take(pa.array(opens)).to_pylist(), batch.column("part").take(pa.array(opens)).to_pylist()
+
+                def copy(start, stop):
+                    nonlocal size
+                    if stop > start:
+                        stream.write(data[int(ends[start]) : int(ends[stop])])
+                        size += int(ends[stop] - ends[start])
+
+                # Lines before the first that opens a document belong to the one before.
+                copy(0, opens[0] if len(opens) else len(lines))
+                for scan, part, start, stop in zip(scans, parts, opens, [*opens[1:], len(lines)], strict=True):
+                    if stream is not None:
                         if size >= self.file_bytes:
                             close()
                         else:
@@ -68,14 +103,12 @@ class ReportWriter(DataSourceArrowWriter):
                             system.create_dir(folder, recursive=True)
                             index = system.open_output_stream(f"{folder}/{INDEX}")
                         files, size = files + 1, 0
-                        file = f"report-{task:05d}-{files:05d}.{self.extension}"
-                        stream = system.open_output_stream(f"{folder}/{file}")
+                        file = f"report-{task:05d}-{files:05d}.{self.extension}{'.gz' if self.gzip else ''}"
+                        stream = system.open_output_stream(f"{folder}/{file}", compression=None)
+                        stream = Gzipped(stream) if self.gzip else stream
                         stream.write((self.prefix + "\n").encode())
-                    if opens:
-                        index.write((json.dumps({"scan_id": scan, "part": part, "file": f"{name}/{file}"}) + "\n").encode())
-                    data = line.encode()
-                    stream.write(data if closes else data + b"\n")
-                    size += len(data)
+                    index.write((json.dumps({"scan_id": scan, "part": part, "file": f"{name}/{file}"}) + "\n").encode())
+                    copy(start, stop)
             close()
         finally:
             for left in (stream, index):
@@ -102,8 +135,8 @@ class ReportWriter(DataSourceArrowWriter):
 
 class ReportFiles(DataSource):
     """Rows of ``SHAPE`` in writing order. Options: ``prefix`` and ``suffix`` (what stands around the documents of a file, which are
-    separated by commas), ``extension``, and ``fileBytes``: a file is closed behind the document that reaches it, so a
-    document never begins in one file and ends in another."""
+    separated by commas), ``extension``, ``compression`` (``none`` or ``gzip``), and ``fileBytes``: a file is closed behind the document
+    that reaches it, so a document never begins in one file and ends in another."""
 
     @classmethod
     def name(cls) -> str:

@@ -10,7 +10,7 @@ from sourcelode.sources import reportfiles
 PART_ROWS, FILE_BYTES = 50_000, 64 << 20
 
 
-def _write_documents(lines, scans: DataFrame, findings: DataFrame, path: str, around: tuple, extension: str, file_bytes: int, part_rows: int) -> None:
+def _write_documents(lines, scans: DataFrame, findings: DataFrame, path: str, around: tuple, extension: str, file_bytes: int, part_rows: int, compression: str) -> None:
     """Documents of bounded size in files that hold whole documents.
 
     Findings are evaluated once, into the shared folder. A scan of more than ``part_rows`` findings is dealt over numbered parts by a
@@ -21,7 +21,7 @@ def _write_documents(lines, scans: DataFrame, findings: DataFrame, path: str, ar
     spark.dataSource.register(reportfiles.ReportFiles)
     rows = kept(findings.withColumn("_row", F.monotonically_increasing_id()), "findings")
     counts = rows.groupBy("scan_id").agg(F.ceil(F.count(F.lit(1)) / part_rows).cast("int").alias("parts"))
-    large = counts.where("parts > 1")  # at most a row per ``part_rows`` findings
+    large = F.broadcast(counts.where("parts > 1"))  # at most a row per ``part_rows`` findings
     wide = scans.join(large, "scan_id", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     number = F.pmod(F.xxhash64("file_path", "line_number", "id", "_row"), F.coalesce("parts", F.lit(1))).cast("int")
     parted = rows.join(large, "scan_id", "left").withColumn("part", number).drop("parts")
@@ -36,26 +36,27 @@ def _write_documents(lines, scans: DataFrame, findings: DataFrame, path: str, ar
     shown = lined.select(
         F.col("scan_id").cast("string").alias("scan_id"), "part", (F.col("section") == HEAD).alias("opens"), (F.col("section") == TAIL).alias("closes"), "line",
     )
-    options = {"prefix": around[0], "suffix": around[1], "extension": extension, "fileBytes": str(file_bytes)}
+    options = {"prefix": around[0], "suffix": around[1], "extension": extension, "fileBytes": str(file_bytes), "compression": compression}
     shown.write.format(reportfiles.NAME).mode("append").options(**options).save(path)
 
 
-def write_json(scans: DataFrame, findings: DataFrame, path: str, file_bytes: int = FILE_BYTES, part_rows: int = PART_ROWS) -> None:
+def write_json(scans: DataFrame, findings: DataFrame, path: str, file_bytes: int = FILE_BYTES, part_rows: int = PART_ROWS, compression: str = "none") -> None:
     """Scan results as JSON files, each a list of whole documents; of a scan with very many findings, of numbered parts.
 
     ``path`` has a folder per task with its files and an index (:func:`report_index`). ``file_bytes`` 1 gives every
-    document a file. Findings of other scans are left out.
+    document a file, counted before compression. ``compression`` is ``none`` or ``gzip``: files end in ``.gz`` then, which Spark reads as
+    they are, and what documents repeat, such as the rules in every SARIF run, takes little room. Findings of other scans are left out.
     """
     def lines(documents, parted, keys, place):
         return scan_lines(documents, parted, keys, place)
 
-    _write_documents(lines, scans, findings, path, ("[", "]"), "json", file_bytes, part_rows)
+    _write_documents(lines, scans, findings, path, ("[", "]"), "json", file_bytes, part_rows, compression)
 
 
-def write_sarif(scans: DataFrame, findings: DataFrame, path: str, file_bytes: int = FILE_BYTES, part_rows: int = PART_ROWS) -> None:
+def write_sarif(scans: DataFrame, findings: DataFrame, path: str, file_bytes: int = FILE_BYTES, part_rows: int = PART_ROWS, compression: str = "none") -> None:
     """SARIF files, each a log of whole runs: one run per scan, or per numbered part of a scan with very many findings, named
-    ``scan/part`` in its ``automationDetails``. Folders and index as in :func:`write_json`."""
-    _write_documents(run_lines, scans, findings, path, SARIF_FILE, "sarif.json", file_bytes, part_rows)
+    ``scan/part`` in its ``automationDetails``. Folders, index and compression as in :func:`write_json`."""
+    _write_documents(run_lines, scans, findings, path, SARIF_FILE, "sarif.json", file_bytes, part_rows, compression)
 
 
 def report_index(spark: SparkSession, path: str) -> DataFrame:

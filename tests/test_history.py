@@ -473,3 +473,40 @@ def test_group_limits_reach_the_tasks(spark):
         scans(spark, [(1, "t", day(1))]), findings(spark, [(1, 1, "a", "LOW", "f", 1)])
     )
     assert "WindowGroupLimit" in shown._jdf.queryExecution().executedPlan().toString()
+
+
+def test_compressed_reports_hold_the_same(spark, tmp_path):
+    import gzip
+    import json
+
+    known, rows = report_scans(spark, [*range(50)]), report_findings(spark, 300)
+    sinks.write_sarif(known, rows, str(tmp_path / "plain"))
+    sinks.write_sarif(known, rows, str(tmp_path / "small"), compression="gzip")
+    plain, small = [sorted((tmp_path / name).glob("part-*/report-*")) for name in ("plain", "small")]
+    assert [f"{path.parent.name}/{path.name}.gz" for path in plain] == [f"{path.parent.name}/{path.name}" for path in small]
+    assert [path.read_bytes() for path in plain] == [gzip.decompress(path.read_bytes()) for path in small]
+    assert 4 * sum(path.stat().st_size for path in small) < sum(path.stat().st_size for path in plain)
+    assert {r.file for r in sinks.report_index(spark, str(tmp_path / "small")).collect()} == {f"{path.parent.name}/{path.name}" for path in small}
+    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "report-*").text(str(tmp_path / "small"))
+    assert json.loads(gzip.decompress(small[0].read_bytes())) and lines.where("value LIKE '%scanner_id%'").count() == 300
+
+
+def test_what_all_documents_repeat_does_not_travel(spark):
+    moved = []
+
+    def place(rows, *order):
+        moved.append(rows.agg(F.max(F.length("_text"))).first()[0])
+        return rows.orderBy(*order)
+
+    known, rows = report_scans(spark, [1, 2]), report_findings(spark, 50)
+    heads = rep.run_lines(known, rows, ("scan_id",), place).where(F.col("section") == rep.HEAD).collect()
+    assert moved[0] < len(rep.tool_json()) and all(rep.tool_json() in row.line for row in heads)
+
+
+def test_a_null_line_fails_the_report(spark, tmp_path):
+    from sourcelode.sources import reportfiles
+
+    spark.dataSource.register(reportfiles.ReportFiles)
+    rows = spark.createDataFrame([("1", 0, True, True, None)], reportfiles.SHAPE)
+    with pytest.raises(Exception, match="NULL"):
+        rows.write.format(reportfiles.NAME).mode("append").options(prefix="[", suffix="]", extension="json", fileBytes="1").save(str(tmp_path / "x"))

@@ -309,14 +309,16 @@ def _(t):
     artifact = F.get_json_object(F.ltrim(F.col("line"), F.lit(",")), "$.location.uri")
     revision = F.regexp_extract("line", '"revisionId":"([0-9a-f]+)"', 1)
     section = F.col("section")
-    return lines.groupBy("scan_id").agg(
+    # Taken out of the lines first: the largest text of a group is found by a sort, which needs no whole lines.
+    facts = lines.select(
+        "scan_id", "section", F.when(section == rep.HEAD, revision).alias("revision"),
+        F.when((section == rep.ARTIFACTS) & ~F.startswith("line", F.lit(",")), artifact).alias("artifact"),
+    )
+    return facts.groupBy("scan_id").agg(
         F.count_if(section == rep.RESULTS).alias("results"),
         F.count_if(section == rep.ARTIFACTS).alias("artifacts"),
-        F.nullif(F.max(F.when(section == rep.HEAD, revision)), F.lit("")).alias("revision"),
-        F.coalesce(
-            F.max(F.when((section == rep.ARTIFACTS) & ~F.startswith("line", F.lit(",")), artifact)),
-            F.lit(""),
-        ).alias("first_artifact"),
+        F.nullif(F.max("revision"), F.lit("")).alias("revision"),
+        F.coalesce(F.max("artifact"), F.lit("")).alias("first_artifact"),
     )
 
 
@@ -340,7 +342,7 @@ def _entries(t, path, mark: str, shape: str):
 def _(t):
     """SARIF files, written and read again: the result lines, and which ones open a list."""
     path = scratch_path(t.spark, "sarif")
-    write_sarif(described_scans(t), stored(t), path)
+    write_sarif(described_scans(t), stored(t), path, compression="gzip")
     shape = (
         "ruleId string, locations array<struct<physicalLocation struct<artifactLocation struct<uri string>,"
         " region struct<startLine long>>>>, properties struct<scanner_id string>"

@@ -1,7 +1,9 @@
 """Similar code: embeddings, one target against all, all against all."""
 
 import math
+from typing import Any, Iterator, Tuple
 
+import pandas as pd
 from pyspark.ml.feature import HashingTF, Normalizer
 from pyspark.ml.functions import predict_batch_udf, vector_to_array
 from pyspark.sql import DataFrame, Window, functions as F, types as T
@@ -17,6 +19,10 @@ TOP = 20
 BLOCK_ROWS = 20_000
 # Blocks smaller than this cost more in copies than further tasks gain.
 LEAST_BLOCK_ROWS = 128
+# Pairs that are scored, and pairs that are handed on, at once: what a task holds besides its blocks.
+SCORED, HANDED = 2_000_000, 200_000
+# Tasks of the all-pairs job at most.
+MOST_TASKS = 10_000
 
 
 def find_similar(
@@ -84,8 +90,8 @@ def similar_all(
     compared only if the angles between pivots and the radii allow a pair within the threshold. Cells
     fill blocks of ``block_rows`` at most, large ones are split; a pair of blocks is one group, to which a row
     goes only if some cell on the other side can hold a similar one. So a row is copied at most once per block, and
-    on clustered data to few; data without clusters costs what all blocks against all blocks do.
-    A group multiplies only pairs of cells that meet. Pass one row per distinct code (see ``dedupe_code``).
+    on clustered data to few; data without clusters costs what all blocks against all blocks do, in ever more tasks of the same size.
+    A group multiplies only pairs of cells that meet, and hands on its pairs as it finds them. Pass one row per distinct code (see ``dedupe_code``).
     """
     if threshold <= 0:
         raise ValueError("cells need a positive threshold")
@@ -154,60 +160,72 @@ def similar_all(
     ])
     limit, least = top, threshold
 
-    def best(key, frame):
+    def best(key: Tuple[Any, ...], frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import numpy as np
-        import pandas as pd
 
         i, j = key
         met = shared.value[2]
-        out = []
+        # Lists of numbers become arrays batch by batch; only those are held.
+        ids, cells, homes, units = [], [], [], []
+        for frame in frames:
+            size = frame["vector"].map(len).to_numpy()
+            for n in np.unique(size):
+                at = np.flatnonzero(size == n)
+                ids.append(frame[row_id].iloc[at])
+                cells.append(frame["cell"].to_numpy()[at])
+                homes.append(frame["block"].to_numpy()[at])
+                units += np.split(unit_rows(frame["vector"].iloc[at]), len(at))
+        ids, cells, homes = pd.concat(ids).reset_index(drop=True), np.concatenate(cells), np.concatenate(homes)
 
         def side(number):
-            rows = frame[frame["block"] == number]
             parts = {}
-            for cell, own in rows.groupby("cell"):
-                own = own.sort_values(row_id, kind="stable")
-                parts[cell] = (own[row_id].to_numpy(), unit_rows(own["vector"]))
+            for cell in np.unique(cells[homes == number]):
+                own = ids[(homes == number) & (cells == cell)].sort_values(kind="stable")
+                parts[cell] = (own.to_numpy(), np.concatenate([units[at] for at in own.index]))
             return parts
 
-        def top_of(ids, unit, other_ids, other_unit):
-            for start in range(0, len(ids), 512):
-                mine = ids[start : start + 512]
+        def top_of(own_ids, unit, other_ids, other_unit):
+            step = max(1, SCORED // len(other_ids))
+            for start in range(0, len(own_ids), step):
+                mine = own_ids[start : start + step]
+                scores = unit[start : start + step] @ other_unit.T
+                # Few pairs are similar as a rule; only those are looked at further.
+                near = scores >= least - 1e-9
+                if limit is not None and limit < len(other_ids) and np.count_nonzero(near) > 0.1 * near.size:
+                    scores[mine[:, None] == other_ids[None, :]] = -2.0
+                    near &= scores >= -np.partition(-scores, limit - 1, axis=1)[:, limit - 1 : limit] - 1e-9
+                row, column = np.nonzero(near)
                 # Rounded, so that equal vectors tie wherever they sit in a block.
-                scores = np.round(unit[start : start + 512] @ other_unit.T, 12)
-                scores[mine[:, None] == other_ids[None, :]] = -2.0
-                scores[scores < least] = -2.0
-                if limit is not None and limit < len(other_ids):
-                    # Everything above the limit-th best, then ties in id order.
-                    edge = -np.partition(-scores, limit - 1, axis=1)[:, limit - 1 : limit]
-                    above, tied = scores > edge, scores == edge
-                    room = limit - above.sum(axis=1, keepdims=True)
-                    chosen = above | (tied & (np.cumsum(tied, axis=1) <= room))
-                else:
-                    chosen = np.ones(scores.shape, dtype=bool)
-                row, column = np.nonzero(chosen & (scores > -2.0))
-                out.append((mine[row], other_ids[column], scores[row, column]))
+                score = np.round(scores[row, column], 12)
+                kept = (score >= least) & (mine[row] != other_ids[column])
+                row, column, score = row[kept], column[kept], score[kept]
+                if limit is not None:
+                    # The best of each row, ties in id order.
+                    order = np.lexsort((column, -score, row))
+                    row, column, score = row[order], column[order], score[order]
+                    first = np.arange(len(row)) - np.searchsorted(row, row) < limit
+                    row, column, score = row[first], column[first], score[first]
+                for at in range(0, len(row), HANDED):
+                    part = slice(at, at + HANDED)
+                    yield pd.DataFrame({"target_id": mine[row[part]], "similar_id": other_ids[column[part]], "similarity": score[part]})
 
         def meet(left, right):
-            for cell, (ids, unit) in left.items():
+            for cell, (own_ids, unit) in left.items():
                 others = [c for c in right if c == cell or (c >= 0 and cell >= 0 and met[cell, c])]
                 if others:
                     other_ids = np.concatenate([right[c][0] for c in others])
                     order = np.argsort(other_ids, kind="stable")
-                    top_of(ids, unit, other_ids[order], np.concatenate([right[c][1] for c in others])[order])
+                    yield from top_of(own_ids, unit, other_ids[order], np.concatenate([right[c][1] for c in others])[order])
 
         left = side(i)
         right = left if i == j else side(j)
-        meet(left, right)
+        yield from meet(left, right)
         if i != j:
-            meet(right, left)
-        columns = ["target_id", "similar_id", "similarity"]
-        frames = [pd.DataFrame(dict(zip(columns, part))) for part in out if len(part[0])]
-        return pd.concat(frames) if frames else pd.DataFrame(columns=columns)
+            yield from meet(right, left)
 
     numbered = dealt.rows.withColumn("number", F.pmod(F.xxhash64(row_id), F.lit(1 << 30)).cast("int"))
-    # A fixed number of tasks: the groups are few and heavy, far from what their bytes suggest.
-    tasks = max(1, min(blocks * (blocks + 1) // 2, 8 * cores))
+    # Groups are heavy, far from what their bytes suggest: so many tasks that few get several, however many blocks there are.
+    tasks = max(1, min(2 * blocks * (blocks + 1), MOST_TASKS))
     found = numbered.mapInPandas(send, sent).repartition(tasks, "i", "j").groupBy("i", "j").applyInPandas(best, shape)
     if top is None:
         # A rank would bring all neighbours of a hot row into one task.

@@ -22,13 +22,13 @@ WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s
 #: tokenizers library splits texts that hold one.
 RARE = re.compile("[^\\x00-\u0557\u2010-\u205e\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]")
 #: Bytes of the pieces that a task remembers with their ids; a full memory is emptied.
-REMEMBERED = 32 << 20
+REMEMBERED = 16 << 20
 #: Bytes that a remembered piece takes besides its letters and ids, about.
 ENTRY = 150
 #: Words of more symbols are merged one by one.
 LONG_WORD = 1 << 10
 #: Bytes of text that are encoded together.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 NEVER = np.iinfo(np.int64).max
 
 

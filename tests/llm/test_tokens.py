@@ -198,3 +198,12 @@ def test_digest_of_ids_matches_python(documents):
     ids = Tokenizer.from_file(BYTES).encode("héllo wörld", add_special_tokens=False).ids
     assert row["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
     assert row["decoded_sha256"] == hashlib.sha256("héllo wörld".encode()).hexdigest()
+
+
+def test_what_a_worker_remembers_stays_small():
+    known = bpe.Bpe(BYTES)
+    most = 0
+    for start in range(0, 200_000, 2_000):
+        known.encode([" ".join(f"w{n}x{n * 7919}" for n in range(start, start + 2_000))])
+        most = max(most, known.pieces.held)
+    assert most < 20 << 20  # six workers of an executor share what its heap leaves

@@ -5,11 +5,13 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from sourcelode.functions.vectors import cosine
-from sourcelode.operators.cells import SLACK, angles, spread_pivots, unit_rows
-from sourcelode.operators.similar import THRESHOLD, TOP
+from sourcelode.operators.cells import SLACK, Cells, angles, spread_pivots, unit_rows
+from sourcelode.operators.similar import BLOCK_ROWS, LEAST_BLOCK_ROWS, MOST_TASKS, SCORED, THRESHOLD, TOP, _blocks_of
 from sourcelode.schemas import CODE_EMBEDDINGS
 from sourcelode.session import kept, scratch_path
 
@@ -29,6 +31,60 @@ def fit_centroids(sample: np.ndarray, lists: int, rounds: int = FIT_ROUNDS) -> n
     return centres
 
 
+# What a product of unit vectors is off by at most, and lengths whose products neither overflow nor vanish.
+OFF, SHORTEST, LONGEST = 1e-9, 1e-140, 1e140
+
+
+def lengths_of(rows: np.ndarray) -> np.ndarray:
+    """Lengths of the rows, added up entry by entry as :func:`~sourcelode.functions.vectors.norm` does."""
+    total = np.zeros(len(rows))
+    for column in rows.T:
+        total = total + column * column
+    return np.sqrt(total)
+
+
+def best_pairs(aims: np.ndarray, aimed: np.ndarray, rows: np.ndarray, lists: np.ndarray, threshold: float, top: int):
+    """(query, row, cosine) of the ``top`` rows of every query that reach ``threshold``, ties to earlier rows, chunk by chunk.
+
+    Query q meets the rows of list n if ``aimed[q, n]``. A product of unit vectors finds the pairs that may count; their cosine is
+    then added up as :func:`~sourcelode.functions.vectors.cosine` does, to the last bit, NaN above all numbers.
+    """
+    # Of equal vectors only the first ``top`` can be in a result.
+    own = [row.tobytes() for row in rows]
+    first = np.flatnonzero(pd.Series(own).groupby(own).cumcount().to_numpy() < top)
+    rows, lists = rows[first], lists[first]
+    aim_lengths, row_lengths = lengths_of(aims), lengths_of(rows)
+    odd_aims, odd_rows = (~((n >= SHORTEST) & (n <= LONGEST)) for n in (aim_lengths, row_lengths))
+    units = [np.where(odd[:, None], 0.0, m / np.where(odd, 1.0, n)[:, None]) for m, n, odd in ((aims, aim_lengths, odd_aims), (rows, row_lengths, odd_rows))]
+    aim_columns, row_columns = np.ascontiguousarray(aims.T), np.ascontiguousarray(rows.T)
+    step = max(1, SCORED // len(rows))
+    for start in range(0, len(aims), step):
+        part = slice(start, start + step)
+        met = aimed[part][:, lists]
+        scores = units[0][part] @ units[1].T
+        scores[~met] = -2.0
+        near = scores >= threshold - OFF
+        many = np.flatnonzero(near.sum(axis=1) > 4 * top)
+        if len(many):
+            least = -np.partition(-scores[many], top - 1, axis=1)[:, top - 1]
+            near[many] &= scores[many] >= least[:, None] - 2 * OFF
+        near[:, odd_rows] = met[:, odd_rows]
+        near[odd_aims[part]] = met[odd_aims[part]]
+        query, row = np.nonzero(near)
+        query += start
+        dot = np.zeros(len(query))
+        for left, right in zip(aim_columns, row_columns):
+            dot = dot + left[query] * right[row]
+        both = aim_lengths[query] * row_lengths[row]
+        value = np.where((both > 0) | np.isnan(both), dot / both, 0.0)
+        kept = (value >= threshold) | np.isnan(value)
+        query, row, value = query[kept], row[kept], value[kept]
+        order = np.lexsort((row, -np.nan_to_num(value, nan=0.0), ~np.isnan(value), query))
+        query, row, value = query[order], row[order], value[order]
+        kept = np.arange(len(query)) - np.searchsorted(query, query) < top
+        yield query[kept], first[row[kept]], value[kept]
+
+
 class VectorIndex:
     """Embeddings (``CODE_EMBEDDINGS``) below one folder, one Parquet partition per list.
 
@@ -143,51 +199,109 @@ class VectorIndex:
     def search(self, queries: DataFrame, threshold: float = THRESHOLD, top: int = TOP, probe: int = 8, exact: bool = False) -> DataFrame:
         """The ``top`` most similar rows of every query (query_id, embedding): query_id, rank, code_hash, similarity.
 
-        Every query meets the rows of its ``probe`` nearest lists in a join on the list. With ``exact`` a second join reads the further lists
-        that may hold better rows than its ``top``-th so far. A list with most of the rows is split over tasks by
-        adaptive execution. Queries that are NULL, zero or not finite have no result; ``threshold`` has to be positive.
+        Every query meets the rows of its ``probe`` nearest lists. With ``exact`` a second round reads the further lists
+        that may hold better rows than its ``top``-th so far. Lists fill blocks of at most ``BLOCK_ROWS`` rows, larger ones are split, and
+        so are the queries; a block of queries and one of rows is one group, which multiplies them as matrices. A query goes only to
+        blocks with a list it aims at. Queries that are NULL, zero or not finite have no result; ``threshold`` has to be positive.
         """
         if threshold <= 0:
             raise ValueError("searching lists needs a positive threshold")
         facts = self.lists()
-        shared = self.spark.sparkContext.broadcast([f for f in facts if f["rows"]])  # at most MOST_LISTS + 1
-        id_type = queries.schema["query_id"].dataType
-        shape = T.StructType([T.StructField("query_id", id_type), T.StructField("aim", T.ArrayType(T.DoubleType())), T.StructField("list", T.IntegerType())])
+        known = [f for f in facts if f["list"] >= 0]
+        rest = {f["list"]: f["rows"] for f in facts if f["list"] < 0 and f["rows"]}
+        centres = np.array([f["centre"] for f in known]) if known else np.zeros((0, 0))
+        radii, counts = np.array([f["radius"] for f in known]), np.array([f["rows"] for f in known], np.int64)
+        rows, cores = sum(f["rows"] for f in facts), self.spark.sparkContext.defaultParallelism
+        block_rows = min(BLOCK_ROWS, max(LEAST_BLOCK_ROWS, math.ceil(rows / (2 * cores))))
+        first, splits, blocks = _blocks_of(Cells(queries, "query_id", tuple(centres), radii, counts, rest), block_rows)
+        shared = self.spark.sparkContext.broadcast((centres, radii, counts, list(rest), first, splits))  # at most MOST_LISTS + 1 lists
+        asked = queries.select("query_id", F.col("embedding").cast("array<double>").alias("embedding"))
+        query_blocks = max(1, math.ceil(asked.count() / BLOCK_ROWS))
+        tasks = max(1, min(2 * blocks * query_blocks, MOST_TASKS))
+        vector, numbers = T.ArrayType(T.DoubleType()), T.ArrayType(T.IntegerType())
+        id_field = T.StructField("query_id", queries.schema["query_id"].dataType)
+        shape = T.StructType([id_field, T.StructField("aim", vector), T.StructField("blocks", numbers), T.StructField("lists", T.ArrayType(numbers))])
 
         def aimed(batches):
-            known = [f for f in shared.value if f["list"] >= 0]
-            rest = [f["list"] for f in shared.value if f["list"] < 0]
-            centres = np.array([f["centre"] for f in known]) if known else np.zeros((0, 0))
-            radii = np.array([f["radius"] for f in known])
-            numbers = np.array([f["list"] for f in known], int)
+            centres, radii, counts, rest, first, splits = shared.value
+            filled = np.flatnonzero(counts)
             for batch in batches:
-                ids, aims, lists = [], [], []
-                for row in batch.itertuples(index=False):
-                    value = np.asarray(row.embedding, float) if row.embedding is not None else np.zeros(0)
+                at, aims, to, lists = [], [], [], []
+                for nth, (vector, bound) in enumerate(zip(batch.column("embedding").to_pylist(), batch.column("bound").to_pylist())):
+                    value = np.asarray(vector if vector is not None else (), float)
                     if not len(value) or not np.isfinite(value).all() or not value.any():
                         continue
-                    chosen = list(rest)
-                    if len(known) and centres.shape[1] == len(value):
-                        apart = angles(unit_rows([value]), centres)[0]
-                        order = np.lexsort((numbers, apart))
-                        taken = order[:probe] if row.bound is None or row.bound != row.bound else [
-                            at for at in order[probe:] if apart[at] <= radii[at] + math.acos(max(-1.0, min(1.0, row.bound))) + 2 * SLACK
-                        ]
-                        chosen = [int(numbers[at]) for at in taken] + (rest if row.bound is None or row.bound != row.bound else [])
-                    elif row.bound is not None and row.bound == row.bound:
-                        chosen = []
-                    ids += [row.query_id] * len(chosen)
-                    aims += [value.tolist()] * len(chosen)
-                    lists += chosen
-                yield pd.DataFrame({"query_id": pd.Series(ids, dtype=batch["query_id"].dtype), "aim": pd.Series(aims, dtype=object), "list": np.array(lists, np.int32)})
+                    chosen = list(rest) if bound is None else []
+                    if len(filled) and centres.shape[1] == len(value):
+                        apart = angles(unit_rows([value]), centres[filled])[0]
+                        order = np.lexsort((filled, apart))
+                        if bound is None:
+                            taken = order[:probe]
+                        else:
+                            reach = radii[filled] + math.acos(max(-1.0, min(1.0, bound))) + 2 * SLACK
+                            taken = [at for at in order[probe:] if apart[at] <= reach[at]]
+                        chosen += filled[taken].tolist()
+                    own: dict[int, list] = {}
+                    for number in chosen:
+                        for block in range(first[number], first[number] + splits[number]):
+                            own.setdefault(block, []).append(number)
+                    if own:
+                        at.append(nth)
+                        aims.append(value)
+                        to.append(list(own))
+                        lists.append(list(own.values()))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("query_id").take(pa.array(at, pa.int64())), pa.array(aims, pa.list_(pa.float64())),
+                     pa.array(to, pa.list_(pa.int32())), pa.array(lists, pa.list_(pa.list_(pa.int32())))],
+                    names=shape.names,
+                )
+
+        result = T.StructType([id_field, T.StructField("code_hash", T.StringType()), T.StructField("similarity", T.DoubleType())])
+        least, most = threshold, top
+
+        def meet(asking: pa.Table, stored: pa.Table) -> pa.Table:
+            stored = stored.take(pc.sort_indices(stored["code_hash"], null_placement="at_start"))
+            ids, hashes, values = [], [], []
+
+            def matrix(table, column, width):
+                return table[column].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+
+            for width in pc.unique(pc.list_value_length(asking["aim"])).to_pylist():
+                own, others = (t.filter(pc.equal(pc.list_value_length(t[c]), width)) for t, c in ((asking, "aim"), (stored, "embedding")))
+                if not others.num_rows:
+                    continue
+                held, at = np.unique(others["list"].to_numpy(), return_inverse=True)
+                place = {number: nth for nth, number in enumerate(held.tolist())}
+                wanted = np.zeros((own.num_rows, len(held)), bool)
+                for nth, lists in enumerate(own["lists"].to_pylist()):
+                    wanted[nth, [place[number] for number in lists if number in place]] = True
+                with np.errstate(all="ignore"):
+                    for query, row, value in best_pairs(matrix(own, "aim", width), wanted, matrix(others, "embedding", width), at, least, most):
+                        ids.append(own["query_id"].take(pa.array(query)))
+                        hashes.append(others["code_hash"].take(pa.array(row)))
+                        values.append(pa.array(value))
+            columns = (("query_id", ids, asking), ("code_hash", hashes, stored))
+            done = [pa.chunked_array([c for part in parts for c in part.chunks], table.schema.field(name).type) for name, parts, table in columns]
+            return pa.table([*done, pa.chunked_array(values, pa.float64())], names=result.names)
+
+        def placed(numbers: dict):
+            """A number of each list, from a literal array; list -1 comes last."""
+            return F.get(F.lit([numbers.get(n, 0) for n in range(len(known))] + [numbers.get(-1, 0)]), F.when(F.col("list") < 0, len(known)).otherwise(F.col("list")))
+
+        # NULL and vectors with NULL entries are similar to nothing.
+        usable = self._vectors().where(F.forall("embedding", lambda x: x.isNotNull()))
+        block = placed(first) + F.pmod(F.monotonically_increasing_id(), placed(splits))
+        dealt = usable.where(F.size("embedding") > 0).select("code_hash", "embedding", "list", block.cast("int").alias("j"))
+        dealt = dealt.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))).repartition(tasks, "i", "j")
 
         def met(asked: DataFrame) -> DataFrame:
-            near = asked.select("query_id", "embedding", "bound").mapInPandas(aimed, shape).join(self._vectors().select("list", "code_hash", "embedding"), "list")
-            return near.select("query_id", "code_hash", cosine("embedding", "aim").alias("similarity")).where(F.col("similarity") >= threshold)
+            nth = F.pmod(F.monotonically_increasing_id(), F.lit(query_blocks)).cast("int")
+            sent = asked.mapInArrow(aimed, shape).withColumn("i", nth).withColumn("to", F.explode(F.arrays_zip("blocks", "lists")))
+            sent = sent.select("query_id", "aim", F.col("to.lists").alias("lists"), "i", F.col("to.blocks").alias("j"))
+            return sent.repartition(tasks, "i", "j").groupBy("i", "j").cogroup(dealt.groupBy("i", "j")).applyInArrow(meet, result)
 
         order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "code_hash")
         best = lambda rows: rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
-        asked = queries.select("query_id", "embedding")
         found = best(met(asked.withColumn("bound", F.lit(None).cast("double"))))
         if exact:
             found = kept(found, "probed")

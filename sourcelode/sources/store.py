@@ -13,13 +13,14 @@ from sourcelode import schemas
 from sourcelode.operators import history as his
 from sourcelode.operators.summary import SEVERITIES
 from sourcelode.functions.paths import finding_language
-from sourcelode.session import scratch_path
 from sourcelode.sources.manifests import Manifests
 
 PERIOD = "scan_period"
 UNDATED = date(1970, 1, 1)
 # Times a change is made anew when another writer was faster.
 ATTEMPTS = 5
+# Periods so long that a task's rows of one fill a file; shorter ones are brought together first.
+LONG_PERIODS = ("year", "yyyy", "yy", "quarter")
 
 
 class Conflict(RuntimeError):
@@ -55,6 +56,16 @@ TABLES = {
 }
 
 
+@dataclass(frozen=True)
+class Staged:
+    """Rows written for a table in its layout, by period, which no version names yet."""
+
+    name: str
+    rows: DataFrame
+    folder: str
+    periods: frozenset
+
+
 def _shaped(df: DataFrame, schema) -> DataFrame:
     """Columns of ``schema`` in its order and types; absent ones are NULL."""
     return df.select(
@@ -127,12 +138,11 @@ class HistoryStore:
         start = F.date_trunc(self.period, TABLES[name].stamp).cast("date")
         return shaped.withColumn(PERIOD, F.coalesce(start, F.lit(UNDATED)))
 
-    def _staged(self, rows: DataFrame, name: str):
-        """``rows`` in the shape of a table, written once to the shared folder and read again."""
-        path = scratch_path(self.spark, name)
-        dated = self._dated(rows, name)
-        dated.write.parquet(path)
-        return self.spark.read.schema(dated.schema).parquet(path), path
+    def _staged(self, rows: DataFrame, name: str) -> Staged:
+        """``rows`` in the shape of a table, written once, as the files of a version that may name them."""
+        folder = uuid.uuid4().hex
+        periods = self._write(self._dated(rows, name), name, folder)
+        return Staged(name, self._read({"tables": {name: dict.fromkeys(periods, folder)}}, name), folder, frozenset(periods))
 
     def _remove(self, path: str) -> None:
         system, folder = self.manifests.folder(path)
@@ -144,30 +154,54 @@ class HistoryStore:
 
     def _write(self, rows: DataFrame, name: str, folder: str) -> set:
         """Write rows to a new folder, by period, and tell which periods they are of. Adaptive execution evens
-        out the files: a busy period is split, quiet ones share tasks."""
+        out the files of short periods: a busy one is split, quiet ones share tasks. Of ``LONG_PERIODS`` every task
+        writes its own rows, without a shuffle."""
         path = f"{self.path}/data/{folder}/{name}"
-        even = rows.hint("rebalance", PERIOD).sortWithinPartitions(PERIOD, *TABLES[name].sort)
-        even.withColumn("_at", F.col(PERIOD)).write.partitionBy("_at").parquet(path)
+        even = rows if self.period.lower() in LONG_PERIODS else rows.hint("rebalance", PERIOD)
+        even = even.withColumn("_at", F.col(PERIOD)).sortWithinPartitions("_at", *TABLES[name].sort)
+        even.write.partitionBy("_at").parquet(path)
         system, at = self.manifests.folder(path)
         return {s.getPath().getName().removeprefix("_at=") for s in system.listStatus(at) if s.getPath().getName().startswith("_at=")}
 
-    def _replaced(self, content: dict, name: str, keys: DataFrame, fresh: DataFrame | None, folder: str) -> None:
-        """Take out of a table the rows that match ``keys`` and add ``fresh`` (staged) ones: periods with such rows
-        are written to ``folder``, and ``content`` names them."""
-        old = self._read(content, name)
-        touched = self._periods(_matching(old, keys, "left_semi"))
-        if fresh is not None:
-            touched |= self._periods(fresh)
-        if not touched:
-            return
-        result = _matching(self._read(content, name, touched), keys, "left_anti")
-        if fresh is not None:
-            result = result.unionByName(fresh)
-        written = self._write(result, name, folder)
-        held = content["tables"].setdefault(name, {})
-        for period in touched:
-            held.pop(period, None)
-        held.update({period: folder for period in written})
+    def _replaced(self, content: dict, name: str, keys: DataFrame, fresh: Staged | None, folder: str) -> None:
+        """Take out of a table the rows that match ``keys`` and add ``fresh`` ones: periods with such rows
+        are written to ``folder``, and ``content`` names them. Fresh periods that have no other rows are named where they are."""
+        held = content["tables"].get(name, {})
+        added = fresh.periods if fresh is not None else frozenset()
+        touched = added & held.keys()
+        if held:
+            touched |= self._periods(_matching(self._read(content, name), keys, "left_semi"))
+        written = {}
+        if touched:
+            result = _matching(self._read(content, name, touched), keys, "left_anti")
+            if touched & added:
+                result = result.unionByName(fresh.rows.where(F.col(PERIOD).cast("string").isin(*touched)))
+            written = dict.fromkeys(self._write(result, name, folder), folder)
+        if touched or added:
+            others = {period: at for period, at in held.items() if period not in touched}
+            content["tables"][name] = others | written | {period: fresh.folder for period in added - touched}
+
+    def _added(self, staged: list, make: Callable[[dict, str], None]) -> int:
+        """:meth:`change` with staged rows; what the new version does not name of them is removed."""
+        last = {}
+
+        def noted(content, folder):
+            last["tables"] = content["tables"]
+            make(content, folder)
+
+        try:
+            version = self.change(noted)
+        except Conflict:
+            for fresh in staged:
+                self._remove(f"{self.path}/data/{fresh.folder}")
+            raise
+        for fresh in staged:
+            named = {period for period, folder in last["tables"].get(fresh.name, {}).items() if folder == fresh.folder}
+            for period in fresh.periods - named if named else ():
+                self._remove(f"{self.path}/data/{fresh.folder}/{fresh.name}/_at={period}")
+            if not named:
+                self._remove(f"{self.path}/data/{fresh.folder}")
+        return version
 
     def change(self, make: Callable[[dict, str], None]) -> int:
         """Make the next version: ``make(content, folder)`` writes data below ``folder`` and changes the content of
@@ -205,11 +239,9 @@ class HistoryStore:
 
     def put(self, name: str, rows: DataFrame) -> int:
         """Add rows to a table; a stored row with the same identity is replaced."""
-        fresh, path = self._staged(rows, name)
-        keys = fresh.select(*TABLES[name].identity)
-        version = self.change(lambda content, folder: self._replaced(content, name, keys, fresh, folder))
-        self._remove(path)
-        return version
+        fresh = self._staged(rows, name)
+        keys = fresh.rows.select(*TABLES[name].identity)
+        return self._added([fresh], lambda content, folder: self._replaced(content, name, keys, fresh, folder))
 
     def save(self, scans: DataFrame, findings: DataFrame, persist_vulnerabilities: bool = True):
         """Store scans with their counts and languages, and the findings of those scans.
@@ -220,7 +252,7 @@ class HistoryStore:
         are written; findings stored before stay.
         """
         scans = scans.withColumn("scan_id", F.col("scan_id").cast("string"))
-        path = None
+        staged = []
         if persist_vulnerabilities:
             dates = scans.select("scan_id", F.col("scan_timestamp").alias("_at"))
             rows = findings.withColumn("scan_id", F.col("scan_id").cast("string")).join(dates, "scan_id")
@@ -234,7 +266,8 @@ class HistoryStore:
             ):
                 if name not in rows.columns:
                     rows = rows.withColumn(name, value)
-            findings, path = self._staged(rows, "vulnerability_records")
+            staged.append(self._staged(rows, "vulnerability_records"))
+            findings = staged[0].rows
         facts = findings.groupBy(F.col("scan_id").cast("string").alias("scan_id")).agg(
             F.count(F.lit(1)).alias("total_vulnerabilities"),
             *[
@@ -256,17 +289,15 @@ class HistoryStore:
             complete = complete.withColumn("id", F.sha2("scan_id", 256))
         if "target_type" not in complete.columns:
             complete = complete.withColumn("target_type", F.lit("directory"))
-        whole, scans_path = self._staged(complete, "scan_records")
+        whole = self._staged(complete, "scan_records")
+        staged.append(whole)
 
         def both(content, folder):
             if persist_vulnerabilities:
-                self._replaced(content, "vulnerability_records", scans.select("scan_id"), findings, folder)
-            self._replaced(content, "scan_records", whole.select("scan_id"), whole, folder)
+                self._replaced(content, "vulnerability_records", scans.select("scan_id"), staged[0], folder)
+            self._replaced(content, "scan_records", whole.rows.select("scan_id"), whole, folder)
 
-        version = self.change(both)
-        for used in filter(None, (path, scans_path)):
-            self._remove(used)
-        return version
+        return self._added(staged, both)
 
     def update_status(self, updates: DataFrame) -> int:
         """Apply status updates (``id, status, updated_at, seq, fixed_in_commit``), see
@@ -291,21 +322,20 @@ class HistoryStore:
         children = [name for name in TABLES if TABLES[name].scans and name != "scan_records"]
         steps = [(name, column) for name in (*children, "scan_records") for column in TABLES[name].scans]
         base = self.at()
+        known = self.manifests.read(base.version())["tables"]
         old = his.expired_scans(base.scans(), as_of, days).select("scan_id")
         if archive is not None:
             # What is archived and what is removed come from the same version, so nothing slips between.
             moved = [
-                (name, archive._staged(_matching(base.table(name), old.select(F.col("scan_id").alias(column)), "left_semi"), name))
-                for name, column in steps
+                archive._staged(_matching(base.table(name), old.select(F.col("scan_id").alias(column)), "left_semi"), name)
+                for name, column in steps if known.get(name)
             ]
 
             def add(content, folder):
-                for nth, (name, (fresh, _)) in enumerate(moved):
-                    archive._replaced(content, name, fresh.select(*TABLES[name].identity), fresh, f"{folder}/{nth}")
+                for nth, fresh in enumerate(moved):
+                    archive._replaced(content, fresh.name, fresh.rows.select(*TABLES[fresh.name].identity), fresh, f"{folder}/{nth}")
 
-            archive.change(add)
-            for _, (_, path) in moved:
-                self._remove(path)
+            archive._added(moved, add)
 
         def remove(content, folder):
             for nth, (name, column) in enumerate(steps):

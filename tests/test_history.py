@@ -300,6 +300,40 @@ def test_saving_again_replaces(spark, tmp_path):
     assert sorted(r.scan_id for r in store.findings().collect()) == ["1", "3"]
 
 
+def files_below(folder):
+    return {str(path): path.stat().st_mtime_ns for path in folder.rglob("*.parquet")}
+
+
+def test_rows_are_written_once_and_long_periods_without_a_shuffle(spark, tmp_path):
+    store = HistoryStore(spark, str(tmp_path / "h"), "year")
+    known = scans(spark, [(1, "t", datetime(2022, 9, 1)), (2, "t", datetime(2023, 9, 2))])
+    rows = findings(spark, [(n, 10 * n + k, "a", "HIGH", file, 3) for n in (1, 2) for k, file in enumerate(("x.py", "y.ts", "z"))])
+    rows = rows.withColumnRenamed("finding_id", "id").withColumns({
+        "ai_explanation": F.lit(None).cast("string"), "false_positive_likelihood": F.lit(None).cast("double"),
+    })
+    staged = []
+    plain = store._staged
+    store._staged = lambda *given: (staged.append(plain(*given)), staged[-1])[1]
+    written = store._write
+    plans = []
+    store._write = lambda frame, *rest: (plans.append(frame._jdf.queryExecution().toString()), written(frame, *rest))[1]
+    store.save(known, rows)
+    # What was staged is the table: new periods are not written again.
+    assert len(plans) == 2 and not any("Rebalance" in plan for plan in plans)
+    first = files_below(tmp_path / "h" / "data")
+    assert {f.folder for f in staged} == {path.split("/data/")[1].split("/")[0] for path in first}
+    assert {r.scan_id: (r.total_vulnerabilities, r.languages_detected) for r in store.scans().collect()} == {str(n): (3, ["python", "typescript"]) for n in (1, 2)}
+    # A period with other rows is written anew, and the staged rows of it go.
+    store.save(scans(spark, [(3, "t", datetime(2023, 5, 1)), (4, "t", datetime(2024, 5, 1))]), rows.where("scan_id = 9"))
+    assert {r.scan_id: r.scan_period.year for r in store.scans().collect()} == {"1": 2022, "2": 2023, "3": 2023, "4": 2024}
+    left = store.manifests.read(store.version())["tables"]["scan_records"]
+    assert left["2024-01-01"] == staged[-1].folder != left["2023-01-01"]
+    assert [path.name for path in (tmp_path / "h" / "data" / staged[-1].folder / "scan_records").glob("_at=*")] == ["_at=2024-01-01"]
+    assert first.items() <= files_below(tmp_path / "h" / "data").items() and store.findings().count() == 6
+    version = store.version()
+    assert store.expire("2010-01-01", 90) == version and store.vacuum(keep=1, grace_seconds=0) == 0 and store.scans().count() == 4
+
+
 def test_stored_scan_without_time(spark, tmp_path):
     store, _, rows = stored(spark, tmp_path / "h")
     for _ in range(2):

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from sourcelode import schemas
 from sourcelode.operators import history as his
 from sourcelode.operators.summary import SEVERITIES
+from sourcelode.functions.lookups import FINDING_LANGUAGES
 from sourcelode.functions.paths import finding_language
 from sourcelode.sources.manifests import Manifests
 
@@ -268,14 +269,18 @@ class HistoryStore:
                     rows = rows.withColumn(name, value)
             staged.append(self._staged(rows, "vulnerability_records"))
             findings = staged[0].rows
-        facts = findings.groupBy(F.col("scan_id").cast("string").alias("scan_id")).agg(
+        # A bit per language: numbers are aggregated in place, sets would have every row sorted.
+        languages = sorted(set(FINDING_LANGUAGES.values()))
+        bits = [F.when(F.col("_language") == name, F.lit(1 << at).cast("long")) for at, name in enumerate(languages)]
+        has = lambda at: F.col("_languages").bitwiseAND(F.lit(1 << at).cast("long")) != 0
+        facts = findings.withColumn("_language", finding_language("file_path")).groupBy(F.col("scan_id").cast("string").alias("scan_id")).agg(
             F.count(F.lit(1)).alias("total_vulnerabilities"),
             *[
                 F.count_if(F.col("severity") == name).alias(f"{name.lower()}_count")
                 for name in SEVERITIES
             ],
-            F.sort_array(F.collect_set(finding_language("file_path"))).alias("languages_detected"),
-        )
+            F.bit_or(F.coalesce(*bits)).alias("_languages"),
+        ).withColumn("languages_detected", F.array_compact(F.array(*[F.when(has(at), name) for at, name in enumerate(languages)]))).drop("_languages")
         derived = [name for name in facts.columns if name != "scan_id"]
         complete = (
             scans.drop(*derived).join(facts, "scan_id", "left")

@@ -4,6 +4,10 @@ Spark's file sources hide names starting with ``_`` or ``.``; trees are therefor
 inside tasks through Arrow file systems (local mounts, HDFS, object stores).
 """
 
+import os
+import stat
+from datetime import datetime, timedelta, timezone
+
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from sourcelode.functions import paths as pth, text as txt
@@ -11,7 +15,9 @@ from sourcelode.options import ScanOptions
 from sourcelode.schemas import PATHS
 from sourcelode.session import scratch_path
 
-READ_BATCH_BYTES = 32 * 1024 * 1024
+# Bytes of files, and rows of a listing, that a task holds before it hands them on.
+READ_BATCH_BYTES, LISTED_ROWS = 4 * 1024 * 1024, 10_000
+EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
 # Lasting states of a path: it is passed over. Any other error fails the task.
 SKIPPED = (FileNotFoundError, PermissionError, IsADirectoryError, NotADirectoryError)
 
@@ -20,6 +26,27 @@ def _tasks(spark: SparkSession, tasks: int | None) -> int:
     return tasks or 4 * spark.sparkContext.defaultParallelism
 
 
+def local_entries(top: str, skip=()):
+    """(path, size, time, is a folder, error) of what is in a folder, one after the other: it may hold more files than fit in memory.
+
+    Folders that are hidden, linked or fit a pattern of ``skip`` are left out, and so is what is neither file nor folder.
+    """
+    try:
+        with os.scandir(top) as found:
+            for entry in found:
+                try:
+                    facts = entry.stat()
+                except FileNotFoundError:
+                    continue
+                full = top.rstrip("/") + "/" + entry.name
+                if stat.S_ISREG(facts.st_mode):
+                    yield full, facts.st_size, EPOCH + timedelta(microseconds=facts.st_mtime_ns // 1000), False, None
+                elif stat.S_ISDIR(facts.st_mode) and not (entry.name.startswith(".") or entry.is_symlink() or any(p.match(full) for p in skip)):
+                    yield full, None, None, True, None
+    except SKIPPED as problem:
+        yield top, None, None, False, type(problem).__name__
+
+
 def list_files(
     spark: SparkSession, roots, options: ScanOptions = ScanOptions(), split_depth: int = 2,
     tasks: int | None = None, problems: bool = False,
@@ -49,8 +76,10 @@ def list_files(
         skip = [re.compile(pattern) for pattern in prune]
 
         def entries(top):
-            system, path = fs.FileSystem.from_uri(top) if "://" in top else (
-                fs.LocalFileSystem(), top)
+            if "://" not in top:
+                yield from local_entries(top, skip)
+                return
+            system, path = fs.FileSystem.from_uri(top)
             try:
                 found = system.get_file_info(fs.FileSelector(path, recursive=False))
             except SKIPPED as problem:
@@ -85,7 +114,7 @@ def list_files(
                                 below.append(full)
                             else:
                                 rows.append((root, full, size, mtime, directory, error))
-                            if len(rows) > 50000:
+                            if len(rows) >= LISTED_ROWS:
                                 yield framed(rows)
                                 rows = []
                     level = below

@@ -111,3 +111,32 @@ def test_listing_tells_what_it_could_not_read(spark, roots):
     read = src.read_bytes(paths, problems=True)
     assert [(r["file_path"], r["error"]) for r in read.where("content IS NULL").collect()] == [(missing + ".py", "FileNotFoundError")]
     assert src.read_bytes(paths).count() == read.count() - 1
+
+
+def test_a_folder_is_listed_entry_by_entry(tmp_path, monkeypatch):
+    for n in range(20):
+        (tmp_path / f"f{n}.py").write_text("x" * n)
+    (tmp_path / "below").mkdir()
+    (tmp_path / ".hidden").mkdir()
+    (tmp_path / "gone").symlink_to(tmp_path / "none")
+    (tmp_path / "linked").symlink_to(tmp_path / "below")
+    seen, scandir = [], os.scandir
+
+    class Counted:
+        def __init__(self, top):
+            self.found = scandir(top)
+
+        def __enter__(self):
+            return (seen.append(entry.name) or entry for entry in self.found)
+
+        def __exit__(self, *_):
+            self.found.close()
+
+    monkeypatch.setattr(src.os, "scandir", Counted)
+    entries = src.local_entries(str(tmp_path))
+    first = next(entries)
+    assert len(seen) <= 4  # no more than one file and what is passed over
+    rest = {path.rpartition("/")[2]: (size, folder, error) for path, size, _, folder, error in [first, *entries]}
+    assert rest == {f"f{n}.py": (n, False, None) for n in range(20)} | {"below": (None, True, None)}
+    assert [e[-1] for e in src.local_entries(str(tmp_path / "none"))] == ["FileNotFoundError"]
+    assert src.READ_BATCH_BYTES <= 8 * 1024 * 1024

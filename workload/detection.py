@@ -592,21 +592,21 @@ def export_tree(t, where="true"):
     base = scratch_path(t.spark, "tree")
 
     def write(batches):
-        import pandas as pd
+        import pyarrow as pa
         from pyarrow import fs
 
         local = "://" not in base
         system, top = (fs.LocalFileSystem(), base) if local else fs.FileSystem.from_uri(base)
         for batch in batches:
-            for path, content in zip(batch["file_path"], batch["content"]):
-                full = top + path
+            for path, content in zip(batch.column("file_path"), batch.column("content")):
+                full = top + path.as_py()
                 system.create_dir(full.rpartition("/")[0], recursive=True)
                 with system.open_output_stream(full) as out:
-                    out.write(content.encode("utf-8"))
-            yield pd.DataFrame({"n": [len(batch)]})
+                    out.write(content.as_py().encode("utf-8"))
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
 
     files = t("src_files").where(where).select("file_path", "content")
-    files.mapInPandas(write, "n long").agg(F.sum("n")).write.format("noop").mode("overwrite").save()
+    files.mapInArrow(write, "n long").agg(F.sum("n")).write.format("noop").mode("overwrite").save()
     roots = t("src_files").select(F.concat(F.lit(base + "/corpus/"), "repo").alias("root")).distinct()
     return base, roots
 

@@ -81,10 +81,10 @@ def _blocks_of(cells: Cells, block_rows: int) -> tuple[dict, dict, int]:
 
 
 def similar_all(
-    vectors: DataFrame, threshold: float = THRESHOLD, top: int | None = TOP,
+    vectors: DataFrame, threshold: float = THRESHOLD, top: int | None = None,
     vec: str = "embedding", row_id: str = "vec_id", block_rows: int = BLOCK_ROWS, cells: int | None = None,
 ) -> DataFrame:
-    """For every vector its ``top`` (None: all) most similar others; exact, whatever the data looks like.
+    """For every vector all others that are similar, or its ``top`` most similar ones with their ``rank``; exact, whatever the data looks like.
 
     ``threshold`` has to be positive. Vectors are dealt into cells around pivots (:func:`make_cells`). Two cells are
     compared only if the angles between pivots and the radii allow a pair within the threshold. Cells

@@ -306,11 +306,12 @@ _ALL = f"""ranked AS (SELECT a.vec_id AS target_id, b.vec_id AS similar_id, {_CO
 
 @query(
     "similar_pairs",
-    "SELECT target_id, similar_id, round(s, 6) AS similarity FROM ranked WHERE rank <= 20",
+    "SELECT target_id, similar_id, round(s, 6) AS similarity FROM ranked",
     ctes=f"{VECS},\n{_ALL}",
 )
 def _(t):
-    return sim.similar_all(t("embeddings"), NEAR).select(
+    """Every pair within the threshold, however many partners a row has."""
+    return sim.similar_all(t("embeddings"), NEAR, top=None).select(
         "target_id", "similar_id", F.round("similarity", 6).alias("similarity")
     )
 

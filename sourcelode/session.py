@@ -29,9 +29,10 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def kept(df: DataFrame, label: str) -> DataFrame:
+def kept(df: DataFrame, label: str, reader: SparkSession | None = None, **options) -> DataFrame:
     """Write a frame to the shared folder and read it back: it is evaluated once, and later steps do
-    not depend on the executors that did it."""
+    not depend on the executors that did it. ``options`` are those of the Parquet writer; ``reader`` is a session with settings
+    for reading."""
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.options(**options).parquet(path)
+    return (reader or df.sparkSession).read.schema(df.schema).parquet(path)

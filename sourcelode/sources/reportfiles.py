@@ -22,10 +22,10 @@ def _system(path: str):
 
 
 class Gzipped:
-    """A stream whose bytes are compressed on the way, fast rather than small."""
+    """A stream whose bytes are compressed on the way."""
 
     def __init__(self, stream):
-        self.stream, self.packer = stream, zlib.compressobj(1, zlib.DEFLATED, 31)
+        self.stream, self.packer = stream, zlib.compressobj(6, zlib.DEFLATED, 31)
 
     def write(self, data) -> None:
         self.stream.write(self.packer.compress(data))

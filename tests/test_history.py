@@ -544,3 +544,56 @@ def test_a_null_line_fails_the_report(spark, tmp_path):
     rows = spark.createDataFrame([("1", 0, True, True, None)], reportfiles.SHAPE)
     with pytest.raises(Exception, match="NULL"):
         rows.write.format(reportfiles.NAME).mode("append").options(prefix="[", suffix="]", extension="json", fileBytes="1").save(str(tmp_path / "x"))
+
+
+def odd_reports(spark):
+    """Scans that are unknown to findings, listed twice or NULL; findings of unknown and NULL scans, of no file, and repeated ones."""
+    known = report_scans(spark, [1, 2, 2, 3, None])
+    rows = findings(spark, [
+        (1, 1, "b", "LOW", "f", 2), (1, 2, "a", "LOW", "f", 2), (1, 3, "a", "LOW", None, None), (1, 4, "a", "LOW", "g", 1), (1, 5, "a", "LOW", "f", 9),
+        (2, 6, "a", "LOW", "h", 1), (2, 7, "a", "LOW", "h", None), (8, 8, "a", "LOW", "f", 1), (None, 9, "a", "LOW", "f", 1),
+    ])
+    return known, report_findings(spark, 1).drop("scan_id", "finding_id", "vulnerability_type", "severity", "file_path", "line_number", "id").limit(1).crossJoin(
+        rows.withColumn("id", F.col("finding_id").cast("string"))
+    )
+
+
+def dealt_once(rows, *order):
+    return rows.repartition(3, "scan_id").sortWithinPartitions(*order)
+
+
+def test_dealt_documents_are_the_sorted_ones(spark):
+    known, rows = odd_reports(spark)
+    plain = [(r.scan_id, r.section, r.line) for r in rep.sarif_lines(known, rows).collect() if r.section != rep.HEAD]
+    dealt = [(r.scan_id, r.section, r.line) for r in rep.run_lines(known, rows, ("scan_id",), dealt_once).collect() if r.section != rep.HEAD]
+    as_sorted = sorted(dealt, key=lambda line: -1 if line[0] is None else line[0])
+    assert [line for line in as_sorted if line[1] != rep.TAIL] == [line for line in plain if line[1] != rep.TAIL]
+    assert sum(section == rep.RESULTS for _, section, _ in dealt) == 9  # two of them twice
+    plain = [(r.scan_id, r.section, r.line) for r in rep.scan_lines(known, rows).collect()]
+    dealt = [(r.scan_id, r.section, r.line) for r in rep.scan_lines(known, rows, ("scan_id",), dealt_once).collect()]
+    assert sorted(dealt, key=lambda line: -1 if line[0] is None else line[0]) == plain
+
+
+@pytest.mark.parametrize("lines", [rep.run_lines, rep.scan_lines])
+def test_documents_travel_once(spark, lines):
+    known, rows = odd_reports(spark)
+    keys = ("scan_id",)
+    plan = lines(known, rows.localCheckpoint(), keys, dealt_once)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+
+
+def test_reports_store_what_they_show(spark, tmp_path):
+    import glob
+    import json
+
+    from sourcelode.session import shared_dir
+
+    before = set(glob.glob(f"{shared_dir(spark)}/findings-*"))
+    known, rows = odd_reports(spark)
+    twice = rows.where("scan_id = 1").unionByName(rows.where("finding_id = 3"))
+    sinks.write_sarif(known.where("scan_id = 1"), twice.withColumn("unseen", F.lit("x" * 500)), str(tmp_path / "s"), 1, 2)
+    [stored] = set(glob.glob(f"{shared_dir(spark)}/findings-*")) - before
+    assert set(spark.read.parquet(stored).columns) == {"scan_id", *rep.PLACE, *rep.SARIF_FIELDS}
+    runs = [run for log in written(tmp_path / "s").values() for run in log["runs"]]
+    ids = [x["properties"]["scanner_id"] for run in runs for x in run["results"]]
+    assert sorted(ids) == ["1", "2", "3", "3", "4", "5"] and len(runs) == 3 and json.dumps(runs).count("xxx") == 0
